@@ -70,7 +70,7 @@ def main():
     if args[:1] == ["-s"]:
         sf, args = args[1], args[2:]
     folder = f"/root/testdata/sf{sf}"
-    spark = build_session("local[8]", 8, **{"spark.driver.memory": "8g"})
+    spark = build_session("local[8]", 8, **{"spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(folder)
     bad = 0
