@@ -14,7 +14,7 @@ def _offsets(spans: DataFrame, slot: str, group: list[str]) -> DataFrame:
     # One row per (slot, group); a group's rows here are at most the number of slots, never the number of data rows.
     before = Window.partitionBy(*group).orderBy(slot).rowsBetween(Window.unboundedPreceding, -1)
     return (spans.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-            .withColumn("_total", F.sum("_n").over(Window.partitionBy(*group))))
+            .withColumn("_span_total", F.sum("_n").over(Window.partitionBy(*group))))
 
 
 def ordered_index(df: DataFrame, order: list[str], group: list[str] = (), name: str = "idx",
@@ -33,7 +33,7 @@ def ordered_index(df: DataFrame, order: list[str], group: list[str] = (), name:
     marked = ranged.join(_offsets(spans, "_slot", group), ["_slot", *group])
     marked = marked.withColumn(name, F.col("_pos") - F.col("_start") + F.col("_before"))
     if total:
-        marked = marked.withColumn(total, F.col("_total"))
+        marked = marked.withColumn(total, F.col("_span_total"))
     marked = marked.select(*keys, name, *([total] if total else []))
     return marked if set(df.columns) == set(keys) else df.join(marked, keys)
 
@@ -52,8 +52,8 @@ def bucketed_index(df: DataFrame, bucket: Column, order: list, group: list[str]
            .join(_offsets(spans, "_slot", group), ["_slot", *group])
            .withColumn(name, (F.col("_pos") + F.col("_before")).cast("bigint")))
     if total:
-        out = out.withColumn(total, F.col("_total"))
-    return out.drop("_slot", "_pos", "_n", "_before", "_total")
+        out = out.withColumn(total, F.col("_span_total"))
+    return out.drop("_slot", "_pos", "_n", "_before", "_span_total")
 
 
 def shuffled_index(df: DataFrame, ids: list[str], seed, group: list[str] = (), name: str = "idx",

@@ -314,6 +314,7 @@ def extract_calls(text: Column, fmt: str = "default") -> Column:
         found = _all(text, r"(?sU)<tool_call>(.+?)</tool_call>(?=\s*<tool_call>|\s*$)", 1)
         return _sound(F.transform(found, lambda m: _object_call(strip(m)))).cast(CALLS)
     if fmt in ("qwen3_5", "seed_oss"):
+        # The seed syntax takes every character up to a blank or "<" as the name, the closing ">" included.
         tag, name = ("tool_call", r"([^\s<>]+)") if fmt == "qwen3_5" else ("seed:tool_call", r"([^\s<]+)")
         pattern = rf"(?sU)<{tag}>\s*<function=\s*{name}\s*(.*?)\s*</function>\s*</{tag}>"
         found = F.arrays_zip(_all(text, pattern, 1).alias("n"), _all(text, pattern, 2).alias("b"))
@@ -323,29 +324,35 @@ def extract_calls(text: Column, fmt: str = "default") -> Column:
     raise ValueError(f"no extractor for tool format {fmt}")
 
 
-def calls_table(df, text: str, fmt: str | Column, keep: list[str]):
-    """(calls: keep..., call_idx, name, arguments; rejects: keep..., text). ``fmt`` is a syntax name or a column."""
+def calls_of(text: str, fmt: str | Column) -> Column:
+    """Calls of each text; ``fmt`` is a syntax name or a column of names."""
     if isinstance(fmt, str):
-        calls = extract_calls(F.col(text), fmt)
-    else:
-        calls = F.lit(None).cast(CALLS)
-        for name in FORMATS:
-            if name != "lfm2":
-                calls = F.when(fmt == name, extract_calls(F.col(text), name)).otherwise(calls)
-    marked = df.withColumn("_calls", calls)
-    found = marked.filter(F.size("_calls") > 0).select(*keep, F.posexplode("_calls").alias("call_idx", "_call"))
-    rejects = marked.filter(F.col("_calls").isNull() | (F.size("_calls") == 0)).select(*keep, text)
+        return extract_calls(F.col(text), fmt)
+    calls = F.lit(None).cast(CALLS)
+    for name in FORMATS:
+        if name != "lfm2":
+            calls = F.when(fmt == name, extract_calls(F.col(text), name)).otherwise(calls)
+    return calls
+
+
+def calls_table(df, text: str, fmt: str | Column, keep: list[str]):
+    """(calls: keep..., call_idx, name, arguments; rejects: keep..., text)."""
+    marked = df.withColumn("_calls", calls_of(text, fmt))
+    found = marked.select(*keep, F.posexplode("_calls").alias("call_idx", "_call"))
+    rejects = marked.filter(F.coalesce(F.size("_calls"), F.lit(0)) <= 0).select(*keep, text)
     return found.select(*keep, "call_idx", "_call.name", "_call.arguments"), rejects
 
 
 def usage_stats(df, text: str, fmt, by: list[str]):
-    """Calls per group and function, and the share of texts without a well-formed call."""
-    found, rejects = calls_table(df, text, fmt, by)
-    per = found.groupBy(*by, "name").agg(F.count(F.lit(1)).alias("calls"))
-    lost = rejects.groupBy(*by).agg(F.count(F.lit(1)).alias("failed"))
-    total = df.groupBy(*by).agg(F.count(F.lit(1)).alias("texts"))
-    rate = total.join(lost, by, "left").withColumn("failed", F.coalesce("failed", F.lit(0)))
-    return per, rate.withColumn("failure_rate", F.col("failed") / F.col("texts"))
+    """Per group: name, calls, texts, failed, failure_rate. Texts are read once; a text without a well-formed call is
+    the row without a name."""
+    spread = df.select(*by, F.posexplode_outer(calls_of(text, fmt)).alias("_i", "_call"))
+    per = spread.groupBy(*by, F.col("_call.name").alias("name")).agg(
+        F.count(F.lit(1)).alias("calls"), F.sum(F.when(F.coalesce("_i", F.lit(0)) == 0, 1).otherwise(0)).alias("_texts"))
+    total = per.groupBy(*by).agg(F.sum("_texts").alias("texts"),
+                                 F.coalesce(F.sum(F.when(F.col("name").isNull(), F.col("calls"))), F.lit(0)).alias("failed"))
+    rates = total.withColumn("failure_rate", F.col("failed") / F.col("texts"))
+    return per.filter(F.col("name").isNotNull()).select(*by, "name", "calls"), rates
 
 
 # ---- parts of generated text ----------------------------------------------------------------------------------------

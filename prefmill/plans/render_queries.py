@@ -228,7 +228,7 @@ def tool_prompt(spark, folder):
 def call_rows(spark, folder):
     """id, calls: one call object, or (for a third of the pairs) a list of two."""
     first = F.concat(F.lit('{"name":"lookup","arguments":{"k":'), F.col("id").cast("string"), F.lit(',"q":"'),
-                     F.substring(F.md5("instruction"), 1, 6), F.lit('"}}'))
+                     F.lit("w"), F.substring(F.md5("instruction"), 1, 6), F.lit('"}}'))
     second = F.lit('{"name":"scan","arguments":{"deep":{"a":[1,2]},"flag":true}}')
     two = X.tag("two", "id") % 3 == 0
     return X.pairs(spark, folder).select("id", two.alias("two"), F.when(
@@ -271,7 +271,7 @@ def _calls_sql(fmt):
     return f"SELECT id, '{fmt}' AS fmt, CASE WHEN two THEN {double} ELSE {single} END AS text FROM c"
 
 
-CALL_SQL = f"""{X.PAIRS}, c AS (SELECT id, substr(md5(instruction),1,6) AS q, {h("'two:'||id")} % 3 = 0 AS two FROM pairs)"""
+CALL_SQL = f"""{X.PAIRS}, c AS (SELECT id, 'w'||substr(md5(instruction),1,6) AS q, {h("'two:'||id")} % 3 = 0 AS two FROM pairs)"""
 
 
 def call_texts(spark, folder):
@@ -302,8 +302,8 @@ sound AS (SELECT * FROM live WHERE {h("'bad:'||id||':'||fmt")} % 11 <> 0)"""
 
 
 @query("tool_call_extract", f"""WITH {CALL_SQL}, {_LIVE}
-SELECT id, fmt, 0::BIGINT AS call_idx, 'lookup' AS name, {_ONE[1]} AS arguments FROM sound
-UNION ALL SELECT id, fmt, 1, 'scan', {_TWO[1]} FROM sound WHERE two""")
+SELECT id, fmt, 0::BIGINT AS call_idx, 'lookup'||CASE fmt WHEN 'seed_oss' THEN '>' ELSE '' END AS name, {_ONE[1]} AS arguments FROM sound
+UNION ALL SELECT id, fmt, 1, 'scan'||CASE fmt WHEN 'seed_oss' THEN '>' ELSE '' END, {_TWO[1]} FROM sound WHERE two""")
 def tool_call_extract(spark, folder):
     found, _ = T.calls_table(damaged(spark, folder), "text", F.col("fmt"), ["id", "fmt"])
     return found.withColumn("call_idx", F.col("call_idx").cast("bigint"))
@@ -315,7 +315,7 @@ SELECT fmt, count(*)::BIGINT AS texts, (count(*)-max(ok))::BIGINT AS failed, rou
        max(ok)::BIGINT AS lookup_calls, max(twos)::BIGINT AS scan_calls FROM live JOIN good USING (fmt) GROUP BY fmt""")
 def tool_usage_stats(spark, folder):
     per, rate = T.usage_stats(damaged(spark, folder), "text", F.col("fmt"), ["fmt"])
-    wide = per.groupBy("fmt").agg(*[F.coalesce(F.sum(F.when(F.col("name") == n, F.col("calls"))), F.lit(0)).alias(f"{n}_calls") for n in ("lookup", "scan")])
+    wide = per.groupBy("fmt").agg(*[F.coalesce(F.sum(F.when(F.col("name").startswith(n), F.col("calls"))), F.lit(0)).alias(f"{n}_calls") for n in ("lookup", "scan")])
     return rate.join(wide, "fmt").select("fmt", "texts", "failed", F.round("failure_rate", 6).alias("failure_rate"), "lookup_calls", "scan_calls")
 
 
