@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from prefmill.plans import align_queries, encode_queries, mix_queries, render_queries  # noqa: F401
+from prefmill.plans import align_queries, encode_queries, eval_queries, loss_queries, mix_queries, render_queries  # noqa: F401
 from prefmill.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
