@@ -1,0 +1,72 @@
+"""The calls a job uses. Everything takes and returns DataFrames."""
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from prefmill.operators import encode as _encode, losses as _losses, packing as _packing
+from prefmill.operators.align import align
+from prefmill.operators.logps import logps_avg, pair_logps, seq_logps, seq_logps_ld
+from prefmill.operators.mixing import mix, split
+from prefmill.operators.render import render_chat, render_oneturn, render_pairs, render_turns
+from prefmill.operators.rewards import pref_rewards
+from prefmill.operators.templates import register_template, template, template_table
+from prefmill.operators.tokens import char_ids, encode_tokens, vocab_build
+from prefmill.sources.files import load_spec, prepared
+from prefmill.sources.registry import DatasetSpec, resolve
+
+__all__ = ["DatasetSpec", "align", "char_ids", "encode", "encode_tokens", "load", "logps", "losses", "mix", "pack", "pad",
+           "prepared", "register_template", "render", "render_chat", "render_oneturn", "render_pairs", "render_turns",
+           "resolve", "rewards", "split", "template", "template_table", "vocab_build"]
+
+
+def load(spark: SparkSession, spec: DatasetSpec, folder: str, **options) -> DataFrame:
+    """Rows of a registered dataset, sampled as its spec says."""
+    return load_spec(spark, spec, folder, **options)
+
+
+def render(df: DataFrame, name: str, messages: str = "messages", system: str = "system", tools: str | None = None) -> DataFrame:
+    """Adds ``turns`` (one text per message) and ``text``."""
+    turns = render_turns(F.col(messages), F.col(system), template(name), F.col(tools) if tools else None, name)
+    return df.withColumn("turns", turns).withColumn("text", F.array_join("turns", ""))
+
+
+def encode(aligned: DataFrame, stage: str, name: str, key: str, tokenize=char_ids, cutoff: int = 2048, **options) -> DataFrame:
+    """Hub rows to ids and labels for a stage: pt, sft, rm, kto or ppo."""
+    if stage == "pt":
+        rows = aligned.select(key, F.col("_prompt")[0]["content"].alias("text"))
+        return _encode.encode_pretrain(rows, "text", cutoff, [key], tokenize, **options)
+    if stage == "kto":
+        return _encode.encode_feedback(aligned, name, key, cutoff, tokenize=tokenize, **options)
+    run = {"sft": _encode.encode_sft, "rm": _encode.encode_pairwise, "ppo": _encode.encode_prompt_only}[stage]
+    return run(aligned, name, cutoff, [key], tokenize, **options)
+
+
+def pack(encoded: DataFrame, key: str, cutoff: int, neat: bool = False, batch: int = _packing.BATCH) -> DataFrame:
+    """Supervised rows packed into rows of ``cutoff`` positions. One position is kept free in every bin."""
+    lengths = encoded.select(key, F.size("input_ids").cast("bigint").alias("length"))
+    plan = _packing.pack_knapsack(lengths, key, cutoff - 1, batch)
+    return _packing.pack_materialise(encoded, plan, key, cutoff - 1, neat)
+
+
+def pad(encoded: DataFrame, key: str, batch: int, multiple: int = 8) -> DataFrame:
+    return _packing.pad_batch(_packing.batched(encoded, key, batch), multiple=multiple)
+
+
+def logps(tokens: DataFrame, alpha: float | None = None) -> DataFrame:
+    """Sequence sums, counts and means; with ``alpha`` positions past the shorter side weigh less."""
+    return logps_avg(seq_logps(tokens) if alpha is None else seq_logps_ld(tokens, alpha))
+
+
+def rewards(pairs: DataFrame, beta: float = 0.1, reference: bool = True) -> DataFrame:
+    chosen, rejected = pref_rewards(beta, reference)
+    return pairs.withColumn("chosen_reward", chosen).withColumn("rejected_reward", rejected)
+
+
+def losses(sequences: DataFrame, kind: str, beta: float = 0.1, **options) -> DataFrame:
+    """example_id, ..., loss. ipo, orpo and simpo use mean log-probabilities, the others sums."""
+    table = {"sigmoid": _losses.loss_sigmoid, "hinge": _losses.loss_hinge, "ipo": _losses.loss_ipo, "orpo": _losses.loss_orpo,
+             "simpo": _losses.loss_simpo}
+    if kind not in table:
+        raise ValueError(f"unknown loss {kind}")
+    averaged = kind in ("ipo", "orpo", "simpo")
+    pairs = pair_logps(logps_avg(sequences), "logps_avg" if averaged else "logps")
+    return pairs.withColumn("loss", table[kind](beta, **options))

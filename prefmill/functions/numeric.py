@@ -5,6 +5,11 @@ from pyspark.sql import Column, functions as F
 IGNORE = -100
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once; plain nesting would compute it again for every array element."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def r6(value: Column) -> Column:
     """Round to six decimals; adds 0.0 so that a negative zero does not survive."""
     return F.round(value, 6) + F.lit(0.0)
@@ -21,8 +26,7 @@ def sigmoid(x: Column) -> Column:
 
 def log_sum_exp(xs: Column) -> Column:
     """log of the sum of exponentials over an array of doubles."""
-    top = F.array_max(xs)
-    return top + F.log(F.aggregate(xs, F.lit(0.0), lambda a, x: a + F.exp(x - top)))
+    return let(F.array_max(xs), lambda top: top + F.log(F.aggregate(xs, F.lit(0.0), lambda a, x: a + F.exp(x - top))))
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from prefmill.functions.numeric import IGNORE, log_sigmoid, log_sum_exp, sigmoid
+from prefmill.functions.numeric import IGNORE, let, log_sigmoid, log_sum_exp, sigmoid
 from prefmill.operators.series import running_sums
 
 
@@ -102,9 +102,10 @@ def loss_dft(logits: DataFrame) -> DataFrame:
 
 def kl_divergence(policy: Column, reference: Column) -> Column:
     """KL(reference || policy) of two logit vectors."""
-    p, q = log_sum_exp(policy), log_sum_exp(reference)
-    cells = F.zip_with(policy, reference, lambda x, y: F.exp(y - q) * ((y - q) - (x - p)))
-    return F.aggregate(cells, F.lit(0.0), lambda a, x: a + x)
+    def total(z):
+        cells = F.zip_with(policy, reference, lambda x, y: F.exp(y - z["q"]) * ((y - z["q"]) - (x - z["p"])))
+        return F.aggregate(cells, F.lit(0.0), lambda a, x: a + x)
+    return let(F.struct(log_sum_exp(policy).alias("p"), log_sum_exp(reference).alias("q")), total)
 
 
 def loss_asft(logits: DataFrame, alpha: float = 0.1) -> DataFrame:
@@ -120,8 +121,8 @@ def topk_logits(logits: Column, k: int = 20) -> Column:
 
 
 def entropy(logits: Column) -> Column:
-    total = log_sum_exp(logits)
-    return -F.aggregate(logits, F.lit(0.0), lambda a, x: a + F.exp(x - total) * (x - total))
+    return let(log_sum_exp(logits), lambda total: -F.aggregate(
+        logits, F.lit(0.0), lambda a, x: a + F.exp(x - total) * (x - total)))
 
 
 def loss_eaft(logits: DataFrame, alpha: float = 1.0, k: int = 20) -> DataFrame:

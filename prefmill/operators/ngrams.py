@@ -7,6 +7,8 @@ token subsequence. BLEU-4 replaces the k-th empty precision by 1 / (2^k * its de
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from prefmill.functions.numeric import let
+
 EPS = 1e-8
 
 
@@ -43,9 +45,12 @@ def bleu4(df: DataFrame, key: str, predict: str = "predict", label: str = "label
 
 
 def _grams(words: Column, n: int) -> Column:
-    count = F.size(words) - n + 1
-    starts = F.when(count > 0, F.sequence(F.lit(1), F.greatest(count, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " ")))
+    """Distinct n-grams; the words of positions i..i+n-1 are joined by aligning n shifted copies of the word list."""
+    count = F.greatest(F.size(words) - n + 1, F.lit(0))
+    grams = F.slice(words, F.lit(1), count)
+    for k in range(1, n):
+        grams = F.zip_with(grams, F.slice(words, F.lit(k + 1), count), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.array_distinct(grams)
 
 
 def _f(hits: Column, predicted: Column, wanted: Column) -> Column:
@@ -55,8 +60,10 @@ def _f(hits: Column, predicted: Column, wanted: Column) -> Column:
 
 def rouge_n(predict: Column, label: Column, n: int) -> Column:
     """F score in percent over distinct n-grams; an empty side gives 0."""
-    a, b = _grams(tokens(predict), n), _grams(tokens(label), n)
-    return _f(F.size(F.array_intersect(a, b)), F.size(a), F.size(b))
+    def score(z):
+        return _f(F.size(F.array_intersect(z["a"], z["b"])), F.size(z["a"]), F.size(z["b"]))
+    words = F.struct(tokens(predict).alias("a"), tokens(label).alias("b"))
+    return let(words, lambda w: let(F.struct(_grams(w["a"], n).alias("a"), _grams(w["b"], n).alias("b")), score))
 
 
 def common_length(a: list, b: list) -> int:

@@ -4,6 +4,7 @@ and a template joined from the catalogue table."""
 from pyspark.sql import Column, DataFrame, functions as F
 
 from prefmill.functions.jsontext import field, is_json, items, quoted, spaced
+from prefmill.functions.numeric import let
 from prefmill.functions.text import replace_first
 from prefmill.operators.templates import TEMPLATES
 from prefmill.operators.tools import TOOL_PROMPTS, literal, render_function, tool_prompt
@@ -92,20 +93,24 @@ def render_pairs(messages: Column, system: Column, name: str, tpl, thinking: boo
     reasons = TEMPLATES[name].kind in ("reasoning", "closing")
     if reasons and thinking is False:
         messages = _strip_at(messages, name, lambda i: i % 2 == 1)
-    turns = render_turns(messages, system, tpl, tools, name)
-    places = F.filter(F.transform(messages, lambda m, i: F.when(i % 2 == 0, i)), lambda i: i.isNotNull())
+    def pairs(z):
+        told, turns = z["messages"], z["turns"]
+
+        def pair(i):
+            prompt, response = F.get(turns, i), F.get(turns, i + 1)
+            if reasons:
+                bare = ~_has_thought(F.get(told, i + 1)["content"], name)
+                if thinking:
+                    response = F.when(bare, F.concat(F.lit(empty_thought(name)), response)).otherwise(response)
+                else:
+                    prompt = F.when(bare, F.concat(prompt, F.lit(empty_thought(name)))).otherwise(prompt)
+            return F.struct(prompt.alias("prompt"), response.alias("response"))
+
+        places = F.filter(F.transform(told, lambda m, i: F.when(i % 2 == 0, i)), lambda i: i.isNotNull())
+        return F.transform(places, pair)
 
-    def pair(i):
-        prompt, response = F.get(turns, i), F.get(turns, i + 1)
-        if reasons:
-            bare = ~_has_thought(F.get(messages, i + 1)["content"], name)
-            if thinking:
-                response = F.when(bare, F.concat(F.lit(empty_thought(name)), response)).otherwise(response)
-            else:
-                prompt = F.when(bare, F.concat(prompt, F.lit(empty_thought(name)))).otherwise(prompt)
-        return F.struct(prompt.alias("prompt"), response.alias("response"))
-
-    return F.transform(places, pair)
+    turns = render_turns(messages, system, tpl, tools, name)
+    return let(F.struct(messages.alias("messages"), turns.alias("turns")), pairs)
 
 
 def render_oneturn(messages: Column, system: Column, name: str, tpl, thinking: bool | None = True,
@@ -117,16 +122,18 @@ def render_oneturn(messages: Column, system: Column, name: str, tpl, thinking: b
     if reasons:
         messages = _strip_at(messages, name, lambda i: ((i % 2 == 1) & (i < last - 1)) |
                              ((i == last) & F.lit(thinking is False)))
-    turns = render_turns(messages, system, tpl, tools, name)
-    prompt = F.array_join(F.slice(turns, F.lit(1), F.greatest(last, F.lit(0))), "")
-    response = F.get(turns, last)
-    if reasons:
-        bare = ~_has_thought(F.get(messages, last)["content"], name)
-        if thinking:
-            response = F.when(bare, F.concat(F.lit(empty_thought(name)), response)).otherwise(response)
-        else:
-            prompt = F.when(bare, F.concat(prompt, F.lit(empty_thought(name)))).otherwise(prompt)
-    return F.struct(prompt.alias("prompt"), response.alias("response"))
+    def both(turns):
+        prompt = F.array_join(F.slice(turns, F.lit(1), F.greatest(last, F.lit(0))), "")
+        response = F.get(turns, last)
+        if reasons:
+            bare = ~_has_thought(F.get(messages, last)["content"], name)
+            if thinking:
+                response = F.when(bare, F.concat(F.lit(empty_thought(name)), response)).otherwise(response)
+            else:
+                prompt = F.when(bare, F.concat(prompt, F.lit(empty_thought(name)))).otherwise(prompt)
+        return F.struct(prompt.alias("prompt"), response.alias("response"))
+
+    return let(render_turns(messages, system, tpl, tools, name), both)
 
 
 # ---- messages with typed parts --------------------------------------------------------------------------------------
@@ -207,11 +214,12 @@ def render_v1_tools(messages: Column, tools: Column | None = None, generate: boo
 
 def segments_to_ids(segments: Column, tokenize) -> tuple[Column, Column, Column]:
     """(input ids, labels, loss weights) of rendered segments; positions without weight are masked."""
-    ids = F.flatten(F.transform(segments, lambda s: tokenize(s["text"])))
-    labels = F.flatten(F.transform(segments, lambda s: F.when(s["weight"] > 1e-6, tokenize(s["text"])).otherwise(
-        F.array_repeat(F.lit(-100), F.size(tokenize(s["text"]))))))
-    weights = F.flatten(F.transform(segments, lambda s: F.array_repeat(s["weight"], F.size(tokenize(s["text"])))))
-    return ids, labels, weights
+    def one(s):
+        return let(tokenize(s["text"]), lambda t: F.struct(
+            t.alias("ids"), F.when(s["weight"] > 1e-6, t).otherwise(F.array_repeat(F.lit(-100), F.size(t))).alias("labels"),
+            F.array_repeat(s["weight"], F.size(t)).alias("weights")))
+    cells = F.transform(segments, one)
+    return tuple(F.flatten(cells[name]) for name in ("ids", "labels", "weights"))
 
 
 def join_pair(chosen: Column, rejected: Column) -> tuple[Column, Column]:

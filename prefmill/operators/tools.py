@@ -3,6 +3,7 @@
 from pyspark.sql import Column, functions as F
 
 from prefmill.functions.jsontext import field, is_json, items, quoted, spaced
+from prefmill.functions.numeric import let
 from prefmill.functions.text import strip
 
 CALLS = "array<struct<name:string,arguments:string>>"
@@ -363,17 +364,17 @@ PART_TAGS = r"(?sU)<(thinking|tool_call)>\s*(.*?)\s*</\1>\s*"
 def parse_generated(text: Column) -> Column:
     """Ordered parts (type, value): text between tags, thinking as reasoning, tool_call bodies; ``bad_call`` marks a
     body that is not JSON."""
-    between = F.split(text, PART_TAGS, -1)
-    tags, bodies = _all(text, PART_TAGS, 1), _all(text, PART_TAGS, 2)
-
     def part(kind, value):
         return F.struct(kind.alias("type"), value.alias("value"))
 
-    def at(piece, i):
-        tag, body = F.get(tags, i), strip(F.get(bodies, i))
-        kind = F.when(tag == "thinking", "reasoning").when(is_json(body), "tool_call").otherwise("bad_call")
-        lead = part(F.lit("text"), strip(piece))
-        return F.when(tag.isNull(), F.array(lead)).otherwise(F.array(lead, part(kind, body)))
+    def one(z):
+        def at(piece, i):
+            tag, body = F.get(z["tags"], i), strip(F.get(z["bodies"], i))
+            kind = F.when(tag == "thinking", "reasoning").when(is_json(body), "tool_call").otherwise("bad_call")
+            lead = part(F.lit("text"), strip(piece))
+            return F.when(tag.isNull(), F.array(lead)).otherwise(F.array(lead, part(kind, body)))
+        return F.flatten(F.transform(z["between"], at))
 
-    parts = F.flatten(F.transform(between, at))
+    parts = let(F.struct(F.split(text, PART_TAGS, -1).alias("between"), _all(text, PART_TAGS, 1).alias("tags"),
+                         _all(text, PART_TAGS, 2).alias("bodies")), one)
     return F.filter(parts, lambda p: (p["type"] != "text") | (F.length(p["value"]) > 0))

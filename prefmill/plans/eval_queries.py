@@ -29,13 +29,13 @@ def bleu4(spark, folder):
 
 def _rouge_sql(n):
     def grams(c):
-        words = f"regexp_extract_all({c}, '[^ \\t\\n\\r\\f]+')"
-        return f"list_distinct(list_transform(range(1, greatest(len({words})-{n - 1},0)+1), lambda i: array_to_string({words}[i:i+{n - 1}],' ')))"
+        return f"list_distinct(list_transform(range(1, greatest(len({c})-{n - 1},0)+1), lambda i: array_to_string({c}[i:i+{n - 1}],' ')))"
     return f"""(SELECT id, round(2*(p*q/(p+q+1e-8))*100,4) AS f FROM (SELECT id, len(list_intersect(a,b))/greatest(len(a),1)::DOUBLE AS p,
-      len(list_intersect(a,b))/greatest(len(b),1)::DOUBLE AS q FROM (SELECT id, {grams('predict')} AS a, {grams('label')} AS b FROM preds)))"""
+      len(list_intersect(a,b))/greatest(len(b),1)::DOUBLE AS q FROM (SELECT id, {grams('pw')} AS a, {grams('lw')} AS b FROM wd)))"""
 
 
-_ROUGE = X.PREDS + f", r1 AS {_rouge_sql(1)}, r2 AS {_rouge_sql(2)}"
+_ROUGE = X.PREDS + f""", wd AS MATERIALIZED (SELECT id, regexp_extract_all(predict, '[^ \\t\\n\\r\\f]+') AS pw, regexp_extract_all(label, '[^ \\t\\n\\r\\f]+') AS lw FROM preds),
+r1 AS {_rouge_sql(1)}, r2 AS {_rouge_sql(2)}"""
 
 
 @query("rouge_n", f"WITH {_ROUGE} SELECT id, r1.f AS rouge_1, r2.f AS rouge_2 FROM r1 JOIN r2 USING (id)")

@@ -193,14 +193,14 @@ def trainer_log(spark, folder) -> DataFrame:
     lost = F.col("event_type") == "error"
     return table(spark, folder, "events").select(
         F.col("user_id").alias("run"), F.col("event_id").alias("current_steps"),
-        F.lit(1000000).cast("bigint").alias("total_steps"),
+        F.lit(999983).cast("bigint").alias("total_steps"),
         F.when(~lost, F.col("value")).alias("loss"), F.when(lost, F.col("value")).alias("eval_loss"),
         (F.col("value") / 1000).alias("lr"), (F.col("event_id") / 1000).alias("epoch"),
         (F.col("event_id") * 2.5).alias("elapsed_s"), (F.col("event_id") * 512).alias("total_tokens"))
 
 
 LOG = """log AS (
-  SELECT user_id AS run, event_id AS current_steps, 1000000 AS total_steps,
+  SELECT user_id AS run, event_id AS current_steps, 999983 AS total_steps,
          CASE WHEN event_type<>'error' THEN value END AS loss, CASE WHEN event_type='error' THEN value END AS eval_loss,
          value/1000 AS lr, event_id/1000 AS epoch, event_id*2.5::DOUBLE AS elapsed_s, event_id*512 AS total_tokens
   FROM events)"""
