@@ -4,6 +4,8 @@ Tokens are runs of non-blank characters (BLEU: characters). ROUGE-N compares set
 token subsequence. BLEU-4 replaces the k-th empty precision by 1 / (2^k * its denominator).
 """
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -16,41 +18,43 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"[^ \t\n\r\f]+"), F.lit(0))
 
 
-def bleu4(df: DataFrame, key: str, predict: str = "predict", label: str = "label") -> DataFrame:
-    """key, bleu4 in percent, four decimals.
-
-    Rows are placed by key first; the n-grams are then exploded, counted and clipped on that placement, so only the
-    texts are shuffled, never the n-grams.
-    """
-    placed = df.select(key, F.col(predict).alias("_p"), F.col(label).alias("_l")).repartition(key)
-    sides = F.array(F.struct(F.col("_p").alias("text"), F.lit(1).alias("mine")), F.struct(F.col("_l").alias("text"), F.lit(0).alias("mine")))
-    spread = placed.select(key, F.explode(sides).alias("s")).select(key, "s.*", F.explode(F.array(*[F.lit(n) for n in (1, 2, 3, 4)])).alias("n"))
-    spread = spread.filter(F.length("text") >= F.col("n")).select(
-        key, "mine", "n", "text", F.explode(F.sequence(F.lit(1), F.length("text") - F.col("n") + 1)).alias("_at"))
-    grams = spread.groupBy(key, "n", F.substring("text", F.col("_at"), F.col("n")).alias("gram")).agg(
-        F.sum("mine").alias("h"), F.sum(1 - F.col("mine")).alias("r"))
-    hit = F.least("h", "r")
-    per = grams.groupBy(key).agg(*[F.sum(F.when(F.col("n") == n, hit)).alias(f"hit{n}") for n in (1, 2, 3, 4)],
-                                 *[F.sum(F.when(F.col("n") == n, F.col("h"))).alias(f"all{n}") for n in (1, 2, 3, 4)])
-    joined = placed.select(key, F.length("_p").alias("hl"), F.length("_l").alias("rl")).join(per, key, "left")
-    logs, misses = F.lit(0.0), F.lit(0)
+def matches(predict: str, label: str) -> list[int]:
+    """Clipped and total character n-gram counts of the prediction for n = 1..4 (clipped1, total1, clipped2, ...), then
+    the lengths of both texts."""
+    out = []
     for n in (1, 2, 3, 4):
-        hits = F.coalesce(F.col(f"hit{n}"), F.lit(0))
-        size = F.greatest(F.coalesce(F.col(f"all{n}"), F.lit(0)), F.lit(1))
-        misses = misses + F.when(hits == 0, 1).otherwise(0)
-        logs = logs + 0.25 * F.log(F.when(hits == 0, 1 / (F.pow(F.lit(2.0), misses) * size)).otherwise(hits / size))
-    brevity = F.when(F.col("hl") > F.col("rl"), 1.0).otherwise(F.exp(1 - F.col("rl") / F.greatest(F.col("hl"), F.lit(1))))
-    score = F.when((F.col("hl") == 0) | (F.coalesce(F.col("hit1"), F.lit(0)) == 0), 0.0).otherwise(brevity * F.exp(logs))
-    return joined.select(key, F.round(score * 100, 4).alias("bleu4"))
-
-
-def _grams(words: Column, n: int) -> Column:
-    """Distinct n-grams; the words of positions i..i+n-1 are joined by aligning n shifted copies of the word list."""
-    count = F.greatest(F.size(words) - n + 1, F.lit(0))
-    grams = F.slice(words, F.lit(1), count)
+        mine = Counter(predict[i:i + n] for i in range(len(predict) - n + 1))
+        other = Counter(label[i:i + n] for i in range(len(label) - n + 1))
+        out += [(mine & other).total(), mine.total()]
+    return [*out, len(predict), len(label)]
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _matches(predict: pd.Series, label: pd.Series) -> pd.Series:
+    return pd.Series([matches(p, t) for p, t in zip(predict, label)])
+
+
+def bleu4(predict: Column, label: Column) -> Column:
+    """Sentence BLEU-4 in percent, four decimals. A row is scored where it lies; nothing is shuffled."""
+    def score(c):
+        logs, misses = F.lit(0.0), F.lit(0)
+        for n in range(4):
+            hits, size = c[2 * n], F.greatest(c[2 * n + 1], F.lit(1))
+            misses = misses + F.when(hits == 0, 1).otherwise(0)
+            logs = logs + 0.25 * F.log(F.when(hits == 0, 1 / (F.pow(F.lit(2.0), misses) * size)).otherwise(hits / size))
+        mine, other = c[8], c[9]
+        brevity = F.when(mine > other, 1.0).otherwise(F.exp(1 - other / F.greatest(mine, F.lit(1))))
+        return F.when((mine == 0) | (c[0] == 0), 0.0).otherwise(brevity * F.exp(logs))
+    return F.round(let(_matches(predict, label), score) * 100, 4)
+
+
+def _runs(items: Column, n: int) -> Column:
+    """Runs of n neighbours joined by blanks, by aligning n shifted copies of the list."""
+    count = F.greatest(F.size(items) - n + 1, F.lit(0))
+    out = F.slice(items, F.lit(1), count)
     for k in range(1, n):
-        grams = F.zip_with(grams, F.slice(words, F.lit(k + 1), count), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.array_distinct(grams)
+        out = F.zip_with(out, F.slice(items, F.lit(k + 1), count), lambda a, b: F.concat(a, F.lit(" "), b))
+    return out
 
 
 def _f(hits: Column, predicted: Column, wanted: Column) -> Column:
@@ -63,7 +67,7 @@ def rouge_n(predict: Column, label: Column, n: int) -> Column:
     def score(z):
         return _f(F.size(F.array_intersect(z["a"], z["b"])), F.size(z["a"]), F.size(z["b"]))
     words = F.struct(tokens(predict).alias("a"), tokens(label).alias("b"))
-    return let(words, lambda w: let(F.struct(_grams(w["a"], n).alias("a"), _grams(w["b"], n).alias("b")), score))
+    return let(words, lambda w: let(F.struct(F.array_distinct(_runs(w["a"], n)).alias("a"), F.array_distinct(_runs(w["b"], n)).alias("b")), score))
 
 
 def common_length(a: list, b: list) -> int:

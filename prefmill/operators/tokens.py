@@ -3,12 +3,14 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from prefmill.operators.rowindex import ordered_index
+from prefmill.session import width
 
 PAD, BOS, EOS, UNK = 0, 1, 2, 3
 SPECIALS = ["<pad>", "<s>", "</s>", "<unk>"]
 SHIFT = 8  # ids below are kept for specials
 WORDS = r"[\p{L}\p{N}]+|[^\p{L}\p{N} \t\n\r\f]"
-HOT = 65536  # ids below this bound are the only vocabulary rows that are ever broadcast
+HOT = 1 << 20  # at most this many of the most frequent tokens are broadcast,
+HOT_CHARS = 64  # and of a larger vocabulary only tokens up to this length, which bounds the bytes
 
 
 def char_ids(text: Column) -> Column:
@@ -23,8 +25,9 @@ def words(text: Column) -> Column:
 def vocab_build(df: DataFrame, text: str = "text") -> DataFrame:
     """token, n, id: specials first, then by falling count and token."""
     counted = df.select(F.explode(words(F.col(text))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    counted = counted.filter(~F.col("token").isin(*SPECIALS)).withColumn("_falling", -F.col("n"))
-    ranked = ordered_index(counted, ["_falling", "token"], name="id").select("token", "n", (F.col("id") + len(SPECIALS)).alias("id"))
+    keys = counted.filter(~F.col("token").isin(*SPECIALS)).select((-F.col("n")).alias("_falling"), "token")
+    ranked = ordered_index(keys, ["_falling", "token"], name="id").select(
+        "token", (-F.col("_falling")).alias("n"), (F.col("id") + len(SPECIALS)).alias("id"))
     special = df.sparkSession.createDataFrame([(t, 0, i) for i, t in enumerate(SPECIALS)], "token string, n long, id long")
     return special.unionByName(ranked)
 
@@ -32,18 +35,19 @@ def vocab_build(df: DataFrame, text: str = "text") -> DataFrame:
 def encode_tokens(df: DataFrame, vocab: DataFrame, key: str, text: str = "text") -> DataFrame:
     """key, input_ids in text order.
 
-    Texts are placed by key before they are exploded, so regrouping needs no second shuffle. Frequent tokens (ids below
-    a fixed bound) are joined by broadcast; only rarer tokens, none of which can be hot, are joined by shuffle.
+    Texts are placed by key before they are exploded, so regrouping needs no second shuffle. Frequent short tokens are
+    joined by broadcast; the rest, none of which can be hot, by shuffle.
     """
-    spread = df.select(key, text).repartition(key).select(key, F.posexplode(words(F.col(text))).alias("pos", "token"))
+    spread = df.select(key, text).repartition(width(df.sparkSession), key).select(key, F.posexplode(words(F.col(text))).alias("pos", "token"))
     ids = vocab.select("token", "id")
-    if vocab.count() <= HOT:
+    size = ids.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.length("token")), F.lit(0)).alias("longest")).first()
+    if size["n"] <= HOT and size["longest"] <= HOT_CHARS:
         coded = spread.join(F.broadcast(ids), "token", "left")
     else:
-        hot, rare = ids.filter(F.col("id") < HOT), ids.filter(F.col("id") >= HOT)
-        marked = spread.join(F.broadcast(hot), "token", "left")
+        hot = (F.col("id") < HOT) & (F.length("token") <= HOT_CHARS)
+        marked = spread.join(F.broadcast(ids.filter(hot)), "token", "left")
         known = marked.filter(F.col("id").isNotNull())
-        rest = marked.filter(F.col("id").isNull()).drop("id").join(rare, "token", "left")
+        rest = marked.filter(F.col("id").isNull()).drop("id").join(ids.filter(~hot), "token", "left")
         coded = known.unionByName(rest)
     packed = coded.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(UNK)).alias("id")))).alias("_t"))
     return packed.select(key, F.transform("_t", lambda t: t["id"].cast("int")).alias("input_ids"))

@@ -1,6 +1,6 @@
 """Tool catalogues, tool calls as text, and extraction of calls from generated text, per call syntax."""
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, Window, functions as F
 
 from prefmill.functions.jsontext import field, is_json, items, quoted, spaced
 from prefmill.functions.numeric import let
@@ -327,33 +327,35 @@ def extract_calls(text: Column, fmt: str = "default") -> Column:
 
 def calls_of(text: str, fmt: str | Column) -> Column:
     """Calls of each text; ``fmt`` is a syntax name or a column of names."""
-    if isinstance(fmt, str):
-        return extract_calls(F.col(text), fmt)
-    calls = F.lit(None).cast(CALLS)
-    for name in FORMATS:
-        if name != "lfm2":
-            calls = F.when(fmt == name, extract_calls(F.col(text), name)).otherwise(calls)
-    return calls
+    def choose(t):
+        if isinstance(fmt, str):
+            return extract_calls(t, fmt)
+        calls = F.lit(None).cast(CALLS)
+        for name in FORMATS:
+            if name != "lfm2":
+                calls = F.when(fmt == name, extract_calls(t, name)).otherwise(calls)
+        return calls
+    return let(F.col(text), choose)
 
 
 def calls_table(df, text: str, fmt: str | Column, keep: list[str]):
-    """(calls: keep..., call_idx, name, arguments; rejects: keep..., text)."""
-    marked = df.withColumn("_calls", calls_of(text, fmt))
-    found = marked.select(*keep, F.posexplode("_calls").alias("call_idx", "_call"))
-    rejects = marked.filter(F.coalesce(F.size("_calls"), F.lit(0)) <= 0).select(*keep, text)
+    """(calls: keep..., call_idx, name, arguments; rejects: keep..., text). The calls are exploded as an expression:
+    exploding a computed column would make the optimizer compute it again in a filter on its size."""
+    found = df.select(*keep, F.posexplode(calls_of(text, fmt)).alias("call_idx", "_call"))
+    rejects = df.filter(F.coalesce(F.size(calls_of(text, fmt)), F.lit(0)) <= 0).select(*keep, text)
     return found.select(*keep, "call_idx", "_call.name", "_call.arguments"), rejects
 
 
 def usage_stats(df, text: str, fmt, by: list[str]):
-    """Per group: name, calls, texts, failed, failure_rate. Texts are read once; a text without a well-formed call is
-    the row without a name."""
+    """Per group and function name: calls, and the group's texts, failed texts and failure_rate. Texts without a
+    well-formed call form the row without a name. Texts are read once; the group totals come from the counted rows."""
     spread = df.select(*by, F.posexplode_outer(calls_of(text, fmt)).alias("_i", "_call"))
     per = spread.groupBy(*by, F.col("_call.name").alias("name")).agg(
         F.count(F.lit(1)).alias("calls"), F.sum(F.when(F.coalesce("_i", F.lit(0)) == 0, 1).otherwise(0)).alias("_texts"))
-    total = per.groupBy(*by).agg(F.sum("_texts").alias("texts"),
-                                 F.coalesce(F.sum(F.when(F.col("name").isNull(), F.col("calls"))), F.lit(0)).alias("failed"))
-    rates = total.withColumn("failure_rate", F.col("failed") / F.col("texts"))
-    return per.filter(F.col("name").isNotNull()).select(*by, "name", "calls"), rates
+    group = Window.partitionBy(*by)
+    failed = F.coalesce(F.sum(F.when(F.col("name").isNull(), F.col("calls"))).over(group), F.lit(0))
+    out = per.withColumn("texts", F.sum("_texts").over(group)).withColumn("failed", failed).drop("_texts")
+    return out.withColumn("failure_rate", F.col("failed") / F.col("texts"))
 
 
 # ---- parts of generated text ----------------------------------------------------------------------------------------

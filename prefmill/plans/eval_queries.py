@@ -24,7 +24,7 @@ bleu AS (SELECT id, CASE WHEN length(predict)=0 OR h1=0 THEN 0.0 ELSE round(100*
 
 @query("bleu4", f"WITH {_BLEU} SELECT id, bleu4 FROM bleu")
 def bleu4(spark, folder):
-    return N.bleu4(X.predictions(spark, folder), "id")
+    return X.predictions(spark, folder).select("id", N.bleu4(F.col("predict"), F.col("label")).alias("bleu4"))
 
 
 def _rouge_sql(n):
@@ -53,7 +53,8 @@ def rouge_l(spark, folder):
   round(count(*)/131.664,3) AS predict_samples_per_second, round(10/131.664,3) AS predict_steps_per_second FROM bleu JOIN r1 USING (id)""")
 def metric_means(spark, folder):
     rows = X.predictions(spark, folder)
-    both = N.bleu4(rows, "id").join(rows.select("id", N.rouge_n(F.col("predict"), F.col("label"), 1).alias("rouge_1")), "id")
+    p, t = F.col("predict"), F.col("label")
+    both = rows.select(N.bleu4(p, t).alias("bleu4"), N.rouge_n(p, t, 1).alias("rouge_1"))
     out = N.metric_means(both, ["bleu4", "rouge_1"], 131.664, 10)
     return out.withColumn("predict_bleu4", r6(F.col("predict_bleu4"))).withColumn("predict_rouge_1", r6(F.col("predict_rouge_1")))
 

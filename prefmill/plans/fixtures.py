@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from prefmill.functions.hashing import hash32
 from prefmill.operators.align import align_sharegpt, group_turns
 from prefmill.plans.base import h
+from prefmill.session import spread
 from prefmill.sources.registry import DatasetSpec
 
 LANGS = ["en", "fr", "de", "es"]
@@ -13,7 +14,7 @@ TOOLS_JSON = ('[{"name": "lookup", "description": "find a value", "parameters":
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(spark.read.parquet(f"{folder}/{name}.parquet"))
 
 
 def tag(prefix: str, *cols) -> "F.Column":

@@ -314,9 +314,9 @@ def tool_call_extract(spark, folder):
 SELECT fmt, count(*)::BIGINT AS texts, (count(*)-max(ok))::BIGINT AS failed, round((count(*)-max(ok))/count(*)::DOUBLE,6) AS failure_rate,
        max(ok)::BIGINT AS lookup_calls, max(twos)::BIGINT AS scan_calls FROM live JOIN good USING (fmt) GROUP BY fmt""")
 def tool_usage_stats(spark, folder):
-    per, rate = T.usage_stats(damaged(spark, folder), "text", F.col("fmt"), ["fmt"])
-    wide = per.groupBy("fmt").agg(*[F.coalesce(F.sum(F.when(F.col("name").startswith(n), F.col("calls"))), F.lit(0)).alias(f"{n}_calls") for n in ("lookup", "scan")])
-    return rate.join(wide, "fmt").select("fmt", "texts", "failed", F.round("failure_rate", 6).alias("failure_rate"), "lookup_calls", "scan_calls")
+    out = T.usage_stats(damaged(spark, folder), "text", F.col("fmt"), ["fmt"])
+    calls = [F.coalesce(F.sum(F.when(F.col("name").startswith(n), F.col("calls"))), F.lit(0)).alias(f"{n}_calls") for n in ("lookup", "scan")]
+    return out.groupBy("fmt", "texts", "failed", F.round("failure_rate", 6).alias("failure_rate")).agg(*calls)
 
 
 def exam(spark, folder):

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Rows here are often small and costly to compute, so coalescing may keep small partitions while cores are free.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64kb",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
@@ -50,3 +52,15 @@ def settled(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: fixes partition ids and nondeterministic columns and cuts the lineage."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan that comes in fewer partitions than there are cores one partition per core; a larger scan stays as
+    it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def width(spark: SparkSession) -> int:
+    """Partitions of a shuffle whose number AQE must keep because the work grows after it."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -5,7 +5,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from prefmill.functions.hashing import keyed
 from prefmill.operators.rowindex import ordered_index, shuffled_index
-from prefmill.operators.series import decayed
 from prefmill.session import scratch_path
 
 BUFFER = 16384  # fixed value: rows of a shuffle buffer
@@ -93,8 +92,9 @@ def hash_split(stream: DataFrame, key: str, share: float, seed=0) -> DataFrame:
 
 
 def stream_log_monitor(stream: DataFrame, path: str, checkpoint: str, decay: float = 0.9) -> DataFrame:
-    """Per run: the newest log row and a decayed loss. Micro-batch rows are folded in parallel blocks and merged with one
-    state row per run, so a run with most of the rows is no bottleneck."""
+    """Per run: the newest log row and a decayed loss, s = decay * s + (1 - decay) * loss, starting at the first loss.
+    The end value of a micro-batch is a weighted sum, so a run with most of the rows is summed in parallel and merged
+    with its one state row."""
     out = Versions(path)
     fields = ["current_steps", "total_steps", "lr", "total_tokens"]
 
@@ -103,12 +103,17 @@ def stream_log_monitor(stream: DataFrame, path: str, checkpoint: str, decay: flo
         state = out.before(spark, batch)
         rows = df.groupBy("run").agg(F.max_by(F.struct(*fields), "current_steps").alias("_last"))
         losses = df.filter("loss IS NOT NULL").select("run", "current_steps", "loss")
-        numbered = ordered_index(losses.select("run", "current_steps"), ["current_steps"], group=["run"], name="_i").join(losses, ["run", "current_steps"])
-        first = numbered.filter("_i = 0").select("run", F.col("loss").alias("_x0"))
-        if state is not None:
-            first = first.join(state.select("run", "smoothed"), "run", "left").select("run", F.coalesce("smoothed", "_x0").alias("_x0"))
-        folded = decayed(numbered.join(first, "run"), ["run"], "_i", "loss", F.lit(decay), F.col("_x0"), "smoothed", decay)
-        ends = folded.groupBy("run").agg(F.max_by("smoothed", "_i").alias("smoothed"), F.max_by("loss", "_i").alias("loss"))
+        numbered = ordered_index(losses.select("run", "current_steps"), ["current_steps"], group=["run"], name="_i", total="_n")
+        weight = F.pow(F.lit(decay), F.col("_n") - 1 - F.col("_i")) * (1 - decay)
+        ends = numbered.join(losses, ["run", "current_steps"]).groupBy("run").agg(
+            F.sum(weight * F.col("loss")).alias("_sum"), F.max("_n").alias("_n"), F.min_by("loss", "_i").alias("_x0"),
+            F.max_by("loss", "_i").alias("loss"))
+        if state is None:
+            start = F.col("_x0")
+        else:
+            ends = ends.join(state.select("run", F.col("smoothed").alias("_before")), "run", "left")
+            start = F.coalesce("_before", "_x0")
+        ends = ends.select("run", "loss", (F.pow(F.lit(decay), F.col("_n")) * start + F.col("_sum")).alias("smoothed"))
         new = rows.join(ends, "run", "left").select("run", "_last.*", "loss", "smoothed")
         if state is not None:
             names = [*fields, "loss", "smoothed"]
@@ -151,37 +156,35 @@ def stream_batcher(stream: DataFrame, key: str, shard: str, size: int, path: str
                    max_tokens: int = 1_000_000_000) -> DataFrame:
     """Full batches of ``size`` rows per shard, in stream order: shard, batch, slot and the row. Rows that do not fill a
     batch wait in a buffer table for the next micro-batch and are dropped at the end of the stream."""
-    out, waiting, counts = Versions(f"{path}/out"), Versions(f"{path}/waiting"), Versions(f"{path}/counts")
+    rows_at, counts = Versions(f"{path}/rows"), Versions(f"{path}/counts")
 
     def one(df: DataFrame, batch: int) -> None:
         spark = df.sparkSession
         rows = ordered_index(df.select(shard, key), [key], group=[shard], name="_i").join(df, [shard, key])
         seen = counts.before(spark, batch)
-        if seen is None:
-            rows = rows.withColumn("_seq", F.col("_i"))
-        else:
-            rows = rows.join(seen, shard, "left").withColumn("_seq", F.col("_i") + F.coalesce("_seen", F.lit(0))).drop("_seen")
-        rows = rows.drop("_i")
-        held = waiting.before(spark, batch)
+        before = F.lit(0)
+        if seen is not None:
+            rows, before = rows.join(seen, shard, "left"), F.coalesce("_seen", F.lit(0))
+        rows = rows.withColumn("_seq", F.col("_i") + before).drop("_i", "_seen")
+        held = rows_at.before(spark, batch)
         if held is not None:
-            rows = rows.unionByName(held)
+            rows = rows.unionByName(held.filter("not _ready").select(rows.columns))
         fresh = rows.groupBy(shard).agg((F.max("_seq") + 1).alias("_seen"))
         if seen is not None:
             fresh = fresh.unionByName(seen).groupBy(shard).agg(F.max("_seen").alias("_seen"))
         counts.write(fresh, batch)
         full = F.floor(F.col("_seen") / size) * size
         placed = rows.join(counts.latest(spark), shard)
-        out.write(placed.filter(F.col("_seq") < full).withColumn("batch", F.floor(F.col("_seq") / size)).withColumn(
-            "slot", F.col("_seq") % size).drop("_seq", "_seen"), batch)
-        rest = placed.filter(F.col("_seq") >= full).drop("_seen")
-        waiting.write(rest, batch)
+        rows_at.write(placed.withColumn("_ready", F.col("_seq") < full).drop("_seen"), batch)
         if tokens:
-            held_tokens = waiting.latest(spark).agg(F.coalesce(F.sum(tokens), F.lit(0)).alias("t")).first()["t"]
-            if held_tokens > max_tokens:
-                raise ValueError(f"buffer holds {held_tokens} tokens, more than {max_tokens}")
+            waiting = rows_at.latest(spark).filter("not _ready")
+            buffered = waiting.agg(F.coalesce(F.sum(tokens), F.lit(0)).alias("t")).first()["t"]
+            if buffered > max_tokens:
+                raise ValueError(f"buffer holds {buffered} tokens, more than {max_tokens}")
 
     each_batch(stream, one, checkpoint)
-    return out.all(stream.sparkSession)
+    done = rows_at.all(stream.sparkSession).filter("_ready")
+    return done.withColumn("batch", F.floor(F.col("_seq") / size)).withColumn("slot", F.col("_seq") % size).drop("_seq", "_ready", "v")
 
 
 def folders(spark: SparkSession, name: str) -> tuple[str, str]:
