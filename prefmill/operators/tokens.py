@@ -39,15 +39,16 @@ def encode_tokens(df: DataFrame, vocab: DataFrame, key: str, text: str = "text")
     joined by broadcast; the rest, none of which can be hot, by shuffle.
     """
     spread = df.select(key, text).repartition(width(df.sparkSession), key).select(key, F.posexplode(words(F.col(text))).alias("pos", "token"))
-    ids = vocab.select("token", "id")
+    ids = vocab.select("token", F.col("id").alias("_id"))
     size = ids.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.length("token")), F.lit(0)).alias("longest")).first()
     if size["n"] <= HOT and size["longest"] <= HOT_CHARS:
         coded = spread.join(F.broadcast(ids), "token", "left")
     else:
-        hot = (F.col("id") < HOT) & (F.length("token") <= HOT_CHARS)
+        hot = (F.col("_id") < HOT) & (F.length("token") <= HOT_CHARS)
         marked = spread.join(F.broadcast(ids.filter(hot)), "token", "left")
-        known = marked.filter(F.col("id").isNotNull())
-        rest = marked.filter(F.col("id").isNull()).drop("id").join(ids.filter(~hot), "token", "left")
+        known = marked.filter(F.col("_id").isNotNull())
+        rest = marked.filter(F.col("_id").isNull()).drop("_id").join(ids.filter(~hot), "token", "left")
         coded = known.unionByName(rest)
-    packed = coded.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(UNK)).alias("id")))).alias("_t"))
+    cell = F.struct("pos", F.coalesce("_id", F.lit(UNK)).alias("id"))
+    packed = coded.groupBy(key).agg(F.array_sort(F.collect_list(cell)).alias("_t"))
     return packed.select(key, F.transform("_t", lambda t: t["id"].cast("int")).alias("input_ids"))

@@ -79,20 +79,19 @@ def nullspace_basis(spark, folder):
     return basis.select("vec_no", r6(S.dot(F.col("vec"), F.col("vec"))).alias("norm"), F.size("vec").cast("bigint").alias("dim"))
 
 
-def cosines(spark, modules, dim=DIM, first=FIRST):
+def cosines(modules, dim=DIM, first=FIRST):
     """The upper cosine vectors as an orthonormal basis, for each module in the table."""
-    span = spark.range(first, dim).select((F.col("id") - first).alias("vec_no"), F.col("id").alias("k"))
+    span = modules.withColumn("k", F.explode(F.sequence(F.lit(first), F.lit(dim - 1))))
     scale = math.sqrt(2.0 / dim)
     vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda j: scale * F.cos(math.pi * (j + 0.5) * F.col("k") / dim))
-    flat = span.select(F.collect_list(F.struct("vec_no", vec.alias("vec"))).alias("b"))
-    return modules.join(F.broadcast(flat)).select("module", F.inline("b"))
+    return span.select("module", (F.col("k") - first).cast("bigint").alias("vec_no"), vec.alias("vec"))
 
 
 def bases(spark, folder):
     """Layers 0..7 have a basis of their dimension, layer 8 one of another dimension, layer 9 none."""
     modules = vectors(spark, folder).select("module").distinct()
-    fit = cosines(spark, modules.filter(~F.col("module").isin("layer.8", "layer.9")))
-    return fit.unionByName(cosines(spark, modules.filter("module = 'layer.8'"), 32, 6))
+    fit = cosines(modules.filter(~F.col("module").isin("layer.8", "layer.9")))
+    return fit.unionByName(cosines(modules.filter("module = 'layer.8'"), 32, 6))
 
 
 _BASIS = "u AS (SELECT k, list_transform(range(64), lambda j: sqrt(2.0/64)*cos(pi()*(j+0.5)*k/64)) AS u FROM range(13,64) t(k))"
