@@ -7,6 +7,7 @@ from prefmill.operators.align import message
 from prefmill.operators.rowindex import shuffled_index
 
 CHOICES = ("A", "B", "C", "D")
+PER_COPY = 10_000  # questions that one copy of a support row serves
 # Fixed values: (header, choice line, answer marker) per language.
 LAYOUTS = {
     "en": ("The following are multiple choice questions (with answers) about {subject}.\n\n", "\n{choice}. {content}",
@@ -27,15 +28,24 @@ def question_text(row, lang: str = "en") -> Column:
 
 def mcq_prompt(questions: DataFrame, support: DataFrame, shots: int, lang: str = "en", seed=0) -> DataFrame:
     """qid, subject, messages. Each question takes ``shots`` consecutive rows, from a hashed start, of its subject's
-    support rows in hashed order: distinct rows without listing a subject's rows anywhere."""
+    support rows in hashed order: distinct rows without listing a subject's rows anywhere.
+
+    A subject with few support rows and many questions would make each support row a hot join key. Such rows are copied
+    so that a copy serves about PER_COPY questions; the copies follow from the counts per subject.
+    """
     indexed = shuffled_index(support.select("subject", F.col("qid").alias("sid"), "question", *CHOICES, "answer"), ["sid"], seed,
                              group=["subject"], name="at", total="of")
-    sizes = support.groupBy("subject").agg(F.count(F.lit(1)).alias("of"))
+    uses = F.ceil(F.col("asked") * F.least(F.lit(shots).cast("bigint"), F.col("of")) / F.col("of") / PER_COPY)
+    sizes = support.groupBy("subject").agg(F.count(F.lit(1)).alias("of")).join(
+        questions.groupBy("subject").agg(F.count(F.lit(1)).alias("asked")), "subject").select("subject", "of", uses.alias("copies"))
     picks = (questions.select("qid", "subject").join(sizes, "subject")
              .withColumn("shot", F.explode(F.sequence(F.lit(0), F.least(F.lit(shots).cast("bigint"), F.col("of")) - 1)))
-             .withColumn("at", (keyed(seed, "qid") + F.col("shot")) % F.col("of")).drop("of"))
+             .withColumn("at", (keyed(seed, "qid") + F.col("shot")) % F.col("of"))
+             .withColumn("copy", keyed("copy", "qid") % F.col("copies")).drop("of", "copies"))
+    shelf = indexed.drop("of").join(sizes.select("subject", "copies"), "subject").withColumn(
+        "copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1))).drop("copies")
     asked = message("user", question_text(F.col, lang))
-    shown = picks.join(indexed.drop("of"), ["subject", "at"]).select("qid", "shot", F.array(
+    shown = picks.join(shelf, ["subject", "at", "copy"]).select("qid", "shot", F.array(
         asked, message("assistant", F.col("answer"))).alias("_m"))
     shots_of = shown.groupBy("qid").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("shot", "_m"))),
                                                               lambda s: s["_m"])).alias("_shots"))

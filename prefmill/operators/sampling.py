@@ -6,6 +6,9 @@ from prefmill.functions.hashing import keyed
 from prefmill.operators.rowindex import ordered_index, shuffled_index
 
 
+TOP_ROWS = 10_000
+
+
 def draws(spark, count: int, size: int, seed, start: int = 0) -> DataFrame:
     """draw, idx: ``count`` draws with replacement of positions 0..size-1."""
     return spark.range(start, start + count).select(
@@ -24,9 +27,17 @@ def sample_num(df: DataFrame, key: str, target: int, seed=0, size: int | None =
     return first.join(df, key)
 
 
+def first_n(df: DataFrame, key: str, count: int) -> DataFrame:
+    """The first ``count`` rows by key. A few rows are a top-k; many rows are cut by position, as a large limit would
+    gather them in one task."""
+    if count <= TOP_ROWS:
+        return df.orderBy(key).limit(count)
+    return ordered_index(df.select(key), [key]).filter(F.col("idx") < count).drop("idx").join(df, key)
+
+
 def sample_max(df: DataFrame, key: str, limit: int) -> DataFrame:
     """The first ``limit`` rows by key, or all of them."""
-    return df.orderBy(key).limit(limit)
+    return first_n(df, key, limit)
 
 
 def sample_weighted(df: DataFrame, key: str, size: int | None, weight: float | None, seed=0) -> DataFrame:
@@ -80,10 +91,6 @@ def contiguous_shards(df: DataFrame, key: str, world: int) -> DataFrame:
     return indexed.withColumn("shard", F.floor(F.col("idx") / width).cast("int")).drop("_total").join(df, key)
 
 
-def first_n(df: DataFrame, key: str, count: int) -> DataFrame:
-    return df.orderBy(key).limit(count)
-
-
 def skip_n(df: DataFrame, key: str, count: int) -> DataFrame:
     """All rows but the first ``count`` by key."""
     return ordered_index(df.select(key), [key]).filter(F.col("idx") >= count).drop("idx").join(df, key)

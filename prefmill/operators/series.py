@@ -26,19 +26,23 @@ def running_sums(df: DataFrame, group: list[str], index: str, columns: list[str]
     return out.select(*df.columns, *[(F.col(f"_{c}_run") + F.col(f"_{c}_before")).alias(f"{c}_sum") for c in columns])
 
 
-def decayed(df: DataFrame, group: list[str], index: str, value: str, decay: Column, start: Column, name: str,
+def decayed(df: DataFrame, group: list[str], index: str, value: str, decay: Column, start: Column | None, name: str,
             max_decay: float = 0.9) -> DataFrame:
-    """Adds s_i = decay * s_(i-1) + (1 - decay) * x_i, with ``start`` before position 0.
+    """Adds s_i = decay * s_(i-1) + (1 - decay) * x_i, with ``start`` (or else the first value) before position 0.
 
     Rows are folded in blocks so long that decay ** length is below 1e-18: the state at the end of a block is then, to
     double precision, the block's own fold from the block before it. ``decay`` must not exceed ``max_decay``.
     """
     length = max(512, math.ceil(41.5 / -math.log(max_decay)))
-    rows = df.withColumn("_block", F.floor(F.col(index) / length)).withColumn("_decay", decay).withColumn("_start", start)
+    rows = df.withColumn("_block", F.floor(F.col(index) / length)).withColumn("_decay", decay)
+    if start is not None:
+        rows = rows.withColumn("_start", start)
     keys = [*group, "_block"]
     others = [c for c in df.columns if c not in group]
     folded = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(index, value, *[c for c in others if c not in (index, value)]))).alias("_rows"),
-                                     F.max("_decay").alias("_decay"), F.max("_start").alias("_start"))
+                                     F.max("_decay").alias("_decay"), *([F.max("_start").alias("_start")] if start is not None else []))
+    if start is None:
+        folded = folded.withColumn("_start", F.col("_rows")[0][value])
 
     def step(s, r):
         return s * F.col("_decay") + r[value] * (1 - F.col("_decay"))
@@ -61,10 +65,8 @@ def decayed(df: DataFrame, group: list[str], index: str, value: str, decay: Colu
 def ema_smooth(df: DataFrame, group: list[str], order: str, value: str) -> DataFrame:
     """group..., order, value, smoothed. The weight grows with the length n of the series: 1.8 * (sigmoid(n/20) - 1/2)."""
     rows = ordered_index(df.select(*group, order), [order], group=group, name="_i", total="_n").join(df.select(*group, order, value), [*group, order])
-    first = rows.filter("_i = 0").select(*group, F.col(value).alias("_x0"))
-    rows = rows.join(first, group)
     weight = 1.8 * (1 / (1 + F.exp(-0.05 * F.col("_n"))) - 0.5)
-    out = decayed(rows, group, "_i", value, weight, F.col("_x0"), "smoothed")
+    out = decayed(rows, group, "_i", value, weight, None, "smoothed")
     return out.select(*group, order, value, "smoothed")
 
 
@@ -86,8 +88,9 @@ def batch_moments(df: DataFrame, group: list[str], order: str, value: str, batch
 def running_moments(batches: DataFrame, group: list[str]) -> DataFrame:
     """Running mean, var and count after each batch, merging (n, mean, var) in order: the closed form of the pairwise
     update, in which each batch brings its own n-1 variance times n."""
-    whole = Window.partitionBy(*group)
-    rows = batches.withColumn("_c", F.avg("mean").over(whole) if group else F.lit(0.0))
+    rows = batches.withColumn("_c", F.lit(0.0))
+    if group:
+        rows = batches.join(batches.groupBy(*group).agg(F.avg("mean").alias("_c")), group)
     m = F.col("mean") - F.col("_c")
     rows = rows.select("*", F.col("n").cast("double").alias("_n"), (F.col("n") * m).alias("_a"),
                        (F.col("n") * m * m + F.col("n") * F.col("var")).alias("_q"))

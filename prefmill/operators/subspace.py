@@ -6,6 +6,7 @@ summed per partition first; only the d x d eigen problem of a module meets in on
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from prefmill.functions.numeric import dot, let
@@ -13,6 +14,7 @@ from prefmill.functions.numeric import dot, let
 KEPT_SHARE = 0.80  # fixed value: share of the smallest singular directions that form the basis
 FLOAT32_EPS = 2.0 ** -23
 BLOCK_ROWS = 1024
+TREE_WIDTH = 256
 BROADCAST_BYTES = 64 << 20
 VEC = "array<double>"
 
@@ -59,17 +61,18 @@ def gram(vectors: DataFrame) -> DataFrame:
     """module, row, vec: rows of the sum of v v^T, with n = number of vectors. Each partition adds up its own vectors and
     hands over one matrix per module; matrices are then added row by row."""
     kind = dict(vectors.dtypes)["module"]
-    schema = f"module {kind}, row bigint, vec {VEC}, n bigint"
+    schema = f"module {kind}, row bigint, vec {VEC}, n bigint, part int"
 
     def partial(batches):
         current, total, count = None, None, 0
+        part = TaskContext.get().partitionId() % TREE_WIDTH
 
         def out():
-            return pd.DataFrame({"module": current, "row": np.arange(len(total)), "vec": list(total), "n": count})
+            return pd.DataFrame({"module": current, "row": np.arange(len(total)), "vec": list(total), "n": count, "part": part})
 
         for pdf in batches:
-            for module, part in pdf.groupby("module", sort=False):
-                m = np.stack(part["vec"].to_list())
+            for module, rows in pdf.groupby("module", sort=False):
+                m = np.stack(rows["vec"].to_list())
                 if module != current:
                     if current is not None:
                         yield out()
@@ -81,10 +84,12 @@ def gram(vectors: DataFrame) -> DataFrame:
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         vec = np.sum(np.stack(pdf["vec"].to_list()), axis=0)
-        return pd.DataFrame({"module": pdf["module"].iloc[:1], "row": pdf["row"].iloc[:1], "vec": [vec], "n": [pdf["n"].sum()]})
+        return pd.DataFrame({"module": pdf["module"].iloc[:1], "row": pdf["row"].iloc[:1], "vec": [vec], "n": [pdf["n"].sum()], "part": [0]})
 
     parts = vectors.select("module", "vec").sortWithinPartitions("module").mapInPandas(partial, schema)
-    return parts.groupBy("module", "row").applyInPandas(add, schema)
+    if vectors.rdd.getNumPartitions() > TREE_WIDTH:  # add in two levels so that no group holds a row of every partition
+        parts = parts.groupBy("module", "row", "part").applyInPandas(add, schema)
+    return parts.groupBy("module", "row").applyInPandas(add, schema).drop("part")
 
 
 def spectrum(grams: DataFrame) -> DataFrame:

@@ -79,6 +79,13 @@ def test_sampling(spark):
     assert S.sample_max(df, "id", 500).count() == 20
 
 
+def test_large_limit(spark, monkeypatch):
+    df = spark.range(300).toDF("id").repartition(7)
+    monkeypatch.setattr(S, "TOP_ROWS", 10)
+    assert sorted(r.id for r in S.first_n(df, "id", 120).collect()) == list(range(120))
+    assert sorted(r.id for r in S.skip_n(df, "id", 120).collect()) == list(range(120, 300))
+
+
 @pytest.mark.parametrize("cut", [(None, None, 1), (3, 15, 4), (-5, None, 1), (None, None, -3), (15, 2, -4), (5, 5, 1)])
 def test_slices(spark, cut):
     got = [r.id for r in S.select_slice(spark.range(20).toDF("id"), "id", *cut).orderBy("out").collect()]

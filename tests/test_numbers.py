@@ -135,6 +135,13 @@ def test_nullspace_projector(vectors):
         assert np.allclose(mine.T @ mine, ref @ ref.T, atol=1e-8)
 
 
+def test_gram_in_two_levels(vectors, monkeypatch):
+    data, df = vectors
+    monkeypatch.setattr(U, "TREE_WIDTH", 2)
+    got = {(r.module, r.row): r.vec for r in U.gram(df).collect()}
+    assert all(np.allclose(got[m, i], (x.T @ x)[i]) for m, x in data.items() for i in range(12))
+
+
 def test_projection_paths_agree(spark, vectors):
     data, df = vectors
     basis = U.nullspace_basis(U.spectrum(U.gram(df))).filter("module = 'm0'")
