@@ -21,7 +21,7 @@ def ordered_index(df: DataFrame, order: list[str], group: list[str] = (), name:
                   total: str | None = None) -> DataFrame:
     """Number rows by ``order`` (which must make rows unique inside a group; both must be non-null).
 
-    Only the key columns are range partitioned, sorted and checkpointed; wider rows are joined back on the keys.
+    Only the key columns are range partitioned, sorted and written; wider rows are joined back on the keys.
     """
     group, order = list(group), list(order)
     keys = [*group, *order]
@@ -42,7 +42,7 @@ def bucketed_index(df: DataFrame, bucket: Column, order: list, group: list[str]
                    total: str | None = None) -> DataFrame:
     """Number rows by ``order`` when ``bucket`` is a deterministic expression that never decreases along the order.
 
-    No checkpoint is needed: bucket sizes are counted in one pass and rows are ranked inside their bucket.
+    Nothing is written: bucket sizes are counted in one pass and rows are ranked inside their bucket.
     """
     group = list(group)
     placed = df.withColumn("_slot", bucket)

@@ -15,7 +15,8 @@ HOT_CHARS = 64  # and of a larger vocabulary only tokens up to this length, whic
 
 def char_ids(text: Column) -> Column:
     """Code points shifted past the special ids."""
-    return F.transform(F.filter(F.split(text, ""), lambda c: F.length(c) > 0), lambda c: F.ascii(c) + SHIFT)
+    ids = F.transform(F.split(text, ""), lambda c: F.ascii(c) + SHIFT)
+    return F.when(F.length(text) > 0, ids).otherwise(F.array().cast("array<int>"))
 
 
 def words(text: Column) -> Column:

@@ -51,9 +51,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: fixes partition ids and nondeterministic columns and cuts the lineage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write to the shared folder and read back: fixes nondeterministic columns, cuts the lineage, survives lost
+    executors, and gives later joins a known size."""
+    path = scratch_path(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
