@@ -11,6 +11,7 @@ from prefmill.sources.registry import DatasetSpec
 TOOL_RESULT_JOINT = "\n</tool_response>\n<tool_response>\n"
 SHORT_SYSTEM = "detailed thinking off"
 ALIGNERS = {}
+CONVERTERS = {}
 
 
 def register_aligner(name: str):
@@ -23,6 +24,16 @@ def register_aligner(name: str):
     return add
 
 
+def register_converter(name: str):
+    """Add a converter ``(df, keep) -> df`` to messages with typed parts under a name; a name can be taken once."""
+    def add(fn):
+        if name in CONVERTERS:
+            raise ValueError(f"converter {name} already exists")
+        CONVERTERS[name] = fn
+        return fn
+    return add
+
+
 def align(df: DataFrame, spec: DatasetSpec, keep: list[str] = ()) -> DataFrame:
     if spec.formatting not in ALIGNERS:
         raise ValueError(f"aligner {spec.formatting} not found")
@@ -204,6 +215,7 @@ def rich(role, parts: Column, weight) -> Column:
     return F.struct(role.alias("role"), parts.cast(PARTS).alias("content"), weight.cast("double").alias("loss_weight"))
 
 
+@register_converter("alpaca")
 def align_v1_alpaca(df: DataFrame, keep=()) -> DataFrame:
     """Instruction and input are concatenated without a separator."""
     have = set(df.columns)
@@ -228,6 +240,7 @@ def _valid_tools(df: DataFrame) -> list[Column]:
     return [F.when((F.length("tools") > 0) & is_json(F.col("tools")), spaced(F.col("tools"))).alias("tools")]
 
 
+@register_converter("sharegpt")
 def align_v1_sharegpt(df: DataFrame, keep=()) -> DataFrame:
     """Unknown tags and calls whose JSON does not parse are left out; a list of calls gives one part per call."""
     def convert(m):
@@ -240,6 +253,7 @@ def align_v1_sharegpt(df: DataFrame, keep=()) -> DataFrame:
     return df.select(*keep, messages.alias("messages"), *_valid_tools(df))
 
 
+@register_converter("pair")
 def align_v1_pair(df: DataFrame, keep=()) -> DataFrame:
     """Chosen and rejected message lists; tool messages carry calls as JSON, bad ones are left out."""
     def convert(m):

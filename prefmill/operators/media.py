@@ -1,6 +1,8 @@
 """Media references in chats: paths, placeholder counts, placeholder expansion, and resize and frame plans from a
 manifest. No pixels are read."""
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from prefmill.functions.hashing import keyed
@@ -11,6 +13,32 @@ PLACEHOLDERS = {"image": "<image>", "video": "<video>", "audio": "<audio>"}
 SALT = 16
 
 
+@dataclass(frozen=True)
+class MediaRule:
+    """How a model family shows a medium: the token, marks around it, and whether every file has its own token count."""
+    kind: str
+    token: str
+    before: str = ""
+    after: str = ""
+    per_item: bool = True
+
+
+MEDIA_RULES: dict[str, MediaRule] = {}
+
+
+def register_media_rule(name: str, rule: MediaRule) -> MediaRule:
+    if name in MEDIA_RULES:
+        raise ValueError(f"media rule {name} already exists")
+    MEDIA_RULES[name] = rule
+    return rule
+
+
+# Token and marks.
+register_media_rule("llava", MediaRule("image", "<image>", per_item=False))
+register_media_rule("qwen2_vl", MediaRule("image", "<|image_pad|>", "<|vision_start|>", "<|vision_end|>"))
+register_media_rule("qwen2_vl_video", MediaRule("video", "<|video_pad|>", "<|vision_start|>", "<|vision_end|>"))
+
+
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
     """Paths below a folder; file contents are not read."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
@@ -65,6 +93,14 @@ def media_expand_uniform(messages: Column, count: Column, token: str, kind: str
         m["content"], F.lit(PLACEHOLDERS[kind]), F.repeat(F.lit(token), count)).alias("content")))
 
 
+def expand_by_rule(messages: Column, counts: Column, name: str) -> Column:
+    """Expansion as a registered rule says; a uniform rule uses the first count for every placeholder."""
+    rule = MEDIA_RULES[name]
+    if rule.per_item:
+        return media_expand(messages, counts, rule.token, rule.kind, rule.before, rule.after)
+    return media_expand_uniform(messages, F.coalesce(F.get(counts, F.lit(0)), F.lit(0)), rule.token, rule.kind)
+
+
 def media_resize_plan(df: DataFrame, max_pixels: int, min_pixels: int, width: str = "w", height: str = "h",
                       min_side: int = 28, max_aspect: int = 200, capped_aspect: int = 180) -> DataFrame:
     """Adds new_w, new_h: scaled into the pixel range, then at least ``min_side`` on each side, then the aspect capped."""

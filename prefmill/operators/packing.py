@@ -1,8 +1,6 @@
 """Packing encoded rows into fixed-size blocks, and batches. A batch is a run of consecutive rows, so every group that
 meets in one task has a bounded number of rows however large the table is."""
 
-from bisect import bisect_right
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -56,15 +54,21 @@ def pack_stats(lengths: DataFrame, key: str, size: int, batch: int = BATCH) -> D
 
 
 def _fill_bins(lengths: list[int], capacity: int) -> list[list[int]]:
-    """Row numbers per bin: always the longest row that still fits; of equal rows the latest first."""
-    pool = sorted(range(len(lengths)), key=lambda i: (lengths[i], i))
-    keys = [lengths[i] for i in pool]
+    """Row numbers per bin. A bin walks the lengths still in stock from long to short and takes as many rows of each as
+    fit; of equally long rows the latest goes first."""
+    stock: dict[int, list[int]] = {}
+    for row, length in enumerate(lengths):
+        stock.setdefault(length, []).append(row)
+    falling = sorted(stock, reverse=True)
     bins = []
-    while pool:
+    while falling:
         room, chosen = capacity, []
-        while (at := bisect_right(keys, room) - 1) >= 0:
-            room -= keys.pop(at)
-            chosen.append(pool.pop(at))
+        for length in falling:
+            rows = stock[length]
+            take = min(len(rows), room // length) if length else len(rows)
+            chosen += [rows.pop() for _ in range(take)]
+            room -= take * length
+        falling = [x for x in falling if stock[x]]
         bins.append(chosen)
     return bins
 

@@ -9,6 +9,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from prefmill.operators.rowindex import ordered_index
+from prefmill.session import settled
 
 BLOCK = 1024
 
@@ -78,11 +79,12 @@ def loss_series(log: DataFrame, keys: list[str], run: str = "run", step: str = "
 
 
 def batch_moments(df: DataFrame, group: list[str], order: str, value: str, batch: int) -> DataFrame:
-    """group..., batch, n, mean, var (n - 1; 0 for a single row) of consecutive rows."""
+    """group..., batch, n, mean, var (n - 1; 0 for a single row) of consecutive rows. The summary is written once, since
+    running moments read it several times."""
     rows = ordered_index(df.select(*group, order), [order], group=group, name="_i").join(df.select(*group, order, value), [*group, order])
     rows = rows.withColumn("batch", F.floor(F.col("_i") / batch))
-    return rows.groupBy(*group, "batch").agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"),
-                                             F.coalesce(F.var_samp(value), F.lit(0.0)).alias("var"))
+    return settled(rows.groupBy(*group, "batch").agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"),
+                                                     F.coalesce(F.var_samp(value), F.lit(0.0)).alias("var")))
 
 
 def running_moments(batches: DataFrame, group: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from prefmill.operators import align as A, encode as E, mixing as MX
+from prefmill.operators import encode as E, mixing as MX
 from prefmill.plans import encode_queries as EQ, fixtures as X
 from prefmill.plans.base import h, query
 from prefmill.session import scratch_path
@@ -119,7 +119,7 @@ def src_v1_yaml(spark, folder):
     path = scratch_path(spark, "set")
     X.pairs(spark, folder).select("id", "instruction", "input", "output").write.json(path)
     spec = dict(path=path, converter="alpaca", key="id", schema="id long, instruction string, input string, output string")
-    sets = FS.read_set(spark, {"half": dict(spec, weight=0.5), "whole": spec}, {"alpaca": A.align_v1_alpaca})
+    sets = FS.read_set(spark, {"half": dict(spec, weight=0.5), "whole": spec})
     return sets.select(F.col("_dataset_name").alias("dataset"), "id")
 
 

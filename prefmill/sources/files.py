@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.errors import AnalysisException
 
 from prefmill.functions.jsontext import quoted
+from prefmill.operators.align import CONVERTERS
 from prefmill.operators.media import list_files
 from prefmill.operators.sampling import contiguous_shards, sample_max, sample_num, sample_weighted
 from prefmill.sources.registry import DatasetSpec
@@ -71,7 +72,7 @@ def read_csv_prompts(spark: SparkSession, path: str, column: str = "goal") -> Da
     return spark.read.csv(path, header=True, multiLine=True, escape='"').select(column)
 
 
-def read_set(spark: SparkSession, specs: dict[str, dict], converters: dict) -> DataFrame:
+def read_set(spark: SparkSession, specs: dict[str, dict], converters: dict = CONVERTERS) -> DataFrame:
     """A named set of datasets: per name path, kind, split, converter, key, size, weight, streaming. Rows carry
     _dataset_name. Either all members stream or none does."""
     flags = {bool(s.get("streaming", False)) for s in specs.values()}

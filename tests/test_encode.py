@@ -14,35 +14,45 @@ def test_lengths(spark, source, target, cutoff, expected):
     assert tuple(row) == expected
 
 
-def fit(s, t, c):
-    room = c if t * 2 < c else c - s if s * 2 < c else int(c * (t / (s + t)))
-    t2 = min(room, t)
-    return min(max(c - t2, 0), s), t2
-
-
-def plain(turns, cutoff, on_prompt, history, eff, eos=2):
-    """A row-by-row restatement of the encoding rules."""
-    ids, labels, total = [], [], 1 if eff else 0
-    for i, (s, t) in enumerate(turns[::-1] if history else turns):
-        if total >= cutoff:
-            break
-        a, b = fit(len(s), len(t), cutoff - total)
-        s, t = s[:a], t[:b]
-        total += a + b
-        sl = s if on_prompt else [eos] + [-100] * (a - 1) if eff and i else [-100] * a
-        tl = [-100] * b if history and i else t
-        ids, labels = (s + t + ids, sl + tl + labels) if history else (ids + s + t, labels + sl + tl)
-    return (ids + [eos], labels + [eos]) if eff else (ids, labels)
-
-
-@pytest.mark.parametrize("on_prompt, history, eff", [(False, False, False), (True, False, False), (False, True, False), (False, False, True), (False, True, True), (True, True, False)])
-def test_sft_arrays(spark, on_prompt, history, eff):
+TURNS = [([11, 12], [21, 22, 23]), ([13], [24])]
+X = -100
+
+
+@pytest.mark.parametrize("cutoff, options, ids, labels", [
+    (99, {}, [11, 12, 21, 22, 23, 13, 24], [X, X, 21, 22, 23, X, 24]),
+    (99, {"train_on_prompt": True}, [11, 12, 21, 22, 23, 13, 24], [11, 12, 21, 22, 23, 13, 24]),
+    (99, {"mask_history": True}, [11, 12, 21, 22, 23, 13, 24], [X, X, X, X, X, X, 24]),
+    (99, {"efficient_eos": True}, [11, 12, 21, 22, 23, 13, 24, 2], [X, X, 21, 22, 23, 2, 24, 2]),
+    (4, {}, [11, 12, 21, 22], [X, X, 21, 22]),
+    (4, {"mask_history": True}, [11, 21, 13, 24], [X, X, X, 24]),
+    (6, {}, [11, 12, 21, 22, 23, 13], [X, X, 21, 22, 23, X]),
+])
+def test_sft_goldens(spark, cutoff, options, ids, labels):
+    df = spark.createDataFrame([(TURNS,)], "turns array<struct<s:array<int>,t:array<int>>>")
+    row = E.sft_arrays(df, "turns", cutoff, **options).first()
+    assert (row.input_ids, row.labels) == (ids, labels)
+
+
+@pytest.mark.parametrize("history", [False, True])
+def test_sft_rules(spark, history):
+    """Rows keep the turn order, take prefixes of prompts and answers, fill at most the budget, and mask by position."""
     rng = random.Random(9)
-    rows = [(k, [([rng.randrange(10, 99) for _ in range(rng.randrange(0, 12))], [rng.randrange(10, 99) for _ in range(rng.randrange(1, 12))])
-                 for _ in range(rng.randrange(1, 6))]) for k in range(200)]
+    rows = []
+    for k in range(200):
+        turns = [(rng.randrange(0, 12), rng.randrange(1, 12)) for _ in range(rng.randrange(1, 6))]
+        rows.append((k, [([1000 * i + x for x in range(s)], [1000 * i + 500 + x for x in range(t)]) for i, (s, t) in enumerate(turns)]))
     df = spark.createDataFrame(rows, "k int, turns array<struct<s:array<int>,t:array<int>>>")
-    got = {r.k: (r.input_ids, r.labels) for r in E.sft_arrays(df, "turns", 24, on_prompt, history, eff).collect()}
-    assert got == {k: plain(turns, 24, on_prompt, history, eff) for k, turns in rows}
+    got = {r.k: (r.input_ids, r.labels) for r in E.sft_arrays(df, "turns", 24, mask_history=history).collect()}
+    for k, turns in rows:
+        ids, labels = got[k]
+        size = sum(len(s) + len(t) for s, t in turns)
+        assert ids == sorted(ids) and len(ids) <= 24 and (size > 24 or len(ids) == size)
+        for i, (s, t) in enumerate(turns):
+            mine = [x for x in ids if x // 1000 == i]
+            asked, answered = [x for x in mine if x % 1000 < 500], [x for x in mine if x % 1000 >= 500]
+            assert asked == s[:len(asked)] and answered == t[:len(answered)]
+        learned = [x for x in ids if x % 1000 >= 500 and (not history or x // 1000 == len(turns) - 1)]
+        assert [x for x in labels if x != X] == learned and len(labels) == len(ids)
 
 
 def test_knapsack(spark):

@@ -47,6 +47,16 @@ def test_media(spark):
     assert [r.f for r in plan.collect()] == [[0, 1, 2, 3], [0, 33, 66, 99], [0]]
 
 
+def test_media_rules(spark):
+    df = spark.createDataFrame([([("user", "<image> and <image>"), ("assistant", "<image>!")], [2, 1, 3])], "m array<struct<role:string,content:string>>, n array<int>")
+    row = df.select(*[F.transform(M.expand_by_rule(F.col("m"), F.col("n"), r), lambda m: m["content"]).alias(r) for r in ("llava", "qwen2_vl")]).first()
+    s, p, e = "<|vision_start|>", "<|image_pad|>", "<|vision_end|>"
+    assert row.llava == ["<image><image> and <image><image>", "<image><image>!"]
+    assert row.qwen2_vl == [f"{s}{p}{p}{e} and {s}{p}{e}", f"{s}{p}{p}{p}{e}!"]
+    with pytest.raises(ValueError):
+        M.register_media_rule("llava", M.MEDIA_RULES["llava"])
+
+
 def test_hot_run_in_stream_state(spark):
     """A run with most of the rows, spread over several micro-batches, ends in the state a single pass gives."""
     path = scratch_path(spark, "hot")

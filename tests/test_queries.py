@@ -34,3 +34,26 @@ def test_plan_rules(spark, folder, name):
     physical = plan.split("== Physical Plan ==")[-1]
     assert "CartesianProduct" not in physical and "BroadcastNestedLoopJoin" not in physical
     assert bool(PYTHON.search(physical)) == (name in WITH_PYTHON)
+
+
+@pytest.mark.parametrize("name, columns", [
+    ("drop_overlong", "doc_id:bigint,n_chars:bigint"), ("skip_n", "event_id:bigint,value:double"), ("shard_replica", "doc_id:bigint"),
+    ("harmless_rate", "doc_id:bigint,toxic:int"), ("split_ratio", "doc_id:bigint"), ("weighted_avg", "event_id:bigint,user_id:bigint,event_type:string,value:double")])
+def test_scans_read_only_what_is_used(spark, folder, name, columns):
+    plan = catalog.QUERIES[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert f"ReadSchema: struct<{columns}>" in plan
+
+
+@pytest.mark.parametrize("name", ["mix_interleave_over", "mix_interleave_prob_under", "sample_num", "kl_shift", "pack_blocks", "ema_smooth",
+                                  "running_moments", "mcq_prompt", "media_resolve", "vocab_build", "stack_pairs", "loss_bco"])
+def test_partition_count_does_not_matter(spark, folder, name):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    results = []
+    try:
+        for partitions in (1, 4, 17):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            df = catalog.QUERIES[name](spark, folder)
+            results.append(oracle.rows_of(df.columns, [tuple(r) for r in df.collect()]))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert results[0] == results[1] == results[2] and results[0][1]
