@@ -1,10 +1,29 @@
-"""Joins of predictions, labels and baselines by key."""
+"""Joins of predictions, labels and baselines by key, and joins in which rows are used many times."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from prefmill.operators.rowindex import ordered_index
 
 
+PER_COPY = 10_000  # uses that one copy of a row serves
+
+
+def join_repeated(uses: DataFrame, rows: DataFrame, keys: list[str], per_row: Column | int, tell: list[str]) -> DataFrame:
+    """Join where each of ``rows`` is used about ``per_row`` times (a number, or a column both sides can compute).
+
+    A row used very often would be one hot key, so it is copied, and its uses are dealt over the copies by a hash of
+    ``tell``, columns that differ between uses.
+    """
+    if isinstance(per_row, int):
+        if per_row <= PER_COPY:
+            return uses.join(rows, keys)
+        per_row = F.lit(per_row)
+    copies = F.greatest(F.ceil(per_row / PER_COPY), F.lit(1)).cast("bigint")
+    dealt = uses.withColumn("_copy", F.pmod(F.xxhash64(*tell), copies))
+    shelf = rows.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("bigint"), copies - 1)))
+    return dealt.join(shelf, [*keys, "_copy"]).drop("_copy")
+
+
 def join_pred_label(predictions: DataFrame, labels: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """(predictions with their prompt and label, predictions without one)."""
     return predictions.join(labels, key), predictions.join(labels, key, "left_anti")

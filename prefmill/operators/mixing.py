@@ -9,6 +9,7 @@ import math
 from pyspark.sql import DataFrame, functions as F
 
 from prefmill.functions.hashing import uniform
+from prefmill.operators import joins
 from prefmill.operators.rowindex import bucketed_index, ordered_index, shuffled_index, sized_buckets
 
 CHUNK = 4096
@@ -23,8 +24,15 @@ def _indexed(members: DataFrame) -> DataFrame:
     return ordered_index(members.select("ds", "id"), ["id"], group=["ds"], name="rn")
 
 
-def _attach(placed: DataFrame, members: DataFrame) -> DataFrame:
-    return placed.join(members, ["ds", "id"])
+def _by_member(values: dict) -> F.Column:
+    return F.element_at(F.create_map(*[F.lit(x) for d, v in values.items() for x in (d, v)]), F.col("ds"))
+
+
+def _attach(placed: DataFrame, members: DataFrame, repeats: dict[int, int] | None = None) -> DataFrame:
+    """Wide columns for (ds, id, pos); ``repeats`` tells how often a row of each member appears."""
+    if repeats is None or max(repeats.values()) <= joins.PER_COPY:
+        return placed.join(members, ["ds", "id"])
+    return joins.join_repeated(placed, members, ["ds", "id"], _by_member(repeats), ["pos"])
 
 
 def mix_concat(members: DataFrame) -> DataFrame:
@@ -39,7 +47,7 @@ def mix_interleave(members: DataFrame, stop: str) -> DataFrame:
     order = sorted(sizes)
     rank = {d: i for i, d in enumerate(order)}
     indexed = _indexed(members)
-    place = F.element_at(F.create_map(*[F.lit(x) for d in order for x in (d, rank[d])]), F.col("ds"))
+    place = _by_member(rank)
     if stop == "under":
         kept = indexed.filter(F.col("rn") < min(sizes.values()))
         return _attach(kept.select("ds", "id", (F.col("rn") * len(order) + place).alias("pos")), members)
@@ -48,15 +56,17 @@ def mix_interleave(members: DataFrame, stop: str) -> DataFrame:
         before = sum((F.least(F.lit(sizes[d]), F.col("rn") + F.when(F.lit(rank[d]) < place, 1).otherwise(0)) for d in order), F.lit(0))
         return _attach(indexed.select("ds", "id", before.cast("bigint").alias("pos")), members)
     if stop == "over":
-        turns = repeat_to(indexed, sizes, max(sizes.values()))
-        return _attach(turns.select("ds", "id", (F.col("turn") * len(order) + place).alias("pos")), members)
+        longest = max(sizes.values())
+        turns = repeat_to(indexed, sizes, longest)
+        return _attach(turns.select("ds", "id", (F.col("turn") * len(order) + place).alias("pos")), members,
+                       {d: -(-longest // n) for d, n in sizes.items()})
     raise ValueError(f"unknown stop rule {stop}")
 
 
 def repeat_to(indexed: DataFrame, sizes: dict[int, int], length: int) -> DataFrame:
     """Adds ``turn``: rn, rn+n, rn+2n, ... below ``length``. Long repeats are cut into chunks that are spread over the
     cluster before they are expanded, so one row of a tiny member does not expand in one task."""
-    size = F.element_at(F.create_map(*[F.lit(x) for d, n in sizes.items() for x in (d, n)]), F.col("ds")).cast("bigint")
+    size = _by_member(sizes).cast("bigint")
     sized = indexed.withColumn("_n", size).filter(F.col("rn") < length)
     stride = F.col("_n") * CHUNK
     chunks = sized.withColumn("_from", F.explode(F.sequence(F.col("rn"), F.lit(length - 1).cast("bigint"), stride)))
@@ -91,7 +101,7 @@ def mix_interleave_prob(members: DataFrame, probs: dict[int, float], stop: str,
         drawn = spark.range(horizon).select(F.col("id").alias("at"), pick.cast("int").alias("ds"))
         width = sized_buckets(members, horizon)
         numbered = bucketed_index(drawn, F.floor(F.col("at") / width), ["at"], group=["ds"], name="turn")
-        size = F.element_at(F.create_map(*[F.lit(x) for d in order for x in (d, sizes[d])]), F.col("ds"))
+        size = _by_member(sizes)
         ends = {r["ds"]: r["end"] for r in numbered.filter(F.col("turn") == size - 1).groupBy("ds").agg(F.max("at").alias("end")).collect()}
         if stop == "under" and ends or len(ends) == len(order):
             break
@@ -112,7 +122,8 @@ def mix_interleave_prob(members: DataFrame, probs: dict[int, float], stop: str,
     if len(tiny) < len(order):
         large = [d for d in order if d not in tiny]
         rows = rows.unionByName(kept.filter(F.col("ds").isin(large)).join(indexed.filter(F.col("ds").isin(large)), ["ds", "rn"]))
-    return _attach(rows.select("ds", "id", F.col("at").alias("pos")), members)
+    repeats = {d: math.ceil((cut + 1) * probs[d] / sizes[d]) for d in order}
+    return _attach(rows.select("ds", "id", F.col("at").alias("pos")), members, repeats)
 
 
 def mix(members: DataFrame, strategy: str, probs: dict[int, float] | None = None, seed=0) -> DataFrame:

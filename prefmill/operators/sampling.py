@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from prefmill.functions.hashing import keyed
+from prefmill.operators.joins import join_repeated
 from prefmill.operators.rowindex import ordered_index, shuffled_index
 
 
@@ -22,9 +23,9 @@ def sample_num(df: DataFrame, key: str, target: int, seed=0, size: int | None =
     order = shuffled_index(df.select(key), [key], seed, name="idx")
     first = order.filter(F.col("idx") < min(target, size)).select(key, F.col("idx").alias("draw"))
     if target > size > 0:
-        more = draws(df.sparkSession, target - size, size, seed, start=size).join(order, "idx").select(key, "draw")
-        first = first.unionByName(more)
-    return first.join(df, key)
+        more = join_repeated(draws(df.sparkSession, target - size, size, seed, start=size), order, ["idx"], -(-target // size), ["draw"])
+        first = first.unionByName(more.select(key, "draw"))
+    return join_repeated(first, df, [key], -(-target // max(size, 1)), ["draw"])
 
 
 def first_n(df: DataFrame, key: str, count: int) -> DataFrame:
@@ -44,13 +45,15 @@ def sample_weighted(df: DataFrame, key: str, size: int | None, weight: float | N
     """``size`` draws with replacement, then int(n * weight) draws with replacement of the result."""
     spark = df.sparkSession
     picked = ordered_index(df.select(key), [key])
-    count = df.count()
-    if size is not None:
-        picked = draws(spark, size, count, f"{seed}:size").join(picked, "idx").select(key, F.col("draw").alias("idx"))
-        count = size
-    if weight is not None:
-        picked = draws(spark, int(count * weight), count, f"{seed}:weight").join(picked, "idx").select(key, F.col("draw").alias("idx"))
-    return picked.join(df, key)
+    count, uses = df.count(), 1
+    for wanted, name in ((size, "size"), (weight, "weight")):
+        if wanted is not None:
+            drawn = wanted if name == "size" else int(count * wanted)
+            uses *= -(-drawn // max(count, 1)) or 1
+            picked = join_repeated(draws(spark, drawn, count, f"{seed}:{name}"), picked, ["idx"], -(-drawn // max(count, 1)), ["draw"])
+            picked = picked.select(key, F.col("draw").alias("idx"))
+            count = drawn
+    return join_repeated(picked, df, [key], uses, ["idx"])
 
 
 def select_slice(df: DataFrame, key: str, start: int | None, stop: int | None, step: int = 1) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prefmill.functions.hashing import uniform
-from prefmill.operators import mixing as M, sampling as S
+from prefmill.operators import joins as J, mixing as M, sampling as S
 
 SIZES = {0: 50, 1: 17, 2: 3}
 
@@ -98,3 +98,15 @@ def test_split(spark):
     assert held == 11 and M.split(df, "id", 30, seed=2).filter("split = 'validation'").count() == 30
     with pytest.raises(ValueError):
         M.split_named(df, {"a": df}, 0.1)
+
+
+def test_copies_change_nothing(spark, monkeypatch):
+    """Rows that are used often are copied; results stay the same."""
+    df, few = members(spark), spark.range(3).toDF("id")
+    def results():
+        return (listed(M.mix(df, "interleave_over")), listed(M.mix(df, "interleave_over", {0: 0.2, 1: 0.3, 2: 0.5}, seed=4)),
+                sorted((r.draw, r.id) for r in S.sample_num(few, "id", 200, seed=1).collect()),
+                sorted((r.idx, r.id) for r in S.sample_weighted(few, "id", 50, 3.0, seed=1).collect()))
+    before = results()
+    monkeypatch.setattr(J, "PER_COPY", 2)
+    assert results() == before and len(before[2]) == 200 and len(before[3]) == 150
