@@ -323,6 +323,20 @@ register_template("yuan", user="{{content}}<sep>", assistant="{{content}}<eod>\n
 register_template("zephyr", user="<|user|>\n{{content}}{{eos_token}}<|assistant|>\n",
                   system="<|system|>\n{{content}}{{eos_token}}", default_system="You are Zephyr, a helpful assistant.")
 
+def derive_template(name: str, new_name: str, default_system: str | None = None, tool_format: str | None = None) -> Template:
+    """A registered template under another name, with another default system text or another tool syntax. A new tool
+    syntax also puts function turns back to the plain pattern."""
+    if name not in TEMPLATES:
+        raise ValueError(f"template {name} does not exist")
+    values = {k: v for k, v in vars(TEMPLATES[name]).items() if k != "name"}
+    if default_system is not None:
+        values["default_system"] = default_system
+    if tool_format is not None:
+        plain = CONTENT if values["efficient_eos"] else CONTENT + "{{eos_token}}"
+        values.update(function=plain, call_format=tool_format, tool_format=tool_format)
+    return register_template(new_name, **values)
+
+
 ROLES = ("user", "assistant", "system", "observation", "function")
 
 

@@ -43,6 +43,9 @@ def test_media(spark):
     df = spark.createDataFrame([(1, ["a.png", "b.png"]), (2, ["a.png"] * 40)], "id long, images array<string>")
     got = {r.id: (r.images, r.missing) for r in M.media_resolve(df, "id", "images", listing, "m").collect()}
     assert got == {1: (["m/a.png", "b.png"], 1), 2: (["m/a.png"] * 40, 0)}
+    frames = spark.createDataFrame([(1, [["a.png", "b.png"], ["a.png"]])], "id long, videos array<array<string>>")
+    row = M.media_resolve(frames, "id", "videos", listing, "m").first()
+    assert (row.videos, row.missing) == ([["m/a.png", "b.png"], ["m/a.png"]], 1)
     plan = spark.createDataFrame([(0, 10.0), (100, 2.0), (5, 0.1)], "n int, d double").select(M.video_frame_plan(F.col("n"), F.col("d"), 2.0, 4).alias("f"))
     assert [r.f for r in plan.collect()] == [[0, 1, 2, 3], [0, 33, 66, 99], [0]]
 
