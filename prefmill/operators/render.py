@@ -7,30 +7,35 @@ from prefmill.functions.jsontext import field, is_json, items, quoted, spaced
 from prefmill.functions.numeric import let
 from prefmill.functions.text import replace_first
 from prefmill.operators.templates import TEMPLATES
-from prefmill.operators.tools import TOOL_PROMPTS, literal, render_function, tool_prompt
+from prefmill.operators.tools import FORMATS, TOOL_PROMPTS, by_format, literal, render_function, tool_prompt
 
 
 def _filled(tpl, role: str, content: Column) -> Column:
     return F.concat(tpl[f"{role}_head"], content, tpl[f"{role}_tail"])
 
 
+def _tools_text(tools: Column, fmt: str, date: str) -> Column:
+    return F.concat(F.lit("<|tool|>"), tools, F.lit("<|/tool|>")) if fmt == "verbatim" else tool_prompt(tools, fmt, date)
+
+
 def system_text(system: Column, tools: Column | None, tpl, fmt: str | None, date: str = "") -> Column:
     """System block of the first turn; empty when there is neither a system text nor tools."""
     base = F.when(F.length(system) > 0, system).otherwise(tpl["default_system"])
-    told = F.lit("")
-    if tools is not None and fmt is not None:
-        shown = F.concat(F.lit("<|tool|>"), tools, F.lit("<|/tool|>")) if fmt == "verbatim" else tool_prompt(tools, fmt, date)
-        told = F.when(F.length(tools) > 0, shown).otherwise("")
-    block = _filled(tpl, "system", F.concat(base, told))
-    wanted = F.length(base) > 0
+    told, wanted = F.lit(""), F.length(base) > 0
     if tools is not None:
+        if fmt is not None:
+            shown = _tools_text(tools, fmt, date)
+        else:
+            shown = by_format(tpl["tool_format"], [*FORMATS, "verbatim"], lambda f: _tools_text(tools, f, date))
+        told = F.when(F.length(tools) > 0, shown).otherwise("")
         wanted = wanted | (F.length(tools) > 0)
-    return F.when(wanted, block).otherwise("")
+    return F.when(wanted, _filled(tpl, "system", F.concat(base, told))).otherwise("")
 
 
 def render_turns(messages: Column, system: Column, tpl, tools: Column | None = None, name: str | None = None,
-                 date: str = "") -> Column:
-    """One string per message. ``name`` selects the call syntax when the template is known at plan time."""
+                 date: str = "", formats=FORMATS) -> Column:
+    """One string per message. ``name`` selects the tool syntax when the template is known at plan time; otherwise the
+    syntax named in the template row is used, out of ``formats`` (pass none for chats without function turns)."""
     row = TEMPLATES.get(name) if name else None
     block = system_text(system, tools, tpl, row.tool_format if row else None, date)
     fused = tpl["kind"] == "system_in_user"
@@ -40,10 +45,11 @@ def render_turns(messages: Column, system: Column, tpl, tools: Column | None = N
         asked = F.when(fused & (i == 0), F.concat(block, content)).otherwise(content)
         asked = _filled(tpl, "user", asked)
         asked = F.when(fused, asked).otherwise(replace_first(asked, "{{idx}}", F.floor(i / 2).cast("string")))
-        call = content
+        words = ((tpl["thought_open"], tpl["thought_close"]), (tpl["call_open"], tpl["call_close"]))
         if row:
-            words = ((row.thought_open, row.thought_close), (row.call_open, row.call_close))
             call = render_function(content, row.call_format, *words)
+        else:
+            call = by_format(tpl["call_format"], formats, lambda f: render_function(content, f, *words))
         body = (F.when(m["role"] == "user", asked)
                 .when(m["role"] == "assistant", _filled(tpl, "assistant", content))
                 .when(m["role"] == "observation", _filled(tpl, "observation", content))
@@ -55,12 +61,12 @@ def render_turns(messages: Column, system: Column, tpl, tools: Column | None = N
 
 
 def render_chat(df: DataFrame, templates: DataFrame, on: str = "template", messages: str = "messages",
-                system: str = "system") -> DataFrame:
+                system: str = "system", tools: str | None = None, date: str = "", formats=FORMATS) -> DataFrame:
     """Adds ``turns`` and ``text``; the template of each row is looked up in a broadcast catalogue table."""
     named = templates.withColumnRenamed("name", on)
     joined = df.join(F.broadcast(named), on)
     tpl = {c: F.col(c) for c in named.columns}
-    out = joined.withColumn("turns", render_turns(F.col(messages), F.col(system), tpl))
+    out = joined.withColumn("turns", render_turns(F.col(messages), F.col(system), tpl, F.col(tools) if tools else None, date=date, formats=formats))
     return out.withColumn("text", F.array_join("turns", "")).select(*df.columns, "turns", "text")
 
 

@@ -238,18 +238,40 @@ def format_calls(calls: Column, fmt: str = "default") -> Column:
     raise ValueError(f"unknown tool format {fmt}")
 
 
+def between(text: Column, opening: Column, closing: Column) -> Column:
+    """Struct (whole, inner) of the first stretch from ``opening`` to the next ``closing``; nulls without one."""
+    start = F.position(opening, text)
+    inner = start + F.length(opening)
+    end = F.position(closing, text, inner)
+    found = (start > 0) & (end > 0)
+    return F.struct(F.when(found, text.substr(start, end + F.length(closing) - start)).alias("whole"),
+                    F.when(found, text.substr(inner, end - inner)).alias("inner"))
+
+
 def render_function(content: Column, fmt: str = "default", thought=THOUGHT, call_words=CALL_WORDS) -> Column:
-    """A function message as text. Text before a tagged call, or a thought, stays in front of the calls."""
-    tagged = f"(?s){literal(call_words[0])}(.*?){literal(call_words[1])}"
-    thoughts = f"(?s){literal(thought[0])}(.*?){literal(thought[1])}"
-    has_tag = content.rlike(tagged)
-    whole_tag = F.regexp_extract(content, tagged, 0)
-    whole_thought = F.regexp_extract(content, thoughts, 0)
-    drop = F.when(has_tag, whole_tag).otherwise(whole_thought)
-    rest = F.when(F.length(drop) > 0, F.replace(content, drop, F.lit(""))).otherwise(content)
-    json_part = F.when(has_tag, F.regexp_extract(content, tagged, 1)).otherwise(rest)
-    lead = F.when(has_tag, rest).otherwise(whole_thought)
-    return F.concat(lead, format_calls(parse_calls(json_part), fmt))
+    """A function message as text. Text before a tagged call, or a thought, stays in front of the calls. The words may
+    be strings or columns."""
+    def column(word):
+        return F.lit(word) if isinstance(word, str) else word
+
+    def text(z):
+        tagged = z["call"]["whole"].isNotNull()
+        whole = F.coalesce(z["call"]["whole"], z["thought"]["whole"])
+        rest = F.when(whole.isNotNull(), F.replace(content, whole, F.lit(""))).otherwise(content)
+        lead = F.when(tagged, rest).otherwise(F.coalesce(z["thought"]["whole"], F.lit("")))
+        calls = parse_calls(F.when(tagged, z["call"]["inner"]).otherwise(rest))
+        return F.concat(lead, let(calls, lambda c: format_calls(c, fmt)))
+
+    found = F.struct(between(content, *map(column, call_words)).alias("call"), between(content, *map(column, thought)).alias("thought"))
+    return let(found, text)
+
+
+def by_format(fmt: Column, formats, build) -> Column:
+    """build(name) for the syntax named in the row; null for a name that is not listed."""
+    out = F.lit(None).cast("string")
+    for name in formats:
+        out = F.when(fmt == name, build(name)).otherwise(out)
+    return out
 
 
 # ---- calls from text ------------------------------------------------------------------------------------------------

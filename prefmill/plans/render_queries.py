@@ -56,7 +56,7 @@ def named(df, names):
 @query("render_chat", f"""WITH {rendered(NAMES)}
 SELECT conv_id, name AS template, count(*)::BIGINT AS n, string_agg(line,'' ORDER BY i) AS text FROM lines GROUP BY ALL""")
 def render_chat(spark, folder):
-    out = R.render_chat(named(split_rows(spark, folder), NAMES), template_table(spark))
+    out = R.render_chat(named(split_rows(spark, folder), NAMES), template_table(spark), formats=())
     return out.select("conv_id", "template", F.size("turns").cast("bigint").alias("n"), "text")
 
 
