@@ -10,6 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from prefmill.functions.numeric import dot, let
+from prefmill.session import width
 
 KEPT_SHARE = 0.80  # fixed value: share of the smallest singular directions that form the basis
 FLOAT32_EPS = 2.0 ** -23
@@ -87,7 +88,9 @@ def gram(vectors: DataFrame) -> DataFrame:
         return pd.DataFrame({"module": pdf["module"].iloc[:1], "row": pdf["row"].iloc[:1], "vec": [vec], "n": [pdf["n"].sum()], "part": [0]})
 
     parts = vectors.select("module", "vec").sortWithinPartitions("module").mapInPandas(partial, schema)
-    if vectors.rdd.getNumPartitions() > TREE_WIDTH:  # add in two levels so that no group holds a row of every partition
+    context = vectors.sparkSession.sparkContext
+    if max(context.defaultParallelism, width(vectors.sparkSession)) > TREE_WIDTH:
+        # Wide jobs add in two levels, so that no group holds a row of every partition.
         parts = parts.groupBy("module", "row", "part").applyInPandas(add, schema)
     return parts.groupBy("module", "row").applyInPandas(add, schema).drop("part")
 

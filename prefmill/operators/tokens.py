@@ -34,12 +34,12 @@ def vocab_build(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def encode_tokens(df: DataFrame, vocab: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, input_ids in text order.
+    """key, input_ids in text order; a text without tokens gives an empty list.
 
     Texts are placed by key before they are exploded, so regrouping needs no second shuffle. Frequent short tokens are
     joined by broadcast; the rest, none of which can be hot, by shuffle.
     """
-    spread = df.select(key, text).repartition(width(df.sparkSession), key).select(key, F.posexplode(words(F.col(text))).alias("pos", "token"))
+    spread = df.select(key, text).repartition(width(df.sparkSession), key).select(key, F.posexplode_outer(words(F.col(text))).alias("pos", "token"))
     ids = vocab.select("token", F.col("id").alias("_id"))
     size = ids.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.length("token")), F.lit(0)).alias("longest")).first()
     if size["n"] <= HOT and size["longest"] <= HOT_CHARS:
@@ -50,6 +50,6 @@ def encode_tokens(df: DataFrame, vocab: DataFrame, key: str, text: str = "text")
         known = marked.filter(F.col("_id").isNotNull())
         rest = marked.filter(F.col("_id").isNull()).drop("_id").join(ids.filter(~hot), "token", "left")
         coded = known.unionByName(rest)
-    cell = F.struct("pos", F.coalesce("_id", F.lit(UNK)).alias("id"))
+    cell = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("_id", F.lit(UNK)).alias("id")))
     packed = coded.groupBy(key).agg(F.array_sort(F.collect_list(cell)).alias("_t"))
     return packed.select(key, F.transform("_t", lambda t: t["id"].cast("int")).alias("input_ids"))

@@ -117,7 +117,7 @@ def test_micro_batches(spark):
 
 
 def test_vocabulary_paths_agree(spark, monkeypatch):
-    df = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 37}" for j in range(1, 30)) + " rare" + "x" * 80) for i in range(40)], "id long, text string")
+    df = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 37}" for j in range(1, 30)) + " rare" + "x" * 80) for i in range(40)] + [(99, " ")], "id long, text string")
     vocab = TK.vocab_build(df)
     ids = {r.token: r.id for r in vocab.collect()}
     assert [ids[t] for t in TK.SPECIALS] == [0, 1, 2, 3] and sorted(ids.values()) == list(range(len(ids)))
@@ -125,7 +125,7 @@ def test_vocabulary_paths_agree(spark, monkeypatch):
         return {r.id: r.input_ids for r in TK.encode_tokens(df, vocab, "id").collect()}
     long_token = encoded()  # a token past HOT_CHARS takes the shuffle path
     monkeypatch.setattr(TK, "HOT", 5)
-    assert encoded() == long_token == {r.id: [ids[w] for w in r.text.split(" ")] for r in df.collect()}
+    assert encoded() == long_token == {r.id: [ids[w] for w in r.text.split()] for r in df.collect()}
     monkeypatch.setattr(TK, "HOT", 10**6)
     monkeypatch.setattr(TK, "HOT_CHARS", 1000)
     assert encoded() == long_token
