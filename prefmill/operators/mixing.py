@@ -5,6 +5,7 @@ any other columns. The result has a dense ``pos``. Only (ds, id) keys are indexe
 """
 
 import math
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -13,6 +14,7 @@ from prefmill.operators import joins
 from prefmill.operators.rowindex import bucketed_index, ordered_index, shuffled_index, sized_buckets
 
 CHUNK = 4096
+SEARCH = 4096
 
 
 def sizes_of(members: DataFrame) -> dict[int, int]:
@@ -28,11 +30,16 @@ def _by_member(values: dict) -> F.Column:
     return F.element_at(F.create_map(*[F.lit(x) for d, v in values.items() for x in (d, v)]), F.col("ds"))
 
 
+def _use(uses: DataFrame, rows: DataFrame, keys: list[str], repeats: dict[int, int], tell: str) -> DataFrame:
+    """Join on keys that include ds; ``repeats`` tells how often a row of each member is used."""
+    if max(repeats.values()) <= joins.PER_COPY:
+        return uses.join(rows, keys)
+    return joins.join_repeated(uses, rows, keys, _by_member(repeats), [tell])
+
+
 def _attach(placed: DataFrame, members: DataFrame, repeats: dict[int, int] | None = None) -> DataFrame:
-    """Wide columns for (ds, id, pos); ``repeats`` tells how often a row of each member appears."""
-    if repeats is None or max(repeats.values()) <= joins.PER_COPY:
-        return placed.join(members, ["ds", "id"])
-    return joins.join_repeated(placed, members, ["ds", "id"], _by_member(repeats), ["pos"])
+    """Wide columns for (ds, id, pos)."""
+    return _use(placed, members, ["ds", "id"], repeats or {0: 1}, "pos")
 
 
 def mix_concat(members: DataFrame) -> DataFrame:
@@ -76,6 +83,35 @@ def repeat_to(indexed: DataFrame, sizes: dict[int, int], length: int) -> DataFra
     return chunks.withColumn("turn", F.explode(F.sequence(F.col("_from"), last, F.col("_n")))).drop("_from", "_n")
 
 
+def last_draws(drawn, sizes: dict[int, int], probs: dict[int, float]) -> dict[int, int]:
+    """Position of each member's draw number n, by counting draws in ever narrower ranges of positions. At most SEARCH
+    counts per member reach the driver at a time."""
+    horizon = 2 * math.ceil(max(sizes[d] / probs[d] for d in sizes)) + 16
+    while True:
+        width = -(-horizon // SEARCH)
+        counts = drawn(0, horizon).groupBy("ds", F.floor(F.col("at") / width).alias("slot")).count().collect()
+        per = {d: sorted((r["slot"], r["count"]) for r in counts if r["ds"] == d) for d in sizes}
+        if all(sum(n for _, n in per[d]) >= sizes[d] for d in sizes):
+            break
+        horizon *= 2
+    ends = {}
+    for d, target in sizes.items():
+        lo, span, left, found = 0, width, target, per[d]
+        while True:
+            for slot, n in found:
+                if n >= left:
+                    break
+                left -= n
+            lo += slot * span
+            if span == 1:
+                break
+            top, span = lo + span, -(-span // SEARCH)
+            inner = drawn(lo, top).filter(F.col("ds") == d)
+            found = sorted(tuple(r) for r in inner.groupBy(F.floor((F.col("at") - lo) / span)).count().collect())
+        ends[d] = lo
+    return ends
+
+
 def mix_interleave_prob(members: DataFrame, probs: dict[int, float], stop: str, seed=0) -> DataFrame:
     """Each position draws a member by its probability; the j-th draw of a member gives its row j mod n.
 
@@ -84,45 +120,31 @@ def mix_interleave_prob(members: DataFrame, probs: dict[int, float], stop: str,
     """
     if abs(sum(probs.values()) - 1) > 1e-9:
         raise ValueError("probabilities must sum to 1")
-    spark = members.sparkSession
     sizes = sizes_of(members)
     order = sorted(sizes)
-    horizon = 2 * math.ceil(max(sizes[d] / probs[d] for d in order)) + 16
-    while True:
-        u = uniform(seed, F.lit("pos"), F.col("id"))
-        # Thresholds run over cumulative probabilities: member d is drawn for u in [cum(d-1), cum(d)).
-        cums, total = [], 0.0
-        for d in order[:-1]:
-            total += probs[d]
-            cums.append((d, total))
-        pick = F.lit(order[-1])
-        for d, edge in reversed(cums):
-            pick = F.when(u < edge, F.lit(d)).otherwise(pick)
-        drawn = spark.range(horizon).select(F.col("id").alias("at"), pick.cast("int").alias("ds"))
-        width = sized_buckets(members, horizon)
-        numbered = bucketed_index(drawn, F.floor(F.col("at") / width), ["at"], group=["ds"], name="turn")
-        size = _by_member(sizes)
-        ends = {r["ds"]: r["end"] for r in numbered.filter(F.col("turn") == size - 1).groupBy("ds").agg(F.max("at").alias("end")).collect()}
-        if stop == "under" and ends or len(ends) == len(order):
-            break
-        horizon *= 2
+
+    def drawn(start: int, stop_at: int) -> DataFrame:
+        # Member d is drawn for u in [cum(d-1), cum(d)); positions are generated, so any range of them is cheap.
+        u, pick = uniform(seed, F.lit("pos"), F.col("id")), F.lit(order[-1])
+        for d, edge in reversed(list(zip(order[:-1], accumulate(probs[x] for x in order)))):
+            pick = F.when(u < edge, d).otherwise(pick)
+        return members.sparkSession.range(start, stop_at).select(F.col("id").alias("at"), pick.cast("int").alias("ds"))
+
+    ends = last_draws(drawn, sizes, probs)
+    cut = min(ends.values()) if stop == "under" else max(ends.values())
+    width = sized_buckets(members, cut + 1)
+    slot = F.floor(F.col("at") / width)
+    numbered = bucketed_index(drawn(0, cut + 1), slot, ["at"], group=["ds"], name="turn")
+    size = _by_member(sizes)
     indexed = _indexed(members)
     if stop == "once":
         kept = numbered.filter(F.col("turn") < size).withColumnRenamed("turn", "rn").join(indexed, ["ds", "rn"])
-        width = sized_buckets(members, max(ends.values()) + 1)
-        closed = bucketed_index(kept.select("ds", "id", "at"), F.floor(F.col("at") / width), ["at"], name="pos")
+        closed = bucketed_index(kept.select("ds", "id", "at"), slot, ["at"], name="pos")
         return _attach(closed.select("ds", "id", "pos"), members)
-    cut = min(ends.values()) if stop == "under" else max(ends.values())
-    kept = numbered.filter(F.col("at") <= cut).withColumn("rn", F.col("turn") % size)
-    # Rows of a member much smaller than the mix repeat often: members of at most CHUNK rows are broadcast, and only
-    # larger members, whose rows repeat little, are joined by shuffle.
-    tiny = [d for d in order if sizes[d] <= CHUNK]
-    few = F.broadcast(indexed.filter(F.col("ds").isin(tiny)))
-    rows = kept.filter(F.col("ds").isin(tiny)).join(few, ["ds", "rn"])
-    if len(tiny) < len(order):
-        large = [d for d in order if d not in tiny]
-        rows = rows.unionByName(kept.filter(F.col("ds").isin(large)).join(indexed.filter(F.col("ds").isin(large)), ["ds", "rn"]))
+    kept = numbered.withColumn("rn", F.col("turn") % size)
+    # Rows of a member much smaller than the mix are used often; their keys and, later, the rows are dealt over copies.
     repeats = {d: math.ceil((cut + 1) * probs[d] / sizes[d]) for d in order}
+    rows = _use(kept, indexed, ["ds", "rn"], repeats, "at")
     return _attach(rows.select("ds", "id", F.col("at").alias("pos")), members, repeats)
 
 

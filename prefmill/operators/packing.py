@@ -1,6 +1,8 @@
 """Packing encoded rows into fixed-size blocks, and batches. A batch is a run of consecutive rows, so every group that
 meets in one task has a bounded number of rows however large the table is."""
 
+from bisect import bisect_right
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -54,21 +56,23 @@ def pack_stats(lengths: DataFrame, key: str, size: int, batch: int = BATCH) -> D
 
 
 def _fill_bins(lengths: list[int], capacity: int) -> list[list[int]]:
-    """Row numbers per bin. A bin walks the lengths still in stock from long to short and takes as many rows of each as
-    fit; of equally long rows the latest goes first."""
+    """Row numbers per bin. A bin takes as many rows as fit of the longest length that fits, then goes on with shorter
+    lengths; of equally long rows the latest goes first."""
     stock: dict[int, list[int]] = {}
     for row, length in enumerate(lengths):
         stock.setdefault(length, []).append(row)
-    falling = sorted(stock, reverse=True)
+    rising = sorted(stock)
     bins = []
-    while falling:
-        room, chosen = capacity, []
-        for length in falling:
-            rows = stock[length]
-            take = min(len(rows), room // length) if length else len(rows)
+    while rising:
+        room, chosen, at = capacity, [], len(rising)
+        while at := bisect_right(rising, room, 0, at):
+            at -= 1
+            rows = stock[rising[at]]
+            take = min(len(rows), room // rising[at]) if rising[at] else len(rows)
+            room -= take * rising[at]
             chosen += [rows.pop() for _ in range(take)]
-            room -= take * length
-        falling = [x for x in falling if stock[x]]
+            if not rows:
+                rising.pop(at)
         bins.append(chosen)
     return bins
 

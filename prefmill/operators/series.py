@@ -31,36 +31,23 @@ def decayed(df: DataFrame, group: list[str], index: str, value: str, decay: Colu
             max_decay: float = 0.9) -> DataFrame:
     """Adds s_i = decay * s_(i-1) + (1 - decay) * x_i, with ``start`` (or else the first value) before position 0.
 
-    Rows are folded in blocks so long that decay ** length is below 1e-18: the state at the end of a block is then, to
-    double precision, the block's own fold from the block before it. ``decay`` must not exceed ``max_decay``.
+    Blocks are so long that decay ** length is about 1e-18: the state a block starts from is then, to double precision,
+    the weighted sum of the block before it. Inside a block the state is a running sum of x_j * decay ** -j, so a run is
+    windows over blocks and one small join. ``decay`` lies in (0, ``max_decay``].
     """
-    length = max(512, math.ceil(41.5 / -math.log(max_decay)))
-    rows = df.withColumn("_block", F.floor(F.col(index) / length)).withColumn("_decay", decay)
-    if start is not None:
-        rows = rows.withColumn("_start", start)
-    keys = [*group, "_block"]
-    others = [c for c in df.columns if c not in group]
-    folded = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(index, value, *[c for c in others if c not in (index, value)]))).alias("_rows"),
-                                     F.max("_decay").alias("_decay"), *([F.max("_start").alias("_start")] if start is not None else []))
-    if start is None:
-        folded = folded.withColumn("_start", F.col("_rows")[0][value])
-
-    def step(s, r):
-        return s * F.col("_decay") + r[value] * (1 - F.col("_decay"))
-
-    own = F.when(F.col("_block") == 0, F.col("_start")).otherwise(0.0)
-    folded = folded.withColumn("_end", F.aggregate("_rows", own, step))
-    before = folded.select(*group, (F.col("_block") + 1).alias("_block"), F.col("_end").alias("_carry"))
-    joined = folded.join(before, keys, "left").withColumn("_from", F.coalesce("_carry", "_start"))
-
-    def collect(acc, r):
-        s = step(acc["s"], r)
-        return F.struct(s.alias("s"), F.array_append(acc["out"], s).alias("out"))
-
-    state = F.struct(F.col("_from").alias("s"), F.array().cast("array<double>").alias("out"))
-    joined = joined.withColumn("_smooth", F.aggregate("_rows", state, collect, lambda a: a["out"]))
-    spread = joined.select(*group, F.explode(F.arrays_zip(F.col("_rows").alias("r"), F.col("_smooth").alias("s"))).alias("z"))
-    return spread.select(*group, *[F.col(f"z.r.{c}").alias(c) for c in others], F.col("z.s").alias(name))
+    length = max(1, math.ceil(41.5 / -math.log(max_decay)))
+    keys, w, p = [*group, "_block"], F.col("_w"), F.col("_p")
+    rows = df.withColumn("_block", F.floor(F.col(index) / length)).withColumn("_p", F.col(index) % length).withColumn("_w", decay)
+    rows = rows.withColumn("_first", F.col(value) if start is None else start)
+    gain = (1 - w) * F.col(value)
+    # Only full blocks have a successor, so their end value needs no order.
+    ends = rows.groupBy(*keys).agg(F.sum(gain * F.pow(w, length - 1 - p)).alias("_end"), F.min_by("_first", "_p").alias("_first"), F.max("_w").alias("_w"))
+    lead = F.when(F.col("_block") == 0, F.pow(w, F.lit(float(length))) * F.col("_first")).otherwise(0.0)
+    before = ends.select(*group, (F.col("_block") + 1).alias("_block"), (F.col("_end") + lead).alias("_carry"))
+    own = Window.partitionBy(*keys).orderBy(index).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_local", F.sum(gain * F.pow(w, -p)).over(own) * F.pow(w, p)).withColumn("_begin", F.first("_first").over(own))
+    state = F.col("_local") + F.pow(w, p + 1) * F.coalesce("_carry", "_begin")
+    return rows.join(before, keys, "left").select(*df.columns, state.alias(name))
 
 
 def ema_smooth(df: DataFrame, group: list[str], order: str, value: str) -> DataFrame:
