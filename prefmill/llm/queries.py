@@ -1,6 +1,6 @@
 """Registered queries of this folder: each applies one operator, with production parameters, to its whole table."""
 
-from prefmill.llm import pii
+from prefmill.llm import pii, superminhash
 from prefmill.llm.base import table
 
 QUERIES = {}
@@ -15,3 +15,8 @@ def query(fn):
 @query
 def op1_pii(spark, folder):
     return pii.scan(table(spark, folder, "documents"))
+
+
+@query
+def op6_superminhash(spark, folder):
+    return superminhash.grouped(table(spark, folder, "documents"), 3, 85)
