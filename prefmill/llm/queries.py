@@ -1,6 +1,6 @@
 """Registered queries of this folder: each applies one operator, with production parameters, to its whole table."""
 
-from prefmill.llm import pii, superminhash
+from prefmill.llm import mixpack, pii, superminhash
 from prefmill.llm.base import table
 
 QUERIES = {}
@@ -20,3 +20,13 @@ def op1_pii(spark, folder):
 @query
 def op6_superminhash(spark, folder):
     return superminhash.grouped(table(spark, folder, "documents"), 3, 85)
+
+
+@query
+def op4_mixpack(spark, folder):
+    return mixpack.packed(table(spark, folder, "documents"), tokenizer_path())
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
