@@ -1,6 +1,6 @@
 """Registered queries of this folder: each applies one operator, with production parameters, to its whole table."""
 
-from prefmill.llm import mixpack, pii, superminhash
+from prefmill.llm import mixpack, pii, superminhash, toxicity
 from prefmill.llm.base import table
 
 QUERIES = {}
@@ -30,3 +30,8 @@ def op4_mixpack(spark, folder):
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
     return public_tokenizers.path(name)
+
+
+@query
+def op10_toxicity(spark, folder):
+    return toxicity.predictions(table(spark, folder, "documents"), table(spark, folder, "labels"))
