@@ -198,7 +198,9 @@ def classes_and_links(docs: DataFrame, rows: DataFrame, k: int, percent: int) ->
     weight = family.groupBy("family").agg(F.sum("n_shingles").alias("_w"))
     placed = block_pairs(family.join(weight, "family"), F.ceil(F.col("_w") / SET_BLOCK), "cls")
     placed = placed.select(F.xxhash64("family").alias("family"), "lo", "hi", "cls", "doc_id")
-    texts = (docs.select("doc_id", "text").join(placed.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
+    # The members grow with the documents, so they are never broadcast, however few they are.
+    members = placed.withColumnRenamed("doc_id", "_id").hint("merge")
+    texts = (docs.select("doc_id", "text").join(members, F.col("doc_id").eqNullSafe(F.col("_id")))
              .select("family", "lo", "hi", "cls", "text"))
     links = (texts.repartition("family", "lo", "hi").sortWithinPartitions("family", "lo", "hi")
              .mapInArrow(_set_edges(k, percent), "a binary, b binary"))
