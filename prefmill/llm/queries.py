@@ -1,6 +1,6 @@
 """Registered queries of this folder: each applies one operator, with production parameters, to its whole table."""
 
-from prefmill.llm import mixpack, pii, superminhash, toxicity
+from prefmill.llm import decontaminate, mixpack, pii, superminhash, toxicity
 from prefmill.llm.base import table
 
 QUERIES = {}
@@ -35,3 +35,8 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 @query
 def op10_toxicity(spark, folder):
     return toxicity.predictions(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op3_decontaminate(spark, folder):
+    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
