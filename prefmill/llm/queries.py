@@ -1,6 +1,6 @@
 """Registered queries of this folder: each applies one operator, with production parameters, to its whole table."""
 
-from prefmill.llm import decontaminate, mixpack, pii, superminhash, toxicity
+from prefmill.llm import decontaminate, langid, mixpack, pii, quality, superminhash, toxicity
 from prefmill.llm.base import table
 
 QUERIES = {}
@@ -40,3 +40,13 @@ def op10_toxicity(spark, folder):
 @query
 def op3_decontaminate(spark, folder):
     return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op8_langid(spark, folder):
+    return langid.predictions(table(spark, folder, "documents"))
+
+
+@query
+def op5_quality(spark, folder):
+    return quality.predictions(table(spark, folder, "documents"), table(spark, folder, "labels"))

@@ -18,6 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from prefmill.llm.base import fold, map_steps
+from prefmill.llm.learning import platt, sampled, sigmoid
 
 SAMPLE = 2000
 PASSAGES = 24
@@ -75,10 +76,6 @@ class Grams:
             np.concatenate([self.owner[same], self.owner[~alone]])
 
 
-def _softmax_gap(x):
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-
-
 class Model:
     def __init__(self, table: np.ndarray, bias: float, scale: tuple[float, float], prior: float):
         self.table, self.bias, self.scale, self.prior = table, bias, scale, prior
@@ -103,7 +100,7 @@ class Model:
     def scores(self, texts: list[str]) -> np.ndarray:
         if self.scale is None:
             return np.full(len(texts), self.prior)
-        return _softmax_gap(self.scale[0] * np.maximum(self.margins(texts), -30) + self.scale[1])
+        return sigmoid(self.scale[0] * np.maximum(self.margins(texts), -30) + self.scale[1])
 
 
 def misspelt(text: str, rng: np.random.Generator) -> str:
@@ -130,18 +127,6 @@ def _ranges(starts, ends):
     return np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(int(n.sum())), n
 
 
-def _platt(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a weighted logistic fit by Newton steps."""
-    a, b = 1.0, 0.0
-    for _ in range(50):
-        p = _softmax_gap(a * x + b)
-        g, h = w * (p - y), np.maximum(w * p * (1 - p), 1e-9)
-        m = np.array([[np.sum(h * x * x) + 1e-3, np.sum(h * x)], [np.sum(h * x), np.sum(h) + 1e-3]])
-        step = np.linalg.solve(m, [np.sum(g * x) + 1e-3 * (a - 1), np.sum(g)])
-        a, b = a - float(np.clip(step[0], -1, 1)), b - float(np.clip(step[1], -2, 2))
-    return max(a, 1e-3), b
-
-
 def train(texts: list[str], toxic: np.ndarray, class_sizes: tuple[int, int], seed: int = 11) -> Model:
     """``class_sizes``: labelled documents without and with the label, of which the texts are samples."""
     n0, n1 = class_sizes
@@ -180,7 +165,7 @@ def train(texts: list[str], toxic: np.ndarray, class_sizes: tuple[int, int], see
     margin = np.zeros(len(owner))
     for epoch in range(EPOCHS):
         if epoch:
-            belief = _softmax_gap(margin)
+            belief = sigmoid(margin)
             most = np.zeros(len(texts))
             np.maximum.at(most, owner, belief)
             share = np.exp(4 * (belief - most[owner]))
@@ -199,7 +184,7 @@ def train(texts: list[str], toxic: np.ndarray, class_sizes: tuple[int, int], see
             gathered = vectors[grams]
             mean = np.stack([np.bincount(each, gathered[:, d], len(part)) for d in range(DIMENSIONS)], 1) / number[:, None]
             margin[part] = mean @ out + bias
-            error = (_softmax_gap(margin[part]) - y[part]) * weight[part] / len(part)
+            error = (sigmoid(margin[part]) - y[part]) * weight[part] / len(part)
             grad_o, grad_b = mean.T @ error, float(error.sum())
             slope = (error / number)[each]
             grad = np.bincount(grams, slope, BUCKETS)[:, None] * out[None, :]
@@ -216,22 +201,10 @@ def train(texts: list[str], toxic: np.ndarray, class_sizes: tuple[int, int], see
     x = np.concatenate([model.margins(real[i:i + 200]) for i in range(0, len(real), 200)])
     known = np.isfinite(x)
     w = np.where(real_toxic, n1 / real_toxic.sum(), n0 / (~real_toxic).sum()) / (n0 + n1) * len(real)
-    model.scale = _platt(x[known], real_toxic[known].astype(float), w[known]) if known.any() else None
+    model.scale = platt(x[known], real_toxic[known].astype(float), w[known]) if known.any() else None
     return model
 
 
-def sampled(docs: DataFrame, labels: DataFrame, label: str, train_rows, per_class: int):
-    """Texts and labels of at most ``per_class`` documents of each class, by hash of the id, and the class sizes."""
-    marked = (labels.filter(train_rows & F.col(label).isNotNull() & F.col("doc_id").isNotNull())
-              .groupBy("doc_id").agg((F.max(label) > 0).alias("_y")))
-    sizes = {r["_y"]: r["n"] for r in marked.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    ids = [marked.filter(F.col("_y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (False, True)]
-    ids = F.broadcast(ids[0].unionByName(ids[1]))  # at most 2 * per_class rows
-    rows = docs.select("doc_id", "text").join(ids, "doc_id").groupBy("doc_id", "_y").agg(F.min("text").alias("text"))
-    found = sorted(rows.collect(), key=lambda r: r["doc_id"])
-    return [r["text"] or "" for r in found], np.array([r["_y"] for r in found], bool), (sizes.get(False, 0), sizes.get(True, 0))
-
-
 def fitted(docs: DataFrame, labels: DataFrame, train_rows) -> Model:
     return train(*sampled(docs, labels, "toxic", train_rows, SAMPLE))
 
