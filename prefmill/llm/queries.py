@@ -1,6 +1,6 @@
 """Registered queries of this folder: each applies one operator, with production parameters, to its whole table."""
 
-from prefmill.llm import decontaminate, langid, mixpack, pii, quality, superminhash, toxicity
+from prefmill.llm import decontaminate, langid, mainhtml, mixpack, pii, quality, superminhash, toxicity
 from prefmill.llm.base import table
 
 QUERIES = {}
@@ -50,3 +50,8 @@ def op8_langid(spark, folder):
 @query
 def op5_quality(spark, folder):
     return quality.predictions(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op9_mainhtml(spark, folder):
+    return mainhtml.extracted(table(spark, folder, "pages"))
