@@ -1,6 +1,6 @@
 """Registered queries of this folder: each applies one operator, with production parameters, to its whole table."""
 
-from prefmill.llm import decontaminate, langid, mainhtml, mixpack, pii, quality, superminhash, toxicity
+from prefmill.llm import decontaminate, langid, mainhtml, mixpack, pii, quality, spotsigs, superminhash, toxicity
 from prefmill.llm.base import table
 
 QUERIES = {}
@@ -55,3 +55,8 @@ def op5_quality(spark, folder):
 @query
 def op9_mainhtml(spark, folder):
     return mainhtml.extracted(table(spark, folder, "pages"))
+
+
+@query
+def op2_spotsigs(spark, folder):
+    return spotsigs.edited(table(spark, folder, "documents"))
