@@ -1,7 +1,8 @@
 """Registered queries of this folder: each applies one operator, with production parameters, to its whole table."""
 
-from prefmill.llm import decontaminate, langid, mainhtml, mixpack, pii, quality, spotsigs, superminhash, toxicity
-from prefmill.llm.base import table
+import corpus_pipeline
+from prefmill.llm import decontaminate, langid, mainhtml, mixpack, pii, quality, secretforest, spotsigs, superminhash, toxicity
+from prefmill.llm.base import table, tokenizer_path
 
 QUERIES = {}
 ORACLES = {}
@@ -27,16 +28,6 @@ def op4_mixpack(spark, folder):
     return mixpack.packed(table(spark, folder, "documents"), tokenizer_path())
 
 
-def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
-    import public_tokenizers
-    return public_tokenizers.path(name)
-
-
-@query
-def op10_toxicity(spark, folder):
-    return toxicity.predictions(table(spark, folder, "documents"), table(spark, folder, "labels"))
-
-
 @query
 def op3_decontaminate(spark, folder):
     return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -60,3 +51,17 @@ def op9_mainhtml(spark, folder):
 @query
 def op2_spotsigs(spark, folder):
     return spotsigs.edited(table(spark, folder, "documents"))
+
+
+@query
+def op7_secrets(spark, folder):
+    return secretforest.scan(table(spark, folder, "documents"))
+
+
+@query
+def pipeline(spark, folder):
+    return corpus_pipeline.run(spark, folder)
+
+
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
