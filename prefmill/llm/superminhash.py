@@ -76,7 +76,8 @@ def sets_of(values, k: int) -> list[np.ndarray]:
 
 
 def signed(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, cls (names the set; null if empty), sig (a byte of each value), keys (one for each band)."""
+    """doc_id, th (hash of the text), n_shingles, cls (names the set; null if empty), sig (a byte of each value), keys (one
+    for each band)."""
     count = bands(percent)
     m = ROWS * count
     factor = mix(np.arange(ROWS, dtype=np.uint64)) | np.uint64(1)
@@ -89,12 +90,13 @@ def signed(docs: DataFrame, k: int, percent: int) -> DataFrame:
         keys = keys.view(np.int64)
         small = (values & np.uint32(255)).astype(np.uint8)
         row = dict(zip(full, range(len(full))))
-        return [batch.column("doc_id"), [len(s) for s in sets], [digest(s) if len(s) else None for s in sets],
+        return [batch.column("doc_id"), batch.column("th"), [len(s) for s in sets], [digest(s) if len(s) else None for s in sets],
                 [small[row[i]].tobytes() if i in row else None for i in range(len(sets))],
                 [keys[row[i]] if i in row else None for i in range(len(sets))]]
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_steps(docs.select("doc_id", "text"), f"doc_id {kind}, n_shingles long, cls binary, sig binary, keys array<long>", step)
+    return map_steps(docs.select("doc_id", "text", F.xxhash64("text").alias("th")),
+                     f"doc_id {kind}, th long, n_shingles long, cls binary, sig binary, keys array<long>", step)
 
 
 def _groups(batches, key: list[str]):
@@ -207,25 +209,36 @@ def classes_and_links(docs: DataFrame, rows: DataFrame, k: int, percent: int) ->
     return classes.select("cls", "doc_id"), links
 
 
-def grouped(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
+def placed(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, th, n_shingles, cls, component_id, first (whether the row's class holds the component's smallest id)."""
     rows = settled(signed(docs, k, percent))
     classes, links = classes_and_links(docs, rows, k, percent)
     joined = classes.join(components(links).withColumnRenamed("node", "cls"), "cls", "left")
     joined = joined.withColumn("root", F.coalesce("root", "cls"))
-    low = joined.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = joined.join(low, "root").select("cls", "component_id")
-    out = rows.select("doc_id", "n_shingles", "cls").join(named, "cls", "left")
+    low = joined.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("_null"), "doc_id", "cls")).alias("low"))
+    named = joined.join(low, "root").select("cls", F.col("low.doc_id").alias("component_id"), (F.col("low.cls") == F.col("cls")).alias("first"))
+    return rows.select("doc_id", "th", "n_shingles", "cls").join(named, "cls", "left")
+
+
+def grouped(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
     own = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), own.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return placed(docs, k, percent).select("doc_id", "n_shingles", own.alias("component_id"), own.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay: one of each component, all columns. Of rows that repeat an id and a component, one."""
-    kept = settled(grouped(docs, k, percent).filter("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"),
-                                                                                  F.max("n_shingles").alias("_s")))
+    """The rows of ``docs`` that stay, all columns: one of each component, and every row without a shingle. Of rows that
+    share the smallest id of a component, one with its class and the smallest text hash stays."""
+    found = placed(docs, k, percent)
+    best = found.filter(F.col("first") & F.col("component_id").eqNullSafe(F.col("doc_id")))
+    best = best.groupBy("doc_id", "cls", "th").agg(F.count(F.lit(1)).alias("n"))
+    best = settled(best.groupBy("doc_id", "cls").agg(F.min(F.struct("th", "n")).alias("b")).select("doc_id", "b.th", "b.n"))
+    blank = found.filter("cls IS NULL").select("doc_id", "th").distinct()
+
     def of(ids):
-        return docs.join(ids.select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    once = of(kept.filter("_n = 1 OR _s = 0"))
-    again = kept.filter("_n > 1 AND _s > 0")
+        d, i = F.col("d.doc_id"), F.col("k.doc_id")
+        return docs.alias("d").join(ids.alias("k"), d.eqNullSafe(i) & F.xxhash64("d.text").eqNullSafe(F.col("k.th")), "left_semi")
+
+    once = of(best.filter("n = 1").select("doc_id", "th").unionByName(blank))
+    again = best.filter("n > 1")
     return once if again.isEmpty() else once.unionByName(of(again).dropDuplicates(["doc_id", "text"]))

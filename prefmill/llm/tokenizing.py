@@ -1,7 +1,8 @@
 """Exact ids of a public byte-level tokenizer, with a memory for words.
 
-The tokenizer's own splitting rule always cuts before a single blank between two characters that are not white space, so
-a text may be encoded piece by piece there and pieces that recur need encoding once.
+The tokenizer's own splitting rule always cuts before a single blank between two characters that are not white space,
+around a single line end between such characters, and between a letter or digit and a sign. So a text may be encoded
+piece by piece there, and pieces that recur need encoding once.
 """
 
 import os
@@ -9,15 +10,38 @@ import re
 from array import array
 from functools import lru_cache
 
-#: Pieces remembered in a worker; the memory is emptied when it is full, which changes nothing but time.
-REMEMBERED = 250_000
+#: Pieces in the younger half of a memory. A full one becomes the older half; pieces used from there come back.
+REMEMBERED = 300_000
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+_SIGNS = ".,;:!?*&%$#|"
 
 
 def _clean(piece: str) -> bool:
     return bool(piece) and not piece[0].isspace() and not piece[-1].isspace()
 
 
+class Memory:
+    """What ``make`` gives for each piece of a list, remembered in two halves."""
+
+    def __init__(self, make):
+        self.make, self.young, self.old = make, {}, {}
+
+    def all(self, pieces: set[str]) -> dict[str, bytes]:
+        """Makes all these pieces known and returns the dictionary that holds them."""
+        if len(self.young) > REMEMBERED:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        fresh = []
+        for p in pieces:
+            if p not in young:
+                if (found := old.get(p)) is not None:
+                    young[p] = found
+                else:
+                    fresh.append(p)
+        young.update(zip(fresh, self.make(fresh)))
+        return young
+
+
 class Pieces:
     """Encodes texts to bytes of little-endian ids, two bytes each if the vocabulary allows, else four."""
 
@@ -27,26 +51,47 @@ class Pieces:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
-        self.known: dict[str, bytes] = {}
+        self.atoms = Memory(self._encode)
+        self.words = Memory(self._words)
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
         return [array(self.code, e.ids).tobytes() for e in found]
 
+    def _atoms_of(self, piece: str) -> list[str]:
+        """A clean piece cut at line ends and before closing signs."""
+        parts = piece.split("\n")
+        if len(parts) > 1 and not all(map(_clean, parts)):
+            return [piece]
+        out = []
+        for part in parts:
+            core = part.rstrip(_SIGNS)
+            out += [core, part[len(core):]] if core and core != part and core[-1].isalnum() else [part]
+            out.append("\n")
+        return out[:-1]
+
+    def _words(self, pieces: list[str]) -> list[bytes]:
+        cut = []
+        for p in pieces:
+            atoms = self._atoms_of(p)
+            atoms[0] = " " + atoms[0]
+            cut.append(atoms)
+        known = self.atoms.all({a for atoms in cut for a in atoms})
+        return [b"".join(map(known.__getitem__, atoms)) for atoms in cut]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known, cut, fresh, odd = self.known, [], set(), []
-        for i, text in enumerate(texts):
+        known, cut, new = self.words.young, [], set()
+        for text in texts:
             parts = text.split(" ")
-            new = {p for p in parts[1:] if p not in known}
-            if not all(map(_clean, new)) or not _clean(parts[0]):
+            more = {p for p in parts[1:] if p not in known}
+            if not all(map(_clean, more)) or not _clean(parts[0]):
                 parts = _CUT.split(text)
-                new = {p for p in parts[1:] if p not in known}
-            fresh |= new
+                more = {p for p in parts[1:] if p not in known}
+            new |= more
             cut.append(parts)
-        fresh = list(fresh)
-        known.update(zip(fresh, self._encode([" " + p for p in fresh])))
+        if len(known) > REMEMBERED:  # the halves change now, so every piece of these texts must be asked for
+            new = {p for parts in cut for p in parts[1:]}
+        known = self.words.all(new)
         heads = self._encode([parts[0] for parts in cut])
         return [head + b"".join(map(known.__getitem__, parts[1:])) for head, parts in zip(heads, cut)]
 
