@@ -125,11 +125,11 @@ def encode_pairwise(aligned: DataFrame, name: str, cutoff: int = 2048, keep=(),
 
 def kl_shift(df: DataFrame, key: str, columns: list[str], batch: int = 1000) -> DataFrame:
     """Adds kl_<column>: the value of the row before inside each batch of rows; the first row gets the last one's."""
-    indexed = ordered_index(df.select(key), [key]).join(df, key).withColumn("_batch", F.floor(F.col("idx") / batch))
+    indexed = ordered_index(df, [key]).withColumn("_batch", F.floor(F.col("idx") / batch))
     inside = Window.partitionBy("_batch").orderBy("idx")
     whole = inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     for c in columns:
-        indexed = indexed.withColumn(f"kl_{c}", F.coalesce(F.lag(c).over(inside), F.last(c).over(whole)))
+        indexed = indexed.withColumn(f"kl_{c}", F.when(F.row_number().over(inside) == 1, F.last(c).over(whole)).otherwise(F.lag(c).over(inside)))
     return indexed.drop("_batch")
 
 
@@ -142,7 +142,7 @@ def encode_feedback(aligned: DataFrame, name: str, key: str, cutoff: int = 2048,
     def wanted(response):
         return F.when(F.length(response[0]["content"]) > 0, response[0]).otherwise(response[1])
 
-    sides = {"": F.col("_response"), "kl_": F.coalesce("kl__response", F.col("_response"))}
+    sides = {"": F.col("_response"), "kl_": F.col("kl__response")}
     tag = F.length(F.col("_response")[0]["content"]) > 0
     cells = []
     for prefix, response in sides.items():

@@ -68,7 +68,7 @@ def argmax_choice(scores: dict[str, Column]) -> Column:
 
 def mcq_accuracy(results: DataFrame, categories: DataFrame) -> DataFrame:
     """category, n, accuracy in percent; ``Average`` covers all questions. ``categories`` maps subject to category."""
-    joined = results.join(categories, "subject")
+    joined = results.join(categories, "subject", "left")  # an unmapped subject counts in the average, under no category
     graded = joined.select("category", (F.col("prediction") == F.col("answer")).cast("int").alias("hit"))
     out = graded.groupingSets([["category"], []], "category").agg(F.grouping("category").alias("_all"), F.count(F.lit(1)).alias("n"),
                                                                   (F.avg("hit") * 100).alias("accuracy"))

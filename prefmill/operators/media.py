@@ -45,24 +45,26 @@ def list_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def media_resolve(df: DataFrame, key: str, paths: str, listing: DataFrame, folder: str) -> DataFrame:
-    """key, resolved paths in order, number of missing files. A path found below ``folder`` gets that prefix, others stay.
+    """key, resolved paths in order, number of missing files. A path found below ``folder`` gets that prefix, others stay;
+    a row without media keeps an empty list.
     ``paths`` is a list of files or, for videos given as frames, a list of lists.
 
     One path may be used by a large share of the rows, so the join is salted: rows pick one of SALT copies of the listing.
     """
     framed = dict(df.dtypes)[paths].startswith("array<array")
-    spread = df.select(key, F.posexplode(paths).alias("pos", "path"))
-    spread = spread.select(key, "pos", F.posexplode("path").alias("frame", "path")) if framed else spread.withColumn("frame", F.lit(0))
+    spread = df.select(key, F.posexplode_outer(paths).alias("pos", "path"))
+    spread = spread.select(key, "pos", F.posexplode_outer("path").alias("frame", "path")) if framed else spread.withColumn("frame", F.lit(0))
     spread = spread.withColumn("_full", F.concat(F.lit(folder.rstrip("/") + "/"), "path")).withColumn(
         "_salt", (keyed("salt", key, "pos", "frame") % SALT).cast("int"))
     known = listing.select(F.col("path").alias("_full")).distinct().withColumn(
         "_salt", F.explode(F.array(*[F.lit(i) for i in range(SALT)]))).withColumn("_found", F.lit(True))
     joined = spread.join(known, ["_full", "_salt"], "left")
-    cell = F.struct("pos", "frame", F.when(F.col("_found"), F.col("_full")).otherwise(F.col("path")).alias("path"))
-    out = joined.groupBy(key).agg(F.array_sort(F.collect_list(cell)).alias("_cells"), F.sum(F.col("_found").isNull().cast("bigint")).alias("missing"))
+    held = F.col("path").isNotNull()
+    cell = F.when(held, F.struct("pos", "frame", F.when(F.col("_found"), F.col("_full")).otherwise(F.col("path")).alias("path")))
+    out = joined.groupBy(key).agg(F.array_sort(F.collect_list(cell)).alias("_cells"), F.sum((held & F.col("_found").isNull()).cast("bigint")).alias("missing"))
     flat = F.transform("_cells", lambda x: x["path"])
-    last = F.element_at("_cells", -1)["pos"]
-    nested = F.transform(F.sequence(F.lit(0), last), lambda p: F.transform(F.filter("_cells", lambda x: x["pos"] == p), lambda x: x["path"]))
+    last = F.array_max(F.transform("_cells", lambda x: x["pos"]))
+    nested = F.transform(F.when(last.isNotNull(), F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>")), lambda p: F.transform(F.filter("_cells", lambda x: x["pos"] == p), lambda x: x["path"]))
     return out.select(key, (nested if framed else flat).alias(paths), "missing")
 
 

@@ -1,7 +1,8 @@
 """Mixing member tables into one ordered table, and splitting off validation rows.
 
-Members come as one DataFrame with a member number ``ds`` (0..k-1), an ``id`` unique and ordered inside the member, and
-any other columns. The result has a dense ``pos``. Only (ds, id) keys are indexed; wide columns are joined at the end.
+Members come as one DataFrame with a member number ``ds`` (0..k-1), an ``id`` that orders the member, and any other
+columns. The result has a dense ``pos``. Rows are numbered inside their member first, so repeated and null ids are rows
+like others; the plan of positions is made from (ds, rn) alone and wide columns are joined at the end.
 """
 
 import math
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from prefmill.functions.hashing import uniform
 from prefmill.operators import joins
 from prefmill.operators.rowindex import bucketed_index, ordered_index, shuffled_index, sized_buckets
+from prefmill.session import settled
 
 CHUNK = 4096
 SEARCH = 4096
@@ -23,7 +25,7 @@ def sizes_of(members: DataFrame) -> dict[int, int]:
 
 
 def _indexed(members: DataFrame) -> DataFrame:
-    return ordered_index(members.select("ds", "id"), ["id"], group=["ds"], name="rn")
+    return settled(ordered_index(members, ["id"], group=["ds"], name="rn"))
 
 
 def _by_member(values: dict) -> F.Column:
@@ -38,13 +40,12 @@ def _use(uses: DataFrame, rows: DataFrame, keys: list[str], repeats: dict[int, i
 
 
 def _attach(placed: DataFrame, members: DataFrame, repeats: dict[int, int] | None = None) -> DataFrame:
-    """Wide columns for (ds, id, pos)."""
-    return _use(placed, members, ["ds", "id"], repeats or {0: 1}, "pos")
+    """Wide columns for (ds, rn, pos)."""
+    return _use(placed, members, ["ds", "rn"], repeats or {0: 1}, "pos").drop("rn")
 
 
 def mix_concat(members: DataFrame) -> DataFrame:
-    placed = ordered_index(members.select("ds", "id"), ["ds", "id"], name="pos")
-    return _attach(placed, members)
+    return ordered_index(members, ["ds", "id"], name="pos")
 
 
 def mix_interleave(members: DataFrame, stop: str) -> DataFrame:
@@ -57,15 +58,15 @@ def mix_interleave(members: DataFrame, stop: str) -> DataFrame:
     place = _by_member(rank)
     if stop == "under":
         kept = indexed.filter(F.col("rn") < min(sizes.values()))
-        return _attach(kept.select("ds", "id", (F.col("rn") * len(order) + place).alias("pos")), members)
+        return _attach(kept.select("ds", "rn", (F.col("rn") * len(order) + place).alias("pos")), indexed)
     if stop == "once":
         # Rows before (rn, ds) in round-robin order: every member gives min(its size, rows it had a turn for).
         before = sum((F.least(F.lit(sizes[d]), F.col("rn") + F.when(F.lit(rank[d]) < place, 1).otherwise(0)) for d in order), F.lit(0))
-        return _attach(indexed.select("ds", "id", before.cast("bigint").alias("pos")), members)
+        return _attach(indexed.select("ds", "rn", before.cast("bigint").alias("pos")), indexed)
     if stop == "over":
         longest = max(sizes.values())
-        turns = repeat_to(indexed, sizes, longest)
-        return _attach(turns.select("ds", "id", (F.col("turn") * len(order) + place).alias("pos")), members,
+        turns = repeat_to(indexed.select("ds", "rn"), sizes, longest)
+        return _attach(turns.select("ds", "rn", (F.col("turn") * len(order) + place).alias("pos")), indexed,
                        {d: -(-longest // n) for d, n in sizes.items()})
     raise ValueError(f"unknown stop rule {stop}")
 
@@ -78,7 +79,7 @@ def repeat_to(indexed: DataFrame, sizes: dict[int, int], length: int) -> DataFra
     stride = F.col("_n") * CHUNK
     chunks = sized.withColumn("_from", F.explode(F.sequence(F.col("rn"), F.lit(length - 1).cast("bigint"), stride)))
     if length > CHUNK * min(sizes.values()):
-        chunks = chunks.repartition("ds", "id", "_from")
+        chunks = chunks.repartition("ds", "rn", "_from")
     last = F.least(F.col("_from") + stride - F.col("_n"), F.lit(length - 1))
     return chunks.withColumn("turn", F.explode(F.sequence(F.col("_from"), last, F.col("_n")))).drop("_from", "_n")
 
@@ -138,14 +139,13 @@ def mix_interleave_prob(members: DataFrame, probs: dict[int, float], stop: str,
     size = _by_member(sizes)
     indexed = _indexed(members)
     if stop == "once":
-        kept = numbered.filter(F.col("turn") < size).withColumnRenamed("turn", "rn").join(indexed, ["ds", "rn"])
-        closed = bucketed_index(kept.select("ds", "id", "at"), slot, ["at"], name="pos")
-        return _attach(closed.select("ds", "id", "pos"), members)
+        kept = numbered.filter(F.col("turn") < size).withColumnRenamed("turn", "rn")
+        closed = bucketed_index(kept.select("ds", "rn", "at"), slot, ["at"], name="pos")
+        return _attach(closed.select("ds", "rn", "pos"), indexed)
     kept = numbered.withColumn("rn", F.col("turn") % size)
-    # Rows of a member much smaller than the mix are used often; their keys and, later, the rows are dealt over copies.
+    # Rows of a member much smaller than the mix are used often, so they are dealt over copies.
     repeats = {d: math.ceil((cut + 1) * probs[d] / sizes[d]) for d in order}
-    rows = _use(kept, indexed, ["ds", "rn"], repeats, "at")
-    return _attach(rows.select("ds", "id", F.col("at").alias("pos")), members, repeats)
+    return _attach(kept.select("ds", "rn", F.col("at").alias("pos")), indexed, repeats)
 
 
 def mix(members: DataFrame, strategy: str, probs: dict[int, float] | None = None, seed=0) -> DataFrame:
@@ -162,10 +162,10 @@ def mix(members: DataFrame, strategy: str, probs: dict[int, float] | None = None
 def split(df: DataFrame, key: str, val_size: float, seed=0) -> DataFrame:
     """Adds ``split``: ``validation`` for the first rows of a hashed order, else ``train``. A size above 1 is a row
     count, below 1 a share (rounded up)."""
-    order = shuffled_index(df.select(key), [key], seed, total="_total")
+    order = shuffled_index(df, [key], seed, total="_total")
     held = F.lit(int(val_size)) if val_size > 1 else F.ceil(F.col("_total") * val_size)
     marked = order.withColumn("split", F.when(F.col("idx") < held, "validation").otherwise("train"))
-    return marked.drop("_total").join(df, key)
+    return marked.drop("_total")
 
 
 def split_named(train: DataFrame, evals: dict[str, DataFrame] | None = None, val_size: float = 0.0) -> DataFrame:

@@ -15,7 +15,7 @@ BATCH = 1000
 
 def batched(df: DataFrame, key: str, batch: int = BATCH) -> DataFrame:
     """Adds idx (row position by key) and batch."""
-    return ordered_index(df.select(key), [key]).withColumn("batch", F.floor(F.col("idx") / batch)).join(df, key)
+    return ordered_index(df, [key]).withColumn("batch", F.floor(F.col("idx") / batch))
 
 
 def _streamed(df: DataFrame, key: str, batch: int) -> DataFrame:
@@ -182,7 +182,7 @@ def pad_truncate(df: DataFrame, cutoff: int, batch: str = "batch", arrays: list[
 
 def stack_pairs(df: DataFrame, key: str, batch: int) -> DataFrame:
     """batch, slot, key, side, input_ids, labels: the chosen rows of a batch, then its rejected rows."""
-    rows = ordered_index(df.select(key), [key], total="_total").join(df, key)
+    rows = ordered_index(df, [key], total="_total")
     rows = rows.withColumn("batch", F.floor(F.col("idx") / batch))
     height = F.least(F.lit(batch).cast("bigint"), F.col("_total") - F.col("batch") * batch)
     sides = F.array(*[F.struct(F.lit(s).alias("side"), F.lit(i).alias("_second"), F.col(f"{s}_input_ids").alias("input_ids"),

@@ -10,6 +10,20 @@ from prefmill.functions.hashing import SPACE, keyed
 from prefmill.session import settled
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of the whole row, to order rows with equal keys. Maps are left out, as they have no order."""
+    return F.xxhash64(*[F.col(f"`{n}`") for n, t in df.dtypes if "map<" not in t])
+
+
+def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where null equals null; the columns of ``left``, then those of ``right`` without the keys."""
+    renamed = right.select(*[F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
+    match = F.lit(True)
+    for i, k in enumerate(keys):
+        match = match & F.col(k).eqNullSafe(F.col(f"_key_{i}"))
+    return left.join(renamed, match, how).drop(*[f"_key_{i}" for i in range(len(keys))])
+
+
 def _offsets(spans: DataFrame, slot: str, group: list[str]) -> DataFrame:
     # One row per (slot, group); a group's rows here are at most the number of slots, never the number of data rows.
     before = Window.partitionBy(*group).orderBy(slot).rowsBetween(Window.unboundedPreceding, -1)
@@ -19,23 +33,22 @@ def _offsets(spans: DataFrame, slot: str, group: list[str]) -> DataFrame:
 
 def ordered_index(df: DataFrame, order: list[str], group: list[str] = (), name: str = "idx",
                   total: str | None = None) -> DataFrame:
-    """Number rows by ``order`` (which must make rows unique inside a group; both must be non-null).
+    """Number rows by ``order`` inside each group. Every row keeps its columns and gets one number: nulls come first, equal
+    keys follow each other by a hash of the row, and rows with equal keys are spread over partitions.
 
-    Only the key columns are range partitioned, sorted and written; wider rows are joined back on the keys.
+    Rows are range partitioned, sorted and written once; nothing is joined back, so no row is lost or multiplied.
     """
     group, order = list(group), list(order)
     keys = [*group, *order]
-    ranged = df.select(*keys).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    ranged = df.withColumn("_tie", row_hash(df)).repartitionByRange(*keys, "_tie").sortWithinPartitions(*keys, "_tie").drop("_tie")
     ranged = settled(ranged.withColumn("_at", F.monotonically_increasing_id()))
-    ranged = ranged.select(*keys, F.shiftright("_at", 33).alias("_slot"),
-                           F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)).alias("_pos"))
+    ranged = ranged.withColumn("_slot", F.shiftright("_at", 33)).withColumn("_pos", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
     spans = ranged.groupBy("_slot", *group).agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_start"))
-    marked = ranged.join(_offsets(spans, "_slot", group), ["_slot", *group])
+    marked = null_safe(ranged, _offsets(spans, "_slot", group), ["_slot", *group])
     marked = marked.withColumn(name, F.col("_pos") - F.col("_start") + F.col("_before"))
     if total:
         marked = marked.withColumn(total, F.col("_span_total"))
-    marked = marked.select(*keys, name, *([total] if total else []))
-    return marked if set(df.columns) == set(keys) else df.join(marked, keys)
+    return marked.select(*df.columns, name, *([total] if total else []))
 
 
 def bucketed_index(df: DataFrame, bucket: Column, order: list, group: list[str] = (), name: str = "idx",
@@ -48,8 +61,7 @@ def bucketed_index(df: DataFrame, bucket: Column, order: list, group: list[str]
     placed = df.withColumn("_slot", bucket)
     spans = placed.groupBy("_slot", *group).agg(F.count(F.lit(1)).alias("_n"))
     inner = Window.partitionBy("_slot", *group).orderBy(*order)
-    out = (placed.withColumn("_pos", F.row_number().over(inner) - 1)
-           .join(_offsets(spans, "_slot", group), ["_slot", *group])
+    out = (null_safe(placed.withColumn("_pos", F.row_number().over(inner) - 1), _offsets(spans, "_slot", group), ["_slot", *group])
            .withColumn(name, (F.col("_pos") + F.col("_before")).cast("bigint")))
     if total:
         out = out.withColumn(total, F.col("_span_total"))

@@ -2,38 +2,43 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from prefmill.functions.hashing import keyed
+from prefmill.functions.hashing import draw60
 from prefmill.operators.joins import join_repeated
 from prefmill.operators.rowindex import ordered_index, shuffled_index
 
 
-TOP_ROWS = 10_000
-
-
 def draws(spark, count: int, size: int, seed, start: int = 0) -> DataFrame:
     """draw, idx: ``count`` draws with replacement of positions 0..size-1."""
     return spark.range(start, start + count).select(
-        F.col("id").alias("draw"), (keyed(seed, F.lit("draw"), F.col("id")) % size).alias("idx"))
+        F.col("id").alias("draw"), (draw60(seed, F.lit("draw"), F.col("id")) % size).alias("idx"))
 
 
 def sample_num(df: DataFrame, key: str, target: int, seed=0, size: int | None = None) -> DataFrame:
     """``target`` rows in random order (``draw`` is the position): a permutation without replacement, topped up with
     replacement when more rows are asked for than there are."""
     size = df.count() if size is None else size
-    order = shuffled_index(df.select(key), [key], seed, name="idx")
-    first = order.filter(F.col("idx") < min(target, size)).select(key, F.col("idx").alias("draw"))
+    order = shuffled_index(df, [key], seed, name="idx")
+    first = order.filter(F.col("idx") < min(target, size)).withColumnRenamed("idx", "draw")
     if target > size > 0:
         more = join_repeated(draws(df.sparkSession, target - size, size, seed, start=size), order, ["idx"], -(-target // size), ["draw"])
-        first = first.unionByName(more.select(key, "draw"))
-    return join_repeated(first, df, [key], -(-target // max(size, 1)), ["draw"])
+        first = first.unionByName(more.select(*df.columns, "draw"))
+    return first
 
 
 def first_n(df: DataFrame, key: str, count: int) -> DataFrame:
-    """The first ``count`` rows by key. A few rows are a top-k; many rows are cut by position, as a large limit would
-    gather them in one task."""
-    if count <= TOP_ROWS:
-        return df.orderBy(key).limit(count)
-    return ordered_index(df.select(key), [key]).filter(F.col("idx") < count).drop("idx").join(df, key)
+    """The first ``count`` rows by key, nulls first. Only keys are sorted; the key at the edge reaches the driver, and of
+    the rows that share it as many as are needed are taken by a hash of the row."""
+    if count <= 0:
+        return df.limit(0)
+    numbered = ordered_index(df.select(key), [key])
+    edge = numbered.filter(F.col("idx") == count - 1).first()
+    if edge is None:
+        return df
+    at = F.lit(edge[key]).cast(df.schema[key].dataType)
+    below = F.isnull(key) | (F.col(key) < at) if edge[key] is not None else F.lit(False)
+    start = numbered.filter(F.col(key).eqNullSafe(at)).agg(F.min("idx")).first()[0]
+    ties = ordered_index(df.filter(F.col(key).eqNullSafe(at)), [key]).filter(F.col("idx") < count - start).drop("idx")
+    return df.filter(below).unionByName(ties)
 
 
 def sample_max(df: DataFrame, key: str, limit: int) -> DataFrame:
@@ -44,16 +49,15 @@ def sample_max(df: DataFrame, key: str, limit: int) -> DataFrame:
 def sample_weighted(df: DataFrame, key: str, size: int | None, weight: float | None, seed=0) -> DataFrame:
     """``size`` draws with replacement, then int(n * weight) draws with replacement of the result."""
     spark = df.sparkSession
-    picked = ordered_index(df.select(key), [key])
-    count, uses = df.count(), 1
+    picked = ordered_index(df, [key])
+    count = df.count()
     for wanted, name in ((size, "size"), (weight, "weight")):
         if wanted is not None:
             drawn = wanted if name == "size" else int(count * wanted)
-            uses *= -(-drawn // max(count, 1)) or 1
             picked = join_repeated(draws(spark, drawn, count, f"{seed}:{name}"), picked, ["idx"], -(-drawn // max(count, 1)), ["draw"])
-            picked = picked.select(key, F.col("draw").alias("idx"))
+            picked = picked.select(*df.columns, F.col("draw").alias("idx"))
             count = drawn
-    return join_repeated(picked, df, [key], uses, ["idx"])
+    return picked
 
 
 def select_slice(df: DataFrame, key: str, start: int | None, stop: int | None, step: int = 1) -> DataFrame:
@@ -75,25 +79,24 @@ def select_rows(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
 
 def preview_page(df: DataFrame, key: str, page: int, size: int = 2) -> DataFrame:
     """Rows of one page with the total row count."""
-    indexed = ordered_index(df.select(key), [key], total="total")
-    chosen = indexed.filter((F.col("idx") >= page * size) & (F.col("idx") < (page + 1) * size))
-    return F.broadcast(chosen).join(df, key)
+    indexed = ordered_index(df, [key], total="total")
+    return indexed.filter((F.col("idx") >= page * size) & (F.col("idx") < (page + 1) * size))
 
 
 def shard_replica(df: DataFrame, key: str, world: int, seed=0) -> DataFrame:
     """Rows in shuffled order striped over ``world`` replicas; the incomplete last stripe is dropped."""
-    order = shuffled_index(df.select(key), [key], seed, total="_total")
+    order = shuffled_index(df, [key], seed, total="_total")
     even = order.filter(F.col("idx") < F.floor(F.col("_total") / world) * world).drop("_total")
-    return even.withColumn("replica", F.col("idx") % world).join(df, key)
+    return even.withColumn("replica", F.col("idx") % world)
 
 
 def contiguous_shards(df: DataFrame, key: str, world: int) -> DataFrame:
     """Shard r holds positions r*ceil(n/world) .. (r+1)*ceil(n/world)-1."""
-    indexed = ordered_index(df.select(key), [key], total="_total")
+    indexed = ordered_index(df, [key], total="_total")
     width = F.ceil(F.col("_total") / world)
-    return indexed.withColumn("shard", F.floor(F.col("idx") / width).cast("int")).drop("_total").join(df, key)
+    return indexed.withColumn("shard", F.floor(F.col("idx") / width).cast("int")).drop("_total")
 
 
 def skip_n(df: DataFrame, key: str, count: int) -> DataFrame:
     """All rows but the first ``count`` by key."""
-    return ordered_index(df.select(key), [key]).filter(F.col("idx") >= count).drop("idx").join(df, key)
+    return ordered_index(df, [key]).filter(F.col("idx") >= count).drop("idx")

@@ -52,7 +52,7 @@ def decayed(df: DataFrame, group: list[str], index: str, value: str, decay: Colu
 
 def ema_smooth(df: DataFrame, group: list[str], order: str, value: str) -> DataFrame:
     """group..., order, value, smoothed. The weight grows with the length n of the series: 1.8 * (sigmoid(n/20) - 1/2)."""
-    rows = ordered_index(df.select(*group, order), [order], group=group, name="_i", total="_n").join(df.select(*group, order, value), [*group, order])
+    rows = ordered_index(df.select(*group, order, value), [order], group=group, name="_i", total="_n")
     weight = 1.8 * (1 / (1 + F.exp(-0.05 * F.col("_n"))) - 0.5)
     out = decayed(rows, group, "_i", value, weight, None, "smoothed")
     return out.select(*group, order, value, "smoothed")
@@ -68,7 +68,7 @@ def loss_series(log: DataFrame, keys: list[str], run: str = "run", step: str = "
 def batch_moments(df: DataFrame, group: list[str], order: str, value: str, batch: int) -> DataFrame:
     """group..., batch, n, mean, var (n - 1; 0 for a single row) of consecutive rows. The summary is written once, since
     running moments read it several times."""
-    rows = ordered_index(df.select(*group, order), [order], group=group, name="_i").join(df.select(*group, order, value), [*group, order])
+    rows = ordered_index(df.select(*group, order, value), [order], group=group, name="_i")
     rows = rows.withColumn("batch", F.floor(F.col("_i") / batch))
     return settled(rows.groupBy(*group, "batch").agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"),
                                                      F.coalesce(F.var_samp(value), F.lit(0.0)).alias("var")))

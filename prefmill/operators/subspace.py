@@ -10,6 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from prefmill.functions.numeric import dot, let
+from prefmill.operators.rowindex import null_safe, row_hash
 from prefmill.session import width
 
 KEPT_SHARE = 0.80  # fixed value: share of the smallest singular directions that form the basis
@@ -172,7 +173,7 @@ def project_vectors(vectors: DataFrame, basis: DataFrame, limit: int = BROADCAST
 def _project_blocks(vectors: DataFrame, basis: DataFrame, block: int = 4 * BLOCK_ROWS) -> DataFrame:
     names = vectors.columns
     sizes = vectors.groupBy("module").agg(F.ceil(F.count(F.lit(1)) / block).alias("_blocks"))
-    left = vectors.join(sizes, "module").withColumn("_block", F.pmod(F.xxhash64(*[c for c in names if c != "vec"]), F.col("_blocks"))).drop("_blocks")
+    left = null_safe(vectors, sizes, ["module"]).withColumn("_block", F.pmod(row_hash(vectors), F.col("_blocks"))).drop("_blocks")
     right = basis.join(sizes, "module").withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1))).drop("_blocks")
     right = right.select(*[F.col(c).alias(c) for c in right.columns])
 

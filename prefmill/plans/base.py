@@ -20,6 +20,11 @@ def h(expr: str) -> str:
     return f"(('0x'||substr(md5({expr}),1,8))::BIGINT)"
 
 
+def h60(expr: str) -> str:
+    """SQL text of functions.hashing.draw60."""
+    return f"(('0x'||substr(md5({expr}),1,15))::BIGINT)"
+
+
 def chars(expr: str) -> str:
     """SQL text of the code-point tokenizer."""
     return f"list_transform(string_split({expr},''), lambda c: unicode(c)+8)"

@@ -37,8 +37,8 @@ def listing(spark, folder):
         F.concat(F.lit("media/"), "p").alias("path"))
 
 
-@query("media_resolve", f"""WITH {_USE} SELECT doc_id, string_agg(CASE WHEN p%3=0 OR p%997%4<>0 THEN 'media/' ELSE '' END||path, ',' ORDER BY k) AS images,
-count(*) FILTER (p%3<>0 AND p%997%4=0)::BIGINT AS missing FROM us GROUP BY doc_id""")
+@query("media_resolve", f"""WITH {_USE} SELECT d.doc_id, coalesce(string_agg(CASE WHEN p%3=0 OR p%997%4<>0 THEN 'media/' ELSE '' END||path, ',' ORDER BY k), '') AS images,
+count(*) FILTER (p%3<>0 AND p%997%4=0)::BIGINT AS missing FROM documents d LEFT JOIN us ON us.doc_id=d.doc_id GROUP BY d.doc_id""")
 def media_resolve(spark, folder):
     out = M.media_resolve(media_docs(spark, folder), "doc_id", "images", listing(spark, folder), "media")
     return out.withColumn("images", F.array_join("images", ","))

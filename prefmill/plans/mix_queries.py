@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from prefmill.operators import mixing as MX, sampling as S
 from prefmill.plans import fixtures as X
-from prefmill.plans.base import h, query
+from prefmill.plans.base import h, h60, query
 
 PROBS = {0: 0.4, 1: 0.3, 2: 0.2, 3: 0.1}
 
@@ -22,7 +22,7 @@ def _perm(seed, ident="doc_id", part=""):
 
 
 @query("sample_num", f"""WITH n AS (SELECT count(*) AS n FROM documents), p AS (SELECT doc_id, text, {_perm(7)} AS idx FROM documents),
-d AS (SELECT draw, {h("'7:draw:'||draw")} % (SELECT n FROM n) AS idx FROM (SELECT unnest(range((SELECT n FROM n), (SELECT n FROM n)*3//2)) AS draw))
+d AS (SELECT draw, {h60("'7:draw:'||draw")} % (SELECT n FROM n) AS idx FROM (SELECT unnest(range((SELECT n FROM n), (SELECT n FROM n)*3//2)) AS draw))
 SELECT idx AS draw, doc_id, md5(text) AS text FROM p UNION ALL SELECT d.draw, p.doc_id, md5(p.text) FROM d JOIN p USING (idx)""")
 def sample_num(spark, folder):
     rows = docs(spark, folder)
@@ -38,8 +38,8 @@ def sample_max(spark, folder):
 
 
 @query("sample_v1", f"""WITH n AS (SELECT count(*) AS n FROM documents), p AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id)-1 AS idx FROM documents),
-a AS (SELECT draw, doc_id FROM (SELECT draw, {h("'3:size:draw:'||draw")} % (SELECT n FROM n) AS idx FROM (SELECT unnest(range((SELECT n//2 FROM n))) AS draw)) JOIN p USING (idx)),
-b AS (SELECT draw, {h("'3:weight:draw:'||draw")} % (SELECT n//2 FROM n) AS pick FROM (SELECT unnest(range((SELECT floor((n//2)*1.5)::BIGINT FROM n))) AS draw))
+a AS (SELECT draw, doc_id FROM (SELECT draw, {h60("'3:size:draw:'||draw")} % (SELECT n FROM n) AS idx FROM (SELECT unnest(range((SELECT n//2 FROM n))) AS draw)) JOIN p USING (idx)),
+b AS (SELECT draw, {h60("'3:weight:draw:'||draw")} % (SELECT n//2 FROM n) AS pick FROM (SELECT unnest(range((SELECT floor((n//2)*1.5)::BIGINT FROM n))) AS draw))
 SELECT b.draw AS idx, a.doc_id FROM b JOIN a ON a.draw=b.pick""")
 def sample_v1(spark, folder):
     rows = docs(spark, folder)
@@ -118,10 +118,10 @@ def split_count(spark, folder):
 
 @query("split_named", """SELECT name, split, count(*)::BIGINT AS n, min(doc_id) AS first FROM (
   SELECT doc_id, 'train' AS split, 'train' AS name FROM documents WHERE lang='en'
-  UNION ALL SELECT doc_id, 'validation_'||lang, lang FROM documents WHERE lang IN ('fr','de')) GROUP BY ALL""")
+  UNION ALL SELECT doc_id, 'validation_'||lang, lang FROM documents WHERE lang <> 'en') GROUP BY ALL""")
 def split_named(spark, folder):
     rows = docs(spark, folder)
-    sets = MX.split_named(rows.filter("lang = 'en'"), {x: rows.filter(F.col("lang") == x) for x in ("fr", "de")})
+    sets = MX.split_named(rows.filter("lang = 'en'"), {x: rows.filter(F.col("lang") == x) for x in ("de", "es", "fr")})
     named = sets.filter("split = 'train'").withColumn("name", F.lit("train")).unionByName(MX.evaluation_sets(sets))
     return named.groupBy("name", "split").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
 

@@ -21,11 +21,16 @@ SETTINGS = {
 }
 
 
-def build_session(master: str | None = None, partitions: int = 8, **extra) -> SparkSession:
+def build_session(master: str | None = None, partitions: int | None = None, **extra) -> SparkSession:
+    """A session with the settings above. The number of shuffle partitions is set for local masters only (8 unless given);
+    on a cluster it stays what the cluster or the caller says."""
     builder = SparkSession.builder.appName("prefmill")
     if master:
         builder = builder.master(master)
-    for key, value in {**SETTINGS, "spark.sql.shuffle.partitions": str(partitions), **extra}.items():
+    if partitions is None and (master or "").startswith("local"):
+        partitions = 8
+    shuffle = {} if partitions is None else {"spark.sql.shuffle.partitions": str(partitions)}
+    for key, value in {**SETTINGS, **shuffle, **extra}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
@@ -58,6 +63,13 @@ def settled(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def entries(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of any file system Spark reaches; none if there is no such folder."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in system.listStatus(hadoop)] if system.exists(hadoop) else []
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give a scan that comes in fewer partitions than there are cores one partition per core; a larger scan stays as
     it is."""

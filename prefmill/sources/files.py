@@ -8,6 +8,7 @@ from prefmill.operators.align import CONVERTERS
 from prefmill.operators.media import list_files
 from prefmill.operators.sampling import contiguous_shards, sample_max, sample_num, sample_weighted
 from prefmill.sources.registry import DatasetSpec
+from prefmill.session import entries
 
 # File ending -> reader.
 KINDS = {"arrow": "arrow", "csv": "csv", "json": "json", "jsonl": "json", "parquet": "parquet", "txt": "text"}
@@ -36,14 +37,15 @@ def _is_array(spark: SparkSession, path: str) -> bool:
     return bool(first) and first["value"].lstrip().startswith("[")
 
 
-def read_files(spark: SparkSession, path: str, schema=None, kind: str | None = None) -> DataFrame:
-    """A file or folder in the format its endings tell; JSON may be lines or arrays."""
+def read_files(spark: SparkSession, path: str, schema=None, kind: str | None = None, multiline: bool = False) -> DataFrame:
+    """A file or folder in the format its endings tell; JSON may be lines or arrays. CSV cells with line ends need
+    ``multiline``, which makes each file one task."""
     kind = kind or file_kind(spark, path)
     reader = spark.read.option("recursiveFileLookup", "true")
     if schema is not None and kind != "text":
         reader = reader.schema(schema)
     if kind == "csv":
-        return reader.csv(path, header=True, multiLine=True, escape='"')
+        return reader.csv(path, header=True, multiLine=multiline, escape='"')
     if kind == "text":
         return reader.text(path).withColumnRenamed("value", "text")
     if kind == "json":
@@ -68,8 +70,8 @@ def read_jsonl_tolerant(spark: SparkSession, path: str, schema: T.StructType) ->
     return good, parsed.filter(bad).select(F.col("value").alias("line"))
 
 
-def read_csv_prompts(spark: SparkSession, path: str, column: str = "goal") -> DataFrame:
-    return spark.read.csv(path, header=True, multiLine=True, escape='"').select(column)
+def read_csv_prompts(spark: SparkSession, path: str, column: str = "goal", multiline: bool = False) -> DataFrame:
+    return spark.read.csv(path, header=True, multiLine=multiline, escape='"').select(column)
 
 
 def read_set(spark: SparkSession, specs: dict[str, dict], converters: dict = CONVERTERS) -> DataFrame:
@@ -111,13 +113,12 @@ def load_spec(spark: SparkSession, spec: DatasetSpec, folder: str, key: str | No
 
 
 def prepared(spark: SparkSession, path: str, build) -> DataFrame:
-    """The table at ``path`` if it holds rows, else the built one, written there by split first."""
-    try:
+    """The table at ``path`` if it was written to its end and holds rows, else the built one, written there by split
+    first. A table that is there but cannot be read is an error and is never overwritten."""
+    if "_SUCCESS" in entries(spark, path):
         table = spark.read.parquet(path)
         if table.head() is not None:
             return table
-    except AnalysisException:
-        pass
     build().write.mode("overwrite").partitionBy("split").parquet(path)
     return spark.read.parquet(path)
 

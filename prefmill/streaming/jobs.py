@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from prefmill.functions.hashing import keyed
 from prefmill.operators.rowindex import ordered_index, shuffled_index
-from prefmill.session import scratch_path
+from prefmill.session import entries, scratch_path
 
 BUFFER = 16384  # fixed value: rows of a shuffle buffer
 
@@ -35,21 +35,21 @@ def each_batch(stream: DataFrame, fn, checkpoint: str) -> None:
 
 
 class Versions:
-    """A table with one version per micro-batch."""
+    """A table with one version per micro-batch. The newest version is looked up in the folder, so a restart on the same
+    checkpoint goes on from it, also when no new data came."""
 
     def __init__(self, path: str):
         self.path = path
-        self.last = -1
 
     def before(self, spark: SparkSession, batch: int) -> DataFrame | None:
         return spark.read.parquet(f"{self.path}/v={batch - 1}") if batch > 0 else None
 
     def write(self, df: DataFrame, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.path}/v={batch}")
-        self.last = batch
 
     def latest(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(f"{self.path}/v={self.last}")
+        last = max(int(name[2:]) for name in entries(spark, self.path) if name.startswith("v="))
+        return spark.read.parquet(f"{self.path}/v={last}")
 
     def all(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(self.path)
@@ -71,11 +71,13 @@ def stream_take_skip(stream: DataFrame, key: str, take: int, path: str, checkpoi
     """The first ``take`` rows of the stream (by key inside a micro-batch) are validation rows, the rest training rows."""
     if int(take) != take:
         raise ValueError("a stream needs a whole number of validation rows")
-    out = Versions(path)
+    out, counts = Versions(path), Versions(f"{path}-taken")  # the count so far is one row per micro-batch
 
     def one(df: DataFrame, batch: int) -> None:
         spark = df.sparkSession
-        taken = out.all(spark).filter((F.col("v") < batch) & (F.col("split") == "validation")).count() if batch else 0
+        before = counts.before(spark, batch)
+        taken = before.first()["taken"] if before is not None else 0
+        counts.write(spark.range(1).select(F.lit(min(take, taken + df.count())).cast("long").alias("taken")), batch)
         if taken >= take:
             out.write(df.withColumn("split", F.lit("train")), batch)
             return
@@ -160,7 +162,7 @@ def stream_batcher(stream: DataFrame, key: str, shard: str, size: int, path: str
 
     def one(df: DataFrame, batch: int) -> None:
         spark = df.sparkSession
-        rows = ordered_index(df.select(shard, key), [key], group=[shard], name="_i").join(df, [shard, key])
+        rows = ordered_index(df, [key], group=[shard], name="_i")
         seen = counts.before(spark, batch)
         before = F.lit(0)
         if seen is not None:

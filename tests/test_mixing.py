@@ -79,9 +79,8 @@ def test_sampling(spark):
     assert S.sample_max(df, "id", 500).count() == 20
 
 
-def test_large_limit(spark, monkeypatch):
+def test_limits(spark):
     df = spark.range(300).toDF("id").repartition(7)
-    monkeypatch.setattr(S, "TOP_ROWS", 10)
     assert sorted(r.id for r in S.first_n(df, "id", 120).collect()) == list(range(120))
     assert sorted(r.id for r in S.skip_n(df, "id", 120).collect()) == list(range(120, 300))
 
