@@ -30,6 +30,17 @@ def turn_ids(pairs: Column, tokenize=char_ids) -> Column:
     return F.transform(pairs, lambda p: F.struct(tokenize(p["prompt"]).alias("s"), tokenize(p["response"]).alias("t")))
 
 
+def with_turn_ids(df: DataFrame, pairs: str, name: str, tokenize=char_ids) -> DataFrame:
+    """Adds the ids of each (prompt, response). A tokenizer with a method ``many`` gets all texts of a row in one column,
+    since a Python function cannot stand inside an array expression."""
+    if not hasattr(tokenize, "many"):
+        return df.withColumn(name, turn_ids(F.col(pairs), tokenize))
+    texts = F.flatten(F.transform(pairs, lambda p: F.array(p["prompt"], p["response"])))
+    df = df.withColumn("_texts", texts).withColumn("_ids", tokenize.many(F.col("_texts")))
+    both = F.transform(pairs, lambda p, i: F.struct(F.get("_ids", 2 * i).alias("s"), F.get("_ids", 2 * i + 1).alias("t")))
+    return df.withColumn(name, both).drop("_texts", "_ids")
+
+
 def kept_lengths(turns: Column, cutoff: int, start: int = 0) -> Column:
     """Kept (s, t) lengths per turn: each turn is cut to the budget that is left; turns after the budget is used up are
     absent. The fold carries numbers only."""
@@ -86,17 +97,17 @@ def _messages(df: DataFrame) -> Column:
 
 
 def encode_sft(aligned: DataFrame, name: str, cutoff: int = 2048, keep: list[str] = (), tokenize=char_ids,
-               train_on_prompt=False, mask_history=False, thinking: bool | None = True, tools=False) -> DataFrame:
-    """keep..., input_ids, labels. Rows a supervised stage cannot use are dropped."""
+               train_on_prompt=False, mask_history=False, thinking: bool | None = True, tools=True) -> DataFrame:
+    """keep..., input_ids, labels. Rows a supervised stage cannot use are dropped. Tools are told in the system block."""
     rows = aligned.filter(usable("sft"))
     pairs = render_pairs(_messages(rows), F.col("_system"), name, template(name), thinking, F.col("_tools") if tools else None)
-    rows = rows.withColumn("_pairs", pairs).withColumn("_turns", turn_ids(F.col("_pairs"), tokenize))
+    rows = with_turn_ids(rows.withColumn("_pairs", pairs), "_pairs", "_turns", tokenize)
     out = sft_arrays(rows, "_turns", cutoff, train_on_prompt, mask_history, TEMPLATES[name].efficient_eos)
     return out.select(*keep, "input_ids", "labels")
 
 
 def _oneturn(prompt: Column, answer: Column, name: str, tokenize, thinking) -> tuple[Column, Column]:
-    pair = render_oneturn(F.concat(prompt, F.array(answer)), F.col("_system"), name, template(name), thinking)
+    pair = render_oneturn(F.concat(prompt, F.array(answer)), F.col("_system"), name, template(name), thinking, F.col("_tools"))
     target = tokenize(pair["response"])
     if TEMPLATES[name].efficient_eos:
         target = F.concat(target, F.array(F.lit(EOS)))
@@ -112,8 +123,8 @@ def encode_pairwise(aligned: DataFrame, name: str, cutoff: int = 2048, keep=(),
                     thinking: bool | None = True) -> DataFrame:
     """chosen_/rejected_ input_ids and labels; both sides are cut by the longer answer."""
     rows = aligned.filter(usable("rm"))
-    source, chosen = _oneturn(F.col("_prompt"), F.col("_response")[0], name, tokenize, thinking)
-    _, rejected = _oneturn(F.col("_prompt"), F.col("_response")[1], name, tokenize, thinking)
+    source, chosen = _oneturn(F.col("_prompt"), F.get("_response", F.lit(0)), name, tokenize, thinking)
+    _, rejected = _oneturn(F.col("_prompt"), F.get("_response", F.lit(1)), name, tokenize, thinking)
     rows = rows.select(*keep, source.alias("_s"), chosen.alias("_c"), rejected.alias("_r"))
     rows = rows.withColumn("_k", infer_seqlen(F.size("_s"), F.greatest(F.size("_c"), F.size("_r")), cutoff))
     out = []

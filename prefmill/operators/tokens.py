@@ -1,8 +1,10 @@
 """Tokenizers as Column -> Column of array<int>, vocabulary building and vocabulary encoding."""
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from prefmill.operators.rowindex import ordered_index
+from prefmill.operators.tools import literal
 from prefmill.session import width
 
 PAD, BOS, EOS, UNK = 0, 1, 2, 3
@@ -19,6 +21,50 @@ def char_ids(text: Column) -> Column:
     return F.when(F.length(text) > 0, ids).otherwise(F.array().cast("array<int>"))
 
 
+def with_specials(tokenize, marks: dict[str, int]):
+    """A tokenizer that turns each of ``marks`` into its one id and leaves the text between them to ``tokenize``. Of marks
+    that begin alike the longest wins."""
+    if not marks:
+        return tokenize
+    one = "|".join(literal(m) for m in sorted(marks, key=len, reverse=True))
+    pattern = f"(?s){one}|(?:(?!{one}).)+"
+    ids = F.create_map(*[F.lit(x) for m, i in marks.items() for x in (m, i)])
+
+    def run(text: Column) -> Column:
+        parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        special = list(marks)
+        return F.flatten(F.transform(parts, lambda p: F.when(p.isin(*special), F.array(F.element_at(ids, p))).otherwise(tokenize(p))))
+
+    return run
+
+
+class Subwords:
+    """A tokenizer file of the ``tokenizers`` library as Column -> Column. Python runs in Arrow batches on the executors,
+    which must find the file at ``path``; marks that the file names as special become their ids. For supervised rows and
+    plain text; the encoders of answer pairs take column tokenizers only, as they compare lengths inside array expressions."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def many(self, texts: Column) -> Column:
+        """Ids of each of an array of texts."""
+        path = self.path
+
+        @F.pandas_udf("array<array<int>>")
+        def run(rows: pd.Series) -> pd.Series:
+            from tokenizers import Tokenizer
+            tokenizer = Tokenizer.from_file(path)
+
+            def ids(row):
+                return None if row is None else [e.ids for e in tokenizer.encode_batch([t or "" for t in row], add_special_tokens=False)]
+            return rows.map(ids)
+
+        return run(texts)
+
+    def __call__(self, text: Column) -> Column:
+        return F.get(self.many(F.array(text)), F.lit(0))
+
+
 def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))
 

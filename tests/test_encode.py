@@ -129,3 +129,56 @@ def test_vocabulary_paths_agree(spark, monkeypatch):
     monkeypatch.setattr(TK, "HOT", 10**6)
     monkeypatch.setattr(TK, "HOT_CHARS", 1000)
     assert encoded() == long_token
+
+
+TOOL = '[{"name":"measure","description":"Measures a thing","parameters":{"type":"object","properties":{"thing":{"type":"string"}},"required":["thing"]}}]'
+
+
+def chats(spark, tools):
+    message = "struct<role:string,content:string>"
+    rows = [([("user", "how tall is it")], [("assistant", "two metres")], "", tools),
+            ([("user", "and wide")], [("assistant", "one"), ("assistant", "nine")], "be brief", tools)]
+    return spark.createDataFrame(rows, f"_prompt array<{message}>, _response array<{message}>, _system string, _tools string").withColumn("id", F.size("_response"))
+
+
+def plain(ids):
+    return "".join(chr(i - TK.SHIFT) for i in ids)
+
+
+def test_every_encoder_tells_the_tools(spark):
+    def texts(tools):
+        rows = chats(spark, tools)
+        sft = E.encode_sft(rows, "qwen", 5000, ["id"]).first()
+        rm = E.encode_pairwise(rows, "qwen", 5000, ["id"]).first()
+        ppo = E.encode_prompt_only(rows, "qwen", 5000, ["id"]).filter("id = 1").first()
+        return plain(sft.input_ids), plain(rm.chosen_input_ids), plain(ppo.input_ids)
+    for told, without, null in zip(texts(TOOL), texts(""), texts(None)):
+        assert "measure" in told and "measure" not in without and len(told) > len(without) and null == without
+
+
+def test_feedback_tells_the_tools(spark):
+    rows = chats(spark, TOOL).filter("id = 1").withColumn("_response", F.array_append("_response", F.struct(F.lit("assistant").alias("role"), F.lit("").alias("content"))))
+    row = E.encode_feedback(rows, "qwen", "id", 5000).first()
+    assert "measure" in plain(row.input_ids) and "measure" in plain(row.kl_input_ids)
+
+
+def test_marks_become_one_id(spark):
+    marks = {"<|im_start|>": 900, "<|im_end|>": 901, "<|im_end|>x": 902}
+    tokenize = TK.with_specials(TK.char_ids, marks)
+    got = spark.createDataFrame([("a<|im_start|>b\n<|im_end|>x<|im_end|>",), ("",), ("<|im_", )], "t string").select(tokenize(F.col("t")).alias("i"))
+    c = [ord(x) + TK.SHIFT for x in "ab\n"]
+    assert [r.i for r in got.collect()] == [[c[0], 900, c[1], c[2], 902, 901], [], [ord(x) + TK.SHIFT for x in "<|im_"]]
+    row = E.encode_sft(chats(spark, ""), "chatml", 5000, ["id"], tokenize).filter("id = 1").first()
+    assert row.input_ids.count(900) >= 2 and row.input_ids.count(901) >= 2
+
+
+def test_a_tokenizer_file_encodes_chats(spark):
+    public = pytest.importorskip("public_tokenizers")
+    tokenizers = pytest.importorskip("tokenizers")
+    path = public.path("byte_bpe_50k.json")
+    row = E.encode_sft(chats(spark, TOOL), "qwen", 5000, ["id"], TK.Subwords(path)).first()
+    text = E.encode_sft(chats(spark, TOOL), "qwen", 5000, ["id"]).first()
+    encoder = tokenizers.Tokenizer.from_file(path)
+    cut = text.labels.index(next(x for x in text.labels if x != -100))
+    want = [i for part in (plain(text.input_ids[:cut]), plain(text.input_ids[cut:])) for i in encoder.encode(part, add_special_tokens=False).ids]
+    assert row.input_ids == want and row.labels.count(-100) == len(encoder.encode(plain(text.input_ids[:cut]), add_special_tokens=False).ids)
