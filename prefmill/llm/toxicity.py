@@ -1,7 +1,8 @@
 """Toxicity: character n-gram embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A text is lower-cased, punctuation becomes white space, and every word with its borders gives its 3- to 6-byte grams,
-hashed to buckets. A passage is two neighbouring blocks of eight words; its vector is the mean of its gram vectors. As
+hashed to buckets. A passage is two neighbouring blocks of four words, in which a word that repeats the one before counts
+once; its vector is the mean of its gram vectors, filled up to ``FEWEST`` with neutral ones. As
 the softmax is linear, a passage's score is the mean of one number per gram, so scoring reads one table and holds one
 number per byte. A document scores as its most toxic passage, calibrated on training documents; an unseen misspelling
 still shares most grams with the word it stands for.
@@ -19,10 +20,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from prefmill.llm.base import fold, map_steps
 from prefmill.llm.learning import platt, sampled, sigmoid
+from prefmill.llm.shingles import words
 
 SAMPLE = 2000
 PASSAGES = 24
 BLOCK = 4
+FEWEST = 100  # a passage with fewer grams is averaged as if neutral ones filled it up
 GRAMS = range(3, 7)
 BUCKETS = 1 << 17
 DIMENSIONS = 8
@@ -57,8 +60,14 @@ class Grams:
             if size in GRAMS:
                 bucket = ((code + np.uint32(size)) * np.uint32(0x9E3779B1)) >> np.uint32(15)
                 self.ids[:, size - GRAMS[0]] = np.where(inner, np.maximum(bucket, 1), 0)
-        first = np.flatnonzero(letter[1:n] & ~letter[:n - 1])  # the blank before each word
+        hashes, first = words(buf[:n].tobytes())
+        first -= 1  # the blank before each word
         owner = np.searchsorted(ends, first, side="right")
+        again = np.zeros(len(first), bool)  # a word that repeats the one before counts once
+        again[1:] = (hashes[1:] == hashes[:-1]) & (owner[1:] == owner[:-1])
+        spans = np.diff(np.append(first, n))
+        self.ids[first[0] if len(first) else n:][np.repeat(again, spans)] = 0
+        first, owner = first[~again], owner[~again]
         counts = np.bincount(owner, minlength=len(data))
         rank = np.arange(len(first)) - np.repeat(np.cumsum(counts) - counts, counts)
         head = rank % BLOCK == 0
@@ -93,7 +102,7 @@ class Model:
         a, b, owner = grams.passages()
         both = a != b
         total = totals[a] + np.where(both, totals[b], 0)
-        margin = total / np.maximum(numbers[a] + np.where(both, numbers[b], 0), 1) + self.bias
+        margin = total / np.maximum(numbers[a] + np.where(both, numbers[b], 0), FEWEST) + self.bias
         np.maximum.at(out, owner, margin)
         return out
 
@@ -180,7 +189,7 @@ def train(texts: list[str], toxic: np.ndarray, class_sizes: tuple[int, int], see
             grams = ids[rows].ravel()
             each = np.repeat(np.arange(len(part)), n * len(GRAMS))
             each, grams = each[grams != 0], grams[grams != 0]
-            number = np.maximum(np.bincount(each, minlength=len(part)), 1)
+            number = np.maximum(np.bincount(each, minlength=len(part)), FEWEST)
             gathered = vectors[grams]
             mean = np.stack([np.bincount(each, gathered[:, d], len(part)) for d in range(DIMENSIONS)], 1) / number[:, None]
             margin[part] = mean @ out + bias
