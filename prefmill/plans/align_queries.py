@@ -177,6 +177,14 @@ def validate_roles(spark, folder):
 
 @query("drop_invalid", f"""WITH {X.BODY}, k AS (
   SELECT conv_id, ordered AND n%2=0 AS ok FROM valid)
-SELECT conv_id, ok AS sft, ok AS ppo, false AS rm FROM k""")
+SELECT conv_id AS id, 'sft' AS stage, ok AS kept FROM k UNION ALL SELECT conv_id, 'ppo', ok FROM k UNION ALL SELECT conv_id, 'rm', false FROM k""")
 def drop_invalid(spark, folder):
-    return X.hub(spark, folder).select("conv_id", *[A.usable(s).alias(s) for s in ("sft", "ppo", "rm")])
+    """Kept and rejected rows of each stage, through the operator."""
+    out = []
+    for stage in ("sft", "ppo", "rm"):
+        for kept, rows in zip((True, False), A.drop_invalid(X.hub(spark, folder), stage)):
+            out.append(rows.select(F.col("conv_id").alias("id"), F.lit(stage).alias("stage"), F.lit(kept).alias("kept")))
+    first, *more = out
+    for rows in more:
+        first = first.unionByName(rows)
+    return first

@@ -252,6 +252,14 @@ def pack_knapsack(spark, folder):
     return P.pack_knapsack(lengths, "doc_id", 4096, batch=200)
 
 
+@query("pack_totals", """WITH d AS (SELECT (row_number() OVER (ORDER BY doc_id)-1)//200 AS batch, n_chars FROM documents)
+SELECT batch, count(*)::BIGINT AS rows, sum(n_chars)::BIGINT AS tokens, true AS fits FROM d WHERE n_chars<=4096 GROUP BY 1""")
+def pack_totals(spark, folder):
+    """What the bins of each batch hold together: every row that fits once, and no bin above the capacity."""
+    bins = pack_knapsack(spark, folder).groupBy("batch", "pack").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("t"))
+    return bins.groupBy("batch").agg(F.sum("n").alias("rows"), F.sum("t").alias("tokens"), (F.max("t") <= 4096).alias("fits"))
+
+
 def trios(spark, folder):
     """Preference pairs three to a pack, with the chosen side's arrays."""
     rows = pairwise(spark, folder).select("id", F.col("chosen_input_ids").alias("input_ids"), F.col("chosen_labels").alias("labels"))

@@ -68,15 +68,49 @@ def singular_values(spark, folder):
     return out.withColumn("energy", r6(F.col("energy"))).withColumn("quartic", r6(F.col("quartic")))
 
 
-@query("topk_singular")
-def topk_singular(spark, folder):
-    return S.topk_singular(S.spectrum(S.gram(vectors(spark, folder)))).withColumn("sigma", r6(F.col("sigma")))
+def _total(parts, name, keys=()):
+    """One row per key: the sum of a column over several tables."""
+    first, *more = [p.select(*keys, F.col(name).alias("x")) for p in parts]
+    for p in more:
+        first = first.unionByName(p)
+    return first.groupBy(*keys).agg(F.sum("x").alias("x"))
 
 
-@query("nullspace_basis", "SELECT i AS vec_no, 1.0::DOUBLE AS norm, 64::BIGINT AS dim FROM range(51) t(i)")
+@query("topk_singular", f"""WITH e AS (SELECT label, sum(list_sum(list_transform(embedding, lambda x: x::DOUBLE*x::DOUBLE))) AS x FROM embeddings GROUP BY 1)
+SELECT 'layer.'||label AS module, 'energy' AS fact, {r('x')} AS value FROM e UNION ALL SELECT 'layer.'||label, 'count', 10.0::DOUBLE FROM e
+UNION ALL SELECT 'layer.'||label, 'residual', 0.0::DOUBLE FROM e""")
+def topk_singular(spark, folder):
+    """The squares of the ten values and of the rest add up to the table's energy, and each value's direction solves
+    G v = sigma^2 v."""
+    grams = S.gram(vectors(spark, folder))
+    spectra = S.spectrum(grams)
+    top = S.topk_singular(spectra)
+    square = F.pow("sigma", F.lit(2.0))
+    energy = _total([top.withColumn("s", square), spectra.filter("k >= 10").withColumn("s", square)], "s", ["module"])
+    pairs = grams.select("module", "row", F.col("vec").alias("g")).join(spectra.filter("k < 10"), "module")
+    off = F.abs(S.dot(F.col("g"), F.col("vec")) - square * F.get("vec", F.col("row").cast("int")))
+    return (energy.select("module", F.lit("energy").alias("fact"), r6(F.col("x")).alias("value"))
+            .unionByName(top.groupBy("module").agg(F.count(F.lit(1)).cast("double").alias("value")).select("module", F.lit("count").alias("fact"), "value"))
+            .unionByName(pairs.groupBy("module").agg(r6(F.max(off)).alias("value")).select("module", F.lit("residual").alias("fact"), "value")))
+
+
+@query("nullspace_basis", f"""SELECT 'vectors' AS fact, 51.0::DOUBLE AS value UNION ALL SELECT 'trace', 51.0::DOUBLE UNION ALL SELECT 'largest_inner', 0.0::DOUBLE
+UNION ALL SELECT 'energy', {r('sum(list_sum(list_transform(embedding, lambda x: x::DOUBLE*x::DOUBLE)))')} FROM embeddings""")
 def nullspace_basis(spark, folder):
-    basis = S.nullspace_basis(S.spectrum(S.gram(vectors(spark, folder, False))))
-    return basis.select("vec_no", r6(S.dot(F.col("vec"), F.col("vec"))).alias("norm"), F.size("vec").cast("bigint").alias("dim"))
+    """51 orthonormal directions; what they keep of the vectors and the energy of the 13 largest values add up to all."""
+    rows = vectors(spark, folder, False)
+    spectra = S.spectrum(S.gram(rows))
+    basis = S.nullspace_basis(spectra)
+    inner = basis.alias("a").join(basis.alias("b"), F.expr("a.module = b.module AND a.vec_no < b.vec_no"))
+    kept = S.project_vectors(rows, basis).select(S.dot(F.col("projected"), F.col("projected")).alias("s"))
+    facts = {"vectors": basis.agg(F.count(F.lit(1)).cast("double").alias("x")),
+             "trace": basis.agg(F.sum(S.dot(F.col("vec"), F.col("vec"))).alias("x")),
+             "largest_inner": inner.agg(F.max(F.abs(S.dot(F.col("a.vec"), F.col("b.vec")))).alias("x")),
+             "energy": _total([kept, spectra.filter("k < 13").withColumn("s", F.pow("sigma", F.lit(2.0)))], "s")}
+    first, *more = [df.select(F.lit(name).alias("fact"), r6(F.col("x")).alias("value")) for name, df in facts.items()]
+    for df in more:
+        first = first.unionByName(df)
+    return first
 
 
 def cosines(modules, dim=DIM, first=FIRST):

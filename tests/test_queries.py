@@ -21,7 +21,7 @@ def test_matches_sql(spark, con, folder, name):
 PYTHON = re.compile("ArrowEvalPython|BatchEvalPython|FlatMapGroupsInPandas|FlatMapCoGroupsInPandas|MapInPandas")
 # Lengths-only packing, the common-subsequence and n-gram counters, and dense algebra use Python inside tasks.
 WITH_PYTHON = {"pack_knapsack", "rouge_l", "bleu4", "metric_means", "gram", "singular_values", "topk_singular", "nullspace_basis",
-               "lowrank_product"}
+               "lowrank_product", "pack_totals"}
 # Streaming jobs, written files and built bases return plain reads or run several jobs.
 SKIP = {n for n in catalog.QUERIES if n.startswith(("stream_", "src_", "sink_"))}
 
