@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from prefmill.operators import encode as E, mixing as MX
 from prefmill.plans import encode_queries as EQ, fixtures as X
-from prefmill.plans.base import h, query
+from prefmill.plans.base import h, h60, query
 from prefmill.session import scratch_path
 from prefmill.sources import files as FS, registry as R
 from prefmill.functions.hashing import hash32
@@ -57,7 +57,7 @@ def src_files(spark, folder):
     rows.write.parquet(f"{base}/parquet")
     out = None
     for kind in ("json", "csv", "parquet"):
-        df = _turns(FS.read_files(spark, f"{base}/{kind}", TURN), kind)
+        df = _turns(FS.read_files(spark, f"{base}/{kind}", TURN, multiline=True), kind)
         out = df if out is None else out.unionByName(df)
     return out
 
@@ -93,7 +93,7 @@ def src_csv_prompts(spark, folder):
     path = scratch_path(spark, "goals")
     rows = X.pairs(spark, folder).select("id", F.col("instruction").alias("goal"), F.lit("x, \"y\"").alias("target"))
     rows.write.option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path, header=True)
-    return FS.read_csv_prompts(spark, path).select(F.md5("goal").alias("goal"))
+    return FS.read_csv_prompts(spark, path, multiline=True).select(F.md5("goal").alias("goal"))
 
 
 @query("src_tokenized", f"""WITH s AS (SELECT conv_id, n, row_number() OVER (ORDER BY {h("'4:'||conv_id")}, conv_id)-1 AS idx, count(*) OVER () AS total FROM ({EQ.sft_sql(EQ._C, EQ.CUT)}))
@@ -113,7 +113,7 @@ def src_tokenized(spark, folder):
 
 
 @query("src_v1_yaml", f"""WITH {X.PAIRS}, p AS (SELECT id, row_number() OVER (ORDER BY id)-1 AS idx, count(*) OVER () AS n FROM pairs)
-SELECT 'half' AS dataset, id FROM (SELECT {h("'0:weight:draw:'||draw")} % (SELECT max(n) FROM p) AS idx FROM (SELECT unnest(range((SELECT floor(max(n)*0.5)::BIGINT FROM p))) AS draw)) d JOIN p USING (idx)
+SELECT 'half' AS dataset, id FROM (SELECT {h60("'0:weight:draw:'||draw")} % (SELECT max(n) FROM p) AS idx FROM (SELECT unnest(range((SELECT floor(max(n)*0.5)::BIGINT FROM p))) AS draw)) d JOIN p USING (idx)
 UNION ALL SELECT 'whole', id FROM p""")
 def src_v1_yaml(spark, folder):
     path = scratch_path(spark, "set")

@@ -101,11 +101,11 @@ def nullspace_basis(spark, folder):
     rows = vectors(spark, folder, False)
     spectra = S.spectrum(S.gram(rows))
     basis = S.nullspace_basis(spectra)
-    inner = basis.alias("a").join(basis.alias("b"), F.expr("a.module = b.module AND a.vec_no < b.vec_no"))
+    pairs = F.flatten(F.transform("basis", lambda u, i: F.transform("basis", lambda v, j: F.when(i < j, F.abs(S.dot(u, v))).otherwise(0.0))))
     kept = S.project_vectors(rows, basis).select(S.dot(F.col("projected"), F.col("projected")).alias("s"))
     facts = {"vectors": basis.agg(F.count(F.lit(1)).cast("double").alias("x")),
              "trace": basis.agg(F.sum(S.dot(F.col("vec"), F.col("vec"))).alias("x")),
-             "largest_inner": inner.agg(F.max(F.abs(S.dot(F.col("a.vec"), F.col("b.vec")))).alias("x")),
+             "largest_inner": S.basis_matrix(basis).select(F.array_max(pairs).alias("x")),
              "energy": _total([kept, spectra.filter("k < 13").withColumn("s", F.pow("sigma", F.lit(2.0)))], "s")}
     first, *more = [df.select(F.lit(name).alias("fact"), r6(F.col("x")).alias("value")) for name, df in facts.items()]
     for df in more:
