@@ -98,7 +98,8 @@ def topk_singular(spark, folder):
 UNION ALL SELECT 'energy', {r('sum(list_sum(list_transform(embedding, lambda x: x::DOUBLE*x::DOUBLE)))')} FROM embeddings""")
 def nullspace_basis(spark, folder):
     """51 orthonormal directions; what they keep of the vectors and the energy of the 13 largest values add up to all."""
-    rows = vectors(spark, folder, False)
+    # A constant module would make the optimiser turn joins by module into nested loops.
+    rows = vectors(spark, folder, False).withColumn("module", F.when(F.col("row") >= 0, F.col("module")))
     spectra = S.spectrum(S.gram(rows))
     basis = S.nullspace_basis(spectra)
     pairs = F.flatten(F.transform("basis", lambda u, i: F.transform("basis", lambda v, j: F.when(i < j, F.abs(S.dot(u, v))).otherwise(0.0))))
