@@ -22,8 +22,8 @@ from prefmill.llm.base import fold, map_steps
 from prefmill.llm.learning import platt, sampled, sigmoid
 from prefmill.llm.shingles import words
 
-SAMPLE = 2000
-PASSAGES = 24
+SAMPLE = 1500
+PASSAGES = 12
 BLOCK = 4
 FEWEST = 100  # a passage with fewer grams is averaged as if neutral ones filled it up
 GRAMS = range(3, 7)
@@ -145,6 +145,7 @@ def train(texts: list[str], toxic: np.ndarray, class_sizes: tuple[int, int], see
     rng = np.random.default_rng(seed)
     real, real_toxic = texts, toxic
     texts = [*texts, *(misspelt(t, rng) for t in texts)]
+    total = len(texts)
     toxic = np.concatenate([toxic, toxic])
     kept_ids, spans, owners, at = [], [], [], 0
     for first in range(0, len(texts), 200):
@@ -163,8 +164,15 @@ def train(texts: list[str], toxic: np.ndarray, class_sizes: tuple[int, int], see
         spans.append(np.stack([stops - sizes, stops]))
         owners.append(owner[chosen] + first)
         at = int(stops[-1]) if len(stops) else at
-    ids, (starts, ends), owner = np.concatenate(kept_ids), np.concatenate(spans, 1), np.concatenate(owners)
-    per_doc = np.bincount(owner, minlength=len(texts))
+    ids = np.empty((at, len(GRAMS)), np.int32)
+    filled = at
+    while kept_ids:  # from the last, so that each part is freed as soon as it is copied
+        part = kept_ids.pop()
+        ids[filled - len(part):filled] = part
+        filled -= len(part)
+    (starts, ends), owner = np.concatenate(spans, 1), np.concatenate(owners)
+    del texts
+    per_doc = np.bincount(owner, minlength=total)
     y = toxic[owner].astype(np.float32)
     vectors = rng.uniform(-0.5, 0.5, (BUCKETS, DIMENSIONS)).astype(np.float32)
     vectors[0] = 0
@@ -175,10 +183,10 @@ def train(texts: list[str], toxic: np.ndarray, class_sizes: tuple[int, int], see
     for epoch in range(EPOCHS):
         if epoch:
             belief = sigmoid(margin)
-            most = np.zeros(len(texts))
+            most = np.zeros(total)
             np.maximum.at(most, owner, belief)
             share = np.exp(4 * (belief - most[owner]))
-            share /= np.bincount(owner, share, len(texts))[owner]
+            share /= np.bincount(owner, share, total)[owner]
             noise = most[owner] < 0.3 if epoch > 1 else np.zeros(len(owner), bool)
             weight = np.where(y > 0, np.where(noise, 0.0, share), 0.5 / per_doc[owner] + 0.5 * share)
         for w in (0, 1):  # both classes weigh the same
