@@ -4,7 +4,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Characters of text that one step inside a task holds as Python objects; a longer text is a step of its own.
-STEP_CHARS = 2_000_000
+STEP_CHARS = 1_000_000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -255,7 +255,7 @@ def clean(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1) ->
         out, at = [], 0
         while at < len(values):  # bounded steps, as in map_steps
             size, end = 0, at
-            while end < len(values) and (end == at or size + len(values[end]) <= 2_000_000):
+            while end < len(values) and (end == at or size + len(values[end]) <= 1_000_000):
                 size += len(values[end])
                 end += 1
             out.append(shared.value.scores(values[at:end]))
