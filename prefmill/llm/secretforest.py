@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from prefmill.llm.base import map_steps, steps
+from prefmill.session import settled
 
 SHORTEST = 16
 SAMPLE = 3000
@@ -194,8 +195,14 @@ def _path(docs: DataFrame):
 
 
 def train(docs: DataFrame, corpus: Corpus) -> Forest | None:
-    found = candidates(docs, corpus)
-    rows = [r for y in (0, 1) for r in found.filter(F.col("label") == y).orderBy("place", "x").limit(SAMPLE).collect()]
+    """A forest from the findings with the smallest hashes; copies of one finding count once. The hash is uniform, so a
+    bound on it leaves about twice the sample, however many tasks there are, and only that meets on the driver."""
+    found = settled(candidates(docs, corpus).groupBy("label", "place").agg(F.min("x").alias("x")))
+    sizes = {r["label"]: r["n"] for r in found.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = []
+    for y, n in sorted(sizes.items()):
+        near = found.filter((F.col("label") == y) & (F.col("place") <= int((1 << 32) * min(1.0, 2 * SAMPLE / n))))
+        rows += near.orderBy("place", "x").limit(SAMPLE).collect()
     y = np.array([r["label"] for r in rows])
     if not len(y) or y.all() or not y.any():
         return None
