@@ -8,8 +8,9 @@ number per byte. A document scores as its most toxic passage, calibrated on trai
 still shares most grams with the word it stands for.
 
 Training (in numpy, on the driver) sees at most ``SAMPLE`` labelled documents of each class, chosen by hash of the id,
-and ``PASSAGES`` passages of each, evenly spread. Passages of a toxic document share its label by how toxic they seem
-so far; toxic documents in which nothing seems so are label noise and lose their weight.
+and every passage of each. An epoch goes through the documents in random order, ``CHUNK`` characters at a time, and makes
+their grams anew, so only texts and a few numbers for each passage stay in memory. Passages of a toxic document share its
+label by how toxic they seem so far; toxic documents in which nothing seems so are label noise and lose their weight.
 
 Defined results: null, empty or blank texts score as a document without any toxic sign. Without labels of both classes
 every score is the share of toxic labels (0 without labels). Repeated labels of one id: toxic if any says so.
@@ -23,7 +24,7 @@ from prefmill.llm.learning import platt, sampled, sigmoid
 from prefmill.llm.shingles import words
 
 SAMPLE = 1500
-PASSAGES = 12
+CHUNK = 500_000
 BLOCK = 4
 FEWEST = 100  # a passage with fewer grams is averaged as if neutral ones filled it up
 GRAMS = range(3, 7)
@@ -136,6 +137,18 @@ def _ranges(starts, ends):
     return np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(int(n.sum())), n
 
 
+def _chunks(order: np.ndarray, sizes: np.ndarray):
+    """``order`` in consecutive parts whose sizes add up to about CHUNK; a longer document is a part of its own."""
+    at, held = 0, 0
+    for i, size in enumerate(sizes[order]):
+        if held and held + size > CHUNK:
+            yield order[at:i]
+            at, held = i, 0
+        held += size
+    if at < len(order):
+        yield order[at:]
+
+
 def train(texts: list[str], toxic: np.ndarray, class_sizes: tuple[int, int], seed: int = 11) -> Model:
     """``class_sizes``: labelled documents without and with the label, of which the texts are samples."""
     n0, n1 = class_sizes
@@ -144,78 +157,73 @@ def train(texts: list[str], toxic: np.ndarray, class_sizes: tuple[int, int], see
         return Model(np.zeros(BUCKETS, np.float32), 0.0, None, prior)
     rng = np.random.default_rng(seed)
     real, real_toxic = texts, toxic
+    kept = np.zeros(len(real), bool)  # for calibration: every fifth document of each class, if there are five
+    for c in (False, True):
+        kept[np.flatnonzero(toxic == c)[4::5]] = True
+    if not all((toxic[kept] == c).any() for c in (False, True)):
+        kept[:] = False
+    texts, toxic = [t for t, k in zip(texts, kept) if not k], toxic[~kept]
     texts = [*texts, *(misspelt(t, rng) for t in texts)]
     total = len(texts)
     toxic = np.concatenate([toxic, toxic])
-    kept_ids, spans, owners, at = [], [], [], 0
-    for first in range(0, len(texts), 200):
-        grams = Grams(texts[first:first + 200])
-        a, b, owner = grams.passages()
-        ends = np.append(grams.starts, grams.rows)
-        order = np.lexsort((a, owner))
-        a, b, owner = a[order], b[order], owner[order]
-        count = np.bincount(owner, minlength=200)
-        rank = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-        n = count[owner]
-        chosen = (n <= PASSAGES) | (rank * PASSAGES // n != (rank - 1) * PASSAGES // n)
-        rows, sizes = _ranges(grams.starts[a[chosen]], ends[b[chosen] + 1])
-        kept_ids.append(grams.ids[rows])
-        stops = at + np.cumsum(sizes)
-        spans.append(np.stack([stops - sizes, stops]))
-        owners.append(owner[chosen] + first)
-        at = int(stops[-1]) if len(stops) else at
-    ids = np.empty((at, len(GRAMS)), np.int32)
-    filled = at
-    while kept_ids:  # from the last, so that each part is freed as soon as it is copied
-        part = kept_ids.pop()
-        ids[filled - len(part):filled] = part
-        filled -= len(part)
-    (starts, ends), owner = np.concatenate(spans, 1), np.concatenate(owners)
-    del texts
-    per_doc = np.bincount(owner, minlength=total)
+    sizes = np.array([len(t) for t in texts])
+    blocks = np.concatenate([Grams([texts[i] for i in part]).blocks for part in _chunks(np.arange(total), sizes)])
+    per_doc = np.where(blocks > 0, np.maximum(blocks - 1, 1), 0)
+    first = np.cumsum(per_doc) - per_doc
+    owner = np.repeat(np.arange(total, dtype=np.int32), per_doc)
+    sharpness = 4 + np.log(np.maximum(per_doc / 12, 1)).astype(np.float32)  # one passage outweighs any number of others
     y = toxic[owner].astype(np.float32)
     vectors = rng.uniform(-0.5, 0.5, (BUCKETS, DIMENSIONS)).astype(np.float32)
     vectors[0] = 0
     out, bias = rng.normal(0, 1, DIMENSIONS).astype(np.float32), 0.0
     seen_v, seen_o, seen_b = np.full((BUCKETS, DIMENSIONS), 1e-6, np.float32), np.full(DIMENSIONS, 1e-6, np.float32), 1e-6
-    weight = 1.0 / per_doc[owner]
-    margin = np.zeros(len(owner))
+    weight = (1.0 / per_doc[owner]).astype(np.float32)
+    margin = np.zeros(len(owner), np.float32)
     for epoch in range(EPOCHS):
         if epoch:
             belief = sigmoid(margin)
-            most = np.zeros(total)
+            most = np.zeros(total, np.float32)
             np.maximum.at(most, owner, belief)
-            share = np.exp(4 * (belief - most[owner]))
+            share = np.exp(sharpness[owner] * (belief - most[owner]))
             share /= np.bincount(owner, share, total)[owner]
             noise = most[owner] < 0.3 if epoch > 1 else np.zeros(len(owner), bool)
-            weight = np.where(y > 0, np.where(noise, 0.0, share), 0.5 / per_doc[owner] + 0.5 * share)
+            weight = np.where(y > 0, np.where(noise, 0.0, share), 0.5 / per_doc[owner] + 0.5 * share).astype(np.float32)
         for w in (0, 1):  # both classes weigh the same
-            weight[y == w] /= max(weight[y == w].sum() / (len(owner) / 2), 1e-9)
-        order = rng.permutation(len(owner))
-        for part in np.array_split(order, max(1, len(order) // 512)):
-            rows, n = _ranges(starts[part], ends[part])
-            grams = ids[rows].ravel()
-            each = np.repeat(np.arange(len(part)), n * len(GRAMS))
-            each, grams = each[grams != 0], grams[grams != 0]
-            number = np.maximum(np.bincount(each, minlength=len(part)), FEWEST)
-            gathered = vectors[grams]
-            mean = np.stack([np.bincount(each, gathered[:, d], len(part)) for d in range(DIMENSIONS)], 1) / number[:, None]
-            margin[part] = mean @ out + bias
-            error = (sigmoid(margin[part]) - y[part]) * weight[part] / len(part)
-            grad_o, grad_b = mean.T @ error, float(error.sum())
-            slope = (error / number)[each]
-            grad = np.bincount(grams, slope, BUCKETS)[:, None] * out[None, :]
-            touched = np.flatnonzero(grad[:, 0])
-            g = grad[touched].astype(np.float32)
-            seen_v[touched] += g * g
-            vectors[touched] -= RATE * g / np.sqrt(seen_v[touched])
-            seen_o += grad_o.astype(np.float32) ** 2
-            out -= (0.1 * grad_o / np.sqrt(seen_o)).astype(np.float32)
-            seen_b += grad_b ** 2
-            bias -= 0.1 * grad_b / np.sqrt(seen_b)
+            weight[y == w] /= max(weight[y == w].sum(dtype=float) / (len(owner) / 2), 1e-9)
+        for docs in _chunks(rng.permutation(total), sizes):
+            grams = Grams([texts[i] for i in docs])
+            a, b, own = grams.passages()
+            order = np.lexsort((a, own))
+            a, b, own = a[order], b[order], own[order]
+            place, _ = _ranges(first[docs], first[docs] + per_doc[docs])  # of each passage among all
+            begin, end = grams.starts[a], np.append(grams.starts, grams.rows)[b + 1]
+            mixed = rng.permutation(len(place))
+            for part in np.array_split(mixed, max(1, len(mixed) // 512)) if len(mixed) else ():
+                at = place[part]
+                rows, n = _ranges(begin[part], end[part])
+                found = grams.ids[rows]
+                heads = np.cumsum(n) - n
+                number = np.maximum(np.add.reduceat((found != 0).sum(1), heads), FEWEST)
+                mean = np.add.reduceat(vectors[found].sum(1), heads, axis=0) / number[:, None]
+                margin[at] = mean @ out + bias
+                error = (sigmoid(margin[at]) - y[at]) * weight[at] / len(part)
+                grad_o, grad_b = mean.T @ error, float(error.sum())
+                grad = np.bincount(found.ravel(), np.repeat(error / number, n * len(GRAMS)), BUCKETS)
+                grad[0] = 0  # no gram
+                touched = np.flatnonzero(grad)
+                g = (grad[touched, None] * out).astype(np.float32)
+                seen_v[touched] += g * g
+                vectors[touched] -= RATE * g / np.sqrt(seen_v[touched])
+                seen_o += grad_o.astype(np.float32) ** 2
+                out -= (0.1 * grad_o / np.sqrt(seen_o)).astype(np.float32)
+                seen_b += grad_b ** 2
+                bias -= 0.1 * grad_b / np.sqrt(seen_b)
     model = Model((vectors @ out).astype(np.float32), bias, (1.0, 0.0), prior)
     model.table[0] = 0
-    x = np.concatenate([model.margins(real[i:i + 200]) for i in range(0, len(real), 200)])
+    if kept.any():  # margins of documents it was trained on would flatter the model
+        real, real_toxic = [t for t, k in zip(real, kept) if k], real_toxic[kept]
+    sizes = np.array([len(t) for t in real])
+    x = np.concatenate([model.margins([real[i] for i in part]) for part in _chunks(np.arange(len(real)), sizes)])
     known = np.isfinite(x)
     w = np.where(real_toxic, n1 / real_toxic.sum(), n0 / (~real_toxic).sum()) / (n0 + n1) * len(real)
     model.scale = platt(x[known], real_toxic[known].astype(float), w[known]) if known.any() else None
