@@ -6,8 +6,11 @@ tokens still missing come from the queues owed most. What is owed stays in the d
 start anywhere with the right deficits and none waits for another. When a queue runs dry, one window shares out what is
 missing and a new phase goes on with the queues left. There are at most two phases for each queue.
 
-Queues are the sources with most tokens, ``QUEUES - 1`` of them; all other sources share the last queue. A null source is
-a source. Documents are cut freely; every token lies in exactly one piece. Only the last window may be short.
+The ``QUEUES - 1`` sources with most weight have a queue each. All others lie in one joint queue in rounds of as many
+tokens as a window owes them: a round holds what each source is owed by its own share so far, in whole tokens, less what
+earlier rounds held. A source owed less than one token a window sends ``RUN`` tokens whenever it is owed so many. Sources
+without a target, where targets are given, have a joint queue of the same kind. A null source is a source. Documents are
+cut freely; every token lies in exactly one piece. Only the last window may be short.
 Null and empty texts have the end id alone. An empty table gives no pieces. The order inside a queue is that of the
 partitions in which the documents were tokenised; it is written once, so a lost executor changes nothing.
 """
@@ -24,6 +27,7 @@ from prefmill.session import settled
 
 QUEUES = 64
 CYCLE = 256
+RUN = 16  # tokens that a source owed less than one token a window sends at once
 END = 1
 
 
@@ -167,6 +171,62 @@ def tokenised(docs: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
     return map_steps(named, f"`{key}` {kind}, part int, queue_key string, before long, n long, width int, ids binary", step)
 
 
+def _in_rounds(placed: DataFrame, key: str) -> DataFrame:
+    """Documents of joint queues, cut where their source's rounds end and laid out round by round: the columns that
+    ``packed`` reads, ``start`` being the place in the queue. Runs are range partitioned and written once; a row for each
+    partition and queue gives the offsets."""
+    kind = placed.schema[key].dataType.simpleString()
+
+    def runs(batch):
+        starts, lengths, rates, widths = (batch.column(c).to_numpy() for c in ("start", "n", "rate", "width"))
+        bodies, names = batch.column("ids"), batch.column("queue_key").to_pylist()
+        row, at, n, rounds, parts = [], [], [], [], []
+        for i, (start, length, rate) in enumerate(zip(starts.tolist(), lengths.tolist(), rates.tolist())):
+            lead = zlib.crc32(names[i].encode()) / (1 << 32)  # sources take their roundings in different rounds
+            places = np.arange(start, start + length)
+            if rate < 1:
+                turn = ((places // RUN + lead) * (RUN / rate)).astype(np.int64)
+            else:
+                turn = ((places + lead) / rate).astype(np.int64)
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(turn)) + 1])
+            ends = np.append(cuts[1:], length)
+            body = bodies[i].as_buffer()
+            row.append(np.full(len(cuts), i))
+            at.append(cuts)
+            n.append(ends - cuts)
+            rounds.append(turn[cuts])
+            parts += [body[a * int(widths[i]):b * int(widths[i])].to_pybytes() for a, b in zip(cuts.tolist(), ends.tolist())]
+        row, at, n, rounds = map(np.concatenate, (row, at, n, rounds))
+        index = _index(row)
+        return [batch.column(key).take(index), batch.column("queue").take(index), rounds, batch.column("queue_key").take(index),
+                starts[row] + at, n, at, lengths[row], widths[row], parts]
+
+    cut = map_steps(placed.select(key, "start", "n", "queue", "rate", "width", "queue_key", "ids"),
+                    f"`{key}` {kind}, queue int, _round long, queue_key string, place long, n long, at long, doc_tokens long, width int, ids binary",
+                    runs, "ids")
+    order = ["queue", "_round", "_tie", "queue_key", "place"]
+    cut = cut.withColumn("_tie", F.xxhash64("queue_key")).repartitionByRange(*order).sortWithinPartitions(*order)
+    state = {}
+
+    def numbered(batch):
+        if state.get("part") != (part := (TaskContext.get().partitionId(), TaskContext.get().taskAttemptId())):
+            state["part"], state["sent"] = part, {}
+        sent, before = state["sent"], []
+        for queue, n in zip(batch.column("queue").to_pylist(), batch.column("n").to_pylist()):
+            before.append(sent.get(queue, 0))
+            sent[queue] = before[-1] + n
+        same = ("queue", "width", "queue_key", "at", "doc_tokens", "n", "ids")
+        return [batch.column(key), [part[0]] * len(before), before, *(batch.column(c) for c in same)]
+
+    laid = settled(map_steps(cut, f"`{key}` {kind}, part int, before long, queue int, width int, queue_key string, at long, doc_tokens long, "
+                                  "n long, ids binary", numbered, "ids"))
+    before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (laid.groupBy("part", "queue").agg(F.sum("n").alias("n"))
+               .select("part", "queue", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")))
+    return laid.join(offsets, ["part", "queue"]).select(key, (F.col("base") + F.col("before")).alias("start"), "n", "queue", "width",
+                                                       "queue_key", "at", "doc_tokens", "ids")
+
+
 def packed(docs: DataFrame, path: str, size: int = 2048, targets: dict[str, float] | None = None,
            key: str = "doc_id") -> DataFrame:
     """Pieces: key, start, length, ids_crc32, doc_tokens, sequence_id, offset, source.
@@ -175,20 +235,36 @@ def packed(docs: DataFrame, path: str, size: int = 2048, targets: dict[str, floa
     """
     tokens = settled(tokenised(docs, path, key))
     spans = settled(tokens.groupBy("part", "queue_key").agg(F.sum("n").alias("n")))
-    top = spans.groupBy("queue_key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "queue_key").limit(QUEUES - 1).collect()
+    sources = spans.groupBy("queue_key").agg(F.sum("n").alias("total"))
+    if targets:
+        wanted = [(f"={k}" if k is not None else "-", float(v)) for k, v in targets.items()]
+        wanted = docs.sparkSession.createDataFrame(wanted, "queue_key string, weight double")
+        sources = sources.join(wanted, "queue_key", "left").na.fill(0.0, ["weight"])
+    else:
+        sources = sources.withColumn("weight", F.col("total").cast("double"))
+    sources = settled(sources)
+    top = sources.orderBy(F.desc("weight"), F.desc("total"), "queue_key").limit(QUEUES - 1).collect()
     names = [r["queue_key"] for r in top]
-    total = spans.agg(F.sum("n")).first()[0] or 0
-    totals = [r["n"] for r in top]
-    totals.append(total - sum(totals))
-    wanted = {f"={k}" if k is not None else "-": v for k, v in (targets or {}).items()}
-    weights = [wanted.get(n, 0.0) for n in names] + [sum(v for k, v in wanted.items() if k not in names)] if targets else totals
-    plan = Plan(phases(totals, weights, size), size)
-    number = F.coalesce(*[F.when(F.col("queue_key") == n, F.lit(i)) for i, n in enumerate(names)], F.lit(len(names)))
-    # A row for each partition and source; the rows of one queue are as many as partitions, not documents.
-    order = Window.partitionBy("queue").orderBy("part", "queue_key").rowsBetween(Window.unboundedPreceding, -1)
-    spans = settled(spans.withColumn("queue", number).withColumn("base", F.coalesce(F.sum("n").over(order), F.lit(0)))
-                    .select("part", "queue_key", "queue", "base"))
-    rows = tokens.join(spans, ["part", "queue_key"]).withColumn("start", F.col("base") + F.col("before"))
+    number = F.coalesce(*[F.when(F.col("queue_key") == n, F.lit(i)) for i, n in enumerate(names)],
+                        F.lit(len(names)) + (F.col("weight") <= 0).cast("int"))
+    sources = sources.withColumn("queue", number)
+    joint = {r["queue"] - len(names): r for r in sources.filter(F.col("queue") >= len(names)).groupBy("queue")
+             .agg(F.sum("total").alias("total"), F.sum("weight").alias("weight")).collect()}
+    totals = [r["total"] for r in top] + [joint[k]["total"] if k in joint else 0 for k in (0, 1)]
+    weights = [r["weight"] for r in top] + [joint[0]["weight"] if 0 in joint else 0.0, 0.0]
+    plan = Plan(phases(totals, weights if targets else totals, size), size)
+    # A row for each partition and source; the rows of one source are as many as partitions, not documents.
+    order = Window.partitionBy("queue_key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    rate = F.when(F.col("weight") > 0, F.col("weight") / max(sum(weights), 1e-300)).otherwise(F.col("total") / max(totals[-1], 1)) * size
+    spans = settled(spans.withColumn("base", F.coalesce(F.sum("n").over(order), F.lit(0)))
+                    .join(sources.select("queue_key", "queue", rate.alias("rate")), "queue_key")
+                    .select("part", "queue_key", "queue", "rate", "base"))
+    placed = tokens.join(spans, ["part", "queue_key"]).withColumn("start", F.col("base") + F.col("before"))
+    fields = [key, "start", "n", "queue", "width", "queue_key", F.lit(0).cast("long").alias("at"), F.col("n").alias("doc_tokens"), "ids"]
+    rows = placed.select(*fields)
+    if joint:
+        rows = (placed.filter(F.col("queue") < len(names)).select(*fields)
+                .unionByName(_in_rounds(placed.filter(F.col("queue") >= len(names)), key)))
 
     def step(batch):
         starts, lengths, queues = (batch.column(c).to_numpy() for c in ("start", "n", "queue"))
@@ -202,6 +278,7 @@ def packed(docs: DataFrame, path: str, size: int = 2048, targets: dict[str, floa
         order = np.argsort(row, kind="stable")
         row, start, length, window, offset = (x[order] for x in (row, start, length, window, offset))
         start = start - starts[row]
+        at = batch.column("at").to_numpy()[row]
         sums, last, ids = [], -1, None
         bodies, widths = batch.column("ids"), batch.column("width").to_numpy()
         for r, s, n in zip(row.tolist(), start.tolist(), length.tolist()):
@@ -209,12 +286,11 @@ def packed(docs: DataFrame, path: str, size: int = 2048, targets: dict[str, floa
                 ids = np.frombuffer(bodies[r].as_buffer(), f"<u{widths[r]}").astype("<u4")
                 last = r
             sums.append(zlib.crc32(ids[s:s + n].data))
-        return [batch.column(key).take(_index(row)), start, length, sums, lengths[row], window, offset,
+        return [batch.column(key).take(_index(row)), start + at, length, sums, batch.column("doc_tokens").to_numpy()[row], window, offset,
                 batch.column("queue_key").take(_index(row))]
 
     kind = docs.schema[key].dataType.simpleString()
-    out = map_steps(rows.select(key, "start", "n", "queue", "width", "queue_key", "ids"),
-                    f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, _q string", step, "ids")
+    out = map_steps(rows, f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, _q string", step, "ids")
     return out.select(key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset",
                       F.when(F.col("_q") != "-", F.expr("substring(_q, 2)")).alias("source"))
 

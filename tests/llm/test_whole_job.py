@@ -3,8 +3,10 @@
 import random
 
 import numpy as np
+from helpers import documents
 
-from prefmill.llm import toxicity
+from prefmill.llm import mixpack, toxicity
+from prefmill.llm.base import tokenizer_path
 
 
 def test_toxicity_learns_from_every_passage():
@@ -20,3 +22,42 @@ def test_toxicity_learns_from_every_passage():
     model = toxicity.train(texts, np.arange(60) % 2 > 0, (30, 30))
     bad, good = model.scores([text(True) for _ in range(20)]), model.scores([text(False) for _ in range(20)])
     assert bad.min() > good.max() and (bad > 0.7).mean() > 0.9 and (good < 0.7).mean() > 0.9
+
+
+def shares_of_windows(out):
+    found = {}
+    for r in out.collect():
+        window = found.setdefault(r["sequence_id"], {})
+        window[r["source"]] = window.get(r["source"], 0) + r["length"]
+    return found
+
+
+def test_small_sources_hold_their_shares_in_every_window(spark, monkeypatch):
+    monkeypatch.setattr(mixpack, "QUEUES", 4)
+    rows = [(i, "alpha beta gamma delta " * (120 if i % 20 < 3 else 40), "en", f"s{i % 20}") for i in range(400)]
+    found = shares_of_windows(mixpack.packed(documents(spark, rows), tokenizer_path(), 512))
+    total = sum(sum(w.values()) for w in found.values())
+    assert total == sum(4 * (120 if i % 20 < 3 else 40) + 2 for i in range(400))  # the last blank and the end id
+    for s in {r[3] for r in rows}:
+        wanted = 512 * sum(w.get(s, 0) for w in found.values()) / total
+        assert all(abs(w.get(s, 0) - wanted) <= 4 for k, w in found.items() if k < max(found) - 1), s
+
+
+def test_small_sources_keep_their_own_targets(spark, monkeypatch):
+    monkeypatch.setattr(mixpack, "QUEUES", 3)
+    rows = [(i, "alpha beta gamma " * 60, "en", f"s{i % 8}") for i in range(160)]
+    targets = {"s0": 40.0, "s1": 30.0, "s2": 12.0, "s3": 8.0, "s4": 6.0, "s5": 4.0}
+    found = shares_of_windows(mixpack.packed(documents(spark, rows), tokenizer_path(), 400, targets))
+    for w in range(8):
+        assert all(abs(found[w].get(s, 0) - 4 * share) <= 4 for s, share in targets.items())
+    assert sum(sum(w.values()) for w in found.values()) == 160 * 182
+
+
+def test_a_source_for_each_document(spark, monkeypatch):
+    monkeypatch.setattr(mixpack, "QUEUES", 4)
+    rows = [(i, "alpha beta " * (5 + i % 7), "en", f"site{i}") for i in range(300)]
+    out = mixpack.packed(documents(spark, rows), tokenizer_path(), 64).collect()
+    assert {r["doc_id"]: r["doc_tokens"] for r in out} == {i: 2 * (5 + i % 7) + 2 for i in range(300)}
+    assert sum(r["length"] for r in out) == sum(2 * (5 + i % 7) + 2 for i in range(300))
+    places = sorted((r["sequence_id"], r["offset"], r["length"]) for r in out)
+    assert all(a[1] + a[2] == (b[1] or 64) for a, b in zip(places, places[1:]))
