@@ -4,6 +4,8 @@ The tokenizer's own splitting rule always cuts before a single blank between two
 around a single line end between such characters. So a text may be encoded piece by piece there, and pieces that recur
 need encoding once. New pieces of printable Latin characters, where no two readings of the splitting rule can differ, are
 encoded from the same vocabulary as ranks, which is faster and gives the same ids; the tokenizer itself does the rest.
+Special tokens in a text are single ids: the text between them is encoded by itself, as the tokenizer does. Texts with a
+special token that takes in its surroundings go to the tokenizer whole.
 """
 
 import base64
@@ -62,14 +64,20 @@ class Pieces:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already runs a task on each core
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.ordinary = Tokenizer.from_file(path)  # for text between special tokens, without the search for them
+        self.ordinary.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.special = {t.content: i for i, t in added.items()}
+        self.whole = any(t.lstrip or t.rstrip or t.single_word or t.normalized and self.tokenizer.normalizer for t in added.values())
+        longest = sorted(self.special, key=len, reverse=True)
+        self.marks = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.words = Memory(self._words)
         self.ranks = ranks_of(path)
         self.line = self._encode(["\n"])[0]
 
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
+    def _encode(self, pieces: list[str], tokenizer=None) -> list[bytes]:
+        found = (tokenizer or self.ordinary).encode_batch_fast(pieces, add_special_tokens=False)
         return [array(self.code, e.ids).tobytes() for e in found]
 
     def _words(self, pieces: list[str]) -> list[bytes]:
@@ -92,6 +100,24 @@ class Pieces:
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.marks:
+            return self._plain(texts)
+        if self.whole:
+            out = self._plain(["" if self._marked(t) else t for t in texts])
+            at = [i for i, t in enumerate(texts) if self._marked(t)]
+            for i, ids in zip(at, self._encode([texts[i] for i in at], self.tokenizer)):
+                out[i] = ids
+            return out
+        split = [self.marks.split(t) for t in texts]  # text, mark, text, ..., text
+        plain = iter(self._plain([part for parts in split for part in parts[::2]]))
+        return [b"".join(array(self.code, [self.special[part]]).tobytes() if k % 2 else next(plain) for k, part in enumerate(parts))
+                for parts in split]
+
+    def _marked(self, text: str) -> bool:
+        """Whether the tokenizer may find a special token in a text, also after it has normalised the text."""
+        return bool(self.marks.search(text) or self.tokenizer.normalizer and self.marks.search(self.tokenizer.normalizer.normalize_str(text)))
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
         known, cut, new = self.words.young, [], set()
         for text in texts:
             parts = text.split(" ")

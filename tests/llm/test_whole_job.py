@@ -7,6 +7,7 @@ from helpers import documents
 
 from prefmill.llm import mixpack, toxicity
 from prefmill.llm.base import tokenizer_path
+from prefmill.llm.tokenizing import Pieces
 
 
 def test_toxicity_learns_from_every_passage():
@@ -61,3 +62,17 @@ def test_a_source_for_each_document(spark, monkeypatch):
     assert sum(r["length"] for r in out) == sum(2 * (5 + i % 7) + 2 for i in range(300))
     places = sorted((r["sequence_id"], r["offset"], r["length"]) for r in out)
     assert all(a[1] + a[2] == (b[1] or 64) for a, b in zip(places, places[1:]))
+
+
+def test_special_tokens_are_single_ids():
+    from tokenizers import Tokenizer
+    fresh = Tokenizer.from_file(tokenizer_path())
+    mark = next(t.content for t in fresh.get_added_tokens_decoder().values())
+    texts = [f"a {mark} b", mark, f"{mark}{mark}", f" {mark}\n\n x", f"word{mark}word  {mark} ", f"a b\n{mark}\nc d", mark[:-1] + " " + mark]
+    texts += ["nothing here", "", f"é {mark}²"]
+    pieces = Pieces(tokenizer_path())
+    for _ in range(2):
+        for got, text in zip(pieces.encode(texts), texts):
+            assert np.frombuffer(got, "<u2").tolist() == fresh.encode(text, add_special_tokens=False).ids, text
+    number = fresh.token_to_id(mark)
+    assert np.frombuffer(pieces.encode([f"a {mark} b"])[0], "<u2").tolist().count(number) == 1
