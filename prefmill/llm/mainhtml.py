@@ -1,12 +1,14 @@
 """Main text of web pages: streaming parser events, text-to-tag ratio per line, Gaussian smoothing, threshold clustering.
 
 The standard-library parser reads a page once. Block tags end a line; each line keeps its text, its tags, how much of it
-is link text, and the region it is in: the outermost article, else the main element, else the nearest block. Lines in
-menus, headers, footers, sidebars, notices, adverts, forms and reader comments (by element, role, class or id) and hidden
-ones count as empty, as do scripts and styles. The ratio (characters outside links per tag) is smoothed by a Gaussian over
-neighbouring lines and split into two clusters by the threshold between their means. Regions whose lines in the upper
-cluster hold at least ``REGION`` of the best region's text are content, and all their remaining lines are the result, so
-that a short line between long ones stays. Articles and main elements come before other regions.
+is link text, and whether it is inside an article or a main element. Lines in menus, headers, footers, sidebars, notices,
+adverts, forms and reader comments (by element, or by a class, id or role that says nothing else) and hidden ones count as
+empty, as do scripts and styles. Names never drop an article, a main element or what contains one, unless all it holds are
+readers' comments; a name that says more (``has-sidebar``) only lowers the ratio of its lines, and when nothing is left
+names count for nothing. The ratio (characters outside links per tag) is smoothed by a Gaussian over neighbouring lines
+and split into two clusters by the threshold between their means. All lines of all articles (or of main, or of the page if
+there is neither) are the result, so that short lines, sections and articles stay; outside of articles also the lines of
+the upper cluster, and, if those hold more than the articles, all but lines of links.
 
 Defined results: null, empty and text-free pages give an empty text. Character references are decoded, white space inside
 a line becomes one space, lines are joined by one line end in page order. Unclosed and crossed tags end with the nearest
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from prefmill.llm.base import map_steps
 
 SPREAD = 1.5
-REGION = 0.2
+NAMED = 0.5  # what a name that may mean a menu or the like leaves of a line's ratio
 
 #: Element names, and words of classes, ids and roles, as pages commonly use them.
 BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset
@@ -38,6 +40,10 @@ DROPPED_WORDS = frozenset("""ad ads adsense advert adverts advertisement adverti
     complementary search dialog""".split())
 #: Dropped outside articles only: inside one they hold its title.
 OUTER_WORDS = frozenset("header masthead topbar".split())
+#: Words that add nothing to the above.
+PLAIN_WORDS = frozenset("area bar block bottom box global item left link links list page right section site top widget".split())
+#: An article with such a name is no article of its own inside an element that is dropped by name.
+REPLY_WORDS = frozenset("comment comments disqus respond reply replies".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
           "th": {"td", "th"}, "option": {"option"}}
 #: An end tag or an implied end never reaches beyond these.
@@ -47,30 +53,30 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
 class Lines(HTMLParser):
-    def __init__(self):
+    def __init__(self, names: bool = True):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int]] = []  # tag, whether its content is dropped, number of the element
-        self.dropped = self.linked = self.tags = self.count = self.links = 0
-        self.parts: list[str] = []
-        self.rows: list[tuple[str, int, int, int, int]] = []  # text, tags, link characters, region, kind of region
-
-    def _region(self) -> tuple[int, int]:
-        for wanted, kind in ((("article",), 2), (("main",), 1)):
-            for tag, _, number in self.open:
-                if tag in wanted:
-                    return number, kind
-        return next((n for t, _, n in reversed(self.open) if t in SCOPES), 0), 0
+        self.names = names
+        # tag, whether its content is dropped, named elements around it, whether its name lowers ratios
+        self.open: list[tuple[str, bool, tuple[int, ...], bool]] = []
+        self.dropped = self.linked = self.tags = self.count = self.articles = self.mains = self.lowered = 0
+        self.named: tuple[int, ...] = ()  # open elements that their names drop, unless an article turns up inside
+        self.kept: set[int] = set()  # those in which one did
+        self.parts: list[tuple[str, tuple[int, ...], bool]] = []
+        self.rows: list[tuple[list, int, int, bool]] = []  # parts, tags, kind of region, whether its ratio is lowered
 
     def flush(self):
-        text = " ".join("".join(self.parts).split())
-        if text or self.tags:
-            self.rows.append((text, self.tags, self.links, *self._region()))
-        self.parts, self.tags, self.links = [], 0, 0
+        if self.parts or self.tags:
+            self.rows.append((self.parts, self.tags, 2 if self.articles else 1 if self.mains else 0, self.lowered > 0))
+        self.parts, self.tags = [], 0
 
     def _pop(self):
-        tag, drops, _ = self.open.pop()
+        tag, drops, named, lowered = self.open.pop()
         self.dropped -= drops
         self.linked -= tag == "a"
+        self.articles -= tag == "article"
+        self.mains -= tag == "main"
+        self.lowered -= lowered
+        self.named = named
 
     def _close(self, tags: set, scopes=SCOPES):
         """Close the nearest open element of ``tags`` and all inside it, if no scope stands between."""
@@ -85,18 +91,27 @@ class Lines(HTMLParser):
     def _drops(self, tag: str, attributes: dict) -> bool:
         if tag in DROPPED:
             return True
-        inside = any(t == "article" for t, _, _ in self.open)
         if tag in ("html", "body", "main"):
             return False
         if tag == "header":
-            return not inside
-        if not attributes:
-            return False
-        named = set(_WORDS.findall(" ".join(attributes.get(k) or "" for k in ("class", "id", "role")).lower()))
-        if named & DROPPED_WORDS or not inside and named & OUTER_WORDS:
-            return True
-        return ("hidden" in attributes or attributes.get("aria-hidden") == "true"
-                or bool(_HIDDEN.search((attributes.get("style") or "").lower())))
+            return not self.articles
+        return bool(attributes) and ("hidden" in attributes or attributes.get("aria-hidden") == "true"
+                                     or bool(_HIDDEN.search((attributes.get("style") or "").lower())))
+
+    def _means(self, tag: str, attributes: dict) -> tuple[bool, bool, bool]:
+        """Whether the names of an element say that it is no content, might say so, and speak of comments."""
+        if not self.names or not attributes or tag in ("html", "body", "main"):
+            return False, False, False
+        unwanted = DROPPED_WORDS if self.articles or tag == "article" else DROPPED_WORDS | OUTER_WORDS
+        sure = might = reply = False
+        for name in " ".join(attributes.get(k) or "" for k in ("class", "id", "role")).lower().split():
+            found = set(_WORDS.findall(name))
+            if found & unwanted:
+                might = True
+                if found <= unwanted | PLAIN_WORDS:
+                    sure = True
+                    reply |= bool(found & REPLY_WORDS)
+        return sure, might, reply
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
@@ -106,14 +121,25 @@ class Lines(HTMLParser):
         if tag in CLOSES:
             self._close(CLOSES[tag], SCOPES | {"ul", "ol", "dl"})
         if tag == "br":
-            self.parts.append(" ")
+            self.parts.append((" ", (), False))
         if tag in VOID:
             return
         self.count += 1
-        drops = self._drops(tag, dict(attrs))
-        self.open.append((tag, drops, self.count))
+        attributes = dict(attrs)
+        drops = self._drops(tag, attributes)
+        sure, might, reply = self._means(tag, attributes)
+        whole = tag in ("article", "main")
+        if whole and not reply:
+            self.kept.update(self.named)
+        lowered = might and not sure and not whole
+        self.open.append((tag, drops, self.named, lowered))
+        if sure and not whole:
+            self.named += (self.count,)
         self.dropped += drops
         self.linked += tag == "a"
+        self.articles += tag == "article"
+        self.mains += tag == "main"
+        self.lowered += lowered
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)  # a slash closes nothing but void elements
@@ -127,26 +153,31 @@ class Lines(HTMLParser):
 
     def handle_data(self, data):
         if not self.dropped:
-            self.parts.append(data)
-            if self.linked:
-                self.links += len(data)
+            self.parts.append((data, self.named, self.linked > 0))
 
     def unknown_decl(self, data):
         pass
 
-    def finished(self) -> list[tuple[str, int, int, int, int]]:
+    def finished(self) -> list[tuple[str, int, int, int, bool]]:
+        """text, tags, link characters, kind of region and whether the ratio is lowered, of each line."""
         self.close()
         self.flush()
-        return self.rows
+        out = []
+        for parts, tags, kind, lowered in self.rows:
+            held = [(t, link) for t, named, link in parts if not named or self.kept.issuperset(named)]
+            text = " ".join("".join(t for t, _ in held).split())
+            if text or tags:
+                out.append((text, tags, sum(len(t) for t, link in held if link), kind, lowered))
+        return out
 
 
-def lines(page: str) -> list[tuple[str, int, int, int, int]]:
+def lines(page: str, names: bool = True) -> list[tuple[str, int, int, int, bool]]:
     try:
-        parser = Lines()
+        parser = Lines(names)
         parser.feed(page)
         return parser.finished()
     except AssertionError:  # the parser's answer to an unknown declaration
-        parser = Lines()
+        parser = Lines(names)
         parser.feed(page.replace("<![", "&lt;!["))
         return parser.finished()
 
@@ -174,25 +205,30 @@ def threshold(values: np.ndarray) -> float:
 
 def main_text(page: str) -> str:
     rows = lines(page)
+    if not any(r[0] for r in rows):
+        rows = lines(page, names=False)
     size = np.array([len(r[0]) for r in rows], float)
     if not size.sum():
         return ""
     outside = np.maximum(size - np.array([r[2] for r in rows]), 0)
-    near = smoothed(outside / (1 + np.array([r[1] for r in rows])))
-    content = (near >= threshold(near)) & (size > 0)
-    region, kind = np.array([r[3] for r in rows]), np.array([r[4] for r in rows])
-    for wanted in (2, 1, 0):  # articles, main elements, other blocks
-        own = kind == wanted
-        mass = np.bincount(region[own], np.where(content, outside, 0)[own]) if own.any() else np.zeros(1)
-        if not mass.max() and wanted and (own & (outside > 0)).any():
-            mass = np.bincount(region[own], outside[own])
-        if mass.max():
-            chosen = np.flatnonzero(mass >= REGION * mass.max())
-            keep = own & np.isin(region, chosen) & (size > 0)
-            if not wanted:  # without an article, lines of links between the content are menus
-                keep &= content | (outside >= 0.5 * size)
-            return "\n".join(r[0] for r, k in zip(rows, keep) if k)
-    return "\n".join(r[0] for r in rows if r[0])
+    ratio = outside / (1 + np.array([r[1] for r in rows])) * np.where([r[4] for r in rows], NAMED, 1.0)
+    near = smoothed(ratio)
+    cut = threshold(near)
+    kind = np.array([r[3] for r in rows])
+    own = (kind == 2) & (size > 0)
+    if not own.any():
+        own = (kind == 1) & (size > 0)
+    text = (near >= cut) & (outside >= 0.5 * size) & (size > 0)
+    if not own.any():  # lines of links between the content are menus
+        keep = (size > 0) & ((near >= cut) | (outside >= 0.5 * size))
+    else:
+        others = text & ~own & (ratio >= cut)  # not for the sake of a long neighbour alone
+        keep = own | others
+        if outside[others].sum() > outside[own].sum():
+            keep |= (size > 0) & (outside >= 0.5 * size)
+    if not keep.any():
+        keep = size > 0
+    return "\n".join(r[0] for r, k in zip(rows, keep) if k)
 
 
 def extracted(pages: DataFrame) -> DataFrame:

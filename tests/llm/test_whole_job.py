@@ -5,7 +5,7 @@ import random
 import numpy as np
 from helpers import documents
 
-from prefmill.llm import mixpack, toxicity
+from prefmill.llm import mainhtml, mixpack, toxicity
 from prefmill.llm.base import tokenizer_path
 from prefmill.llm.tokenizing import Pieces
 
@@ -76,3 +76,18 @@ def test_special_tokens_are_single_ids():
             assert np.frombuffer(got, "<u2").tolist() == fresh.encode(text, add_special_tokens=False).ids, text
     number = fresh.token_to_id(mark)
     assert np.frombuffer(pieces.encode([f"a {mark} b"])[0], "<u2").tolist().count(number) == 1
+
+
+LONG = "This is a sentence of the article that goes on for a while. " * 12
+
+
+def test_names_of_wrappers_and_articles_drop_no_text():
+    want = LONG.strip() + "\nShort end."
+    body = f"<p>{LONG}</p><p>Short end.</p>"
+    for page in (f'<article class="post category-social">{body}</article>', f'<article class="related">{body}</article>',
+                 f'<div class="content-sidebar-wrap"><article>{body}</article></div><div class="sidebar">menu</div>',
+                 f'<div class="layout has-sidebar"><div>{body}</div></div><div class="site-header">Site name</div>',
+                 f'<div class="sidebar"><main>{body}</main></div>', f'<div class="banner"><div>{body}</div></div>'):
+        assert mainhtml.main_text(f"<html><body>{page}</body></html>") == want, page
+    page = f'<article>{body}</article><section class="comments"><article class="comment"><p>{LONG}</p></article></section>'
+    assert mainhtml.main_text(page) == want
