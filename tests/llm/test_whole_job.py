@@ -91,3 +91,13 @@ def test_names_of_wrappers_and_articles_drop_no_text():
         assert mainhtml.main_text(f"<html><body>{page}</body></html>") == want, page
     page = f'<article>{body}</article><section class="comments"><article class="comment"><p>{LONG}</p></article></section>'
     assert mainhtml.main_text(page) == want
+
+
+def test_short_sections_and_articles_stay():
+    long = f"<p>{LONG}</p>" * 6
+    page = f"<body><div><p>A short opening.</p></div><section>{long}</section><table><tr><td>42</td></tr></table><section><p>Brief.</p></section></body>"
+    assert mainhtml.main_text(page) == "\n".join(["A short opening.", *[LONG.strip()] * 6, "42", "Brief."])
+    page = f"<main><article>{long}</article><article><p>Small one.</p></article></main>"
+    assert mainhtml.main_text(page).endswith("\nSmall one.")
+    page = f"<div><article><p>Teaser of another page.</p></article></div><div><h2>Title</h2>{long}<p>The end.</p></div>"
+    assert mainhtml.main_text(page) == "\n".join(["Teaser of another page.", "Title", *[LONG.strip()] * 6, "The end."])
