@@ -1,6 +1,8 @@
 """Secret scan: candidate strings, and a random forest that removes false positives.
 
-A candidate is a run of at least ``SHORTEST`` characters of ``[A-Za-z0-9_+/=-]``. Its features: length; entropy and kinds of
+A candidate is a run of at least ``SHORTEST`` characters of ``[A-Za-z0-9_+/=-]``, or what is assigned to a named
+credential: non-blank characters of any kind and number, up to the closing quote or the next blank. Of a run that overlaps
+such a value only what lies outside is a candidate. Its features, all over the whole candidate: length; entropy and kinds of
 characters; how likely its character transitions are in the corpus; how much of it the corpus's common letter trigrams
 cover (a dictionary that needs no word list); the document's path; and the words and signs before it. Transitions and
 trigrams are counted over all documents. The forest (numpy, on the driver) is trained on at most ``SAMPLE`` labelled
@@ -27,7 +29,7 @@ SAMPLE = 3000
 TREES, DEPTH, LEAF, CUTS = 25, 7, 5, 12
 CUT = 0.5
 COMMON = 2e-5  # share of all trigrams from which one is common
-LONGEST_READ = 512  # a longer candidate's features come from its first and last halves of this many characters
+STEP = 1 << 16  # characters of a candidate that are looked at together
 
 _CANDIDATE = re.compile(rf"[A-Za-z0-9_+/=-]{{{SHORTEST},}}")
 #: Words that name a credential, words that name a harmless digest, and words of harmless paths.
@@ -35,6 +37,11 @@ SECRET_WORDS = ("key", "token", "secret", "passw", "pwd", "credential", "auth",
 DIGEST_WORDS = ("sha", "md5", "commit", "checksum", "hash", "uuid", "revision", "etag", "digest", "integrity")
 HARMLESS_PATHS = ("test", "example", "sample", "fixture", "mock", "doc", "vendor", "lock")
 _ASSIGNED = re.compile(r"(?:" + "|".join(SECRET_WORDS) + r")[\w.-]{0,20}[\"']?\s*(?:=|:|=>|:=)\s*[\"']?$", re.I)
+_NAMED = re.compile(r"(?:" + "|".join(SECRET_WORDS) + r")[\w.-]{0,20}[\"']?\s*$", re.I)
+_SIGN = re.compile(r"(?<![=!<>:])(?::=|=>|=(?!=)|:)\s*")
+_QUOTED = {q: re.compile(rf"[^\s{q}]+(?={q})") for q in "\"'`"}
+_PLAIN = re.compile(r"[A-Za-z0-9_+/=-]+")
+_BARE = re.compile(r"[^\s\"'`]+")
 
 _CODE = np.zeros(256, np.int64)  # 0: anything else, then letters without case, then digits
 for _i, _c in enumerate(b"abcdefghijklmnopqrstuvwxyz0123456789"):
@@ -72,25 +79,44 @@ class Corpus:
         self.chance = np.log((counts + 0.5) / (np.repeat(pairs, SIGNS) + 0.5 * SIGNS)).astype(np.float32)
         self.common = counts >= COMMON * max(1, counts.sum())
 
+    def _read(self, found: str):
+        """Bytes, counts of byte values, of capitals, small letters, digits, hexadecimal digits, of changes of kind and of
+        repeats, and sum, least and number of the trigrams' chances and number of common ones; in bounded steps."""
+        counts, sums = np.zeros(256, np.int64), np.zeros(6)
+        chance, least, tris, common = 0.0, 0.0, 0, 0
+        last = b""
+        for at in range(0, len(found), STEP):
+            data = np.frombuffer(last + found[at:at + STEP].encode("utf-8", "replace"), np.uint8)
+            new = data[len(last):]
+            counts += np.bincount(new, minlength=256)
+            upper, lower, digit = (data >= 65) & (data <= 90), (data >= 97) & (data <= 122), (data >= 48) & (data <= 57)
+            kind = upper * 1 + lower * 2 + digit * 3
+            hexadecimal = digit | ((data | 32) >= 97) & ((data | 32) <= 102) & (upper | lower)
+            own = slice(len(last), None)
+            pair = slice(max(len(last) - 1, 0), None)  # pairs that end in this step
+            sums += [upper[own].sum(), lower[own].sum(), digit[own].sum(), hexadecimal[own].sum(),
+                     (kind[1:] != kind[:-1])[pair].sum(), (data[1:] == data[:-1])[pair].sum()]
+            code = _CODE[data]
+            tri = (code[:-2] * SIGNS + code[1:-1]) * SIGNS + code[2:]
+            if len(tri):
+                chances = self.chance[tri]
+                chance, least = chance + float(chances.sum(dtype=float)), min(least, float(chances.min()))
+                tris, common = tris + len(tri), common + int(self.common[tri].sum())
+            last = data[-2:].tobytes()
+        return counts, sums, chance, least, tris, common
+
     def features(self, text: str, start: int, end: int, path: str, hide: bool = False) -> list[float]:
-        found = text[start:end]
-        if len(found) > LONGEST_READ:
-            found = found[:LONGEST_READ // 2] + found[-LONGEST_READ // 2:]
-        data = np.frombuffer(found.encode(), np.uint8)
-        code = _CODE[data]
-        tri = (code[:-2] * SIGNS + code[1:-1]) * SIGNS + code[2:]
-        share = np.bincount(data, minlength=256) / len(data)
-        used = share[share > 0]
-        upper, lower = (data >= 65) & (data <= 90), (data >= 97) & (data <= 122)
-        digit = (data >= 48) & (data <= 57)
-        kind = upper * 1 + lower * 2 + digit * 3
-        hexadecimal = digit | ((data | 32) >= 97) & ((data | 32) <= 102) & (upper | lower)
+        counts, sums, chance, least, tris, common = self._read(text[start:end])
+        n = int(counts.sum())
+        used = counts[counts > 0] / n
+        upper, lower, digit, hexadecimal = sums[:4] / n
+        changes, repeats = sums[4:] / max(1, n - 1)
         before = "" if hide else text[max(0, start - 40):start].lower()
         after = "" if hide else text[end:end + 1]
         place = path.lower()
-        return [end - start, -(used * np.log2(used)).sum(), upper.mean(), lower.mean(), digit.mean(), hexadecimal.mean(),
-                (kind == 0).mean(), (kind[1:] != kind[:-1]).mean(), (data[1:] == data[:-1]).mean(), len(used) / len(data),
-                self.chance[tri].mean(), self.chance[tri].min(), self.common[tri].mean(), (end - start) % 8 == 0,
+        return [end - start, -(used * np.log2(used)).sum(), upper, lower, digit, hexadecimal,
+                1 - upper - lower - digit, changes, repeats, len(used) / n,
+                chance / tris if tris else -np.log(SIGNS), least if tris else -np.log(SIGNS), common / max(1, tris), (end - start) % 8 == 0,
                 any(w in before for w in SECRET_WORDS), any(w in before for w in DIGEST_WORDS),
                 before.rstrip(" \"'").endswith(("=", ":", ">")), before[-1:] in ("\"", "'") and before[-1:] == after,
                 before[-1:] in ("/", ".", "@"), place.count("/"), any(w in place for w in HARMLESS_PATHS), "." in place[-6:]]
@@ -99,13 +125,57 @@ class Corpus:
         """1: assigned to a named credential; 0: letters or digits alone, or common transitions, without a cue; None: undecided."""
         before, found = text[max(0, start - 40):start], text[start:end]
         digits = any(c.isdigit() for c in found)
-        if digits and _ASSIGNED.search(before):
+        assigned = _ASSIGNED.search(before)
+        if digits and assigned:
             return 1
+        if assigned and not _PLAIN.fullmatch(found):
+            return None  # signs without digits may be a password
         if not digits or not any(c.isalpha() for c in found) and not any(w in before.lower() for w in SECRET_WORDS):
             return 0
-        tri = _CODE[np.frombuffer(found[:LONGEST_READ].encode(), np.uint8)]
-        tri = (tri[:-2] * SIGNS + tri[1:-1]) * SIGNS + tri[2:]
-        return 0 if self.common[tri].mean() > 0.5 and not any(w in before.lower() for w in SECRET_WORDS) else None
+        _, _, _, _, tris, common = self._read(found)
+        return 0 if common > 0.5 * tris and not any(w in before.lower() for w in SECRET_WORDS) else None
+
+
+def spans_of(text: str) -> list[tuple[int, int]]:
+    """Start and end of the candidates of a text, in order."""
+    values, stop = [], 0
+    for m in _SIGN.finditer(text):
+        if not _NAMED.search(text[max(0, m.start() - 60):m.start()]):
+            continue
+        start = m.end()
+        if (quote := text[start:start + 1]) in _QUOTED:
+            found = _QUOTED[quote].match(text, start + 1)
+            if not found:
+                continue
+            start, end = found.span()
+        else:
+            if start >= stop:
+                found = _BARE.match(text, start)
+                stop = found.end() if found else start
+            end = stop
+            while end > start and text[end - 1] in ",;.)]}":
+                end -= 1
+        if values and start < values[-1][1]:  # an assignment inside the value of another
+            values.pop()
+        if end > start:
+            values.append((start, end))
+    out, k = [], 0
+    for m in _CANDIDATE.finditer(text):
+        start, end = m.span()
+        while k < len(values) and values[k][1] <= start:
+            out.append(values[k])
+            k += 1
+        while k < len(values) and values[k][0] < end:
+            if values[k][0] - start >= SHORTEST:
+                out.append((start, values[k][0]))
+            start = max(start, values[k][1])
+            if values[k][1] > end:  # it may meet the next run too
+                break
+            out.append(values[k])
+            k += 1
+        if end - start >= SHORTEST:
+            out.append((start, end))
+    return out + values[k:]
 
 
 class Forest:
@@ -173,14 +243,14 @@ def candidates(docs: DataFrame, corpus: Corpus) -> DataFrame:
         for batch in batches:
             label, order, values = [], [], []
             for text, path in zip(batch.column("text").to_pylist(), batch.column("path").to_pylist()):
-                for m in _CANDIDATE.finditer(text or ""):
-                    known = corpus.weak_label(text, *m.span())
+                for start, end in spans_of(text or ""):
+                    known = corpus.weak_label(text, start, end)
                     if known is not None:
-                        place = zlib.crc32(text[max(0, m.start() - 40):m.end()].encode())
+                        place = zlib.crc32(text[max(0, start - 40):end].encode())
                         # The most even hashes only: each task hands on what could be among the first SAMPLE.
                         label.append(known)
                         order.append(place)
-                        values.append((text, m.span(), path, place))
+                        values.append((text, (start, end), path, place))
             keep = [i for k in (0, 1) for i in sorted((i for i, y in enumerate(label) if y == k), key=order.__getitem__)[:SAMPLE]]
             rows = [corpus.features(values[i][0], *values[i][1], values[i][2], hide=values[i][3] % 2 == 0) for i in keep]
             yield pa.RecordBatch.from_pydict({
@@ -219,11 +289,11 @@ def scan(docs: DataFrame, key: str = "doc_id") -> DataFrame:
         corpus, forest = shared.value
         spans, x, owner, cued = [], [], [], []
         for i, (text, path) in enumerate(zip(batch.column("text").to_pylist(), batch.column("path").to_pylist())):
-            for m in _CANDIDATE.finditer(text or ""):
-                spans.append(m.span())
+            for start, end in spans_of(text or ""):
+                spans.append((start, end))
                 owner.append(i)
-                x.append(corpus.features(text, *m.span(), path))
-                cued.append(float(bool(_ASSIGNED.search(text[max(0, m.start() - 40):m.start()]))))
+                x.append(corpus.features(text, start, end, path))
+                cued.append(float(bool(_ASSIGNED.search(text[max(0, start - 40):start]))))
         n = batch.num_rows
         x = np.array(x, float).reshape(-1, FEATURES)
         score = forest.scores(x) if forest else np.array(cued)

@@ -5,7 +5,7 @@ import random
 import numpy as np
 from helpers import documents
 
-from prefmill.llm import mainhtml, mixpack, toxicity
+from prefmill.llm import mainhtml, mixpack, secretforest, toxicity
 from prefmill.llm.base import tokenizer_path
 from prefmill.llm.tokenizing import Pieces
 
@@ -101,3 +101,34 @@ def test_short_sections_and_articles_stay():
     assert mainhtml.main_text(page).endswith("\nSmall one.")
     page = f"<div><article><p>Teaser of another page.</p></article></div><div><h2>Title</h2>{long}<p>The end.</p></div>"
     assert mainhtml.main_text(page) == "\n".join(["Teaser of another page.", "Title", *[LONG.strip()] * 6, "The end."])
+
+
+def test_short_and_signed_secrets_are_found(spark):
+    rng = random.Random(9)
+    signs = "abcdefghjkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789!$#%"
+
+    def secret(n):
+        return "".join(rng.choice(signs) for _ in range(n - 1)) + "7"
+    rows, truth = [], {}
+    for i in range(150):
+        value = [secret(9), secret(8), f"{secret(7)}.{secret(20)}.{secret(5)}"][i % 3]
+        text = f"some ordinary words in a row, password: required and then {['password = ', 'pwd: ', 'api_key='][i % 3]}"
+        quote = ['"', "'", ""][i % 3]
+        at = len(text) + len(quote)
+        rows.append((i, f"{text}{quote}{value}{quote} and more counterrevolutionary text"))
+        truth[i] = f"{at}:{at + len(value)}"
+    out = {r["doc_id"]: r["spans"].split(",") for r in secretforest.scan(documents(spark, rows)).collect()}
+    assert sum(truth[i] in out[i] for i in truth) >= 145
+
+
+def test_candidates_and_features_are_whole():
+    def found(text):
+        return [text[a:b] for a, b in secretforest.spans_of(text)]
+    assert found("password = \"S3cr3t!pw\", pwd: 'aB3$kd9@' token == x") == ["S3cr3t!pw", "aB3$kd9@"]
+    assert found("API_KEY=ab.cd.ef; x: token=9z 0123456789abcdef0") == ["ab.cd.ef", "9z", "0123456789abcdef0"]
+    assert found("0123456789abcdef/secret=qq") == ["0123456789abcdef/secret=", "qq"]
+    corpus = secretforest.Corpus(np.ones(secretforest.SIGNS ** 3, np.int64))
+    plain = "a" * 150_000
+    mixed = plain[:70_000] + "Z9" * 5_000 + plain[80_000:]
+    a, b = corpus.features(plain, 0, len(plain), ""), corpus.features(mixed, 0, len(mixed), "")
+    assert a[2] == 0 and abs(b[2] - 5_000 / 150_000) < 1e-9 and abs(b[7] - 10_001 / 149_999) < 1e-9
