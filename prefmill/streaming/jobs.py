@@ -7,8 +7,6 @@ from prefmill.functions.hashing import keyed
 from prefmill.operators.rowindex import ordered_index, shuffled_index
 from prefmill.session import entries, scratch_path
 
-BUFFER = 16384  # fixed value: rows of a shuffle buffer
-
 
 def open_stream(spark: SparkSession, path: str, schema, files: int = 1, kind: str = "json") -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).format(kind).load(path)
@@ -174,15 +172,15 @@ def stream_batcher(stream: DataFrame, key: str, shard: str, size: int, path: str
         fresh = rows.groupBy(shard).agg((F.max("_seq") + 1).alias("_seen"))
         if seen is not None:
             fresh = fresh.unionByName(seen).groupBy(shard).agg(F.max("_seen").alias("_seen"))
-        counts.write(fresh, batch)
         full = F.floor(F.col("_seen") / size) * size
-        placed = rows.join(counts.latest(spark), shard)
-        rows_at.write(placed.withColumn("_ready", F.col("_seq") < full).drop("_seen"), batch)
         if tokens:
-            waiting = rows_at.latest(spark).filter("not _ready")
+            waiting = rows.join(fresh, shard).filter(F.col("_seq") >= full)
             buffered = waiting.agg(F.coalesce(F.sum(tokens), F.lit(0)).alias("t")).first()["t"]
             if buffered > max_tokens:
                 raise ValueError(f"buffer holds {buffered} tokens, more than {max_tokens}")
+        counts.write(fresh, batch)
+        placed = rows.join(counts.latest(spark), shard)
+        rows_at.write(placed.withColumn("_ready", F.col("_seq") < full).drop("_seen"), batch)
 
     each_batch(stream, one, checkpoint)
     done = rows_at.all(stream.sparkSession).filter("_ready")
