@@ -1,7 +1,8 @@
 """Registered queries of this folder: each applies one operator, with production parameters, to its whole table."""
 
 import corpus_pipeline
-from prefmill.llm import decontaminate, langid, mainhtml, mixpack, pii, quality, secretforest, spotsigs, superminhash, toxicity
+from prefmill.llm import (chatform, decontaminate, langid, mainhtml, mixpack, pii, quality, secretforest, spelling, spotsigs, superminhash,
+                          toxicity, wordruns)
 from prefmill.llm.base import table, tokenizer_path
 
 QUERIES = {}
@@ -63,6 +64,24 @@ def op7_secrets(spark, folder):
     return secretforest.scan(table(spark, folder, "documents"))
 
 
+@query
+def op11_wordruns(spark, folder):
+    return wordruns.digests(table(spark, folder, "documents"))
+
+
+@query
+def op12_spelling(spark, folder):
+    return spelling.grouped(spelling.vocabulary(table(spark, folder, "documents")))
+
+
+@query
+def op13_chatform(spark, folder):
+    return chatform.digests(chatform.with_probe(table(spark, folder, "conversations")))
+
+
+ORACLES["op13_chatform"] = chatform.SQL
+
+
 @query
 def pipeline(spark, folder):
     return corpus_pipeline.run(spark, folder)
