@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from prefmill.functions.numeric import IGNORE, let, log_sigmoid, log_sum_exp, sigmoid
 from prefmill.operators.series import running_sums
+from prefmill.session import settled
 
 
 def _margin() -> Column:
@@ -62,7 +63,7 @@ def loss_bco(pairs: DataFrame, index: str, batch_size: int, beta: float = 0.1, w
     row's own batch. With a base loss the two are mixed as (base + weight * bco) / (1 + weight)."""
     c, r = beta * (F.col("pc") - F.col("rc")), beta * (F.col("pr") - F.col("rr"))
     rows = pairs.withColumn("batch", F.floor(F.col(index) / batch_size))
-    means = rows.groupBy("batch").agg((F.avg(c + r) / 2).alias("_mean"))
+    means = settled(rows.groupBy("batch").agg((F.avg(c + r) / 2).alias("_mean")))
     sums = running_sums(means.withColumn("_one", F.lit(1.0)), [], "batch", ["_mean", "_one"])
     deltas = sums.select("batch", (F.col("_mean_sum") / F.col("_one_sum")).alias("delta"))
     joined = rows.join(deltas, "batch")

@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, functions as F
 from prefmill.functions.hashing import uniform
 from prefmill.operators import joins
 from prefmill.operators.rowindex import bucketed_index, ordered_index, shuffled_index, sized_buckets
-from prefmill.session import settled
 
 CHUNK = 4096
 SEARCH = 4096
@@ -25,7 +24,7 @@ def sizes_of(members: DataFrame) -> dict[int, int]:
 
 
 def _indexed(members: DataFrame) -> DataFrame:
-    return settled(ordered_index(members, ["id"], group=["ds"], name="rn"))
+    return ordered_index(members, ["id"], group=["ds"], name="rn")  # written there, once
 
 
 def _by_member(values: dict) -> F.Column:

@@ -4,8 +4,6 @@ Tokens are runs of non-blank characters (BLEU: characters). ROUGE-N compares set
 token subsequence. BLEU-4 replaces the k-th empty precision by 1 / (2^k * its denominator).
 """
 
-from collections import Counter
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -18,34 +16,58 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"[^ \t\n\r\f]+"), F.lit(0))
 
 
-def matches(predict: str, label: str) -> list[int]:
-    """Clipped and total character n-gram counts of the prediction for n = 1..4 (clipped1, total1, clipped2, ...), then
-    the lengths of both texts."""
-    out = []
-    for n in (1, 2, 3, 4):
-        mine = Counter(predict[i:i + n] for i in range(len(predict) - n + 1))
-        other = Counter(label[i:i + n] for i in range(len(label) - n + 1))
-        out += [(mine & other).total(), mine.total()]
-    return [*out, len(predict), len(label)]
+ORDERS = (1, 2, 3, 4)
+
+
+def _grams(signs: Column, tag: str) -> Column:
+    """Every place's four signs (fewer at the end) and a tag."""
+    def cell(c, i):
+        return F.concat(c, *[F.coalesce(F.get(signs, i + k), F.lit("")) for k in ORDERS[:-1]], F.lit(tag))
+    return F.transform(signs, cell)
+
 
+def matches(predict: Column, label: Column) -> Column:
+    """Clipped character n-gram counts of the prediction for n = 1..4: how many uses of a gram find a use in the label.
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _matches(predict: pd.Series, label: pd.Series) -> pd.Series:
-    return pd.Series([matches(p, t) for p, t in zip(predict, label)])
+    The grams of both texts are sorted together. Grams that begin alike are then neighbours for every n at once, so one
+    pass that carries the uses of the current beginnings on both sides is enough.
+    """
+    zero = {f"p{n}": F.lit("") for n in ORDERS} | {f"{c}{n}": F.lit(0) for n in ORDERS for c in "abh"}
+
+    def step(held, x):
+        size = F.char_length(x) - 1
+        mine = (x.substr(size + 1, F.lit(1)) == "0").cast("int")
+        out = {}
+        for n in ORDERS:
+            start, whole = x.substr(F.lit(1), F.lit(n)), size >= n
+            p, a, b, h = (held[f"{c}{n}"] for c in "pabh")
+            same = start == p
+            out[f"p{n}"] = F.when(whole, start).otherwise(p)
+            out[f"a{n}"] = F.when(~whole, a).when(same, a + mine).otherwise(mine)
+            out[f"b{n}"] = F.when(~whole, b).when(same, b + 1 - mine).otherwise(1 - mine)
+            out[f"h{n}"] = F.when(whole & ~same, h + F.least(a, b)).otherwise(h)
+        return F.struct(*[out[k].alias(k) for k in zero])
+
+    def signs(text):
+        return F.filter(F.split(text, ""), lambda c: c != "")
+    both = let(F.struct(signs(predict).alias("x"), signs(label).alias("y")), lambda z: F.sort_array(F.concat(_grams(z["x"], "0"), _grams(z["y"], "1"))))
+    return F.aggregate(both, F.struct(*[v.alias(k) for k, v in zero.items()]), step,
+                       lambda held: F.array(*[held[f"h{n}"] + F.least(held[f"a{n}"], held[f"b{n}"]) for n in ORDERS]))
 
 
 def bleu4(predict: Column, label: Column) -> Column:
     """Sentence BLEU-4 in percent, four decimals. A row is scored where it lies; nothing is shuffled."""
-    def score(c):
+    mine, other = F.char_length(predict), F.char_length(label)
+
+    def score(found):
         logs, misses = F.lit(0.0), F.lit(0)
-        for n in range(4):
-            hits, size = c[2 * n], F.greatest(c[2 * n + 1], F.lit(1))
+        for n in ORDERS:
+            hits, size = found[n - 1], F.greatest(mine - (n - 1), F.lit(1))
             misses = misses + F.when(hits == 0, 1).otherwise(0)
             logs = logs + 0.25 * F.log(F.when(hits == 0, 1 / (F.pow(F.lit(2.0), misses) * size)).otherwise(hits / size))
-        mine, other = c[8], c[9]
         brevity = F.when(mine > other, 1.0).otherwise(F.exp(1 - other / F.greatest(mine, F.lit(1))))
-        return F.when((mine == 0) | (c[0] == 0), 0.0).otherwise(brevity * F.exp(logs))
-    return F.round(let(_matches(predict, label), score) * 100, 4)
+        return F.when((mine == 0) | (found[0] == 0), 0.0).otherwise(brevity * F.exp(logs))
+    return F.round(let(matches(predict, label), score) * 100, 4)
 
 
 def _runs(items: Column, n: int) -> Column:

@@ -6,7 +6,7 @@ from bisect import bisect_right
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from prefmill.functions.numeric import IGNORE
+from prefmill.functions.numeric import IGNORE, let
 from prefmill.operators.rowindex import ordered_index, shuffled_index
 from prefmill.operators.tokens import PAD
 
@@ -127,10 +127,14 @@ def pack_materialise(rows: DataFrame, plan: DataFrame, key: str, cutoff: int, ne
 # ---- segments of packed rows ----------------------------------------------------------------------------------------
 
 def segment_lengths(mask: Column) -> Column:
-    """Lengths of the segments 1..k of one mask, empty ones left out."""
-    top = F.coalesce(F.array_max(mask), F.lit(0))
-    counts = F.transform(F.sequence(F.lit(1), F.greatest(top, F.lit(1))), lambda k: F.size(F.filter(mask, lambda x: x == k)))
-    return F.filter(counts, lambda n: n > 0)
+    """Lengths of the segments 1..k of one mask in their order, empty ones left out: the marks are sorted and every place
+    where a new one begins is found in one pass."""
+    def lengths(marks):
+        n = F.size(marks)
+        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(marks, i) != F.get(marks, i - 1)))
+        return F.when(n > 0, let(starts, lambda s: F.transform(s, lambda at, j: F.coalesce(F.get(s, j + 1), n) - at))).otherwise(
+            F.array().cast("array<int>"))
+    return let(F.sort_array(F.filter(mask, lambda x: x > 0)), lengths)
 
 
 def seqlens(df: DataFrame, batch: str, row: str, mask: str) -> DataFrame:

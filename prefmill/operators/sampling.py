@@ -1,6 +1,9 @@
 """Sampling, row selection and sharding. Randomness is a hash of (seed, id); order is an explicit key."""
 
+import os
+
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import IntegralType, StringType
 
 from prefmill.functions.hashing import draw60
 from prefmill.operators.joins import join_repeated
@@ -77,10 +80,62 @@ def select_rows(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     return places.join(ordered_index(df, [key]), "idx")
 
 
+BUCKETS = 4096
+
+
+def key_at(df: DataFrame, key: str, position: int) -> tuple[object, int] | None:
+    """(key, rows before it) of the row at ``position`` by key, nulls first; None beyond the last row.
+
+    For integers the range between the smallest and the largest key is counted in ``BUCKETS`` slices, and the slice that
+    holds the position again, until one key is left: a handful of scans of the key column, with the bounds pushed down. For
+    texts the slices are the next two signs after the prefix that all remaining keys share. Nothing is sorted.
+    """
+    kind, column = df.schema[key].dataType, F.col(key)
+    head = df.agg(F.count(F.lit(1)), F.count(key)).first()
+    if not 0 <= position < head[0]:
+        return None
+    below = head[0] - head[1]
+    if position < below:
+        return None, 0
+    rows = df.select(key).filter(column.isNotNull())
+    while True:
+        low, high = rows.agg(F.min(key), F.max(key)).first()
+        if low == high:
+            return low, below
+        if isinstance(kind, StringType):
+            shared = os.path.commonprefix([low, high])
+            slice_ = F.substring(key, len(shared) + 1, 2)
+        else:
+            width = (high - low) // BUCKETS + 1
+            slice_ = F.expr(f"(cast(`{key}` AS decimal(38,0)) - cast('{low}' AS decimal(38,0))) div {width}")  # whole numbers, never rounded
+        counts = rows.groupBy(slice_.alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()
+        for at, n in sorted(counts, key=lambda r: r["s"]):
+            if position < below + n:
+                break
+            below += n
+        if isinstance(kind, StringType):
+            start = shared + at
+            rows = rows.filter(column == start if len(at) < 2 else column.startswith(start))
+        else:
+            rows = rows.filter((column >= low + at * width) & (column <= low + (at + 1) * width - 1 if low + (at + 1) * width - 1 < high else column <= high))
+
+
 def preview_page(df: DataFrame, key: str, page: int, size: int = 2) -> DataFrame:
-    """Rows of one page with the total row count."""
-    indexed = ordered_index(df, [key], total="total")
-    return indexed.filter((F.col("idx") >= page * size) & (F.col("idx") < (page + 1) * size))
+    """Rows of one page with the total row count. For integer and text keys the keys at the page's ends are looked up, and only
+    rows between them are read and numbered; other keys number the whole table."""
+    first, total = page * size, df.count()
+    if not isinstance(df.schema[key].dataType, (IntegralType, StringType)):
+        indexed = ordered_index(df, [key], total="total")
+        return indexed.filter((F.col("idx") >= first) & (F.col("idx") < first + size))
+    low, high = key_at(df, key, first), key_at(df, key, min(first + size, total) - 1)
+    if low is None or high is None:
+        return df.limit(0).withColumns({"idx": F.lit(0).cast("bigint"), "total": F.lit(total).cast("bigint")})
+    column = F.col(key)
+    inside = column.isNull() if high[0] is None else column <= high[0]
+    if high[0] is not None:
+        inside = inside | column.isNull() if low[0] is None else inside & (column >= low[0])
+    near = ordered_index(df.filter(inside), [key]).withColumn("idx", F.col("idx") + low[1])
+    return near.filter((F.col("idx") >= first) & (F.col("idx") < first + size)).withColumn("total", F.lit(total).cast("bigint"))
 
 
 def shard_replica(df: DataFrame, key: str, world: int, seed=0) -> DataFrame:

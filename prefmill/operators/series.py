@@ -8,23 +8,33 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from prefmill.operators.rowindex import ordered_index
+from prefmill.operators.rowindex import null_safe, ordered_index
 from prefmill.session import settled
 
 BLOCK = 1024
 
 
-def running_sums(df: DataFrame, group: list[str], index: str, columns: list[str]) -> DataFrame:
-    """Adds <column>_sum: sum up to and including the row, by ``index`` (dense) inside the group. Two levels: inside
-    blocks, then over block totals, which are a thousandth of the rows."""
-    rows = df.withColumn("_block", F.floor(F.col(index) / BLOCK))
-    keys = [*group, "_block"]
+def running_sums(df: DataFrame, group: list[str], index: str, columns: list[str], block: int = BLOCK, height: int | None = None) -> DataFrame:
+    """Adds <column>_sum: sum up to and including the row, by ``index`` (dense from 0) inside the group; null groups count.
+
+    A tree of blocks: totals go up block by block until a group's totals fit one block, and the sums before each block
+    come down again. No window ever holds more than ``block`` rows, whatever share of the table one group has. ``height``
+    is the largest group's number of rows; without it the rows are read once more to find it.
+    """
+    if height is None:
+        height = (df.agg(F.max(index)).first()[0] or 0) + 1
+    above = f"{index}_block"
+    keys = [*group, above]
+    rows = df.withColumn(above, F.floor(F.col(index) / block))
     inner = Window.partitionBy(*keys).orderBy(index).rowsBetween(Window.unboundedPreceding, 0)
-    outer = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    runs = rows.select("*", *[F.sum(c).over(inner).alias(f"_{c}_run") for c in columns])
+    if height <= block:
+        return runs.select(*df.columns, *[F.col(f"_{c}_run").alias(f"{c}_sum") for c in columns])
     totals = rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in columns])
-    totals = totals.select(*keys, *[F.coalesce(F.sum(c).over(outer), F.lit(0.0)).alias(f"_{c}_before") for c in columns])
-    out = rows.select("*", *[F.sum(c).over(inner).alias(f"_{c}_run") for c in columns]).join(totals, keys)
-    return out.select(*df.columns, *[(F.col(f"_{c}_run") + F.col(f"_{c}_before")).alias(f"{c}_sum") for c in columns])
+    upper = running_sums(totals, group, above, columns, block, -(-height // block))
+    before = upper.select(*group, (F.col(above) + 1).alias(above), *[F.col(f"{c}_sum").alias(f"_{c}_before") for c in columns])
+    out = null_safe(runs, before, keys, "left")
+    return out.select(*df.columns, *[(F.col(f"_{c}_run") + F.coalesce(f"_{c}_before", F.lit(0))).alias(f"{c}_sum") for c in columns])
 
 
 def decayed(df: DataFrame, group: list[str], index: str, value: str, decay: Column, start: Column | None, name: str,

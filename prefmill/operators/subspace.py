@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from prefmill.functions.numeric import dot, let
 from prefmill.operators.rowindex import null_safe, row_hash
-from prefmill.session import width
+from prefmill.session import settled, width
 
 KEPT_SHARE = 0.80  # fixed value: share of the smallest singular directions that form the basis
 FLOAT32_EPS = 2.0 ** -23
@@ -149,10 +149,17 @@ def projected(vec: Column, basis: Column) -> Column:
     return let(F.transform(basis, lambda u: dot(u, vec)), spread)
 
 
+#: Modules whose dimension is sent to every task; more join by a shuffle.
+MODULES = 1 << 16
+
+
 def join_module_basis(vectors: DataFrame, basis: DataFrame) -> DataFrame:
-    """Vectors with the basis of their module; ``fits`` is false without a basis or on another dimension."""
-    matrix = basis_matrix(basis)
-    joined = vectors.join(matrix, "module", "left")
+    """Vectors with the dimension of their module's basis (``basis_dim``, null without one); ``fits`` is false without a basis
+    or on another dimension. Only one small row per module travels, never a basis."""
+    dims = settled(basis.groupBy("module").agg(F.max(F.size("vec")).alias("basis_dim")))
+    if dims.count() <= MODULES:
+        dims = F.broadcast(dims)
+    joined = vectors.join(dims, "module", "left")
     return joined.withColumn("fits", F.coalesce(F.size("vec") == F.col("basis_dim"), F.lit(False)))
 
 

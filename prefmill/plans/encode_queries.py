@@ -246,7 +246,17 @@ def sort_length(spark, folder):
     return rows.select("doc_id", "batch", "length", F.row_number().over(Window.partitionBy("batch").orderBy("length", "doc_id")).cast("bigint").alias("place"))
 
 
-@query("pack_knapsack")
+# One step takes the longest row that fits, or closes the bin.
+_FILL = """WITH RECURSIVE ix AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY doc_id)-1 AS idx FROM documents),
+s AS (SELECT idx//200 AS batch, list(struct_pack(l := n_chars, i := idx, d := doc_id) ORDER BY n_chars, idx) AS rest FROM ix WHERE n_chars<=4096 GROUP BY 1),
+k AS (SELECT batch, rest, 4096::BIGINT AS room, 0::BIGINT AS pack, -1::BIGINT AS slot, NULL::BIGINT AS doc_id, NULL::BIGINT AS length FROM s
+  UNION ALL SELECT batch, CASE WHEN fit>0 THEN rest[1:fit-1]||rest[fit+1:] ELSE rest END, CASE WHEN fit>0 THEN room-rest[fit].l ELSE 4096 END,
+    CASE WHEN fit>0 THEN pack ELSE pack+1 END, CASE WHEN fit>0 THEN slot+1 ELSE -1 END, CASE WHEN fit>0 THEN rest[fit].d END, CASE WHEN fit>0 THEN rest[fit].l END
+  FROM (SELECT *, len(list_filter(rest, lambda x: x.l<=room)) AS fit FROM k WHERE len(rest)>0))
+SELECT batch, pack, slot, doc_id, length FROM k WHERE doc_id IS NOT NULL"""
+
+
+@query("pack_knapsack", _FILL)
 def pack_knapsack(spark, folder):
     lengths = X.table(spark, folder, "documents").select("doc_id", F.col("n_chars").alias("length"))
     return P.pack_knapsack(lengths, "doc_id", 4096, batch=200)

@@ -44,7 +44,15 @@ def rouge_n(spark, folder):
     return X.predictions(spark, folder).select("id", N.rouge_n(p, t, 1).alias("rouge_1"), N.rouge_n(p, t, 2).alias("rouge_2"))
 
 
-@query("rouge_l")
+# The fold keeps, for every length, the first place of the prediction at which a common subsequence of that length can end.
+_LCS = f"""WITH {_ROUGE}, lc AS (SELECT id, len(pw) AS m, len(lw) AS n, len(list_reduce(
+  list_transform(lw, lambda t: list_filter(range(1, len(pw)+1), lambda i: pw[i]=t)),
+  lambda k, x: list_filter(list_transform(range(0, len(k)+1), lambda l: least(coalesce(k[l+1], 1000000000), coalesce(list_min(list_filter(x, lambda p: p > coalesce(k[l], 0))), 1000000000))),
+    lambda v: v < 1000000000), []::BIGINT[])) AS c FROM wd)
+SELECT id, round(2*((c/greatest(m,1)::DOUBLE)*(c/greatest(n,1)::DOUBLE)/(c/greatest(m,1)::DOUBLE+c/greatest(n,1)::DOUBLE+1e-8))*100, 4) AS rouge_l FROM lc"""
+
+
+@query("rouge_l", _LCS)
 def rouge_l(spark, folder):
     return X.predictions(spark, folder).select("id", N.rouge_l(F.col("predict"), F.col("label")).alias("rouge_l"))
 

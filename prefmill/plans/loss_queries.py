@@ -8,6 +8,7 @@ from prefmill.operators import logps as L, losses as S, metrics as MT, rewards a
 from prefmill.operators.rowindex import ordered_index
 from prefmill.plans import encode_queries as EQ, fixtures as X
 from prefmill.plans.base import h, query
+from prefmill.session import settled
 
 BETA = 0.1
 _LS = "(least({x},0.0) - ln(1+exp(-abs({x}))))"
@@ -243,13 +244,14 @@ def topk_logits(spark, folder):
 def adapters(spark, folder):
     """Twelve adapter folders per pair example; the noise on the policy sums shrinks with the folder number."""
     k = F.explode(F.sequence(F.lit(0), F.lit(11))).alias("k")
-    rows = pairs(spark, folder).select("example_id", "pc", "pr", "rc", "rr", k)
+    once = settled(pairs(spark, folder).select("example_id", "pc", "pr", "rc", "rr"))
+    rows = once.select("*", k)
     def noisy(name):
         return F.col(name) + (hash32(F.concat_ws(":", F.lit(name), F.col("k").cast("string"), F.col("example_id").cast("string"))) % 200 - 100) / (F.col("k") + 1.0)
     policy = rows.select(F.concat(F.lit("noise_k"), F.col("k").cast("string")).alias("folder"), "example_id", noisy("pc").alias("pc"), noisy("pr").alias("pr"))
-    reference = pairs(spark, folder).select("example_id", "rc", "rr")
-    number = F.regexp_extract("folder", r"(\d+)", 1).cast("int")
-    table = policy.select("folder").distinct().withColumn("rank", F.when(number == 7, 12).otherwise(number * 2))
+    reference = once.select("example_id", "rc", "rr")
+    number = F.col("id").cast("int")
+    table = spark.range(12).select(F.concat(F.lit("noise_k"), number.cast("string")).alias("folder"), F.when(number == 7, 12).otherwise(number * 2).alias("rank"))
     return table, policy, reference
 
 

@@ -4,9 +4,9 @@ from pyspark.sql import functions as F
 
 from prefmill.functions.hashing import hash32
 from prefmill.functions.text import digest
-from prefmill.operators import align as A, media as M
+from prefmill.operators import align as A, media as M, tokens as T
 from prefmill.plans import fixtures as X
-from prefmill.plans.base import commas, h, query
+from prefmill.plans.base import chars, commas, h, query
 
 
 def _h(prefix, *cols):
@@ -66,6 +66,68 @@ def media_expand(spark, folder):
     return out.select("doc_id", F.md5(F.col("e")[0]["content"]).alias("first"), F.col("e")[1]["content"].alias("second"), F.md5(F.col("u")[0]["content"]).alias("uniform"))
 
 
+def _images(spark, folder):
+    """Two messages with placeholders, and sizes of the first five images; a sixth has none."""
+    rows = X.table(spark, folder, "documents")
+    def marks(t):
+        return F.repeat(F.lit("<image>"), (X.tag(t, "doc_id") % 4).cast("int"))
+    messages = F.array(A.message("user", F.concat(F.col("lang"), marks("g1"), F.lit("!"))), A.message("assistant", F.concat(marks("g2"), F.col("source"))))
+    def side(t, k):
+        return (_h(t, F.col("doc_id"), k) % 190 + 10).cast("int")
+    sizes = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.struct(side("gw", k).alias("w"), side("gh", k).alias("h")))
+    return rows.select("doc_id", messages.alias("m"), sizes.alias("s"), (X.tag("g1", "doc_id") % 4 + X.tag("g2", "doc_id") % 4).cast("int").alias("n"))
+
+
+def _filled(shown):
+    """SQL: both messages with shown (a list per document, by (w, h) lists) in the order of the placeholders."""
+    return f"""c AS (SELECT doc_id, lang, source, {h("'g1:'||doc_id")} % 4 AS a, {h("'g2:'||doc_id")} % 4 AS b,
+  list_transform(range(5), lambda k: {h("'gw:'||doc_id||':'||k")} % 190 + 10) AS w, list_transform(range(5), lambda k: {h("'gh:'||doc_id||':'||k")} % 190 + 10) AS h FROM documents),
+m AS (SELECT *, list_transform(range(1, 6), lambda k: {shown}) AS x FROM c),
+f AS (SELECT *, lang||array_to_string(x[1:a],'')||'!' AS first, array_to_string(x[a+1:a+b],'')||source AS second FROM m)"""
+
+
+def _both(expanded):
+    return F.md5(expanded[0]["content"]).alias("first"), F.md5(expanded[1]["content"]).alias("second")
+
+
+_GRID = _filled("CASE WHEN h[k]//16=0 THEN '' ELSE repeat(repeat('[IMG]', (w[k]//16)::BIGINT)||'[IMG_BREAK]', (h[k]//16-1)::BIGINT)||repeat('[IMG]', (w[k]//16)::BIGINT)||'[IMG_END]' END")
+
+
+@query("media_grid", f"WITH {_GRID} SELECT doc_id, md5(first) AS first, md5(second) AS second FROM f")
+def media_grid(spark, folder):
+    """Images as rows of patches, with row ends and an image end."""
+    return _images(spark, folder).select("doc_id", *_both(M.expand_by_rule(F.col("m"), F.col("s"), "pixtral")))
+
+
+_FITS = [f"""struct_pack(kept := least(floor(w*least({b}/w::DOUBLE, {a}/h::DOUBLE))::BIGINT * floor(h*least({b}/w::DOUBLE, {a}/h::DOUBLE))::BIGINT, w*h),
+  waste := least(floor(w*least({b}/w::DOUBLE, {a}/h::DOUBLE))::BIGINT * floor(h*least({b}/w::DOUBLE, {a}/h::DOUBLE))::BIGINT, w*h) - {a * b}, i := {-i}, r := {a // 336 * 24}, c := {b // 336 * 24})"""
+         for i, (a, b) in enumerate(M.TILINGS)]
+
+
+@query("media_tiled", f"""WITH e AS (SELECT event_id, {h("'w:'||event_id")} % 3000 + 1 AS w, {h("'h:'||event_id")} % 3000 + 1 AS h FROM events),
+b AS (SELECT *, list_max([{', '.join(_FITS)}]) AS z FROM e), g AS (SELECT event_id, w, h, z.r AS r, z.c AS c FROM b),
+u AS (SELECT event_id, CASE WHEN w/h::DOUBLE > c/r::DOUBLE THEN r - 2*((r - floor(round(h*(c/w::DOUBLE),7))::BIGINT)//2) ELSE r END AS r,
+  CASE WHEN w/h::DOUBLE > c/r::DOUBLE THEN c ELSE c - 2*((c - floor(round(w*(r/h::DOUBLE),7))::BIGINT)//2) END AS c FROM g)
+SELECT event_id, (r*c + r + 576)::BIGINT AS tokens FROM u""")
+def media_tiled(spark, folder):
+    """Tokens of images shown in tiles, from their sizes."""
+    rows = X.table(spark, folder, "events").select("event_id", (X.tag("w", "event_id") % 3000 + 1).alias("w"), (X.tag("h", "event_id") % 3000 + 1).alias("h"))
+    return rows.select("event_id", M.tiled_tokens(F.col("w"), F.col("h")).alias("tokens"))
+
+
+_BARE = _filled("''")
+
+
+@query("media_prefix", f"""WITH {_BARE}, t AS (SELECT doc_id, a+b AS n, {chars("first||second")} AS ids FROM f)
+SELECT doc_id, {commas("list_transform(range(n*3), lambda z: 7)||ids")} AS input_ids, {commas("list_transform(range(n*3), lambda z: -100)||ids")} AS labels FROM t""")
+def media_prefix(spark, folder):
+    """Placeholders leave the text; their tokens stand before it, outside of the loss."""
+    rows = _images(spark, folder).select("doc_id", "n", M.expand_by_rule(F.col("m"), F.col("s"), "paligemma").alias("m"))
+    ids = T.char_ids(F.concat(F.col("m")[0]["content"], F.col("m")[1]["content"]))
+    new, labels = M.media_prefix(ids, ids, F.col("n"), 3, 7)
+    return rows.select("doc_id", digest(new).alias("input_ids"), digest(labels).alias("labels"))
+
+
 def _sizes():
     return f"""sz AS (SELECT event_id, CASE WHEN e%50=0 THEN 30 ELSE {h("'w:'||event_id")} % 3000 + 1 END AS w, CASE WHEN e%50=0 THEN 9000 ELSE {h("'h:'||event_id")} % 3000 + 1 END AS h
       FROM (SELECT event_id, {h("'x:'||event_id")} AS e FROM events)),
