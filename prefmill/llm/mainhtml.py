@@ -1,14 +1,18 @@
 """Main text of web pages: streaming parser events, text-to-tag ratio per line, Gaussian smoothing, threshold clustering.
 
 The standard-library parser reads a page once. Block tags end a line; each line keeps its text, its tags, how much of it
-is link text, and whether it is inside an article or a main element. Lines in menus, headers, footers, sidebars, notices,
-adverts, forms and reader comments (by element, or by a class, id or role that says nothing else) and hidden ones count as
-empty, as do scripts and styles. Names never drop an article, a main element or what contains one, unless all it holds are
-readers' comments; a name that says more (``has-sidebar``) only lowers the ratio of its lines, and when nothing is left
-names count for nothing. The ratio (characters outside links per tag) is smoothed by a Gaussian over neighbouring lines
-and split into two clusters by the threshold between their means. All lines of all articles (or of main, or of the page if
-there is neither) are the result, so that short lines, sections and articles stay; outside of articles also the lines of
-the upper cluster, and, if those hold more than the articles, all but lines of links.
+is link text, and the containers around it. Scripts, styles and hidden elements have no text. Menus, headers, footers,
+sidebars, notices, adverts, forms and reader comments (by element, or by a class, id or role that says nothing else) are
+dropped, with two exceptions that only measured text decides: an article or main element inside one is its own content, and what holds more
+than half of all text is a wrapper (a form around the page, a menu that is never closed), not a part. A name that says
+more (``has-sidebar``) and phrases that notices use (outside of articles) only lower the ratio of a line.
+
+The ratio of a line (characters outside links per tag, as a logarithm) is smoothed by a Gaussian over neighbouring lines and
+split into two clusters by the threshold between their means. The upper cluster is the core. From the page down, the
+container that holds most of the core (``MOST``) is entered, until none does or an article is reached: that is the
+region. In an article, and in articles beside it, all lines stay. In any other region menus (lines of links) and notices go; where the region
+is the page itself, so do lines before the first and after the last core line, but for headings and sentences. A title
+right above the region is added.
 
 Defined results: null, empty and text-free pages give an empty text. Character references are decoded, white space inside
 a line becomes one space, lines are joined by one line end in page order. Unclosed and crossed tags end with the nearest
@@ -16,7 +20,9 @@ enclosing block; an undecodable declaration counts as text.
 """
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -24,26 +30,41 @@ from pyspark.sql import DataFrame
 from prefmill.llm.base import map_steps
 
 SPREAD = 1.5
-NAMED = 0.5  # what a name that may mean a menu or the like leaves of a line's ratio
+NAMED = 0.5  # what a name or phrase that may mean a menu or the like leaves of a line's logarithmic ratio
+MOST = 0.8  # share of the core's characters that a region holds
+PHRASE = 200  # a line that begins like a notice is one up to this length
+TITLE_REACH = 3  # lines between a title and its region, as for names and dates
 
 #: Element names, and words of classes, ids and roles, as pages commonly use them.
 BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset
     figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre
     section summary table tbody td tfoot th thead title tr ul""".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("""aside button canvas dialog footer form head iframe math menu nav noscript object script select style
-    svg template textarea title audio video""".split())
+DROPPED = frozenset("""button canvas head iframe math noscript object script select style svg template textarea title audio
+    video""".split())
+#: Dropped unless they turn out to be wrappers.
+PARTS = frozenset("aside dialog footer form menu nav".split())
+CONTAINERS = frozenset("article body center div form main section table td".split())
+#: Regions that hold a whole page rather than its content.
+LOOSE = frozenset((None, "body", "center", "form", "table"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 DROPPED_WORDS = frozenset("""ad ads adsense advert adverts advertisement advertising adbox banner sponsor sponsored promo
     promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar footer cookie cookies consent gdpr notice
     notices notification alert popup modal overlay newsletter subscribe signup social share sharing related recommended
-    recommendations comment comments disqus respond reply replies toolbar pagination pager login contentinfo
+    recommendations comment comments disqus respond reply replies discussion responses toolbar pagination pager login contentinfo
     complementary search dialog""".split())
 #: Dropped outside articles only: inside one they hold its title.
 OUTER_WORDS = frozenset("header masthead topbar".split())
 #: Words that add nothing to the above.
 PLAIN_WORDS = frozenset("area bar block bottom box global item left link links list page right section site top widget".split())
 #: An article with such a name is no article of its own inside an element that is dropped by name.
-REPLY_WORDS = frozenset("comment comments disqus respond reply replies".split())
+REPLY_WORDS = frozenset("comment comments discussion disqus respond responses reply replies".split())
+NOTICE = re.compile("|".join((
+    "\u00a9", r"\(c\) ", r"copyright\b", "all rights reserved", r"(posted|published|written) (by|on|in)\b", r"terms (of|and)\b", "privacy policy",
+    "we use cookies", "this (web)?site uses", "by (using|continuing)", r"cookies?\b.{0,20}$", "subscribe", "sign (up|in)", "log ?in",
+    "share (this|on)", "read more", "skip to", "leave a (reply|comment)", "related (posts|articles|stories)", "home$", "contact( us)?$",
+    "about( us)?$", "advertisement$", "powered by")), re.I)
+SENTENCE = re.compile(r"[.!?\u2026:;\u3002\uff01\uff1f][\"')\]\u00bb\u201c\u201d]*$")
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
           "th": {"td", "th"}, "option": {"option"}}
 #: An end tag or an implied end never reaches beyond these.
@@ -52,57 +73,74 @@ _WORDS = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
+class Line(NamedTuple):
+    text: str
+    tags: int
+    linked: int  # characters
+    within: tuple[int, ...]  # containers, from the page down
+    whole: int  # the article around it, or 0
+    heading: bool
+    lowered: bool
+
+
+class Element(NamedTuple):
+    tag: str
+    drops: bool
+    parts: tuple[int, ...]  # what held before it: parts around, containers, article
+    within: tuple[int, ...]
+    whole: int
+    reply: bool
+    lowered: bool
+
+
 class Lines(HTMLParser):
     def __init__(self, names: bool = True):
         super().__init__(convert_charrefs=True)
         self.names = names
-        # tag, whether its content is dropped, named elements around it, whether its name lowers ratios
-        self.open: list[tuple[str, bool, tuple[int, ...], bool]] = []
-        self.dropped = self.linked = self.tags = self.count = self.articles = self.mains = self.lowered = 0
-        self.named: tuple[int, ...] = ()  # open elements that their names drop, unless an article turns up inside
-        self.kept: set[int] = set()  # those in which one did
-        self.parts: list[tuple[str, tuple[int, ...], bool]] = []
-        self.rows: list[tuple[list, int, int, bool]] = []  # parts, tags, kind of region, whether its ratio is lowered
+        self.open: list[Element] = []
+        self.dropped = self.linked = self.tags = self.count = self.replies = self.lowered = self.headings = self.whole = 0
+        self.parts: tuple[int, ...] = ()  # open elements that drop their text unless they are wrappers
+        self.within: tuple[int, ...] = ()
+        self.kinds: dict[int, str] = {}
+        self.firm: set[int] = set()  # parts that are never wrappers
+        self.pieces: list[tuple[str, tuple[int, ...], bool]] = []
+        self.rows: list[tuple] = []
 
     def flush(self):
-        if self.parts or self.tags:
-            self.rows.append((self.parts, self.tags, 2 if self.articles else 1 if self.mains else 0, self.lowered > 0))
-        self.parts, self.tags = [], 0
+        if self.pieces or self.tags:
+            self.rows.append((self.pieces, self.tags, self.within, self.whole, self.headings > 0, self.lowered > 0))
+        self.pieces, self.tags = [], 0
 
     def _pop(self):
-        tag, drops, named, lowered = self.open.pop()
-        self.dropped -= drops
-        self.linked -= tag == "a"
-        self.articles -= tag == "article"
-        self.mains -= tag == "main"
-        self.lowered -= lowered
-        self.named = named
+        e = self.open.pop()
+        self.dropped -= e.drops
+        self.linked -= e.tag == "a"
+        self.headings -= e.tag in HEADINGS
+        self.replies -= e.reply
+        self.lowered -= e.lowered
+        self.parts, self.within, self.whole = e.parts, e.within, e.whole
 
     def _close(self, tags: set, scopes=SCOPES):
         """Close the nearest open element of ``tags`` and all inside it, if no scope stands between."""
         for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] in tags:
+            if self.open[i].tag in tags:
                 while len(self.open) > i:
                     self._pop()
                 return
-            if self.open[i][0] in scopes:
+            if self.open[i].tag in scopes:
                 return
 
-    def _drops(self, tag: str, attributes: dict) -> bool:
-        if tag in DROPPED:
-            return True
-        if tag in ("html", "body", "main"):
-            return False
-        if tag == "header":
-            return not self.articles
-        return bool(attributes) and ("hidden" in attributes or attributes.get("aria-hidden") == "true"
-                                     or bool(_HIDDEN.search((attributes.get("style") or "").lower())))
+    def _hides(self, tag: str, attributes: dict) -> bool:
+        if tag in ("html", "body", "main") or not attributes:
+            return tag in DROPPED
+        return tag in DROPPED or "hidden" in attributes or attributes.get("aria-hidden") == "true" or bool(
+            _HIDDEN.search((attributes.get("style") or "").lower()))
 
     def _means(self, tag: str, attributes: dict) -> tuple[bool, bool, bool]:
         """Whether the names of an element say that it is no content, might say so, and speak of comments."""
         if not self.names or not attributes or tag in ("html", "body", "main"):
             return False, False, False
-        unwanted = DROPPED_WORDS if self.articles or tag == "article" else DROPPED_WORDS | OUTER_WORDS
+        unwanted = DROPPED_WORDS if self.whole or tag == "article" else DROPPED_WORDS | OUTER_WORDS
         sure = might = reply = False
         for name in " ".join(attributes.get(k) or "" for k in ("class", "id", "role")).lower().split():
             found = set(_WORDS.findall(name))
@@ -121,25 +159,32 @@ class Lines(HTMLParser):
         if tag in CLOSES:
             self._close(CLOSES[tag], SCOPES | {"ul", "ol", "dl"})
         if tag == "br":
-            self.parts.append((" ", (), False))
+            self.pieces.append((" ", (), False))
         if tag in VOID:
             return
         self.count += 1
         attributes = dict(attrs)
-        drops = self._drops(tag, attributes)
         sure, might, reply = self._means(tag, attributes)
-        whole = tag in ("article", "main")
-        if whole and not reply:
-            self.kept.update(self.named)
-        lowered = might and not sure and not whole
-        self.open.append((tag, drops, self.named, lowered))
-        if sure and not whole:
-            self.named += (self.count,)
-        self.dropped += drops
+        own = tag in ("article", "main") and not reply and not self.replies
+        element = Element(tag, self._hides(tag, attributes), self.parts, self.within, self.whole, reply, might and not sure and not own)
+        self.open.append(element)
+        if own:
+            self.parts = ()  # content of its own, whatever it lies in
+            self.tags = 1
+        elif sure or tag in PARTS or tag == "header" and not self.whole:
+            self.parts += (self.count,)
+            if reply:
+                self.firm.add(self.count)
+        if tag in CONTAINERS:
+            self.within += (self.count,)
+            self.kinds[self.count] = tag
+        if tag == "article" and own:
+            self.whole = self.count
+        self.dropped += element.drops
         self.linked += tag == "a"
-        self.articles += tag == "article"
-        self.mains += tag == "main"
-        self.lowered += lowered
+        self.headings += tag in HEADINGS
+        self.replies += reply
+        self.lowered += element.lowered
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)  # a slash closes nothing but void elements
@@ -153,33 +198,41 @@ class Lines(HTMLParser):
 
     def handle_data(self, data):
         if not self.dropped:
-            self.parts.append((data, self.named, self.linked > 0))
+            self.pieces.append((data, self.parts, self.linked > 0))
 
     def unknown_decl(self, data):
         pass
 
-    def finished(self) -> list[tuple[str, int, int, int, bool]]:
-        """text, tags, link characters, kind of region and whether the ratio is lowered, of each line."""
+    def finished(self) -> list[Line]:
         self.close()
         self.flush()
+        held: Counter = Counter()
+        total = 0
+        for pieces, *_ in self.rows:
+            for text, parts, _ in pieces:
+                size = len(text.strip())
+                total += size
+                held.update(dict.fromkeys(parts, size))
+        wrappers = {p for p, size in held.items() if 2 * size > total and p not in self.firm}
         out = []
-        for parts, tags, kind, lowered in self.rows:
-            held = [(t, link) for t, named, link in parts if not named or self.kept.issuperset(named)]
-            text = " ".join("".join(t for t, _ in held).split())
+        for pieces, tags, within, whole, heading, lowered in self.rows:
+            kept = [(t, link) for t, parts, link in pieces if wrappers.issuperset(parts)]
+            text = " ".join("".join(t for t, _ in kept).split())
             if text or tags:
-                out.append((text, tags, sum(len(t) for t, link in held if link), kind, lowered))
+                out.append(Line(text, tags, sum(len(t) for t, link in kept if link), within, whole, heading, lowered))
         return out
 
 
-def lines(page: str, names: bool = True) -> list[tuple[str, int, int, int, bool]]:
+def lines(page: str, names: bool = True) -> tuple[list[Line], dict[int, str]]:
+    """All lines, and the tags of their containers."""
     try:
         parser = Lines(names)
         parser.feed(page)
-        return parser.finished()
+        return parser.finished(), parser.kinds
     except AssertionError:  # the parser's answer to an unknown declaration
         parser = Lines(names)
         parser.feed(page.replace("<![", "&lt;!["))
-        return parser.finished()
+        return parser.finished(), parser.kinds
 
 
 def smoothed(ratio: np.ndarray) -> np.ndarray:
@@ -203,32 +256,76 @@ def threshold(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
+def _notice(r: Line) -> bool:
+    return not r.whole and len(r.text) <= PHRASE and bool(NOTICE.match(r.text))
+
+
+def ratios(rows: list[Line]) -> np.ndarray:
+    """Logarithm of characters outside links per tag, lowered for names and phrases of notices."""
+    outside = np.array([max(len(r.text) - r.linked, 0) for r in rows], float)
+    weight = np.array([NAMED if r.lowered or _notice(r) else 1.0 for r in rows])
+    return np.log1p(outside / (1 + np.array([r.tags for r in rows]))) * weight
+
+
+def region(rows: list[Line], core: np.ndarray, kinds: dict[int, str]) -> int:
+    """The innermost container on the way down that holds most of the core's characters (0: the page)."""
+    mass: Counter = Counter()
+    below: dict[int, set[int]] = {}
+    for r, inside in zip(rows, core):
+        if inside:
+            for above, c in zip((0, *r.within), r.within):
+                mass[c] += len(r.text)
+                below.setdefault(above, set()).add(c)
+    total = sum(len(r.text) for r, inside in zip(rows, core) if inside)
+    at = 0
+    while kinds.get(at) != "article":
+        best = max(below.get(at, ()), key=lambda c: (mass[c], -c), default=None)
+        if best is None or mass[best] < MOST * total:
+            break
+        at = best
+    return at
+
+
 def main_text(page: str) -> str:
-    rows = lines(page)
-    if not any(r[0] for r in rows):
-        rows = lines(page, names=False)
-    size = np.array([len(r[0]) for r in rows], float)
-    if not size.sum():
+    rows, kinds = lines(page)
+    if not any(r.text for r in rows):
+        rows, kinds = lines(page, names=False)
+    if not any(r.text for r in rows):
         return ""
-    outside = np.maximum(size - np.array([r[2] for r in rows]), 0)
-    ratio = outside / (1 + np.array([r[1] for r in rows])) * np.where([r[4] for r in rows], NAMED, 1.0)
+    ratio = ratios(rows)
     near = smoothed(ratio)
     cut = threshold(near)
-    kind = np.array([r[3] for r in rows])
-    own = (kind == 2) & (size > 0)
-    if not own.any():
-        own = (kind == 1) & (size > 0)
-    text = (near >= cut) & (outside >= 0.5 * size) & (size > 0)
-    if not own.any():  # lines of links between the content are menus
-        keep = (size > 0) & ((near >= cut) | (outside >= 0.5 * size))
+    text = np.array([bool(r.text) for r in rows])
+    prose = np.array([2 * r.linked <= len(r.text) for r in rows]) & text
+    # Its own ratio counts as well: a short line is no core for the sake of a long neighbour alone.
+    notice = np.array([_notice(r) for r in rows])
+    core = (near >= cut) & (ratio >= cut) & prose & ~notice
+    if not core.any():
+        core = text
+    at = region(rows, core, kinds)
+    if kinds.get(at) == "article":
+        # Articles that stand beside it are of the same page.
+        beside = next(r.within[:r.within.index(at)] for r in rows if at in r.within)
+        keep = np.array([r.whole > 0 and r.within[:r.within.index(r.whole)] == beside for r in rows]) & text
     else:
-        others = text & ~own & (ratio >= cut)  # not for the sake of a long neighbour alone
-        keep = own | others
-        if outside[others].sum() > outside[own].sum():
-            keep |= (size > 0) & (outside >= 0.5 * size)
-    if not keep.any():
-        keep = size > 0
-    return "\n".join(r[0] for r, k in zip(rows, keep) if k)
+        inside = np.array([not at or at in r.within for r in rows]) & text
+        if kinds.get(at) in LOOSE:
+            places = np.flatnonzero(core & inside)
+            near_core = np.zeros(len(rows), bool)
+            near_core[places[0]:places[-1] + 1] = True
+            near_core |= np.array([r.heading or bool(SENTENCE.search(r.text)) for r in rows])
+        else:
+            near_core = inside
+        keep = inside & (np.array([r.whole > 0 for r in rows]) | core | near_core & prose & ~notice)
+        # A title that stands above its region.
+        first = int(np.flatnonzero(keep)[0])
+        for i in range(first - 1, -1, -1):
+            if rows[i].text and rows[i].heading:
+                keep[i] = True
+                break
+            if sum(bool(r.text) for r in rows[i:first]) > TITLE_REACH:
+                break
+    return "\n".join(r.text for r, k in zip(rows, keep) if k)
 
 
 def extracted(pages: DataFrame) -> DataFrame:

@@ -31,6 +31,66 @@ def test_odd_pages():
     assert len(mainhtml.main_text("<p>" + "word " * 200_000)) == 999_999
 
 
+LONG = "This is a long sentence of the real article text, with many words in it. " * 4
+P = f"<p>{LONG}</p>"
+
+
+def short(page):
+    return mainhtml.main_text(page).replace(LONG.strip(), "L").split("\n")
+
+
+def test_wrappers_and_unclosed_elements_lose_nothing():
+    assert short(f'<body><form id="aspnetForm"><div id=menu><a href=x>Home</a></div><article><h1>T</h1>{P}<p>Short end.</p></article></form>') == ["T", "L", "Short end."]
+    assert short(f'<form id=f><div><a href=x>Home</a></div><div id=c><h1>T</h1>{P}{P}<p>Short.</p></div><div>Copyright 2020 Example Ltd.</div></form>') == \
+        ["T", "L", "L", "Short."]
+    for wrong in ("nav", "aside", "footer"):
+        assert short(f"<body><{wrong}><ul><li><a href=x>Home</a><li><a href=y>News</a></ul><article><h1>T</h1>{P}</article>") == ["T", "L"]
+        assert short(f"<body><{wrong}><ul><li><a href=x>Home</a><li><a href=y>News</a></ul><div><h1>T</h1>{P}{P}</div>") == ["T", "L", "L"]
+
+
+def test_boilerplate_without_an_article_element():
+    notice = "<div>We use cookies to improve your visit. <button>OK</button></div>"
+    page = (f"<body><div>Home</div><div>Terms of use</div>{notice}<div><h1>Title of it</h1><div>Posted by admin</div>{P}<h2>Sub</h2>{P}"
+            f"<ul><li>one<li>two</ul>{P}</div><div>Copyright 2020 Example Ltd.</div><div>Terms of use</div></body>")
+    assert short(page) == ["Title of it", "L", "Sub", "L", "one", "two", "L"]
+    flat = f"<body><p>Home</p><h1>Title of it</h1><p>Posted by admin</p>{P}{P}<p>The end.</p><p>Copyright 2020 Example Ltd.</p><p>Terms of use</p></body>"
+    assert short(flat) == ["Title of it", "L", "L", "The end."]
+
+
+def test_comments_teasers_and_several_articles():
+    said = "<p>I disagree with all of this text here, said the reader of it.</p>"
+    assert short(f'<body><article><h1>T</h1>{P}</article><section id="discussion">{said}</section></body>') == ["T", "L"]
+    assert short(f"<body><article><p>Small teaser.</p></article><div>{P}{P}{P}</div></body>") == ["L", "L", "L"]
+    assert short(f"<body><main><article>{P}</article><article><p>Short other one.</p></article></main><p>Imprint</p></body>") == ["L", "Short other one."]
+
+
+def test_the_threshold_decides(monkeypatch):
+    page = f"<body><div>{'<p>Entry with a few plain words</p>' * 12}</div><div>{P}{P}</div></body>"
+    assert short(page) == ["L", "L"]
+    monkeypatch.setattr(mainhtml, "threshold", lambda values: float("-inf"))
+    assert short(page) != ["L", "L"]
+    monkeypatch.undo()
+    monkeypatch.setattr(mainhtml, "threshold", lambda values: float("inf"))
+    assert short(page) != ["L", "L"]
+
+
+def test_ratios_smoothing_and_cut_equal_plain_loops():
+    import math
+    import random
+    rng = random.Random(9)
+    for _ in range(30):
+        rows = [mainhtml.Line("x" * rng.randint(0, 400), rng.randint(0, 6), rng.randint(0, 20), (), 0, False, rng.random() < 0.2) for _ in range(rng.randint(1, 40))]
+        want = [math.log(1 + max(len(r.text) - r.linked, 0) / (1 + r.tags)) * (mainhtml.NAMED if r.lowered else 1) for r in rows]
+        got = mainhtml.ratios(rows)
+        assert max(abs(a - b) for a, b in zip(got, want)) < 1e-9
+        weights = {k: math.exp(-k * k / (2 * mainhtml.SPREAD ** 2)) for k in range(-4, 5)}
+        plain = [sum(weights[k] * want[i + k] for k in weights if 0 <= i + k < len(want)) / sum(weights.values()) for i in range(len(want))]
+        assert max(abs(a - b) for a, b in zip(mainhtml.smoothed(got), plain)) < 1e-9
+        cut = mainhtml.threshold(mainhtml.smoothed(got))
+        high, low = [v for v in plain if v >= cut], [v for v in plain if v < cut]
+        assert not low or abs(cut - (sum(high) / len(high) + sum(low) / len(low)) / 2) < 1e-6
+
+
 def test_ratio_helpers():
     import numpy as np
     assert abs(mainhtml.smoothed(np.ones(50))[20] - 1) < 1e-9 and mainhtml.smoothed(np.array([1.0])).shape == (1,)
