@@ -8,11 +8,11 @@ than half of all text is a wrapper (a form around the page, a menu that is never
 more (``has-sidebar``) and phrases that notices use (outside of articles) only lower the ratio of a line.
 
 The ratio of a line (characters outside links per tag, as a logarithm) is smoothed by a Gaussian over neighbouring lines and
-split into two clusters by the threshold between their means. The upper cluster is the core. From the page down, the
-container that holds most of the core (``MOST``) is entered, until none does or an article is reached: that is the
-region. In an article, and in articles beside it, all lines stay. In any other region menus (lines of links) and notices go; where the region
-is the page itself, so do lines before the first and after the last core line, but for headings and sentences. A title
-right above the region is added.
+split into two clusters by the threshold between their means, in which lines weigh by their characters. The upper cluster is the
+core. An article or main element that holds most of the core (``MOST``) is the region, else the page is. In an article, and
+in articles beside it, all lines stay. In any other region articles with a core line stay whole, and menus (lines of links)
+and notices go; where the region is the page, so do lines before the first and after the last line that is core, stands beside core
+lines in one part of the page, or is a heading or a sentence.
 
 Defined results: null, empty and text-free pages give an empty text. Character references are decoded, white space inside
 a line becomes one space, lines are joined by one line end in page order. Unclosed and crossed tags end with the nearest
@@ -32,8 +32,8 @@ from prefmill.llm.base import map_steps
 SPREAD = 1.5
 NAMED = 0.5  # what a name or phrase that may mean a menu or the like leaves of a line's logarithmic ratio
 MOST = 0.8  # share of the core's characters that a region holds
+APART = 0.7  # least distance of two clusters' means: twice the characters per tag
 PHRASE = 200  # a line that begins like a notice is one up to this length
-TITLE_REACH = 3  # lines between a title and its region, as for names and dates
 
 #: Element names, and words of classes, ids and roles, as pages commonly use them.
 BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset
@@ -45,8 +45,8 @@ DROPPED = frozenset("""button canvas head iframe math noscript object script sel
 #: Dropped unless they turn out to be wrappers.
 PARTS = frozenset("aside dialog footer form menu nav".split())
 CONTAINERS = frozenset("article body center div form main section table td".split())
-#: Regions that hold a whole page rather than its content.
-LOOSE = frozenset((None, "body", "center", "form", "table"))
+#: Containers that may hold a page rather than a part of it.
+PAGE = frozenset("body center form table".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 DROPPED_WORDS = frozenset("""ad ads adsense advert adverts advertisement advertising adbox banner sponsor sponsored promo
     promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar footer cookie cookies consent gdpr notice
@@ -214,12 +214,14 @@ class Lines(HTMLParser):
                 total += size
                 held.update(dict.fromkeys(parts, size))
         wrappers = {p for p, size in held.items() if 2 * size > total and p not in self.firm}
-        out = []
+        out, before = [], 0  # tags without text count for the line that follows
         for pieces, tags, within, whole, heading, lowered in self.rows:
             kept = [(t, link) for t, parts, link in pieces if wrappers.issuperset(parts)]
             text = " ".join("".join(t for t, _ in kept).split())
-            if text or tags:
-                out.append(Line(text, tags, sum(len(t) for t, link in kept if link), within, whole, heading, lowered))
+            before += tags
+            if text:
+                out.append(Line(text, before, sum(len(t) for t, link in kept if link), within, whole, heading, lowered))
+                before = 0
         return out
 
 
@@ -238,22 +240,25 @@ def lines(page: str, names: bool = True) -> tuple[list[Line], dict[int, str]]:
 def smoothed(ratio: np.ndarray) -> np.ndarray:
     reach = int(3 * SPREAD)
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / SPREAD) ** 2)
-    return np.convolve(ratio, kernel / kernel.sum())[reach:reach + len(ratio)]
+    near = np.convolve(ratio, kernel)[reach:reach + len(ratio)]
+    return near / np.convolve(np.ones(len(ratio)), kernel)[reach:reach + len(ratio)]  # a page's ends have fewer neighbours
 
 
-def threshold(values: np.ndarray) -> float:
-    """The border between two clusters of numbers: half-way between their means, found by repeated assignment."""
+def threshold(values: np.ndarray, weights: np.ndarray | None = None) -> float:
+    """The border between two clusters of numbers: half-way between their weighted means, found by repeated assignment. Means
+    less than ``APART`` from each other are one cluster, and the border is the least value."""
+    weights = np.ones(len(values)) if weights is None else weights
+    values, weights = values[weights > 0], weights[weights > 0]
     low, high = float(values.min()), float(values.max())
     for _ in range(50):
-        cut = (low + high) / 2
-        above = values >= cut
+        above = values >= (low + high) / 2
         if above.all() or not above.any():
             return float(values.min())
-        new = float(values[~above].mean()), float(values[above].mean())
+        new = float(np.average(values[~above], weights=weights[~above])), float(np.average(values[above], weights=weights[above]))
         if new == (low, high):
             break
         low, high = new
-    return (low + high) / 2
+    return (low + high) / 2 if high - low >= APART else float(values.min())
 
 
 def _notice(r: Line) -> bool:
@@ -268,63 +273,47 @@ def ratios(rows: list[Line]) -> np.ndarray:
 
 
 def region(rows: list[Line], core: np.ndarray, kinds: dict[int, str]) -> int:
-    """The innermost container on the way down that holds most of the core's characters (0: the page)."""
+    """The innermost article or main element that holds most of the core's characters (0: the page)."""
     mass: Counter = Counter()
-    below: dict[int, set[int]] = {}
     for r, inside in zip(rows, core):
         if inside:
-            for above, c in zip((0, *r.within), r.within):
-                mass[c] += len(r.text)
-                below.setdefault(above, set()).add(c)
+            mass.update(dict.fromkeys(r.within, len(r.text)))
     total = sum(len(r.text) for r, inside in zip(rows, core) if inside)
-    at = 0
-    while kinds.get(at) != "article":
-        best = max(below.get(at, ()), key=lambda c: (mass[c], -c), default=None)
-        if best is None or mass[best] < MOST * total:
-            break
-        at = best
-    return at
+    return max((c for c, n in mass.items() if kinds[c] in ("article", "main") and n >= MOST * total), default=0)
 
 
 def main_text(page: str) -> str:
     rows, kinds = lines(page)
-    if not any(r.text for r in rows):
+    if not rows:
         rows, kinds = lines(page, names=False)
-    if not any(r.text for r in rows):
+    if not rows:
         return ""
     ratio = ratios(rows)
     near = smoothed(ratio)
-    cut = threshold(near)
-    text = np.array([bool(r.text) for r in rows])
-    prose = np.array([2 * r.linked <= len(r.text) for r in rows]) & text
+    cut = threshold(near, np.array([len(r.text) for r in rows], float))
+    prose = np.array([2 * r.linked <= len(r.text) for r in rows])
     # Its own ratio counts as well: a short line is no core for the sake of a long neighbour alone.
     notice = np.array([_notice(r) for r in rows])
-    core = (near >= cut) & (ratio >= cut) & prose & ~notice
+    core = (near >= cut) & ((ratio >= cut) | (cut <= near.min())) & prose & ~notice  # one cluster: every line
     if not core.any():
-        core = text
+        core = (ratio >= cut) & prose if ((ratio >= cut) & prose).any() else np.ones(len(rows), bool)
     at = region(rows, core, kinds)
     if kinds.get(at) == "article":
         # Articles that stand beside it are of the same page.
         beside = next(r.within[:r.within.index(at)] for r in rows if at in r.within)
-        keep = np.array([r.whole > 0 and r.within[:r.within.index(r.whole)] == beside for r in rows]) & text
+        keep = np.array([r.whole > 0 and r.within[:r.within.index(r.whole)] == beside for r in rows])
     else:
-        inside = np.array([not at or at in r.within for r in rows]) & text
-        if kinds.get(at) in LOOSE:
-            places = np.flatnonzero(core & inside)
+        inside = np.array([not at or at in r.within for r in rows])
+        near_core = inside
+        if not at:
+            # Everything between what is content: core lines, their neighbours in a part of the page, headings, sentences.
+            mates = {r.within[-1] for r, c in zip(rows, core) if c and r.within} - {c for c, tag in kinds.items() if tag in PAGE}
+            content = core | np.array([bool(r.within) and r.within[-1] in mates or r.heading or bool(SENTENCE.search(r.text)) for r in rows]) & prose & ~notice
+            places = np.flatnonzero(content & inside)
             near_core = np.zeros(len(rows), bool)
             near_core[places[0]:places[-1] + 1] = True
-            near_core |= np.array([r.heading or bool(SENTENCE.search(r.text)) for r in rows])
-        else:
-            near_core = inside
-        keep = inside & (np.array([r.whole > 0 for r in rows]) | core | near_core & prose & ~notice)
-        # A title that stands above its region.
-        first = int(np.flatnonzero(keep)[0])
-        for i in range(first - 1, -1, -1):
-            if rows[i].text and rows[i].heading:
-                keep[i] = True
-                break
-            if sum(bool(r.text) for r in rows[i:first]) > TITLE_REACH:
-                break
+        whole = np.isin([r.whole for r in rows], [r.whole for r, c in zip(rows, core) if c and r.whole])
+        keep = inside & (whole | core | near_core & prose & ~notice)
     return "\n".join(r.text for r, k in zip(rows, keep) if k)
 
 

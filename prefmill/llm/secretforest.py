@@ -7,10 +7,13 @@ characters; how likely its character transitions are in the corpus; how much of
 cover (a dictionary that needs no word list); the document's path; and the words and signs before it. Transitions and
 trigrams are counted over all documents. The forest (numpy, on the driver) is trained on at most ``SAMPLE`` labelled
 findings of each class, chosen by hash; half of them lose their neighbouring words, so that a secret without a cue is
-recognised too. Labelled findings may be given; without them assignments to a named credential count as secrets and
-strings of letters or of digits alone, or with common transitions, as false positives if no cue stands before them.
+recognised too. Labelled findings may be given as a table (key, start, end, label): the forest is then trained from them
+alone, each with the features of its own stretch of its document. Without them assignments to a named credential count as
+secrets and strings of letters or of digits alone, or with common transitions, as false positives if no cue stands
+before them.
 
-Defined results: null and empty texts have no candidate. Without findings of both classes the score of a candidate is 1
+Defined results: null and empty texts have no candidate; findings of no document, outside their text or with a null label
+are ignored, and the same stretch labelled twice counts once for each label. Without findings of both classes the score of a candidate is 1
 if a credential is named before it, else 0. Texts are read whole; repeated rows are scored alike.
 """
 
@@ -234,17 +237,31 @@ class Forest:
         return total / max(1, len(self.trees))
 
 
-def candidates(docs: DataFrame, corpus: Corpus) -> DataFrame:
-    """label and features of every candidate with a weak label, and the hash that orders them."""
+def candidates(docs: DataFrame, corpus: Corpus, findings: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
+    """label, features and ordering hash of every labelled candidate. ``findings``: key, start, end (code points, end
+    exclusive), label; each document gets its own by a join on the key, so no document and no finding is read alone. Without
+    findings the labels are weak ones."""
+    given = findings is not None
+    rows = docs.select("text", _path(docs))
+    if given:
+        # One row for each finding: a document with very many of them is spread over tasks like any other rows.
+        marks = findings.select(key, F.col("start").cast("long"), F.col("end").cast("long").alias("stop"), F.col("label").cast("int").alias("label"))
+        marks = marks.filter("label IN (0, 1) AND start >= 0 AND stop > start").distinct()
+        rows = docs.select(key, "text", _path(docs)).join(marks, key).filter("stop <= char_length(text)").select("text", "path", "start", "stop", "label")
     shared = docs.sparkSession.sparkContext.broadcast(corpus)  # two numbers for each of SIGNS^3 trigrams
 
     def run(batches):
         corpus = shared.value
         for batch in batches:
             label, order, values = [], [], []
+            marked = zip(*(batch.column(c).to_pylist() for c in ("start", "stop", "label"))) if given else None
             for text, path in zip(batch.column("text").to_pylist(), batch.column("path").to_pylist()):
-                for start, end in spans_of(text or ""):
-                    known = corpus.weak_label(text, start, end)
+                if given:
+                    start, end, known = next(marked)
+                    found = [(start, end, known)]
+                else:
+                    found = [(start, end, corpus.weak_label(text, start, end)) for start, end in spans_of(text or "")]
+                for start, end, known in found:
                     if known is not None:
                         place = zlib.crc32(text[max(0, start - 40):end].encode())
                         # The most even hashes only: each task hands on what could be among the first SAMPLE.
@@ -257,17 +274,17 @@ def candidates(docs: DataFrame, corpus: Corpus) -> DataFrame:
                 "label": pa.array([label[i] for i in keep], pa.int32()), "place": pa.array([order[i] for i in keep], pa.int64()),
                 "x": pa.array([[float(v) for v in r] for r in rows], pa.list_(pa.float64()))})
 
-    return docs.select("text", _path(docs)).mapInArrow(run, "label int, place long, x array<double>")
+    return rows.mapInArrow(run, "label int, place long, x array<double>")
 
 
 def _path(docs: DataFrame):
     return F.coalesce(F.col("source").cast("string"), F.lit("")).alias("path") if "source" in docs.columns else F.lit("").alias("path")
 
 
-def train(docs: DataFrame, corpus: Corpus) -> Forest | None:
-    """A forest from the findings with the smallest hashes; copies of one finding count once. The hash is uniform, so a
+def train(docs: DataFrame, corpus: Corpus, findings: DataFrame | None = None, key: str = "doc_id") -> Forest | None:
+    """A forest from the labelled findings with the smallest hashes; copies of one finding count once. The hash is uniform, so a
     bound on it leaves about twice the sample, however many tasks there are, and only that meets on the driver."""
-    found = settled(candidates(docs, corpus).groupBy("label", "place").agg(F.min("x").alias("x")))
+    found = settled(candidates(docs, corpus, findings, key).groupBy("label", "place").agg(F.min("x").alias("x")))
     sizes = {r["label"]: r["n"] for r in found.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     rows = []
     for y, n in sorted(sizes.items()):
@@ -279,10 +296,11 @@ def train(docs: DataFrame, corpus: Corpus) -> Forest | None:
     return Forest().fit(np.array([r["x"] for r in rows]), y.astype(float))
 
 
-def scan(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, n_candidates, n_secrets, score (of the likeliest; 0 without candidates), spans (start:end, comma-joined)."""
+def scan(docs: DataFrame, key: str = "doc_id", findings: DataFrame | None = None) -> DataFrame:
+    """key, n_candidates, n_secrets, score (of the likeliest; 0 without candidates), spans (start:end, comma-joined).
+    ``findings``: labelled stretches (key, start, end, label) to train from instead of weak labels."""
     corpus = Corpus(trigram_counts(docs))
-    forest = train(docs, corpus)
+    forest = train(docs, corpus, findings, key)
     shared = docs.sparkSession.sparkContext.broadcast((corpus, forest))
 
     def step(batch):

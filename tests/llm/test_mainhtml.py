@@ -1,6 +1,8 @@
 import html
 import re
 
+import numpy as np
+
 from prefmill.llm import mainhtml
 from prefmill.llm.base import table
 
@@ -60,17 +62,17 @@ def test_boilerplate_without_an_article_element():
 def test_comments_teasers_and_several_articles():
     said = "<p>I disagree with all of this text here, said the reader of it.</p>"
     assert short(f'<body><article><h1>T</h1>{P}</article><section id="discussion">{said}</section></body>') == ["T", "L"]
-    assert short(f"<body><article><p>Small teaser.</p></article><div>{P}{P}{P}</div></body>") == ["L", "L", "L"]
+    assert short(f"<body><article><p>Small teaser.</p></article><div>{P}{P}{P}</div></body>") == ["Small teaser.", "L", "L", "L"]
     assert short(f"<body><main><article>{P}</article><article><p>Short other one.</p></article></main><p>Imprint</p></body>") == ["L", "Short other one."]
 
 
 def test_the_threshold_decides(monkeypatch):
     page = f"<body><div>{'<p>Entry with a few plain words</p>' * 12}</div><div>{P}{P}</div></body>"
     assert short(page) == ["L", "L"]
-    monkeypatch.setattr(mainhtml, "threshold", lambda values: float("-inf"))
+    monkeypatch.setattr(mainhtml, "threshold", lambda values, weights: float("-inf"))
     assert short(page) != ["L", "L"]
     monkeypatch.undo()
-    monkeypatch.setattr(mainhtml, "threshold", lambda values: float("inf"))
+    monkeypatch.setattr(mainhtml, "threshold", lambda values, weights: float("inf"))
     assert short(page) != ["L", "L"]
 
 
@@ -84,15 +86,20 @@ def test_ratios_smoothing_and_cut_equal_plain_loops():
         got = mainhtml.ratios(rows)
         assert max(abs(a - b) for a, b in zip(got, want)) < 1e-9
         weights = {k: math.exp(-k * k / (2 * mainhtml.SPREAD ** 2)) for k in range(-4, 5)}
-        plain = [sum(weights[k] * want[i + k] for k in weights if 0 <= i + k < len(want)) / sum(weights.values()) for i in range(len(want))]
+        plain = [sum(weights[k] * want[i + k] for k in weights if 0 <= i + k < len(want)) / sum(weights[k] for k in weights if 0 <= i + k < len(want)) for i in range(len(want))]
         assert max(abs(a - b) for a, b in zip(mainhtml.smoothed(got), plain)) < 1e-9
-        cut = mainhtml.threshold(mainhtml.smoothed(got))
-        high, low = [v for v in plain if v >= cut], [v for v in plain if v < cut]
-        assert not low or abs(cut - (sum(high) / len(high) + sum(low) / len(low)) / 2) < 1e-6
+        sizes = [len(r.text) for r in rows]
+        if not sum(sizes):
+            continue
+        cut = mainhtml.threshold(mainhtml.smoothed(got), np.array(sizes, float))
+        means = []
+        for side in (True, False):
+            part = [(v, n) for v, n in zip(plain, sizes) if n and (v >= cut - 1e-9) == side]
+            means.append(sum(v * n for v, n in part) / sum(n for _, n in part) if part else None)
+        assert means[1] is None or abs(cut - sum(means) / 2) < 1e-6 and means[0] - means[1] >= mainhtml.APART
 
 
 def test_ratio_helpers():
-    import numpy as np
     assert abs(mainhtml.smoothed(np.ones(50))[20] - 1) < 1e-9 and mainhtml.smoothed(np.array([1.0])).shape == (1,)
     assert 1 < mainhtml.threshold(np.array([0, 1, 0, 9, 10, 11.0])) < 9 and mainhtml.threshold(np.array([3.0])) == 3
 
