@@ -131,13 +131,13 @@ def test_paths_with_many_uses_and_none(spark):
 def test_pages_by_key_lookup(spark, kind, values):
     df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], f"k {kind}, row long")
     order = sorted(values, key=lambda v: (v is not None, v.encode() if isinstance(v, str) else v or 0))
-    for position in range(-1, len(values) + 1):
+    for position in sorted({-1, 0, 1, len(values) // 2, len(values) - 1, len(values)}):
         found = sampling.key_at(df, "k", position)
         assert found == ((order[position], order.index(order[position])) if 0 <= position < len(order) else None)
     rows = []
-    for page in range(len(values) // 3 + 2):
-        got = sampling.preview_page(df, "k", page, 3).orderBy("idx").collect()
-        assert [r["idx"] for r in got] == list(range(page * 3, min(page * 3 + 3, len(values)))) and all(r["total"] == len(values) for r in got)
+    for page in range(len(values) // 9 + 2):
+        got = sampling.preview_page(df, "k", page, 9).orderBy("idx").collect()
+        assert [r["idx"] for r in got] == list(range(page * 9, min(page * 9 + 9, len(values)))) and all(r["total"] == len(values) for r in got)
         rows += got
     assert [r["k"] for r in rows] == order and sorted(r["row"] for r in rows) == list(range(len(values)))
 
