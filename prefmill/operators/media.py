@@ -57,9 +57,9 @@ register_media_rule("paligemma", MediaRule("image", "<image>", shape="prefix"))
 register_media_rule("pixtral", MediaRule("image", "[IMG]", after="[IMG_END]", shape="grid", row_end="[IMG_BREAK]"))
 
 
-def list_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Paths below a folder; file contents are not read."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
+def list_files(spark: SparkSession, folder: str, column: str = "path") -> DataFrame:
+    """Paths (or lengths) of the files below a folder; their contents are not read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(column)
 
 
 def media_resolve(df: DataFrame, key: str, paths: str, listing: DataFrame, folder: str, per_copy: int = PER_COPY) -> DataFrame:

@@ -1,6 +1,6 @@
 """Reading and writing dataset files."""
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 from pyspark.errors import AnalysisException
 
 from prefmill.functions.jsontext import quoted
@@ -8,7 +8,7 @@ from prefmill.operators.align import CONVERTERS
 from prefmill.operators.media import list_files
 from prefmill.operators.sampling import contiguous_shards, sample_max, sample_num, sample_weighted
 from prefmill.sources.registry import DatasetSpec
-from prefmill.session import entries
+from prefmill.session import entries, scratch_path, settled
 
 # File ending -> reader.
 KINDS = {"arrow": "arrow", "csv": "csv", "json": "json", "jsonl": "json", "parquet": "parquet", "txt": "text"}
@@ -37,9 +37,62 @@ def _is_array(spark: SparkSession, path: str) -> bool:
     return bool(first) and first["value"].lstrip().startswith("[")
 
 
+#: Bytes from which a JSON array is cut into records by many tasks instead of being one task's.
+SPLIT_BYTES = 128 << 20
+
+
+def array_records(spark: SparkSession, path: str) -> DataFrame:
+    """value: the objects of JSON array files, one row each, without line ends. Many tasks read one file.
+
+    Files are read as pieces that end in ``}``, wherever their blocks begin. Whether a piece starts inside a string follows
+    from the number of quotes before it, its depth from the brackets before it that stand outside of strings; both are
+    sums inside a block plus sums over the blocks before, of which there is one row each. A record ends where a brace
+    outside of strings leads back to the array itself.
+    """
+    block = ["file", "block"]
+    pieces = (spark.read.option("recursiveFileLookup", "true").option("lineSep", "}").text(path)
+              .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+              .withColumn("at", F.monotonically_increasing_id()))
+    plain = F.regexp_replace("value", r"(?s)\\.", "")  # without escapes; none reaches over a brace
+    pieces = settled(pieces.withColumn("plain", plain).withColumn("quotes", F.length("plain") - F.length(F.replace("plain", F.lit('"')))))
+    inner = Window.partitionBy(*block).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    outer = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+
+    def before(rows, column):
+        """Sum of a column over all pieces of the file before each one."""
+        totals = rows.groupBy(*block).agg(F.sum(column).alias("_n"))
+        totals = totals.select(*block, F.coalesce(F.sum("_n").over(outer), F.lit(0)).alias("_above"))
+        return rows.withColumn("_in", F.coalesce(F.sum(column).over(inner), F.lit(0))).join(totals, block).withColumn(
+            f"{column}_before", F.col("_in") + F.col("_above")).drop("_in", "_above")
+    rows = before(pieces, "quotes")
+    # A quote in front closes the string that the piece starts in; strings that end inside go, and one that does not.
+    whole = F.concat(F.when(F.col("quotes_before") % 2 == 1, F.lit('"')).otherwise(""), F.col("plain"))
+    bare = F.regexp_replace(whole, '"[^"]*("|$)', "")
+    outside = (F.col("quotes_before") + F.col("quotes")) % 2 == 0
+
+    def count(*signs):
+        return sum((F.length(bare) - F.length(F.replace(bare, F.lit(c))) for c in signs), F.lit(0))
+    rows = rows.select(*block, "at", "value", outside.alias("outside"), (count("{", "[") - count("]") - F.when(outside, 1).otherwise(0)).cast("long").alias("step"))
+    rows = before(settled(rows), "step")
+    ends = (F.col("outside") & (F.col("step_before") + F.col("step") == 1)).cast("long")
+    rows = before(settled(rows.withColumn("ends", ends).drop("step", "step_before")), "ends")
+    cells = F.array_sort(F.collect_list(F.struct("block", "at", "value")))
+    found = rows.groupBy("file", F.col("ends_before").alias("record")).agg(cells.alias("cells"), F.max("ends").alias("ends")).filter("ends = 1")
+    text = F.concat(F.array_join(F.transform("cells", lambda c: c["value"]), "}"), F.lit("}"))
+    return found.select(F.regexp_replace(F.regexp_replace(text, r"^[\s,\[]+", ""), r"[\r\n]+", " ").alias("value"))
+
+
+def read_array(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    """Rows of JSON array files by ``array_records``: the records become lines in the shared folder, which any number of
+    tasks read."""
+    lines = scratch_path(spark, "records")
+    array_records(spark, path).write.text(lines)
+    return (spark.read.schema(schema) if schema is not None else spark.read).json(lines)
+
+
 def read_files(spark: SparkSession, path: str, schema=None, kind: str | None = None, multiline: bool = False) -> DataFrame:
     """A file or folder in the format its endings tell; JSON may be lines or arrays. CSV cells with line ends need
-    ``multiline``, which makes each file one task."""
+    ``multiline``, which makes each file one task; a large JSON array is read by many."""
     kind = kind or file_kind(spark, path)
     reader = spark.read.option("recursiveFileLookup", "true")
     if schema is not None and kind != "text":
@@ -49,7 +102,10 @@ def read_files(spark: SparkSession, path: str, schema=None, kind: str | None = N
     if kind == "text":
         return reader.text(path).withColumnRenamed("value", "text")
     if kind == "json":
-        return reader.json(path, multiLine=_is_array(spark, path))
+        if not _is_array(spark, path):
+            return reader.json(path)
+        largest = list_files(spark, path, "length").agg(F.max("length")).first()[0]
+        return read_array(spark, path, schema) if largest >= SPLIT_BYTES else reader.json(path, multiLine=True)
     return reader.parquet(path)
 
 
