@@ -29,18 +29,26 @@ def sample_num(df: DataFrame, key: str, target: int, seed=0, size: int | None =
 
 
 def first_n(df: DataFrame, key: str, count: int) -> DataFrame:
-    """The first ``count`` rows by key, nulls first. Only keys are sorted; the key at the edge reaches the driver, and of
-    the rows that share it as many as are needed are taken by a hash of the row."""
+    """The first ``count`` rows by key, nulls first. The key at the edge is looked up (``key_at``; other kinds of keys are
+    sorted alone), and of the rows that share it as many as are needed are taken by a hash of the row."""
     if count <= 0:
         return df.limit(0)
-    numbered = ordered_index(df.select(key), [key])
-    edge = numbered.filter(F.col("idx") == count - 1).first()
-    if edge is None:
-        return df
-    at = F.lit(edge[key]).cast(df.schema[key].dataType)
-    below = F.isnull(key) | (F.col(key) < at) if edge[key] is not None else F.lit(False)
-    start = numbered.filter(F.col(key).eqNullSafe(at)).agg(F.min("idx")).first()[0]
-    ties = ordered_index(df.filter(F.col(key).eqNullSafe(at)), [key]).filter(F.col("idx") < count - start).drop("idx")
+    column = F.col(key)
+    if isinstance(df.schema[key].dataType, (IntegralType, StringType)):
+        found = key_at(df, key, count - 1)
+        if found is None:
+            return df
+        edge, start = found
+    else:
+        numbered = ordered_index(df.select(key), [key])
+        row = numbered.filter(F.col("idx") == count - 1).first()
+        if row is None:
+            return df
+        edge = row[key]
+        start = numbered.filter(column.eqNullSafe(F.lit(edge).cast(df.schema[key].dataType))).agg(F.min("idx")).first()[0]
+    at = F.lit(edge).cast(df.schema[key].dataType)
+    below = column.isNull() | (column < at) if edge is not None else F.lit(False)
+    ties = ordered_index(df.filter(column.eqNullSafe(at)), [key]).filter(F.col("idx") < count - start).drop("idx")
     return df.filter(below).unionByName(ties)
 
 

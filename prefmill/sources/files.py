@@ -137,6 +137,9 @@ def read_set(spark: SparkSession, specs: dict[str, dict], converters: dict = CON
     if len(flags) > 1:
         raise ValueError("all datasets must be streaming or none")
     streaming = flags == {True}
+    sampled = [name for name, s in specs.items() if s.get("size") is not None or s.get("weight") is not None]
+    if streaming and sampled:
+        raise ValueError(f"a stream has no size to sample from: {', '.join(sampled)}")
     out = None
     for name, spec in specs.items():
         if streaming:
@@ -145,7 +148,7 @@ def read_set(spark: SparkSession, specs: dict[str, dict], converters: dict = CON
             df = read_files(spark, spec["path"], spec.get("schema"))
         if "split" in spec and "split" in df.columns:
             df = df.filter(F.col("split") == spec["split"])
-        if not streaming and (spec.get("size") is not None or spec.get("weight") is not None):
+        if name in sampled:
             df = sample_weighted(df, spec["key"], spec.get("size"), spec.get("weight"), spec.get("seed", 0)).drop("idx")
         if spec.get("converter"):
             df = converters[spec["converter"]](df, [spec["key"]] if "key" in spec else [])

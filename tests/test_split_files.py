@@ -47,3 +47,9 @@ def test_small_limit_takes_the_split_way(spark, tmp_path, monkeypatch):
     assert sorted(map(tuple, files.read_files(spark, str(tmp_path / "x.json")).collect())) == before and len(before) == 50
     (tmp_path / "e.json").write_text("[]")
     assert files.array_records(spark, str(tmp_path / "e.json")).count() == 0
+
+
+def test_streams_cannot_be_sampled(spark, tmp_path):
+    spec = {"path": str(tmp_path), "streaming": True, "schema": "a long"}
+    with pytest.raises(ValueError, match="no size to sample"):
+        files.read_set(spark, {"x": dict(spec, weight=0.5), "y": spec})
