@@ -29,37 +29,43 @@ def _grams(signs: Column, tag: str) -> Column:
 def matches(predict: Column, label: Column) -> Column:
     """Clipped character n-gram counts of the prediction for n = 1..4: how many uses of a gram find a use in the label.
 
-    The grams of both texts are sorted together. Grams that begin alike are then neighbours for every n at once, so one
-    pass that carries the uses of the current beginnings on both sides is enough.
+    The grams of both texts are sorted together. Grams that begin alike are then neighbours for every n at once: each is
+    told by how many signs it shares with the one before, and one pass over these numbers, which carries the uses of the
+    current beginnings on both sides, is enough.
     """
-    zero = {f"p{n}": F.lit("") for n in ORDERS} | {f"{c}{n}": F.lit(0) for n in ORDERS for c in "abh"}
+    def cells(ordered):
+        def cell(x, i):
+            before = F.get(ordered, i - 1)
+            shared = sum((F.coalesce(x.substr(1, n) == before.substr(1, n), F.lit(False)).cast("int") for n in ORDERS), F.lit(0))
+            # Not more than the gram before has: its tag may look like a sign of this one.
+            shared = F.least(shared, F.char_length(before) - 1)
+            return F.struct(F.coalesce(shared, F.lit(0)).alias("shared"), (F.char_length(x) - 1).alias("size"), x.endswith("0").cast("int").alias("mine"))
+        return F.transform(ordered, cell)
+
+    names = [f"{c}{n}" for n in ORDERS for c in "abh"]
 
     def step(held, x):
-        size = F.char_length(x) - 1
-        mine = (x.substr(size + 1, F.lit(1)) == "0").cast("int")
-        out = {}
+        out = []
         for n in ORDERS:
-            start, whole = x.substr(F.lit(1), F.lit(n)), size >= n
-            p, a, b, h = (held[f"{c}{n}"] for c in "pabh")
-            same = start == p
-            out[f"p{n}"] = F.when(whole, start).otherwise(p)
-            out[f"a{n}"] = F.when(~whole, a).when(same, a + mine).otherwise(mine)
-            out[f"b{n}"] = F.when(~whole, b).when(same, b + 1 - mine).otherwise(1 - mine)
-            out[f"h{n}"] = F.when(whole & ~same, h + F.least(a, b)).otherwise(h)
-        return F.struct(*[out[k].alias(k) for k in zero])
+            whole, same, mine = x["size"] >= n, x["shared"] >= n, x["mine"]
+            a, b, h = (held[f"{c}{n}"] for c in "abh")
+            out += [F.when(~whole, a).when(same, a + mine).otherwise(mine), F.when(~whole, b).when(same, b + 1 - mine).otherwise(1 - mine),
+                    F.when(whole & ~same, h + F.least(a, b)).otherwise(h)]
+        return F.struct(*[c.alias(name) for c, name in zip(out, names)])
 
     def signs(text):
         return F.filter(F.split(text, ""), lambda c: c != "")
-    both = let(F.struct(signs(predict).alias("x"), signs(label).alias("y")), lambda z: F.sort_array(F.concat(_grams(z["x"], "0"), _grams(z["y"], "1"))))
-    return F.aggregate(both, F.struct(*[v.alias(k) for k, v in zero.items()]), step,
+    both = let(F.struct(signs(predict).alias("x"), signs(label).alias("y")), lambda z: let(
+        F.sort_array(F.concat(_grams(z["x"], "0"), _grams(z["y"], "1"))), cells))
+    return F.aggregate(both, F.struct(*[F.lit(0).alias(name) for name in names]), step,
                        lambda held: F.array(*[held[f"h{n}"] + F.least(held[f"a{n}"], held[f"b{n}"]) for n in ORDERS]))
 
 
 def bleu4(predict: Column, label: Column) -> Column:
-    """Sentence BLEU-4 in percent, four decimals. A row is scored where it lies; nothing is shuffled."""
-    mine, other = F.char_length(predict), F.char_length(label)
-
-    def score(found):
+    """Sentence BLEU-4 in percent, four decimals. A row is scored where it lies; nothing is shuffled, and both texts are worked
+    out once, however they are made."""
+    def score(z):
+        found, mine, other = z["found"], z["mine"], z["other"]
         logs, misses = F.lit(0.0), F.lit(0)
         for n in ORDERS:
             hits, size = found[n - 1], F.greatest(mine - (n - 1), F.lit(1))
@@ -67,7 +73,10 @@ def bleu4(predict: Column, label: Column) -> Column:
             logs = logs + 0.25 * F.log(F.when(hits == 0, 1 / (F.pow(F.lit(2.0), misses) * size)).otherwise(hits / size))
         brevity = F.when(mine > other, 1.0).otherwise(F.exp(1 - other / F.greatest(mine, F.lit(1))))
         return F.when((mine == 0) | (found[0] == 0), 0.0).otherwise(brevity * F.exp(logs))
-    return F.round(let(matches(predict, label), score) * 100, 4)
+
+    def counted(z):
+        return let(F.struct(matches(z["p"], z["t"]).alias("found"), F.char_length(z["p"]).alias("mine"), F.char_length(z["t"]).alias("other")), score)
+    return F.round(let(F.struct(predict.alias("p"), label.alias("t")), counted) * 100, 4)
 
 
 def _runs(items: Column, n: int) -> Column:
