@@ -8,31 +8,50 @@ from prefmill.session import settled
 MOST_ROUNDS = 60
 
 
+#: A key with more than 1/HOT_KEYS of all rows (and more than HOT_ROWS) is joined by broadcast: so fewer than HOT_KEYS keys are.
+HOT_KEYS, HOT_ROWS = 10_000, 256
+
+
+def met_by_key(rows: DataFrame, side: DataFrame, key: str, uses: str = "_uses") -> DataFrame:
+    """``rows`` joined with ``side``, which has one row for each key of theirs and in ``uses`` the number of them. Rows of a
+    frequent key stay where they are and meet a broadcast row; the shares of keys add up to one, which bounds how many
+    such keys there are. All other keys are shuffled, none of them with more than a small share of the rows. Rows with a
+    null key are left out; ``uses`` is dropped."""
+    total = side.agg(F.coalesce(F.sum(uses), F.lit(0)).alias("n")).first()["n"]
+    hot = F.col(uses) > max(HOT_ROWS, total // HOT_KEYS)
+    frequent = side.filter(hot).drop(uses)
+    usual = rows.join(F.broadcast(frequent.select(key)), key, "left_anti")
+    return (rows.join(F.broadcast(frequent), key)
+            .unionByName(usual.join(side.filter(~hot).drop(uses).hint("merge"), key)))
+
+
+def beside(rows: DataFrame, key: str, *aggregates: Column) -> DataFrame:
+    """``rows`` with aggregates over the rows of their key, without a task for the whole group."""
+    return met_by_key(rows, settled(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_uses"), *aggregates)), key)
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
-    return (both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-            .filter("a != b").distinct())
+    low = beside(both, "a", F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
+    return low.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    low = down.groupBy("a").agg(F.min("b").alias("m"))
-    met = down.join(low, "a")
-    return met.filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
-        low.select("a", F.col("m").alias("b"))).distinct()
+    low = beside(down, "a", F.min("b").alias("m"))
+    return low.select(F.when(F.col("b") != F.col("m"), F.col("b")).otherwise(F.col("a")).alias("a"), F.col("m").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root for every node of ``edges`` (a, b); the root is the smallest node that can be reached.
 
     Large-star and small-star operations in turn until nothing changes. Each round is written to the shared folder, so
-    a lost executor never repeats an earlier round. Edges from a node to itself are ignored.
+    a lost executor never repeats an earlier round. Neighbours of a hub are never dealt to one task. Edges from a node to itself are ignored.
     """
     now = settled(edges.select("a", "b").filter("a != b").distinct())
     mark = None
     for _ in range(MOST_ROUNDS):
-        now = settled(_small_star(_large_star(now)))
+        now = settled(_small_star(settled(_large_star(now))))
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == mark:
             break

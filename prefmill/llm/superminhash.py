@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from prefmill.llm.base import map_steps
-from prefmill.llm.graph import block_pairs, components, forest
+from prefmill.llm.graph import beside, block_pairs, components, forest, met_by_key
 from prefmill.llm.shingles import digest, mix, shingle_set, word_lists
 from prefmill.session import settled
 
@@ -180,25 +180,24 @@ def _set_edges(k: int, percent: int):
 
 
 def classes_and_links(docs: DataFrame, rows: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The class table (cls, doc_id, n) and a spanning forest (a, b) of the links between classes. ``rows``: signed()."""
+    """The class table (cls, doc_id, uses) and a spanning forest (a, b) of the links between classes. ``rows``: signed()."""
     count = bands(percent)
     m = ROWS * count
     share = percent / 100
     need = math.floor(m * share - SLACK * math.sqrt(m * share * (1 - share)))
     named = rows.filter("cls IS NOT NULL")
-    classes = settled(named.groupBy("cls").agg(F.min(F.struct(F.isnull("doc_id").alias("_null"), "doc_id", "n_shingles", "sig", "keys")).alias("r"))
-                      .select("cls", "r.*").drop("_null"))
+    classes = settled(named.groupBy("cls").agg(F.count(F.lit(1)).alias("uses"),
+                                                       F.min(F.struct(F.isnull("doc_id").alias("_null"), "doc_id", "n_shingles", "sig", "keys")).alias("r"))
+                      .select("cls", "uses", "r.*").drop("_null"))
     keyed = classes.select("cls", F.explode("keys").alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    met = settled(keyed.join(sizes, "key"))
+    met = settled(beside(keyed, "key", F.count(F.lit(1)).alias("_n")).filter("_n > 1"))
     met = met.join(classes.select("cls", "sig"), "cls")
     met = block_pairs(met, F.ceil(F.col("_n") / BAND_BLOCK), "cls").drop("_n")
     near = (met.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
             .select("key", "lo", "hi", "cls", "sig").mapInArrow(_band_edges(need), "a binary, b binary"))
     family = settled(components(near).select(F.col("node").alias("cls"), F.col("root").alias("family"))
                      .join(classes.select("cls", "doc_id", "n_shingles"), "cls"))
-    weight = family.groupBy("family").agg(F.sum("n_shingles").alias("_w"))
-    placed = block_pairs(family.join(weight, "family"), F.ceil(F.col("_w") / SET_BLOCK), "cls")
+    placed = block_pairs(beside(family, "family", F.sum("n_shingles").alias("_w")), F.ceil(F.col("_w") / SET_BLOCK), "cls")
     placed = placed.select(F.xxhash64("family").alias("family"), "lo", "hi", "cls", "doc_id")
     # The members grow with the documents, so they are never broadcast, however few they are.
     members = placed.withColumnRenamed("doc_id", "_id").hint("merge")
@@ -206,7 +205,7 @@ def classes_and_links(docs: DataFrame, rows: DataFrame, k: int, percent: int) ->
              .select("family", "lo", "hi", "cls", "text"))
     links = (texts.repartition("family", "lo", "hi").sortWithinPartitions("family", "lo", "hi")
              .mapInArrow(_set_edges(k, percent), "a binary, b binary"))
-    return classes.select("cls", "doc_id"), links
+    return classes.select("cls", "doc_id", "uses"), links
 
 
 def placed(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -215,9 +214,12 @@ def placed(docs: DataFrame, k: int, percent: int) -> DataFrame:
     classes, links = classes_and_links(docs, rows, k, percent)
     joined = classes.join(components(links).withColumnRenamed("node", "cls"), "cls", "left")
     joined = joined.withColumn("root", F.coalesce("root", "cls"))
-    low = joined.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("_null"), "doc_id", "cls")).alias("low"))
-    named = joined.join(low, "root").select("cls", F.col("low.doc_id").alias("component_id"), (F.col("low.cls") == F.col("cls")).alias("first"))
-    return rows.select("doc_id", "th", "n_shingles", "cls").join(named, "cls", "left")
+    joined = beside(settled(joined), "root", F.min(F.struct(F.isnull("doc_id").alias("_null"), "doc_id", "cls")).alias("low"))
+    named = joined.select("cls", "uses", F.col("low.doc_id").alias("component_id"), (F.col("low.cls") == F.col("cls")).alias("first"))
+    rows = rows.select("cls", "doc_id", "th", "n_shingles")
+    blank = rows.filter("cls IS NULL").withColumns({"component_id": F.lit(None).cast(rows.schema["doc_id"].dataType),
+                                                    "first": F.lit(None).cast("boolean")})
+    return met_by_key(rows, settled(named), "cls", "uses").unionByName(blank)
 
 
 def grouped(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

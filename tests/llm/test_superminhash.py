@@ -3,10 +3,11 @@ import re
 
 import numpy as np
 from helpers import documents
+from pyspark.sql import functions as F
 
-from prefmill.llm import superminhash
+from prefmill.llm import graph, superminhash
 from prefmill.llm.base import table
-from prefmill.llm.graph import components
+from prefmill.llm.graph import beside, components
 from prefmill.llm.shingles import SEGMENT, shingle_set, word_lists, words
 
 
@@ -106,3 +107,21 @@ def test_components(spark):
     got = dict(map(tuple, components(spark.createDataFrame(path, "a long, b long")).collect()))
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_hubs_are_split(spark, monkeypatch):
+    monkeypatch.setattr(graph, "HOT_ROWS", 3)
+    monkeypatch.setattr(graph, "HOT_KEYS", 10)
+    stars = [(100, i) for i in range(40)] + [(i, 200) for i in range(150, 190)] + [(300, 301), (301, 302)] + [(39, 150)]
+    got = dict(map(tuple, components(spark.createDataFrame(stars, "a long, b long")).collect()))
+    assert {n for n, r in got.items() if r == 0} == {*range(40), 100, *range(150, 190), 200}
+    assert {n for n, r in got.items() if r == 300} == {300, 301, 302} and len(got) == 85
+
+
+def test_rows_beside_their_group(spark, monkeypatch):
+    monkeypatch.setattr(graph, "HOT_ROWS", 3)
+    monkeypatch.setattr(graph, "HOT_KEYS", 10)
+    rows = [(1, i) for i in range(50)] + [(2, 7), (2, 7), (3, 9), (None, 5)]
+    got = beside(spark.createDataFrame(rows, "k int, v int"), "k", F.min("v").alias("low"), F.count("v").alias("n"))
+    want = [(1, i, 0, 50) for i in range(50)] + [(2, 7, 7, 2)] * 2 + [(3, 9, 9, 1)]
+    assert got.columns == ["k", "v", "low", "n"] and sorted(map(tuple, got.collect())) == want
