@@ -1,5 +1,6 @@
-"""Streaming jobs over file streams. Stateless chains are the batch expressions; state is a small table in the shared
-folder, versioned by micro-batch, so a replayed micro-batch writes the same version again."""
+"""Streaming jobs over file streams. Stateless chains are the batch expressions. Moments are a streaming aggregation in
+the engine's own state. Where the order of a run or shard counts, state is a small table in the shared folder, versioned by
+micro-batch, so a replayed micro-batch writes the same version again and a hot run is still spread out."""
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -20,7 +21,7 @@ def append_to(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     return stream.sparkSession.read.parquet(path)
 
 
-def each_batch(stream: DataFrame, fn, checkpoint: str) -> None:
+def each_batch(stream: DataFrame, fn, checkpoint: str, mode: str = "append") -> None:
     def held(df: DataFrame, batch: int) -> None:
         df.persist()
         try:
@@ -28,7 +29,8 @@ def each_batch(stream: DataFrame, fn, checkpoint: str) -> None:
         finally:
             df.unpersist()
 
-    query = stream.writeStream.foreachBatch(held).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = (stream.writeStream.foreachBatch(held).option("checkpointLocation", checkpoint).outputMode(mode)
+             .trigger(availableNow=True).start())
     query.awaitTermination()
 
 
@@ -128,28 +130,16 @@ def stream_log_monitor(stream: DataFrame, path: str, checkpoint: str, decay: flo
     return out.latest(stream.sparkSession)
 
 
-def merge_moments(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Combine (n, mean, m2) rows of two disjoint parts."""
-    b = new.select(key, *[F.col(c).alias(f"_{c}") for c in ("n", "mean", "m2")])
-    both = old.join(b, key, "full").na.fill(0, ["n", "_n"]).na.fill(0.0, ["mean", "_mean", "m2", "_m2"])
-    n = F.col("n") + F.col("_n")
-    delta = F.col("_mean") - F.col("mean")
-    return both.select(key, n.alias("n"), (F.col("mean") + delta * F.col("_n") / n).alias("mean"),
-                       (F.col("m2") + F.col("_m2") + delta * delta * F.col("n") * F.col("_n") / n).alias("m2"))
-
-
 def stream_running_moments(stream: DataFrame, key: str, value: str, path: str, checkpoint: str) -> DataFrame:
-    """key, n, mean, m2 over everything seen."""
+    """key, n, mean, m2 over everything seen. The sums are a streaming aggregation, so the engine keeps them and a
+    micro-batch costs the keys it touches: its new values are added to the table as one version, and the newest version
+    of a key counts. A replayed micro-batch writes its version again."""
+    sums = stream.groupBy(key).agg(F.count(value).alias("n"), F.avg(value).alias("mean"),
+                                   (F.coalesce(F.var_pop(value), F.lit(0.0)) * F.count(value)).alias("m2"))
     out = Versions(path)
-
-    def one(df: DataFrame, batch: int) -> None:
-        new = df.groupBy(key).agg(F.count(value).alias("n"), F.avg(value).alias("mean"),
-                                  (F.coalesce(F.var_pop(value), F.lit(0.0)) * F.count(value)).alias("m2"))
-        state = out.before(df.sparkSession, batch)
-        out.write(new if state is None else merge_moments(state, new, key), batch)
-
-    each_batch(stream, one, checkpoint)
-    return out.latest(stream.sparkSession)
+    each_batch(sums, out.write, checkpoint, "update")
+    seen = out.all(stream.sparkSession)
+    return seen.groupBy(key).agg(F.max_by(F.struct("n", "mean", "m2"), "v").alias("_s")).select(key, "_s.*")
 
 
 def stream_batcher(stream: DataFrame, key: str, shard: str, size: int, path: str, checkpoint: str, tokens: str | None = None,

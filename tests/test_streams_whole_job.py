@@ -14,3 +14,26 @@ def test_batcher_limit_leaves_no_rows(spark):
     with pytest.raises(Exception, match="more than 20"):
         J.stream_batcher(J.open_stream(spark, path, "id long, s string, n long"), "id", "s", 16, table, checkpoint, "n", 20)
     assert entries(spark, f"{table}/rows") == [] and entries(spark, f"{table}/counts") == []
+
+
+def test_moments_go_on_after_a_stop(spark):
+    """A second run on the same checkpoint ends in what one pass over all rows gives; a micro-batch writes the keys it
+    touches alone."""
+    path = scratch_path(spark, "scores")
+    table, checkpoint = J.folders(spark, "moments")
+    rows = [(i % 3, float(i * i % 23)) for i in range(300)]
+    later = [(1, float(i % 7)) for i in range(50)] + [(9, 4.0)]
+
+    def run(new):
+        spark.createDataFrame(new, "run long, x double").coalesce(1).write.mode("append").json(path)
+        stream = J.open_stream(spark, path, "run long, x double")
+        return {r.run: r for r in J.stream_running_moments(stream, "run", "x", table, checkpoint).collect()}
+
+    assert {k: r.n for k, r in run(rows).items()} == {0: 100, 1: 100, 2: 100}
+    got = run(later)
+    for key in (0, 1, 2, 9):
+        xs = [x for k, x in rows + later if k == key]
+        mean = sum(xs) / len(xs)
+        assert got[key].n == len(xs) and got[key].mean == pytest.approx(mean)
+        assert got[key].m2 == pytest.approx(sum((x - mean) ** 2 for x in xs))
+    assert {r.run for r in spark.read.parquet(table).filter("v = 1").collect()} == {1, 9}
