@@ -302,6 +302,52 @@ def _tagged_arguments(block: Column, pattern: str, trim_raw: bool) -> Column:
     return F.concat(F.lit("{"), F.array_join(shown, ", "), F.lit("}"))
 
 
+# Parts of a keyword call: a text in quotes, the start of a call, a keyword, a word, a number, a sign.
+_PARTS = (r"""("(?:[^"\\\n]|\\[^\n])*+"|'(?:[^'\\\n]|\\[^\n])*+'|\b[A-Za-z_]\w*\s*\(|\b[A-Za-z_]\w*\s*=|\b(?:True|False|None|true|false|null)\b"""
+          r"""|-?(?:\b0|\b[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?\b|[\[\]{}:,)])""")
+_ESCAPES = {"\\n": "\n", "\\t": "\t", "\\r": "\r", "\\b": "\b", "\\f": "\f", "\\a": "\a", "\\v": "\v", "\\\\": "\\", "\\'": "'", '\\"': '"'}
+
+
+def _unescaped(body: Column) -> Column:
+    """The characters of a text between quotes; an escape without a meaning stays as it is written."""
+    def meant(piece):
+        code = F.regexp_replace(piece, r"^\\x", r"\\u00")
+        out = F.when(piece.rlike(r"^\\(x..|u....)$"), F.get_json_object(F.concat(F.lit('["'), code, F.lit('"]')), "$[0]"))
+        for written, char in _ESCAPES.items():
+            out = out.when(piece == written, F.lit(char))
+        return out.otherwise(piece)
+    pieces = _all(body, r"(?s)([^\\]+|\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\.)", 1)
+    return F.array_join(F.transform(pieces, meant), "")
+
+
+def _keyword_calls(code: Column) -> Column:
+    """Calls written as ``f(a="x", b=[1, 2])``, one or a list of them. Part for part they become JSON, in which a call is an
+    object that holds a list, so that brackets which do not match give no JSON. Numbers keep their spelling. Positional
+    arguments, repeated keywords, tuples, keys that are not texts, and texts with a prefix or three quotes give no call."""
+    def shown(part):
+        word = F.regexp_replace(part, r"\s*[(=]$", "")
+        return (F.when(part.rlike("^[\"']"), quoted(_unescaped(part.substr(F.lit(2), F.length(part) - 2))))
+                .when(part.endswith("("), F.concat(F.lit('{"name": "'), word, F.lit('", "arguments": [{')))
+                .when(part.endswith("="), F.concat(F.lit('"'), word, F.lit('": ')))
+                .when(part == ")", "}]}").when(part == "None", "null").when(part.isin("True", "False"), F.lower(part))
+                .otherwise(part))
+
+    def build(parts):
+        # A comma that ends a list is told from others by the part after it.
+        last = F.transform(parts, lambda p, i: (p == ",") & F.coalesce(F.get(parts, i + 1), F.lit("")).isin(")", "]", "}"))
+        kept = F.filter(parts, lambda p, i: ~F.get(last, i))
+        starts = F.size(F.filter(parts, lambda p: p.endswith("(") & ~p.rlike("^[\"']")))
+        text = F.array_join(F.transform(kept, shown), " ")
+        listed = F.get(parts, F.lit(0)) == "["
+        whole = F.regexp_replace(code, _PARTS, "").rlike(r"^\s*$") & is_json(text) & (listed | (starts == 1))
+
+        def call(c):
+            held = field(c, "arguments")
+            return _call(field(c, "name"), spaced(held.substr(F.lit(2), F.length(held) - 2)))
+        return F.when(whole, let(items(text), lambda found: F.when(F.size(found) == starts, _sound(F.transform(found, call)))))
+    return let(_all(code, _PARTS, 1), build)
+
+
 def extract_calls(text: Column, fmt: str = "default") -> Column:
     """Array of (name, arguments as JSON) or null when the text holds no well-formed call in this syntax."""
     if fmt == "default":
@@ -344,6 +390,9 @@ def extract_calls(text: Column, fmt: str = "default") -> Column:
         calls = F.transform(found, lambda m: _call(strip(m["n"]), _tagged_arguments(
             m["b"], r"(?s)<parameter=(.*?)>(.*?)</parameter>", fmt == "qwen3_5")))
         return (F.when(F.size(calls) > 0, calls) if fmt == "qwen3_5" else calls).cast(CALLS)
+    if fmt == "lfm2":
+        found = between(text, F.lit("<|tool_call_start|>"), F.lit("<|tool_call_end|>"))
+        return let(found["inner"], _keyword_calls).cast(CALLS)
     raise ValueError(f"no extractor for tool format {fmt}")
 
 
@@ -354,8 +403,7 @@ def calls_of(text: str, fmt: str | Column) -> Column:
             return extract_calls(t, fmt)
         calls = F.lit(None).cast(CALLS)
         for name in FORMATS:
-            if name != "lfm2":
-                calls = F.when(fmt == name, extract_calls(t, name)).otherwise(calls)
+            calls = F.when(fmt == name, extract_calls(t, name)).otherwise(calls)
         return calls
     return let(F.col(text), choose)
 

@@ -284,7 +284,7 @@ def tool_call_render(spark, folder):
     return call_texts(spark, folder)
 
 
-READABLE = [f for f in T.FORMATS if f not in ("lfm2", "glm4_moe")]
+READABLE = [f for f in T.FORMATS if f != "glm4_moe"]
 
 
 def damaged(spark, folder):
