@@ -43,9 +43,10 @@ def folder_number(folder: Column) -> Column:
 
 
 def studied_folders(folders: DataFrame, skip: int = 1, count: int = 10) -> DataFrame:
-    """Adapter folders by number; the first is skipped and ten are kept. One row per adapter."""
+    """Adapter folders by number; the first is skipped and ten are kept. Only the rows up to the last kept one are numbered."""
     named = folders.select("folder").distinct().filter(F.col("folder").startswith("noise_k"))
-    ranked = named.withColumn("place", F.row_number().over(Window.orderBy(folder_number(F.col("folder")))) - 1)
+    first = named.orderBy(folder_number(F.col("folder"))).limit(skip + count)
+    ranked = first.withColumn("place", F.row_number().over(Window.orderBy(folder_number(F.col("folder")))) - 1)
     return ranked.filter((F.col("place") >= skip) & (F.col("place") < skip + count))
 
 
