@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from prefmill.functions.numeric import r6
 from prefmill.operators import align as A, encode as E
 from prefmill.plans import encode_queries as EQ, fixtures as X
-from prefmill.plans.base import h, query
+from prefmill.plans.base import h, h60, query
 from prefmill.plans.loss_queries import r
 from prefmill.schemas import TRAINER_LOG
 from prefmill.session import scratch_path
@@ -13,6 +13,7 @@ from prefmill.sources.registry import DatasetSpec
 from prefmill.streaming import jobs as J
 
 PARTS = 4
+PLACES = 256  # places of the shuffle buffer
 
 
 def replay(df, key, name):
@@ -46,6 +47,15 @@ def stream_shuffle(spark, folder):
     return J.stream_shuffle(stream, "doc_id", *J.folders(spark, "shuffled"), seed=9).select("doc_id", "pos")
 
 
+@query("stream_shuffle_buffer", f"""WITH {_SLICE}, p AS (SELECT doc_id, lang, part, {h("'9:place:'||doc_id")} % {PLACES} AS place, {h60("'9:turn:'||doc_id")} AS turn FROM sl),
+o AS (SELECT doc_id, lang, turn, lead(part) OVER w AS v, lead(turn) OVER w AS by_turn FROM p WINDOW w AS (PARTITION BY place ORDER BY part, turn))
+SELECT doc_id, lang, row_number() OVER (ORDER BY v NULLS LAST, coalesce(by_turn, turn))-1 AS pos FROM o""")
+def stream_shuffle_buffer(spark, folder):
+    path = replay(X.table(spark, folder, "documents").select("doc_id", "lang"), "doc_id", "docs")
+    stream = J.open_stream(spark, path, "doc_id long, lang string")
+    return J.shuffle_buffer(stream, "doc_id", *J.folders(spark, "buffered"), buffer=PLACES, seed=9)
+
+
 @query("stream_take_skip", """WITH k AS (SELECT count(*)//3 AS k FROM documents)
 SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY doc_id) <= (SELECT k FROM k) THEN 'validation' ELSE 'train' END AS split FROM documents""")
 def stream_take_skip(spark, folder):

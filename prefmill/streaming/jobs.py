@@ -1,12 +1,13 @@
-"""Streaming jobs over file streams. Stateless chains are the batch expressions. Moments are a streaming aggregation in
-the engine's own state. Where the order of a run or shard counts, state is a small table in the shared folder, versioned by
-micro-batch, so a replayed micro-batch writes the same version again and a hot run is still spread out."""
+"""Streaming jobs over file streams. Stateless chains are the batch expressions. Moments and the log monitor are streaming
+aggregations and the shuffle buffer is keyed state, all in the engine's own store. The batcher and take-skip, where the order
+of a shard or stream counts, keep a small table in the shared folder, versioned by micro-batch, so a replayed micro-batch
+writes the same version again and a hot shard is still spread out."""
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from prefmill.functions.hashing import keyed
+from prefmill.functions.hashing import draw60, keyed
 from prefmill.operators.rowindex import ordered_index, shuffled_index
-from prefmill.session import entries, scratch_path
+from prefmill.session import entries, scratch_path, settled
 
 
 def open_stream(spark: SparkSession, path: str, schema, files: int = 1, kind: str = "json") -> DataFrame:
@@ -67,6 +68,45 @@ def stream_shuffle(stream: DataFrame, key: str, path: str, checkpoint: str, seed
     return out.all(stream.sparkSession)
 
 
+def shuffle_buffer(stream: DataFrame, key: str, path: str, checkpoint: str, buffer: int = 16384, seed=0) -> DataFrame:
+    """Rows of the whole stream in the order of a seeded shuffle buffer that lives across micro-batches: the row and pos.
+
+    The buffer has ``buffer`` places. A row's place follows from a hash of its key; the row it finds there leaves and it
+    stays until the next one comes. Rows of a micro-batch come in hashed order, so a row leaves after as many others as
+    chance has it, ``buffer`` on average, often some micro-batches later. Each place is a key of the engine's state, so
+    places are spread over all tasks and a micro-batch writes those it touches. Rows still held when the input ends are
+    read from the state and come last, in hashed order. A second run on the same folders goes on with the held rows.
+
+    Rows travel as JSON texts, so map keys must be texts. Rows with equal keys share a place, also null ones, and follow
+    each other by their texts. A stream without rows gives none.
+    """
+    spark, fields = stream.sparkSession, stream.schema
+    as_text = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+    coming = stream.select((keyed(seed, F.lit("place"), key) % buffer).alias("place"), draw60(seed, F.lit("turn"), key).alias("turn"),
+                           F.to_json(F.struct(*[F.col(f"`{c}`") for c in stream.columns]), as_text).alias("row"))
+
+    def swapped(_, frames, state):
+        import pandas as pd
+        rows = pd.concat(list(frames)).sort_values(["turn", "row"])
+        texts, turns = rows["row"].tolist(), rows["turn"].tolist()
+        if state.exists:
+            texts = [state.get[1], *texts]
+        else:
+            turns = turns[1:]
+        state.update((int(rows["turn"].iloc[-1]), texts[-1]))
+        yield pd.DataFrame({"turn": pd.Series(turns, dtype="int64"), "row": pd.Series(texts[:-1], dtype="object")})
+
+    left = coming.groupBy("place").applyInPandasWithState(swapped, "turn long, row string", "turn long, row string", "append", "NoTimeout")
+    out = Versions(path)
+    each_batch(left, out.write, checkpoint)
+    last = F.lit(None).cast("int")
+    held = spark.read.format("statestore").load(checkpoint).select(F.col("value.groupState.*"), last.alias("v"))
+    gone = out.all(spark).select("turn", "row", "v")
+    rows = gone.unionByName(held.select("turn", "row", "v")).withColumn("_rest", F.col("v").isNull())
+    placed = ordered_index(rows, ["_rest", "v", "turn", "row"], name="pos")
+    return placed.select(F.from_json("row", fields, as_text).alias("_r"), "pos").select("_r.*", "pos")
+
+
 def stream_take_skip(stream: DataFrame, key: str, take: int, path: str, checkpoint: str) -> DataFrame:
     """The first ``take`` rows of the stream (by key inside a micro-batch) are validation rows, the rest training rows."""
     if int(take) != take:
@@ -93,41 +133,45 @@ def hash_split(stream: DataFrame, key: str, share: float, seed=0) -> DataFrame:
     return stream.withColumn("split", F.when(keyed(seed, key) < share * (1 << 32), "validation").otherwise("train"))
 
 
-def stream_log_monitor(stream: DataFrame, path: str, checkpoint: str, decay: float = 0.9) -> DataFrame:
-    """Per run: the newest log row and a decayed loss, s = decay * s + (1 - decay) * loss, starting at the first loss.
-    The end value of a micro-batch is a weighted sum, so a run with most of the rows is summed in parallel and merged
-    with its one state row."""
-    out = Versions(path)
-    fields = ["current_steps", "total_steps", "lr", "total_tokens"]
+def _smoothed(parts: Column, decay: float) -> Column:
+    """Stretches of losses in order (at, n, x0, s, loss) as one: n losses of which x0 is the first and loss the last; a
+    value before them becomes decay ** n times itself plus s."""
+    none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("x0"), F.lit(0.0).alias("s"),
+                    F.lit(None).cast("double").alias("loss"))
+    return F.aggregate(F.array_sort(parts), none, lambda a, p: F.struct(
+        (a["n"] + p["n"]).alias("n"), F.coalesce(a["x0"], p["x0"]).alias("x0"),
+        (F.pow(F.lit(decay), p["n"]) * a["s"] + p["s"]).alias("s"), F.coalesce(p["loss"], a["loss"]).alias("loss")))
 
-    def one(df: DataFrame, batch: int) -> None:
-        spark = df.sparkSession
-        state = out.before(spark, batch)
-        rows = df.groupBy("run").agg(F.max_by(F.struct(*fields), "current_steps").alias("_last"))
-        losses = df.filter("loss IS NOT NULL").select("run", "current_steps", "loss")
-        numbered = ordered_index(losses.select("run", "current_steps"), ["current_steps"], group=["run"], name="_i", total="_n")
-        weight = F.pow(F.lit(decay), F.col("_n") - 1 - F.col("_i")) * (1 - decay)
-        ends = numbered.join(losses, ["run", "current_steps"]).groupBy("run").agg(
-            F.sum(weight * F.col("loss")).alias("_sum"), F.max("_n").alias("_n"), F.min_by("loss", "_i").alias("_x0"),
-            F.max_by("loss", "_i").alias("loss"))
-        if state is None:
-            start = F.col("_x0")
-        else:
-            ends = ends.join(state.select("run", F.col("smoothed").alias("_before")), "run", "left")
-            start = F.coalesce("_before", "_x0")
-        ends = ends.select("run", "loss", (F.pow(F.lit(decay), F.col("_n")) * start + F.col("_sum")).alias("smoothed"))
-        new = rows.join(ends, "run", "left").select("run", "_last.*", "loss", "smoothed")
-        if state is not None:
-            names = [*fields, "loss", "smoothed"]
-            old = state.select("run", *[F.col(c).alias(f"_{c}") for c in names])
-            both = old.join(new, "run", "full")
-            newer = F.coalesce(F.col("current_steps") >= F.col("_current_steps"), F.col("current_steps").isNotNull())
-            new = both.select("run", *[F.when(newer, F.col(c)).otherwise(F.col(f"_{c}")).alias(c) for c in fields],
-                              *[F.coalesce(c, f"_{c}").alias(c) for c in ("loss", "smoothed")])
-        out.write(new, batch)
 
-    each_batch(stream, one, checkpoint)
-    return out.latest(stream.sparkSession)
+def stream_log_monitor(stream: DataFrame, path: str, checkpoint: str, decay: float = 0.9, block: int = 1024) -> DataFrame:
+    """Per run: the newest log row and a decayed loss, s = decay * s + (1 - decay) * loss in the order of the steps,
+    starting at the first loss.
+
+    The state is a streaming aggregation over (run, block of steps): the engine keeps a block's losses, and a micro-batch
+    costs the blocks it touches, each written as one row of a version. A run with most of the rows is many blocks; they
+    are folded as stretches, ``block`` at a time, in as many levels as needed, so no group holds more than ``block``
+    stretches. A block holds ``block`` losses if steps differ; a step logged again and again adds to its block. Late
+    rows take their place by step. Rows with a null step have a block of their own, before the others.
+    """
+    fields = ["current_steps", "total_steps", "lr", "total_tokens"]
+    x = F.col("loss").cast("double")
+    one = F.struct(F.col("current_steps").alias("at"), F.lit(1).cast("long").alias("n"), x.alias("x0"), ((1 - decay) * x).alias("s"), x.alias("loss"))
+    last, spark, out = F.max_by("_row", "_row.current_steps").alias("_row"), stream.sparkSession, Versions(path)
+    blocks = (stream.select("run", F.floor(F.col("current_steps") / block).alias("at"), F.struct(*fields).alias("_row"),
+                            F.when(F.col("loss").isNotNull(), one).alias("_part"))
+              .groupBy("run", "at").agg(last, F.collect_list("_part").alias("_parts"))
+              .select("run", "at", "_row", _smoothed(F.col("_parts"), decay).alias("_part")))
+    each_batch(blocks, out.write, checkpoint, "update")
+    newest = settled(out.all(spark).groupBy("run", "at").agg(F.max_by(F.struct("_row", "_part"), "v").alias("_new")).select("run", "at", "_new.*"))
+    span = newest.agg(F.min("at").alias("a"), F.max("at").alias("b")).first()
+    low, high = (span["a"] or 0, span["b"] or 0)
+    part = F.struct("at", "_part.n", "_part.x0", "_part.s", "_part.loss")
+    while high - low >= block:
+        newest = (newest.groupBy("run", F.floor(F.col("at") / block).alias("_above")).agg(last, F.collect_list(part).alias("_parts"))
+                  .select("run", F.col("_above").alias("at"), "_row", _smoothed(F.col("_parts"), decay).alias("_part")))
+        low, high = low // block, high // block
+    runs = newest.groupBy("run").agg(last, F.collect_list(part).alias("_parts")).withColumn("_part", _smoothed(F.col("_parts"), decay))
+    return runs.select("run", "_row.*", "_part.loss", (F.pow(F.lit(decay), "_part.n") * F.col("_part.x0") + F.col("_part.s")).alias("smoothed"))
 
 
 def stream_running_moments(stream: DataFrame, key: str, value: str, path: str, checkpoint: str) -> DataFrame:
