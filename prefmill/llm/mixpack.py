@@ -6,11 +6,14 @@ tokens still missing come from the queues owed most. What is owed stays in the d
 start anywhere with the right deficits and none waits for another. When a queue runs dry, one window shares out what is
 missing and a new phase goes on with the queues left. There are at most two phases for each queue.
 
-The ``QUEUES - 1`` sources with most weight have a queue each. All others lie in one joint queue in rounds of as many
-tokens as a window owes them: a round holds what each source is owed by its own share so far, in whole tokens, less what
-earlier rounds held. A source owed less than one token a window sends ``RUN`` tokens whenever it is owed so many. Sources
-without a target, where targets are given, have a joint queue of the same kind. A null source is a source. Documents are
-cut freely; every token lies in exactly one piece. Only the last window may be short.
+Where targets are given, every source with one has a queue of its own, however many there are, so when one runs dry all
+others take over its share. The driver's plan has a row for each queue and phase: two times the square of the number of
+targets. Without targets shares are those of all tokens, so no source runs dry before the end; the ``QUEUES - 1`` sources
+with most tokens have a queue each, and all others, of which there may be as many as documents, lie in one joint queue in
+rounds of as many tokens as a window owes them: a round holds what each source is owed by its own share so far, in whole
+tokens, less what earlier rounds held. A source owed less than one token a window sends ``RUN`` tokens whenever it is owed
+so many. Sources without a target, where targets are given, have a joint queue of the same kind. A null source is a source.
+Documents are cut freely; every token lies in exactly one piece. Only the last window may be short.
 Null and empty texts have the end id alone. An empty table gives no pieces. The order inside a queue is that of the
 partitions in which the documents were tokenised; it is written once, so a lost executor changes nothing.
 """
@@ -28,6 +31,7 @@ from prefmill.session import settled
 QUEUES = 64
 CYCLE = 256
 RUN = 16  # tokens that a source owed less than one token a window sends at once
+KEPT = 8  # phases whose tables a task keeps
 END = 1
 
 
@@ -106,46 +110,58 @@ class Plan:
 
     def __init__(self, found: list[dict], size: int):
         self.found, self.size, self.tables = found, size, {}
+        self.used = np.stack([p["used"] for p in found], 1) if found else np.zeros((0, 0), np.int64)
 
     def _table(self, k: int):
         if k not in self.tables:
+            if len(self.tables) == KEPT:
+                self.tables.pop(next(iter(self.tables)))
             p = self.found[k]
             sent = cycle(p["quanta"], self.size) if p["quanta"] is not None else np.vstack([np.zeros_like(p["take"]), p["take"]])
             take = np.diff(sent, axis=0)
-            self.tables[k] = sent, np.cumsum(take, axis=1) - take, sent[-1]
+            self.tables[k] = sent, np.cumsum(take, axis=1) - take
         return self.tables[k]
 
-    def _ends(self, queue: int) -> list[tuple[int, int]]:
-        starts = [int(p["used"][queue]) for p in self.found]
-        return list(zip(starts, [*starts[1:], 1 << 62]))
-
-    def pieces(self, queue: int, start: np.ndarray, end: np.ndarray):
-        """row, start, length, window and offset of the pieces of the ranges [start, end) of one queue."""
-        out = []
-        for k, (a, b) in enumerate(self._ends(queue)):
-            rows = np.flatnonzero((start < b) & (end > a))
-            if a == b or not len(rows):
-                continue
-            sent, before, all_ = self._table(k)
-            own, each, span = sent[:, queue], int(all_[queue]), len(sent) - 1
-            lo, hi = np.maximum(start[rows], a) - a, np.minimum(end[rows], b) - a
-
-            def window(x):
-                return x // each * span + np.searchsorted(own[1:], x % each, side="right")
-
-            def sent_before(w):
-                return w // span * each + own[w % span]
-
-            w0, w1 = window(lo), window(hi - 1)
+    def _met(self, queue: np.ndarray, start: np.ndarray, end: np.ndarray):
+        """row, phase of the phases in which each range is sent; a phase that sends nothing of a queue meets none."""
+        first, last = np.empty(len(queue), np.int64), np.empty(len(queue), np.int64)
+        for q in np.unique(queue):
+            rows = np.flatnonzero(queue == q)
+            first[rows] = np.searchsorted(self.used[q], start[rows], side="right") - 1
+            last[rows] = np.searchsorted(self.used[q], end[rows] - 1, side="right") - 1
+        n = last - first + 1
+        row = np.repeat(np.arange(len(queue)), n)
+        return row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + first[row]
+
+    def pieces(self, queue: np.ndarray, start: np.ndarray, end: np.ndarray):
+        """row, start, length, window and offset of the pieces of the ranges [start, end), each of its queue."""
+        some = np.flatnonzero(end > start)
+        row, phase = self._met(queue[some], start[some], end[some])
+        row, out = some[row], [np.empty((5, 0), np.int64)]
+        order = np.argsort(phase, kind="stable")
+        bounds = np.flatnonzero(np.diff(phase[order], prepend=-1, append=-1))
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            k, rows = int(phase[order[a]]), row[order[a:b]]
+            sent, before = self._table(k)
+            span, q = len(sent) - 1, queue[rows]
+            each, begin = sent[-1][q], self.used[q, k]
+            close = self.used[q, k + 1] if k + 1 < len(self.found) else end[rows]
+            lo, hi = np.maximum(start[rows], begin) - begin, np.minimum(end[rows], close) - begin
+            rows, q, each, begin, lo, hi = (x[hi > lo] for x in (rows, q, each, begin, lo, hi))
+            w0, w1 = (x // each * span for x in (lo, hi - 1))
+            for one in np.unique(q):
+                at = np.flatnonzero(q == one)
+                w0[at] += np.searchsorted(sent[1:, one], lo[at] % each[at], side="right")
+                w1[at] += np.searchsorted(sent[1:, one], (hi[at] - 1) % each[at], side="right")
             n = w1 - w0 + 1
             at = np.repeat(np.arange(len(rows)), n)
-            w = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + w0[at]
-            base = sent_before(w)
-            s, e = np.maximum(lo[at], base), np.minimum(hi[at], sent_before(w + 1))
-            keep = e > s
-            offset = before[w % span, queue] + s - base
-            out.append(np.stack([rows[at], s + a, e - s, w + self.found[k]["first"], offset])[:, keep])
-        return np.concatenate(out, 1) if out else np.empty((5, 0), np.int64)
+            w = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n) + w0[at]
+            base = w // span * each[at] + sent[w % span, q[at]]
+            after = (w + 1) // span * each[at] + sent[(w + 1) % span, q[at]]
+            s, e = np.maximum(lo[at], base), np.minimum(hi[at], after)
+            offset = before[w % span, q[at]] + s - base
+            out.append(np.stack([rows[at], s + begin[at], e - s, w + self.found[k]["first"], offset])[:, e > s])
+        return np.concatenate(out, 1)
 
 
 def tokenised(docs: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
@@ -243,11 +259,13 @@ def packed(docs: DataFrame, path: str, size: int = 2048, targets: dict[str, floa
     else:
         sources = sources.withColumn("weight", F.col("total").cast("double"))
     sources = settled(sources)
-    top = sources.orderBy(F.desc("weight"), F.desc("total"), "queue_key").limit(QUEUES - 1).collect()
+    # Targets are a table of the caller's, so each has a queue; sources without targets have as many as QUEUES allows.
+    own = sources.filter("weight > 0") if targets else sources
+    top = own.orderBy(F.desc("weight"), F.desc("total"), "queue_key").limit(len(targets) if targets else QUEUES - 1).collect()
     names = [r["queue_key"] for r in top]
-    number = F.coalesce(*[F.when(F.col("queue_key") == n, F.lit(i)) for i, n in enumerate(names)],
-                        F.lit(len(names)) + (F.col("weight") <= 0).cast("int"))
-    sources = sources.withColumn("queue", number)
+    listed = docs.sparkSession.createDataFrame(list(zip(names, range(len(names)))), "queue_key string, queue int")
+    sources = sources.join(F.broadcast(listed), "queue_key", "left").withColumn(
+        "queue", F.coalesce("queue", F.lit(len(names)) + (F.col("weight") <= 0).cast("int")))
     joint = {r["queue"] - len(names): r for r in sources.filter(F.col("queue") >= len(names)).groupBy("queue")
              .agg(F.sum("total").alias("total"), F.sum("weight").alias("weight")).collect()}
     totals = [r["total"] for r in top] + [joint[k]["total"] if k in joint else 0 for k in (0, 1)]
@@ -268,13 +286,7 @@ def packed(docs: DataFrame, path: str, size: int = 2048, targets: dict[str, floa
 
     def step(batch):
         starts, lengths, queues = (batch.column(c).to_numpy() for c in ("start", "n", "queue"))
-        found = []
-        for q in np.unique(queues):
-            rows = np.flatnonzero(queues == q)
-            part = plan.pieces(int(q), starts[rows], starts[rows] + lengths[rows])
-            part[0] = rows[part[0]]
-            found.append(part)
-        row, start, length, window, offset = np.concatenate(found, 1) if found else np.empty((5, 0), np.int64)
+        row, start, length, window, offset = plan.pieces(queues, starts, starts + lengths)
         order = np.argsort(row, kind="stable")
         row, start, length, window, offset = (x[order] for x in (row, start, length, window, offset))
         start = start - starts[row]

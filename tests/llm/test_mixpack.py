@@ -19,7 +19,7 @@ def test_windows_are_full_and_hold_their_shares(seed):
     windows = {}
     for q in range(queues):
         cuts = np.unique(np.concatenate([[0, totals[q]], rng.integers(0, totals[q] + 1, 6)]))
-        row, start, length, window, offset = plan.pieces(q, cuts[:-1], cuts[1:])
+        row, start, length, window, offset = plan.pieces(np.full(len(cuts) - 1, q), cuts[:-1], cuts[1:])
         assert length.sum() == totals[q]
         for w, o, n in zip(window, offset, length):
             windows.setdefault(int(w), []).append((int(o), int(n)))
@@ -32,6 +32,28 @@ def test_windows_are_full_and_hold_their_shares(seed):
     assert len(windows) == -(-sum(totals) // size)
 
 
+def test_a_thousand_queues_share_every_window_and_what_dry_ones_leave():
+    """Every window is within a token or two of each queue's share among the queues that are not dry."""
+    rng = np.random.default_rng(5)
+    queues, size = 1000, 2048
+    totals, weights = rng.integers(1, 4000, queues), rng.random(queues) + 0.05
+    plan = mixpack.Plan(mixpack.phases(totals.tolist(), weights.tolist(), size), size)
+    row, start, length, window, offset = plan.pieces(np.arange(queues), np.zeros(queues, np.int64), totals)
+    sent = np.zeros((int(window.max()) + 1, queues), np.int64)
+    np.add.at(sent, (window, row), length)
+    assert (sent.sum(0) == totals).all() and (sent[:-1].sum(1) == size).all()
+    for w in np.unique(window):
+        at = np.flatnonzero(window == w)
+        at = at[np.argsort(offset[at])]
+        assert (offset[at] == np.concatenate([[0], np.cumsum(length[at])[:-1]])).all()
+    gone = np.cumsum(sent, 0)
+    for w in range(len(sent) - 1):
+        left = totals - (gone[w - 1] if w else 0)
+        if (np.flatnonzero(left > 0).size > 1) and not ((gone[w] == totals) & (left > 0)).any():
+            share = np.where(left > 0, weights, 0) / weights[left > 0].sum() * size
+            assert np.abs(sent[w] - share).max() <= 2
+
+
 def test_deficits_return_to_zero_and_stay_small():
     quanta = mixpack.shares(np.array([5.0, 3.0, 0.01, 1.0]), np.ones(4, bool), 64 * mixpack.CYCLE)
     sent = mixpack.cycle(quanta, 64)
