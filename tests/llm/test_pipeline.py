@@ -71,5 +71,5 @@ def test_given_table_keeps_clean_documents(spark, folder):
 def test_every_operator_is_registered():
     assert sorted(q for q in queries.QUERIES if q.startswith("op")) == sorted(
         ["op1_pii", "op2_spotsigs", "op3_decontaminate", "op4_mixpack", "op5_quality", "op6_superminhash", "op7_secrets", "op8_langid",
-         "op9_mainhtml", "op10_toxicity"])
+         "op9_mainhtml", "op10_toxicity", "op11_wordruns", "op12_spelling", "op13_chatform"])
     assert "pipeline" in queries.QUERIES
