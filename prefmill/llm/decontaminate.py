@@ -5,8 +5,8 @@
    expected to hold it, from its count in all documents; so many copies of one text do not make its words common.
 2. Passages are ``PASSAGE`` words every ``STRIDE`` words; an item up to that long is one passage. A randomised SVD of the
    TF-IDF passages (range finder, power step, Rayleigh-Ritz) gives a latent space, whitened by the singular values. Its
-   sums run as Spark tasks over all benchmark passages and those of a sample of about ``FIT`` documents chosen by hash of
-   the id.
+   sums run as Spark tasks over all passages of the benchmark and of every document: one pass adds up the products of all
+   pairs of terms; of more than ``GRAM_TERMS`` terms, each of the three steps is a pass that adds up its own product.
 3. Every passage of every document is projected and compared with the item passages; those with a cosine of at least
    ``COSINE`` are candidates.
 4. A candidate is checked around its place: enough of the item's weight must be there, then the longest common
@@ -30,7 +30,6 @@ from prefmill.session import settled
 
 PASSAGE, STRIDE = 32, 16
 RANK, OVERSAMPLE = 256, 32
-FIT = 4_000
 ITEMS = 2_000
 COSINE = 0.45
 #: A word expected in more than this share of passages has no weight, unless an item would keep less than half its words.
@@ -38,8 +37,10 @@ COMMON = 0.2
 COVER = 0.6
 SHARE, LOOSE = 0.8, 0.65
 ANSWER = 0.8
-#: Tasks that add up products of the sample, and vocabulary rows that one of them hands on at once.
-FIT_TASKS, TERM_BLOCK = 16, 4096
+#: Words taken at once, blocks of STRIDE words in one part of a long text, and rows or pairs of terms handed on at once.
+WORDS, PART, TERM_BLOCK, PAIR_BLOCK = 1 << 15, 1 << 10, 4096, 1 << 18
+#: Up to so many terms a task holds the sums of all their pairs (144 MB).
+GRAM_TERMS = 6_000
 
 _PUNCTUATION = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
 _TO_BLANK = bytes.maketrans(_PUNCTUATION, b" " * len(_PUNCTUATION))
@@ -187,56 +188,127 @@ def word_counts(texts: DataFrame, terms: int) -> tuple[np.ndarray, int, int]:
     return out, int(out.sum()), documents
 
 
-def passage_matrix(ids: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The weighty terms of one text and its unit TF-IDF passages over them."""
-    at = np.flatnonzero(idf[ids])
-    terms, column = np.unique(ids[at], return_inverse=True)
-    blocks, block = -(-len(ids) // STRIDE), at // STRIDE
-    counts = np.bincount(block * len(terms) + column, minlength=blocks * len(terms)).reshape(blocks, -1)
-    return terms, unit(passages(counts.astype(np.float32)) * idf[terms])
+def _parts(ids: list[np.ndarray], weights: list[float]):
+    """Lists of about WORDS words: the texts with their weights, long ones in parts whose passages are those of the text."""
+    group, size = [], 0
+    for text, weight in zip(ids, weights):
+        for p in range(0, max(1, -(-len(text) // STRIDE) - 1), PART):
+            group.append((text[p * STRIDE:(p + PART + 1) * STRIDE], weight))
+            if (size := size + len(group[-1][0])) >= WORDS:
+                yield group
+                group, size = [], 0
+    if group:
+        yield group
+
+
+def passage_entries(ids: list[np.ndarray], weights: list[float], idf: np.ndarray):
+    """passage, term, value of the unit TF-IDF passages of the texts, by passage and term, for some texts at once. Values
+    are times the root of the text's weight."""
+    for group in _parts(ids, weights):
+        sizes, words_here = np.array([len(t) for t, _ in group]), np.concatenate([t for t, _ in group]).astype(np.int64)
+        at = np.flatnonzero(idf[words_here])
+        text, term = np.repeat(np.arange(len(group)), sizes)[at], words_here[at]
+        blocks = -(-sizes // STRIDE)
+        base = np.cumsum(blocks) - blocks
+        block = (at - (np.cumsum(sizes) - sizes)[text]) // STRIDE
+        # A block is in the passage that it begins and in the one before; the last begins none, unless it is alone.
+        begins = (block < blocks[text] - 1) | (blocks[text] == 1)
+        key = (base[text] + block) * len(idf) + term
+        key, count = np.unique(np.concatenate([key[begins], key[block > 0] - len(idf)]), return_counts=True)
+        passage, term = np.divmod(key, len(idf))
+        value = count * idf[term].astype(np.float64)
+        norm = np.sqrt(np.bincount(passage, value * value, int(blocks.sum())))
+        root = np.repeat(np.sqrt([w for _, w in group]), blocks)
+        if len(key):
+            yield passage, term, value * (root[passage] / norm[passage])
+
+
+def _summed(rows: DataFrame, total, add_batch, block: int):
+    """block, sum: ``total()`` filled by ``add_batch(total, ids, weights)`` in each task, then added up by blocks of its rows."""
+    def run(batches):
+        out = total()
+        for batch in batches:
+            ids = [np.frombuffer(i.as_buffer(), np.int32) for i in batch.column("ids")]
+            add_batch(out, ids, batch.column("weight").to_pylist())
+        for b in range(0, len(out), block):
+            yield pa.RecordBatch.from_pydict({"block": [b], "part": [out[b:b + block].astype(np.float32).tobytes()]})
+
+    def add(table: pa.Table) -> pa.Table:
+        out = 0.0
+        for p in table.column("part"):
+            out = out + np.frombuffer(p.as_buffer(), np.float32).astype(np.float64)
+        return pa.table({"block": table.column("block").slice(0, 1), "part": [out.astype(np.float32).tobytes()]})
+
+    found = rows.mapInArrow(run, "block long, part binary").groupBy("block").applyInArrow(add, "block long, part binary")
+    return [(r["block"], np.frombuffer(r["part"], np.float32)) for r in found.collect()]
 
 
-def gram_product(sample: DataFrame, idf: np.ndarray, right: np.ndarray) -> np.ndarray:
+def gram_product(rows: DataFrame, idf: np.ndarray, right: np.ndarray) -> np.ndarray:
     """The sum over all passages a of a (a' right), added up in tasks and then by blocks of terms."""
     terms, width = right.shape
-    shared = sample.sparkSession.sparkContext.broadcast((idf, right.astype(np.float32)))
+    shared = rows.sparkSession.sparkContext.broadcast((idf, right.astype(np.float32)))
 
-    def run(batches):
+    def add_batch(total, ids, weights):
         idf, right = shared.value
-        total = np.zeros((terms, width), np.float32)
-        for batch in batches:
-            for ids, weight in zip(batch.column("ids"), batch.column("weight").to_pylist()):
-                ids = np.frombuffer(ids.as_buffer(), np.int32)
-                for first in range(0, len(ids), 4096):  # a long text in parts, so that a matrix stays small
-                    terms_here, rows = passage_matrix(ids[first:first + 4096], idf)
-                    total[terms_here] += weight * (rows.T @ (rows @ right[terms_here]))
-        for b in range(0, terms, TERM_BLOCK):
-            yield pa.RecordBatch.from_pydict({"block": [b], "part": [total[b:b + TERM_BLOCK].tobytes()]})
-
-    def add(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(p.as_buffer(), np.float32).astype(np.float64) for p in table.column("part")]
-        return pa.table({"block": table.column("block").slice(0, 1), "part": [sum(parts).tobytes()]})
+        for passage, term, value in passage_entries(ids, weights, idf):
+            value = value.astype(np.float32)[:, None]
+            first = np.flatnonzero(np.diff(passage, prepend=-1))
+            sums = np.add.reduceat(value * right[term], first)  # a' right
+            by_term = np.argsort(term, kind="stable")
+            row = np.repeat(np.arange(len(first)), np.diff(first, append=len(passage)))[by_term]
+            first = np.flatnonzero(np.diff(term[by_term], prepend=-1))
+            total[term[by_term][first]] += np.add.reduceat(value[by_term] * sums[row], first)
 
     out = np.zeros((terms, width))
-    for r in sample.mapInArrow(run, "block long, part binary").groupBy("block").applyInArrow(add, "block long, part binary").collect():
-        rows = np.frombuffer(r["part"]).reshape(-1, width)
-        out[r["block"]:r["block"] + len(rows)] = rows
+    for b, part in _summed(rows, lambda: np.zeros((terms, width)), add_batch, TERM_BLOCK):
+        out[b:b + TERM_BLOCK] = part.reshape(-1, width)
+    return out
+
+
+def gram_matrix(rows: DataFrame, idf: np.ndarray) -> np.ndarray:
+    """The sum over all passages a of a a', of which tasks add up the lower triangle."""
+    terms = len(idf)
+    shared = rows.sparkSession.sparkContext.broadcast(idf)
+
+    def add_batch(total, ids, weights):
+        for passage, term, value in passage_entries(ids, weights, shared.value):
+            at, apart = np.arange(len(term)), 0
+            while len(at):  # entries and those so many places after them in the same passage
+                later = at + apart
+                np.add.at(total, term[later] * (term[later] + 1) // 2 + term[at], value[later] * value[at])
+                apart += 1
+                at = at[:np.searchsorted(at, len(term) - apart)]
+                at = at[passage[at] == passage[at + apart]]
+
+    flat = np.zeros(terms * (terms + 1) // 2, np.float32)
+    for b, part in _summed(rows, lambda: np.zeros(len(flat)), add_batch, PAIR_BLOCK):
+        flat[b:b + PAIR_BLOCK] = part
+    out = np.zeros((terms, terms))
+    low = np.tri(terms, dtype=bool)
+    out[low] = flat
+    out.T[low] = flat
     return out
 
 
 def latent_basis(texts: DataFrame, index: Index, documents: int) -> np.ndarray:
     """Leading right singular vectors of the TF-IDF passages over their singular values, a row per term."""
-    spark, share = texts.sparkSession, min(1.0, FIT / max(1, documents))
-    sample = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    # Item passages weigh as much as all sampled passages together, so that the space spans them.
-    items = [(np.array(index.items[i][a:b], np.int32).tobytes(), float(max(1, documents * share / len(index.spans)))) for i, a, b in index.spans]
-    rows = sample.select("ids", F.lit(1.0).alias("weight")).unionByName(spark.createDataFrame(items, "ids binary, weight double"))
-    rows = settled(rows.repartition(FIT_TASKS))
+    spark = texts.sparkSession
+    # Item passages weigh as much as all documents' passages together, so that the space spans them.
+    items = [(np.array(index.items[i][a:b], np.int32).tobytes(), max(1.0, documents / len(index.spans))) for i, a, b in index.spans]
+    rows = texts.select("ids", F.lit(1.0).alias("weight")).unionByName(spark.createDataFrame(items, "ids binary, weight double"))
+    # A task hands on sums of a fixed size however much it reads, so there is one for each core.
+    rows = rows.coalesce(spark.sparkContext.defaultParallelism)
+    if len(index.idf) <= GRAM_TERMS:
+        gram = gram_matrix(rows, index.idf)
+        product_with = gram.__matmul__
+    else:
+        def product_with(right):
+            return gram_product(rows, index.idf, right)
     width = min(RANK + OVERSAMPLE, len(index.idf))
     start = np.random.default_rng(5).standard_normal((len(index.idf), width))
-    q, _ = np.linalg.qr(gram_product(rows, index.idf, start))
-    q, _ = np.linalg.qr(gram_product(rows, index.idf, q))
-    product = gram_product(rows, index.idf, q)
+    q, _ = np.linalg.qr(product_with(start))
+    q, _ = np.linalg.qr(product_with(q))
+    product = product_with(q)
     small = q.T @ product
     value, turn = np.linalg.eigh((small + small.T) / 2)
     top = np.argsort(-value)[:RANK]

@@ -85,3 +85,47 @@ def test_gram_product_equals_dense_algebra(spark):
                     p = p / np.linalg.norm(p)
                     dense += 2 * np.outer(p, p)
     assert np.allclose(decontaminate.gram_product(rows, idf, right), dense @ right, atol=1e-4)
+
+
+def dense_gram(texts, idf):
+    out = np.zeros((len(idf), len(idf)))
+    for t in texts:
+        blocks = [np.bincount(t[i:i + 16], minlength=len(idf)) * idf for i in range(0, len(t), 16)]
+        for p in ([a + b for a, b in zip(blocks, blocks[1:])] if len(blocks) > 1 else blocks):
+            if np.linalg.norm(p):
+                out += np.outer(p, p) / (p @ p)
+    return out
+
+
+def test_gram_matrix_equals_dense_algebra(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    idf = np.append(0, rng.random(20)).astype(np.float32)
+    texts = [rng.integers(0, 21, n).astype(np.int32) for n in (0, 5, 16, 17, 40, 100, 333)]
+    rows = spark.createDataFrame([(bytes(t.tobytes()), 2.0) for t in texts], "ids binary, weight double")
+    dense = 2 * dense_gram(texts, idf)
+    assert np.allclose(decontaminate.gram_matrix(rows, idf), dense, atol=1e-4)
+    right = rng.standard_normal((21, 4))
+    for part in (1, 3):  # parts of long texts have the same passages
+        monkeypatch.setattr(decontaminate, "PART", part)
+        entries = [*decontaminate.passage_entries(texts, [2.0] * len(texts), idf)]
+        found = np.zeros((21, 21))
+        for passage, term, value in entries:
+            rows_here = np.zeros((passage.max() + 1, 21))
+            rows_here[passage, term] = value
+            found += rows_here.T @ rows_here
+        assert np.allclose(found, dense, atol=1e-4)
+    assert np.allclose(decontaminate.gram_product(rows, idf, right), dense @ right, atol=1e-3)
+
+
+def test_the_basis_is_that_of_all_documents(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    index = decontaminate.Index([(1, "a b c d e f g h"), (2, "i j k l m n o p q r")])
+    texts = [rng.integers(0, len(index.idf), rng.integers(1, 40)).astype(np.int32) for _ in range(9000)]
+    index.idf[1:] = 1 + rng.random(len(index.idf) - 1)
+    docs = spark.createDataFrame([(i, bytes(t.tobytes())) for i, t in enumerate(texts)], "doc_id long, ids binary").repartition(5)
+    own = [np.array(index.items[i][a:b]) for i, a, b in index.spans]
+    gram = dense_gram(texts, index.idf) + len(texts) / len(own) * dense_gram(own, index.idf)
+    for limit in (6000, 3):
+        monkeypatch.setattr(decontaminate, "GRAM_TERMS", limit, raising=False)
+        basis = decontaminate.latent_basis(docs, index, len(texts))
+        assert np.allclose(basis.T @ gram @ basis, np.eye(basis.shape[1]), atol=1e-4)
