@@ -19,46 +19,24 @@ def tokens(text: Column) -> Column:
 ORDERS = (1, 2, 3, 4)
 
 
-def _grams(signs: Column, tag: str) -> Column:
-    """Every place's four signs (fewer at the end) and a tag."""
-    def cell(c, i):
-        return F.concat(c, *[F.coalesce(F.get(signs, i + k), F.lit("")) for k in ORDERS[:-1]], F.lit(tag))
-    return F.transform(signs, cell)
+def _uses(text: Column, n: int) -> Column:
+    """A text for each distinct gram of n signs: the gram, as many times as it is used."""
+    grams = F.sort_array(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1)))
+    return F.regexp_extract_all(F.array_join(grams, ""), F.lit(f"(?s)(.{{{n}}})\\1*+"), F.lit(0))
 
 
 def matches(predict: Column, label: Column) -> Column:
     """Clipped character n-gram counts of the prediction for n = 1..4: how many uses of a gram find a use in the label.
 
-    The grams of both texts are sorted together. Grams that begin alike are then neighbours for every n at once: each is
-    told by how many signs it shares with the one before, and one pass over these numbers, which carries the uses of the
-    current beginnings on both sides, is enough.
+    The uses of each gram, written out one after another, are sorted together for both texts. Grams have one length, so only
+    the uses of the same gram in the other text begin with all of a text's uses: they follow it, and it is the shorter one.
     """
-    def cells(ordered):
-        def cell(x, i):
-            before = F.get(ordered, i - 1)
-            shared = sum((F.coalesce(x.substr(1, n) == before.substr(1, n), F.lit(False)).cast("int") for n in ORDERS), F.lit(0))
-            # Not more than the gram before has: its tag may look like a sign of this one.
-            shared = F.least(shared, F.char_length(before) - 1)
-            return F.struct(F.coalesce(shared, F.lit(0)).alias("shared"), (F.char_length(x) - 1).alias("size"), x.endswith("0").cast("int").alias("mine"))
-        return F.transform(ordered, cell)
-
-    names = [f"{c}{n}" for n in ORDERS for c in "abh"]
-
-    def step(held, x):
-        out = []
-        for n in ORDERS:
-            whole, same, mine = x["size"] >= n, x["shared"] >= n, x["mine"]
-            a, b, h = (held[f"{c}{n}"] for c in "abh")
-            out += [F.when(~whole, a).when(same, a + mine).otherwise(mine), F.when(~whole, b).when(same, b + 1 - mine).otherwise(1 - mine),
-                    F.when(whole & ~same, h + F.least(a, b)).otherwise(h)]
-        return F.struct(*[c.alias(name) for c, name in zip(out, names)])
-
-    def signs(text):
-        return F.filter(F.split(text, ""), lambda c: c != "")
-    both = let(F.struct(signs(predict).alias("x"), signs(label).alias("y")), lambda z: let(
-        F.sort_array(F.concat(_grams(z["x"], "0"), _grams(z["y"], "1"))), cells))
-    return F.aggregate(both, F.struct(*[F.lit(0).alias(name) for name in names]), step,
-                       lambda held: F.array(*[held[f"h{n}"] + F.least(held[f"a{n}"], held[f"b{n}"]) for n in ORDERS]))
+    def clipped(n):
+        def shared(uses):
+            return F.filter(uses, lambda x, i: F.get(uses, i + 1).startswith(x))
+        both = let(F.sort_array(F.concat(_uses(predict, n), _uses(label, n))), shared)
+        return (F.char_length(F.array_join(both, "")) / n).cast("int")
+    return F.array(*[clipped(n) for n in ORDERS])
 
 
 def bleu4(predict: Column, label: Column) -> Column:

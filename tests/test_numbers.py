@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -114,6 +115,24 @@ def test_text_scores(spark):
     assert got[4].b == pytest.approx(100 * (0.5 * 0.25) ** 0.25, abs=1e-3)
 
 
+def test_clipped_gram_counts(spark):
+    rng, rows = random.Random(1), []
+    for i in range(300):
+        signs = "ab 0\U0001F600é1\n"[:rng.randrange(1, 9)]
+        rows.append((i, *["".join(rng.choice(signs) for _ in range(rng.randrange(0, 30))) for _ in range(2)]))
+    rows.append((300, "a" * 50_000, "a" * 20_000 + "b"))
+    found = spark.createDataFrame([*rows, (301, None, "a"), (302, "a", None)], "id int, p string, l string").select("id", N.matches(F.col("p"), F.col("l")).alias("m"))
+    got = {r.id: r.m for r in found.collect()}
+    for i, p, label in rows:
+        grams = [[Counter(x[j:j + n] for j in range(len(x) - n + 1)) for x in (p, label)] for n in (1, 2, 3, 4)]
+        assert got[i] == [sum((a & b).values()) for a, b in grams]
+
+
+def test_grams_are_not_folded_one_by_one(spark):
+    df = spark.createDataFrame([("a", "b")], "p string, l string").select(N.bleu4(F.col("p"), F.col("l")).alias("b"))
+    assert "aggregate(" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.fixture(scope="module")
 def vectors(spark):
     rng = np.random.default_rng(7)
