@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from prefmill.operators import align as A
 from prefmill.plans import fixtures as X
 from prefmill.plans.base import h, query
+from prefmill.session import settled
 from prefmill.sources.registry import DatasetSpec
 
 
@@ -179,10 +180,14 @@ def validate_roles(spark, folder):
   SELECT conv_id, ordered AND n%2=0 AS ok FROM valid)
 SELECT conv_id AS id, 'sft' AS stage, ok AS kept FROM k UNION ALL SELECT conv_id, 'ppo', ok FROM k UNION ALL SELECT conv_id, 'rm', false FROM k""")
 def drop_invalid(spark, folder):
-    """Kept and rejected rows of each stage, through the operator."""
+    """Kept and rejected rows of each stage, through the operator. Conversations are grouped and aligned once; of their
+    messages only the roles are written, which all six results read."""
+    hub = X.hub(spark, folder)
+    roles = [F.transform(c, lambda m: m["role"]).alias(c) for c in ("_prompt", "_response")]
+    aligned = settled(hub.select("conv_id", *roles))
     out = []
     for stage in ("sft", "ppo", "rm"):
-        for kept, rows in zip((True, False), A.drop_invalid(X.hub(spark, folder), stage)):
+        for kept, rows in zip((True, False), A.drop_invalid(aligned, stage)):
             out.append(rows.select(F.col("conv_id").alias("id"), F.lit(stage).alias("stage"), F.lit(kept).alias("kept")))
     first, *more = out
     for rows in more:

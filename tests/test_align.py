@@ -83,3 +83,9 @@ def test_registry_blocks():
 def test_aligner_names_are_unique():
     with pytest.raises(ValueError):
         A.register_aligner("alpaca")(lambda df, spec, keep: df)
+
+
+def test_stages_share_one_alignment(spark, folder):
+    from prefmill.plans import catalog
+    plan = catalog.QUERIES["drop_invalid"](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "content" not in plan
