@@ -13,6 +13,7 @@ SHIFT = 8  # ids below are kept for specials
 WORDS = r"[\p{L}\p{N}]+|[^\p{L}\p{N} \t\n\r\f]"
 HOT = 1 << 20  # at most this many of the most frequent tokens are broadcast,
 HOT_CHARS = 64  # and of a larger vocabulary only tokens up to this length, which bounds the bytes
+PART_BYTES = 1 << 24  # of text whose tokens one task regroups; its memory holds them, however large the table is
 
 
 def char_ids(text: Column) -> Column:
@@ -82,10 +83,13 @@ def vocab_build(df: DataFrame, text: str = "text") -> DataFrame:
 def encode_tokens(df: DataFrame, vocab: DataFrame, key: str, text: str = "text") -> DataFrame:
     """key, input_ids in text order; a text without tokens gives an empty list.
 
-    Texts are placed by key before they are exploded, so regrouping needs no second shuffle. Frequent short tokens are
-    joined by broadcast; the rest, none of which can be hot, by shuffle.
+    Texts are placed by key before they are exploded, so regrouping needs no second shuffle; there are more places for more
+    text, so that regrouping spills nothing. Frequent short tokens are joined by broadcast; the rest, none of which can be
+    hot, by shuffle.
     """
-    spread = df.select(key, text).repartition(width(df.sparkSession), key).select(key, F.posexplode_outer(words(F.col(text))).alias("pos", "token"))
+    total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    places = max(width(df.sparkSession), -(-total // PART_BYTES))
+    spread = df.select(key, text).repartition(places, key).select(key, F.posexplode_outer(words(F.col(text))).alias("pos", "token"))
     ids = vocab.select("token", F.col("id").alias("_id"))
     size = ids.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.length("token")), F.lit(0)).alias("longest")).first()
     if size["n"] <= HOT and size["longest"] <= HOT_CHARS:
@@ -96,6 +100,7 @@ def encode_tokens(df: DataFrame, vocab: DataFrame, key: str, text: str = "text")
         known = marked.filter(F.col("_id").isNotNull())
         rest = marked.filter(F.col("_id").isNull()).drop("_id").join(ids.filter(~hot), "token", "left")
         coded = known.unionByName(rest)
-    cell = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("_id", F.lit(UNK)).alias("id")))
-    packed = coded.groupBy(key).agg(F.array_sort(F.collect_list(cell)).alias("_t"))
-    return packed.select(key, F.transform("_t", lambda t: t["id"].cast("int")).alias("input_ids"))
+    # Place and id in one number: small, and sorted as such.
+    cell = F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.coalesce("_id", F.lit(UNK)).cast("long"))
+    packed = coded.groupBy(key).agg(F.sort_array(F.collect_list(cell)).alias("_t"))
+    return packed.select(key, F.transform("_t", lambda t: t.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")).alias("input_ids"))

@@ -1,3 +1,4 @@
+import re
 import random
 
 import pytest
@@ -182,3 +183,13 @@ def test_a_tokenizer_file_encodes_chats(spark):
     cut = text.labels.index(next(x for x in text.labels if x != -100))
     want = [i for part in (plain(text.input_ids[:cut]), plain(text.input_ids[cut:])) for i in encoder.encode(part, add_special_tokens=False).ids]
     assert row.input_ids == want and row.labels.count(-100) == len(encoder.encode(plain(text.input_ids[:cut]), add_special_tokens=False).ids)
+
+
+def test_more_text_is_regrouped_in_more_places(spark, monkeypatch):
+    monkeypatch.setattr(TK, "PART_BYTES", 1000, raising=False)
+    df = spark.createDataFrame([(i, f"w{i % 7} " * (i % 60)) for i in range(200)] + [(None, "w1 w2"), (3, "w5"), (500, None)], "id long, text string")
+    out = TK.encode_tokens(df, TK.vocab_build(df), "id")
+    places = int(re.search(r"hashpartitioning\(id#\d+L, (\d+)\)", out._jdf.queryExecution().executedPlan().toString())[1])
+    assert places > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    got = {r.id: r.input_ids for r in out.collect()}
+    assert len(got[59]) == 59 and got[0] == [] and got[500] == [] and len(got[3]) == 4 and len(got[None]) == 2
