@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from prefmill.llm.base import map_steps
-from prefmill.session import settled
+from prefmill.session import gathered, settled
 
 PASSAGE, STRIDE = 32, 16
 RANK, OVERSAMPLE = 256, 32
@@ -354,5 +354,5 @@ def _slice_leaks(docs: DataFrame, index: Index, schema: str) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` in which no item was found, all columns."""
-    bad = settled(leaks(docs, benchmark).select("doc_id").distinct())
+    bad = settled(gathered(leaks(docs, benchmark).select("doc_id").distinct()))
     return docs.alias("d").join(bad.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_anti")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from prefmill.session import settled
+from prefmill.session import gathered, settled
 
 #: Rounds double the distance a label travels, so this is far beyond what any graph needs.
 MOST_ROUNDS = 60
@@ -27,7 +27,7 @@ def met_by_key(rows: DataFrame, side: DataFrame, key: str, uses: str = "_uses")
 
 def beside(rows: DataFrame, key: str, *aggregates: Column) -> DataFrame:
     """``rows`` with aggregates over the rows of their key, without a task for the whole group."""
-    return met_by_key(rows, settled(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_uses"), *aggregates)), key)
+    return met_by_key(rows, settled(gathered(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_uses"), *aggregates))), key)
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -42,20 +42,25 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return low.select(F.when(F.col("b") != F.col("m"), F.col("b")).otherwise(F.col("a")).alias("a"), F.col("m").alias("b")).distinct()
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node is the upper end of one edge at most, and then not the lower end of any (``a > b``): each lower end
+    is the smallest of its component, and no round would change anything."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("upper"), F.lit(0).alias("lower")),
+                                          F.struct(F.col("b").alias("node"), F.lit(0).alias("upper"), F.lit(1).alias("lower")))).alias("e"))
+    return ends.groupBy("e.node").agg((F.sum("e.upper") + F.max("e.lower")).alias("n")).filter("n > 1").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root for every node of ``edges`` (a, b); the root is the smallest node that can be reached.
 
-    Large-star and small-star operations in turn until nothing changes. Each round is written to the shared folder, so
+    Large-star and small-star operations in turn until only stars are left. Each round is written to the shared folder, so
     a lost executor never repeats an earlier round. Neighbours of a hub are never dealt to one task. Edges from a node to itself are ignored.
     """
-    now = settled(edges.select("a", "b").filter("a != b").distinct())
-    mark = None
+    now = settled(gathered(edges.select("a", "b").filter("a != b").distinct()))
     for _ in range(MOST_ROUNDS):
-        now = settled(_small_star(settled(_large_star(now))))
-        seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if seen == mark:
+        now = settled(gathered(_small_star(settled(gathered(_large_star(now))))))
+        if _stars(now):
             break
-        mark = tuple(seen)
     else:
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 from prefmill.llm.base import map_steps
 from prefmill.llm.graph import beside, block_pairs, components, forest, met_by_key
 from prefmill.llm.shingles import digest, mix, shingle_set, word_lists
-from prefmill.session import settled
+from prefmill.session import gathered, settled
 
 ROWS = 4
 MISS = 1e-6
@@ -186,17 +186,17 @@ def classes_and_links(docs: DataFrame, rows: DataFrame, k: int, percent: int) ->
     share = percent / 100
     need = math.floor(m * share - SLACK * math.sqrt(m * share * (1 - share)))
     named = rows.filter("cls IS NOT NULL")
-    classes = settled(named.groupBy("cls").agg(F.count(F.lit(1)).alias("uses"),
+    classes = settled(gathered(named.groupBy("cls").agg(F.count(F.lit(1)).alias("uses"),
                                                        F.min(F.struct(F.isnull("doc_id").alias("_null"), "doc_id", "n_shingles", "sig", "keys")).alias("r"))
-                      .select("cls", "uses", "r.*").drop("_null"))
+                      .select("cls", "uses", "r.*").drop("_null")))
     keyed = classes.select("cls", F.explode("keys").alias("key"))
-    met = settled(beside(keyed, "key", F.count(F.lit(1)).alias("_n")).filter("_n > 1"))
+    met = settled(gathered(beside(keyed, "key", F.count(F.lit(1)).alias("_n")).filter("_n > 1")))
     met = met.join(classes.select("cls", "sig"), "cls")
     met = block_pairs(met, F.ceil(F.col("_n") / BAND_BLOCK), "cls").drop("_n")
     near = (met.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
             .select("key", "lo", "hi", "cls", "sig").mapInArrow(_band_edges(need), "a binary, b binary"))
-    family = settled(components(near).select(F.col("node").alias("cls"), F.col("root").alias("family"))
-                     .join(classes.select("cls", "doc_id", "n_shingles"), "cls"))
+    family = settled(gathered(components(near).select(F.col("node").alias("cls"), F.col("root").alias("family"))
+                              .join(classes.select("cls", "doc_id", "n_shingles"), "cls")))
     placed = block_pairs(beside(family, "family", F.sum("n_shingles").alias("_w")), F.ceil(F.col("_w") / SET_BLOCK), "cls")
     placed = placed.select(F.xxhash64("family").alias("family"), "lo", "hi", "cls", "doc_id")
     # The members grow with the documents, so they are never broadcast, however few they are.
@@ -210,16 +210,16 @@ def classes_and_links(docs: DataFrame, rows: DataFrame, k: int, percent: int) ->
 
 def placed(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """doc_id, th, n_shingles, cls, component_id, first (whether the row's class holds the component's smallest id)."""
-    rows = settled(signed(docs, k, percent))
+    rows = settled(gathered(signed(docs, k, percent)))
     classes, links = classes_and_links(docs, rows, k, percent)
     joined = classes.join(components(links).withColumnRenamed("node", "cls"), "cls", "left")
     joined = joined.withColumn("root", F.coalesce("root", "cls"))
-    joined = beside(settled(joined), "root", F.min(F.struct(F.isnull("doc_id").alias("_null"), "doc_id", "cls")).alias("low"))
+    joined = beside(settled(gathered(joined)), "root", F.min(F.struct(F.isnull("doc_id").alias("_null"), "doc_id", "cls")).alias("low"))
     named = joined.select("cls", "uses", F.col("low.doc_id").alias("component_id"), (F.col("low.cls") == F.col("cls")).alias("first"))
     rows = rows.select("cls", "doc_id", "th", "n_shingles")
     blank = rows.filter("cls IS NULL").withColumns({"component_id": F.lit(None).cast(rows.schema["doc_id"].dataType),
                                                     "first": F.lit(None).cast("boolean")})
-    return met_by_key(rows, settled(named), "cls", "uses").unionByName(blank)
+    return met_by_key(rows, settled(gathered(named)), "cls", "uses").unionByName(blank)
 
 
 def grouped(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -234,7 +234,7 @@ def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     found = placed(docs, k, percent)
     best = found.filter(F.col("first") & F.col("component_id").eqNullSafe(F.col("doc_id")))
     best = best.groupBy("doc_id", "cls", "th").agg(F.count(F.lit(1)).alias("n"))
-    best = settled(best.groupBy("doc_id", "cls").agg(F.min(F.struct("th", "n")).alias("b")).select("doc_id", "b.th", "b.n"))
+    best = settled(gathered(best.groupBy("doc_id", "cls").agg(F.min(F.struct("th", "n")).alias("b")).select("doc_id", "b.th", "b.n")))
     blank = found.filter("cls IS NULL").select("doc_id", "th").distinct()
 
     def of(ids):

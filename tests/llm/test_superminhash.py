@@ -125,3 +125,23 @@ def test_rows_beside_their_group(spark, monkeypatch):
     got = beside(spark.createDataFrame(rows, "k int, v int"), "k", F.min("v").alias("low"), F.count("v").alias("n"))
     want = [(1, i, 0, 50) for i in range(50)] + [(2, 7, 7, 2)] * 2 + [(3, 9, 9, 1)]
     assert got.columns == ["k", "v", "low", "n"] and sorted(map(tuple, got.collect())) == want
+
+
+def test_rounds_leave_few_files_however_many_partitions_a_shuffle_has(spark, monkeypatch):
+    files, held = [], {}
+    for key, value in {"spark.sql.shuffle.partitions": "48", "spark.sql.adaptive.coalescePartitions.enabled": "false"}.items():
+        held[key] = spark.conf.get(key)
+        spark.conf.set(key, value)
+
+    def counted(df, settle=graph.settled):
+        out = settle(df)
+        files.append(len(out.inputFiles()))
+        return out
+    monkeypatch.setattr(graph, "settled", counted)
+    try:
+        got = dict(map(tuple, components(spark.createDataFrame([(2 * i, 2 * i + 1) for i in range(1000)], "a long, b long")).collect()))
+    finally:
+        for key, value in held.items():
+            spark.conf.set(key, value)
+    assert got == {i: i - i % 2 for i in range(2000)}
+    assert len(files) == 5 and max(files) <= 4 * spark.sparkContext.defaultParallelism  # stars at once: one round is enough
