@@ -39,6 +39,8 @@ SHARE, LOOSE = 0.8, 0.65
 ANSWER = 0.8
 #: Words taken at once, blocks of STRIDE words in one part of a long text, and rows or pairs of terms handed on at once.
 WORDS, PART, TERM_BLOCK, PAIR_BLOCK = 1 << 15, 1 << 10, 4096, 1 << 18
+#: Blocks of STRIDE words that are projected and compared at once, of any number of texts.
+BLOCKS = 1 << 9
 #: Up to so many terms a task holds the sums of all their pairs (144 MB).
 GRAM_TERMS = 6_000
 
@@ -78,23 +80,20 @@ def lcs(item: list[int], region: list[int]) -> int:
     return len(item) - row.bit_count()
 
 
-def block_sums(ids: np.ndarray, vectors: np.ndarray, weighty: np.ndarray) -> np.ndarray:
-    """Sums of the vectors of each run of STRIDE words; words without weight are skipped."""
-    out = np.zeros((-(-len(ids) // STRIDE), vectors.shape[1]), np.float32)
-    at = np.flatnonzero(weighty[ids])
-    for part in np.array_split(at, len(at) // 50_000 + 1):
-        if len(part):
-            block = part // STRIDE
-            first = np.flatnonzero(np.diff(block, prepend=-1))
-            out[block[first]] += np.add.reduceat(vectors[ids[part]], first, axis=0)
+def block_sums(ids: np.ndarray, block: np.ndarray, blocks: int, vectors: np.ndarray) -> np.ndarray:
+    """Sums of the vectors of the words of each block; ``block``, the number of a word's block, ascends."""
+    count = np.bincount(block, minlength=blocks)
+    order = np.argsort(-count, kind="stable")  # blocks with most words first: those with another word are the first ones
+    first, count = (np.cumsum(count) - count)[order], count[order]
+    sums = np.zeros((blocks, vectors.shape[1]), np.float32)
+    for j in range(count.max(initial=0)):
+        more = first[:np.searchsorted(-count, -j)]
+        sums[:len(more)] += vectors[ids[more + j]]
+    out = np.empty_like(sums)
+    out[order] = sums
     return out
 
 
-def passages(blocks: np.ndarray) -> np.ndarray:
-    """Passage vectors: neighbouring blocks together; one block alone if there is no other."""
-    return blocks[:-1] + blocks[1:] if len(blocks) > 1 else blocks
-
-
 def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
@@ -128,18 +127,38 @@ class Index:
         self.vectors = (self.idf[:, None] * basis).astype(np.float32)
         self.queries = unit(np.stack([self.vectors[self.items[i][a:b]].sum(0) for i, a, b in self.spans])).T.copy()
 
-    def matches(self, ids: np.ndarray) -> list[tuple[int, float, float, float]]:
-        """item, best cosine, share of the item and share of its answer, for every item found in one text."""
-        if not len(ids):
-            return []
-        near = unit(passages(block_sums(ids, self.vectors, self.idf > 0)))
-        candidates: dict[tuple[int, int], float] = {}
-        for first in range(0, len(near), 4096):
-            cosine = near[first:first + 4096] @ self.queries
-            for row, column in zip(*np.nonzero(cosine >= COSINE)):
+    def candidates(self, texts: list[np.ndarray]) -> list[dict[tuple[int, int], float]]:
+        """For each text, the items near one of its passages, where they would start, and the best cosine."""
+        out: list[dict[tuple[int, int], float]] = [{} for _ in texts]
+        sizes, ids = np.array([len(t) for t in texts]), np.concatenate(texts)
+        starts, blocks = np.cumsum(sizes) - sizes, -(-sizes // STRIDE)
+        base, owner = np.cumsum(blocks) - blocks, np.repeat(np.arange(len(texts)), blocks)
+        at = np.flatnonzero(self.idf[ids] > 0)
+        text = np.repeat(np.arange(len(texts)), sizes)[at]
+        block = base[text] + (at - starts[text]) // STRIDE
+        # A passage is a block and the next one of its text; one block alone if there is no other.
+        joined = np.append(owner[1:] == owner[:-1], False)
+        begins = joined | (blocks[owner] == 1)
+        for s in range(0, len(owner), BLOCKS):
+            e = min(s + BLOCKS, len(owner))
+            lo, hi = np.searchsorted(block, [s, e + 1])
+            sums = block_sums(ids[at[lo:hi]], block[lo:hi] - s, e + 1 - s, self.vectors)
+            near = sums[:-1] + sums[1:] * joined[s:e, None]
+            rows = np.flatnonzero(begins[s:e])
+            cosine = unit(near[rows]) @ self.queries
+            for place in np.flatnonzero(cosine >= COSINE):
+                row, column = divmod(int(place), cosine.shape[1])
                 item, a, _ = self.spans[column]
-                place = (item, int(first + row) * STRIDE - a)  # where the item would start
-                candidates[place] = max(candidates.get(place, 0.0), float(cosine[row, column]))
+                own = int(owner[s + rows[row]])
+                key = (item, int(s + rows[row] - base[own]) * STRIDE - a)  # where the item would start
+                out[own][key] = max(out[own].get(key, 0.0), float(cosine[row, column]))
+        return out
+
+    def matches(self, texts: list[np.ndarray]) -> list[list[tuple[int, float, float, float]]]:
+        """For each text: item, best cosine, share of the item and share of its answer, for every item found in it."""
+        return [self._checked(ids, near) for ids, near in zip(texts, self.candidates(texts))] if texts else []
+
+    def _checked(self, ids: np.ndarray, candidates: dict[tuple[int, int], float]) -> list[tuple[int, float, float, float]]:
         best: dict[int, tuple[int, float, float, float]] = {}
         for (item, at), cosine in candidates.items():
             own = self.items[item]
@@ -342,10 +361,10 @@ def _slice_leaks(docs: DataFrame, index: Index, schema: str) -> DataFrame:
 
     def step(batch):
         row, found = [], []
-        for i, ids in enumerate(batch.column("ids")):
-            for match in shared.value.matches(np.frombuffer(ids.as_buffer(), np.int32)):
-                row.append(i)
-                found.append(match)
+        texts = [np.frombuffer(ids.as_buffer(), np.int32) for ids in batch.column("ids")]
+        for i, matches in enumerate(shared.value.matches(texts)):
+            row += [i] * len(matches)
+            found += matches
         item, cosine, share, told = zip(*found) if found else ((), (), (), ())
         return [batch.column("doc_id").take(pa.array(row, pa.int64())), [shared.value.names[i] for i in item], cosine, share, told]
 

@@ -129,3 +129,34 @@ def test_the_basis_is_that_of_all_documents(spark, monkeypatch):
         monkeypatch.setattr(decontaminate, "GRAM_TERMS", limit, raising=False)
         basis = decontaminate.latent_basis(docs, index, len(texts))
         assert np.allclose(basis.T @ gram @ basis, np.eye(basis.shape[1]), atol=1e-4)
+
+
+def test_short_texts_are_projected_together_and_long_ones_in_parts(monkeypatch):
+    rng = np.random.default_rng(9)
+    vocabulary = [f"w{i}" for i in range(60)]
+    index = decontaminate.Index([(i, " ".join(rng.choice(vocabulary, n))) for i, n in enumerate([4, 12, 40, 70])])
+    terms = len(index.idf)
+    index.weigh(np.append(0, rng.integers(1, 9, terms - 1)), 400)
+    index.project(np.linalg.qr(rng.standard_normal((terms, terms)))[0])
+    texts = [np.where(rng.random(n) < 0.5, rng.integers(0, terms, n), 0).astype(np.int32) for n in [0, 1, 16, 17, 33, 900] + [20] * 200]
+    texts[5][100:140] = index.items[2]
+    want = []
+    for t in texts:  # one text and one passage at a time
+        found = {}
+        last = max(1, -(-len(t) // 16) - 1) if len(t) else 0
+        for p in range(last):
+            v = index.vectors[t[p * 16:p * 16 + 32]].sum(0)
+            for (item, a, _), c in zip(index.spans, index.queries.T @ v / max(1e-12, np.linalg.norm(v))):
+                if c >= decontaminate.COSINE:
+                    found[item, p * 16 - a] = max(found.get((item, p * 16 - a), 0), c)
+        want.append(found)
+    calls, sums = [], decontaminate.block_sums
+    monkeypatch.setattr(decontaminate, "block_sums", lambda *a: calls.append(1) or sums(*a))
+    for blocks in (1, 3, 512):
+        monkeypatch.setattr(decontaminate, "BLOCKS", blocks, raising=False)
+        calls.clear()
+        got = index.candidates(texts)
+        assert [set(g) for g in got] == [set(w) for w in want] and sum(map(len, want)) > 20
+        assert all(abs(g[k] - w[k]) < 1e-5 for g, w in zip(got, want) for k in w)
+    assert len(calls) == 1
+    assert any(m[0] == 2 for m in index.matches(texts)[5]) and index.matches([]) == [] and index.matches(texts[:1]) == [[]]
