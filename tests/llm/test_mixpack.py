@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import documents
 
@@ -72,6 +73,24 @@ def test_pieces_of_words_are_the_tokenizers_ids():
             assert np.frombuffer(got, "<u2").tolist() == want, text
 
 
+def test_a_column_encodes_each_word_once_without_python_objects_for_words(monkeypatch):
+    pieces = Pieces(tokenizer_path())
+    texts = ["Élève à l'école.\nNaïve, again ", "one two's\nthree\n", "", " lead", "a\n\nb c", "x\ny é\nß ÿ", "ab <|endoftext|> cd", "tab\tin two", "日本 語 word",
+             "soft\u00adhyphen next", "no\u00a0break it", "", "line\u2028end \u0085 x", "ends\n"]
+    column = pa.array(["cut off", *texts * 3])[1:]
+    end = np.array([1], "<u2").tobytes()
+    for _ in range(2):  # from the memory the second time
+        for got, text in zip(pieces.column(column, end).to_pylist(), texts * 3, strict=True):
+            assert np.frombuffer(got, "<u2").tolist() == pieces.tokenizer.encode(text, add_special_tokens=False).ids + [1], text
+    assert pieces.column(pa.array([], pa.string())).to_pylist() == [] and pieces.column(pa.array(["", ""]), end).to_pylist() == [end, end]
+    seen = []
+    ranked = pieces._ranked
+    monkeypatch.setattr(pieces, "_words", None)
+    monkeypatch.setattr(pieces, "_ranked", lambda text, sizes: seen.append(text) or ranked(text, sizes))
+    pieces.column(pa.array(["the déjà vu, vu\nthe déjà"] * 50))
+    assert [sorted(t.split(" ")) for t in seen] == [sorted(["", "the", "déjà", "vu,", "vu\nthe"])]
+
+
 def packs(df):
     return df.orderBy("sequence_id", "offset").collect()
 
