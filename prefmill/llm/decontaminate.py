@@ -299,8 +299,10 @@ def gram_matrix(rows: DataFrame, idf: np.ndarray) -> np.ndarray:
                 at = at[:np.searchsorted(at, len(term) - apart)]
                 at = at[passage[at] == passage[at + apart]]
 
-    flat = np.zeros(terms * (terms + 1) // 2, np.float32)
-    for b, part in _summed(rows, lambda: np.zeros(len(flat)), add_batch, PAIR_BLOCK):
+    pairs = terms * (terms + 1) // 2  # what runs in tasks holds this number only
+    parts = _summed(rows, lambda: np.zeros(pairs), add_batch, PAIR_BLOCK)
+    flat = np.zeros(pairs, np.float32)
+    for b, part in parts:
         flat[b:b + PAIR_BLOCK] = part
     out = np.zeros((terms, terms))
     low = np.tri(terms, dtype=bool)

@@ -25,6 +25,8 @@ from prefmill.llm.shingles import words
 
 SAMPLE = 1500
 CHUNK = 500_000
+#: Characters scored at once; their grams take about a hundred bytes each.
+SCORED = 250_000
 BLOCK = 4
 FEWEST = 100  # a passage with fewer grams is averaged as if neutral ones filled it up
 GRAMS = range(3, 7)
@@ -242,7 +244,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         return [batch.column("doc_id"), shared.value.scores([t or "" for t in batch.column("text").to_pylist()])]
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_steps(docs.select("doc_id", "text"), f"doc_id {kind}, score double", step)
+    return map_steps(docs.select("doc_id", "text"), f"doc_id {kind}, score double", step, limit=SCORED)
 
 
 def predictions(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1) -> DataFrame:
@@ -263,7 +265,7 @@ def clean(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1) ->
         out, at = [], 0
         while at < len(values):  # bounded steps, as in map_steps
             size, end = 0, at
-            while end < len(values) and (end == at or size + len(values[end]) <= 1_000_000):
+            while end < len(values) and (end == at or size + len(values[end]) <= SCORED):
                 size += len(values[end])
                 end += 1
             out.append(shared.value.scores(values[at:end]))

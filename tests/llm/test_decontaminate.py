@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 from helpers import documents
+from pyspark import cloudpickle
 
 from prefmill.llm import decontaminate
 from prefmill.llm.base import table
@@ -117,6 +118,18 @@ def test_gram_matrix_equals_dense_algebra(spark, monkeypatch):
     assert np.allclose(decontaminate.gram_product(rows, idf, right), dense @ right, atol=1e-3)
 
 
+def test_what_tasks_are_sent_holds_no_sums(spark, monkeypatch):
+    """2000 terms have 2 million pairs, 8 MB; what is sent for them is their number."""
+    texts, sent = [[1, 2, 3], [3, 2000]], []
+    rows = spark.createDataFrame([(np.array(t, np.int32).tobytes(), 1.0) for t in texts], "ids binary, weight double").coalesce(1)
+    summed = decontaminate._summed
+    monkeypatch.setattr(decontaminate, "_summed", lambda rows, total, *a: sent.append(len(cloudpickle.dumps(total))) or summed(rows, total, *a))
+    idf = np.ones(2001, np.float32)
+    gram = decontaminate.gram_matrix(rows, idf)
+    assert sent and max(sent) < 100_000
+    assert np.allclose(gram[:5, :5], dense_gram(texts, idf)[:5, :5], atol=1e-4)
+
+
 def test_the_basis_is_that_of_all_documents(spark, monkeypatch):
     rng = np.random.default_rng(6)
     index = decontaminate.Index([(1, "a b c d e f g h"), (2, "i j k l m n o p q r")])

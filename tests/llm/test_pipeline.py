@@ -68,6 +68,20 @@ def test_given_table_keeps_clean_documents(spark, folder):
     assert sum(d in out for d in clean) > 0.7 * len(clean)
 
 
+def test_stages_hand_documents_to_python_in_small_batches(spark, tmp_path):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs = write(spark, str(tmp_path), [(i, f"word{i} and another") for i in range(10)])
+    before = spark.conf.get(name)
+    try:
+        for _, stage in corpus_pipeline.STAGES:
+            for given, then in (("10000", "2000"), ("77", "77")):  # a number of the caller's stays
+                spark.conf.set(name, given)
+                stage(spark, docs, str(tmp_path))
+                assert spark.conf.get(name) == then
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_every_operator_is_registered():
     assert sorted(q for q in queries.QUERIES if q.startswith("op")) == sorted(
         ["op1_pii", "op2_spotsigs", "op3_decontaminate", "op4_mixpack", "op5_quality", "op6_superminhash", "op7_secrets", "op8_langid",

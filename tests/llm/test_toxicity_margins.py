@@ -59,3 +59,15 @@ def test_equal_texts_score_alike_and_a_long_labelled_text_trains(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(30)] + [(100, 1)], "doc_id long, toxic int")
     out = {r["doc_id"]: r["score"] for r in T.predictions(documents(spark, rows), labels).collect()}
     assert out[101] == out[102] == out[1] and out[101] > 0.5 > out[0]
+
+
+def test_texts_are_scored_in_bounded_steps(spark, monkeypatch):
+    """What tasks hold for grams follows from SCORED; scores do not depend on it."""
+    limits, mapped = [], T.map_steps
+    monkeypatch.setattr(T, "map_steps", lambda *a, **k: limits.append(k.get("limit", 1_000_000)) or mapped(*a, **k))
+    table = np.random.default_rng(6).normal(size=T.BUCKETS).astype(np.float32)
+    model = T.Model(table, 0.0, (1.0, 0.0), 0.5)
+    docs = documents(spark, [(i, f"text{i} of words{i % 7} " * 60 * i) for i in range(60)] + [(99, "long " * 100_000), (100, None)]).coalesce(1)
+    got = {r["doc_id"]: r["score"] for r in T.scored(docs, model).collect()}
+    assert limits == [T.SCORED] and T.SCORED <= 250_000
+    assert got == {r["doc_id"]: model.scores([r["text"] or ""])[0] for r in docs.collect()}
