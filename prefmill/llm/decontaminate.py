@@ -355,7 +355,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def _slice_leaks(docs: DataFrame, index: Index, schema: str) -> DataFrame:
-    texts = settled(numbered(docs, index))
+    texts = settled(gathered(numbered(docs, index)))
     counts, total, documents = word_counts(texts, len(index.idf))
     index.weigh(counts, total)
     index.project(latent_basis(texts, index, documents))

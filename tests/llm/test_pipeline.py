@@ -4,6 +4,7 @@ import corpus_pipeline
 import numpy as np
 from helpers import documents
 
+from prefmill import session
 from prefmill.llm import decontaminate, queries
 from prefmill.llm.base import table, tokenizer_path
 from prefmill.llm.tokenizing import Pieces
@@ -82,6 +83,24 @@ def test_stages_hand_documents_to_python_in_small_batches(spark, tmp_path):
         spark.conf.set(name, before)
 
 
+def test_scratch_tables_cost_one_file_for_each_partition(spark, tmp_path, monkeypatch):
+    """On a local file system processes are started for each file; scratch needs no checksums and no mark of success."""
+    monkeypatch.setattr(session, "scratch_path", lambda spark, name: f"{tmp_path}/{name}")
+    rows = [(i, f"text {i}") for i in range(100)]
+    back = session.settled(documents(spark, rows).repartition(3), "own")
+    names = sorted(p.name for p in (tmp_path / "own").iterdir())
+    assert len(names) == 3 and all(n.startswith("part-") and n.endswith(".parquet") for n in names)
+    assert sorted((r["doc_id"], r["text"]) for r in back.collect()) == rows
+
+
+def test_numbered_texts_of_many_partitions_are_gathered(spark, tmp_path, monkeypatch):
+    docs = write(spark, str(tmp_path), [(i, f"word{i} and another") for i in range(200)])
+    files, settled = [], decontaminate.settled
+    monkeypatch.setattr(decontaminate, "settled", lambda df: files.append(df.rdd.getNumPartitions()) or settled(df))
+    found = decontaminate.leaks(docs.repartition(90), table(spark, str(tmp_path), "benchmark"))
+    assert files == [4 * spark.sparkContext.defaultParallelism] and found.count() == 0
+
+
 def test_every_operator_is_registered():
     assert sorted(q for q in queries.QUERIES if q.startswith("op")) == sorted(
         ["op1_pii", "op2_spotsigs", "op3_decontaminate", "op4_mixpack", "op5_quality", "op6_superminhash", "op7_secrets", "op8_langid",
